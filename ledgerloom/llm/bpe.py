@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from .common import small_batches, text_or_empty
 
-WORDS = 300_000
+WORDS = 500_000
 END = "\x00"
 #: Texts of code points below this take the shorter pattern: all tables agree there.
 NEAR = 0x558
@@ -59,6 +59,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+class _Seen(dict):
+    """Ids by word; a word that is not there yet is encoded and kept."""
+
+    def __init__(self, owner: "WordBPE"):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, word: str) -> bytes:
+        own = self.owner
+        ids = self[word] = own.word(word.encode("utf-8", "replace").decode("latin-1").translate(own.table))
+        return ids
+
+
 class WordBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -93,7 +106,7 @@ class WordBPE:
         self.far = re.compile(f"[^\\x00-{chr(NEAR - 1)}]")
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Seen(self)
         size = max([*vocab.values(), *self.special.values()]) + 1
         names = [b""] * size
         for token, i in [*vocab.items(), *self.special.items()]:
@@ -156,22 +169,14 @@ class WordBPE:
     def _plain(self, text: str) -> bytes:
         """Ids of text without special tokens."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(LATER_LOWER)
+            text = unicodedata.normalize("NFC", text)
         if self.far.search(text):
-            found = self.words.findall(self.spaces.sub(" ", text).lower())
+            found = self.words.findall(self.spaces.sub(" ", text.translate(LATER_LOWER)).lower())
         else:
-            found = self.near_words.findall(text.lower())
-        seen = self.seen
-        try:
-            return b"".join([seen[w] for w in found])
-        except KeyError:
-            pass
-        if len(seen) > WORDS:
-            seen.clear()
-        for w in found:
-            if w not in seen:
-                seen[w] = self.word(w.encode("utf-8", "replace").decode("latin-1").translate(self.table))
-        return b"".join([seen[w] for w in found])
+            found = self.near_words.findall(text.replace("Σ", "σ").lower())
+        if len(self.seen) > WORDS:
+            self.seen.clear()
+        return b"".join(map(self.seen.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         if self.cut is None or "<|" not in text:
