@@ -34,8 +34,8 @@ from .common import cut, small_batches, stored
 
 LENGTH = 400
 ANCHOR = 101
-BLOCK = 20_000
-FEW = 2_000_000
+BLOCK = 8000
+FEW = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
@@ -104,7 +104,7 @@ def _sample(length: int, width: int):
 
 def _contexts(length: int, width: int):
     def run(batches):
-        for b in batches:
+        for b in (whole.iloc[i : i + 100].reset_index(drop=True) for whole in batches for i in range(0, len(whole), 100)):
             out = []
             for text, wanted in zip(b["text"], b["wanted"]):
                 raw = text.encode("utf-8", "replace")
@@ -144,8 +144,8 @@ def _ranked(rows: list[bytes], block: np.ndarray, width: int) -> tuple[np.ndarra
     return order, lcp
 
 
-def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes], length: int, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each distance from the sample (a bucket of suffixes) the rows whose window there is repeated.
+def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes], length: int, width: int, asked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each distance from the sample (a bucket of suffixes) the asked rows whose window there is repeated.
 
     Rows are different surroundings of sample places; equal ``block`` means equal first ``width`` bytes.
     """
@@ -169,23 +169,23 @@ def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes],
         eq = s[1:] == s[:-1]
         same[1:] |= eq
         same[:-1] |= eq
-        if same.any():
-            found.append((np.full(int(same.sum()), d), rows[order[same]]))
+        hit = rows[order[same]]
+        hit = hit[asked[hit]]
+        if len(hit):
+            found.append((np.full(len(hit), d, np.int32), hit.astype(np.int32)))
     return found
 
 
-def _resolve(length: int, width: int, rows: int = 20_000):
+def _resolve(length: int, width: int, rows: int = 4000):
     """Over rows sorted by block: complete blocks are resolved some thousand rows at a time."""
 
     def spans(part: pd.DataFrame) -> pd.DataFrame:
         if len(part) < 2:
             return pd.DataFrame(columns=[*KEY, "start", "stop"])
-        got = repeated_windows(part["anchor"].to_numpy(np.int64), part["before"].to_numpy(np.int64), [bytes(x) for x in part["around"]], length, width)
+        got = repeated_windows(part["anchor"].to_numpy(np.int64), part["before"].to_numpy(np.int64), [bytes(x) for x in part["around"]], length, width, part["single"].to_numpy(bool))
         if not got:
             return pd.DataFrame(columns=[*KEY, "start", "stop"])
         d, row = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-        keep = part["single"].to_numpy(bool)[row]
-        d, row = d[keep], row[keep]
         order = np.lexsort((-d, row))
         d, row = d[order], row[order]
         start = part["place"].to_numpy(np.int64)[row] - d
@@ -258,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, t
     # Others share the sample's first bytes with different surroundings: sort their suffixes.
     wanted = around.where("kinds > 1 and singles > 0").select("first.*", F.struct("anchor", F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > block).alias("block")).alias("w"))
     wanted = cut(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")))
-    texts = once.join(_few(wanted, FEW // 10), KEY)
+    texts = once.join(_few(wanted, FEW // 4), KEY)
     shape = f"anchor long, single boolean, block boolean, before int, around binary, {kinds}, place long"
     contexts = texts.mapInPandas(_contexts(length, width), shape)
     large = around.where((F.col("kinds") > block) & (F.col("singles") > 0)).limit(1).count() > 0
@@ -290,7 +290,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id
     """``docs`` plus sd_bytes and sd_spans, the maximal removed runs as an array of [start, stop) byte ranges."""
     keyed, spans = repeated_spans(docs, length, text_col=text_col, id_col=id_col, **names)
     by_text = cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("sd_raw")))
-    joined = keyed.join(_few(by_text, FEW // 10), KEY, "left")
+    joined = keyed.join(_few(by_text, FEW // 4), KEY, "left")
 
     @F.pandas_udf("array<struct<start: long, stop: long>>")
     def merge(col: pd.Series) -> pd.Series:
