@@ -141,13 +141,13 @@ COLUMNS = {
     "xfi:fact-dimensions": lambda side="": F.array_sort(F.concat(F.map_keys(_c("dims", side)), F.map_keys(_c("typed_dims", side)))),
     "xfi:fact-dimension-s-equal2": lambda a, b, d: _dimension(d, a).eqNullSafe(_dimension(d, b)),
     "xfi:format-number": format_number,
-    "lyquidity:is-item": lambda side="": ~F.coalesce(_c("subst_group", side).endswith("tuple"), F.lit(False)),
-    "lyquidity:is-tuple": lambda side="": F.coalesce(_c("subst_group", side).endswith("tuple"), F.lit(False)),
-    "lyquidity:context-reference": _field("context_ref"),
-    "lyquidity:non-XDT-scenario-aspect-test": lambda a, b: _c("scenario", a).eqNullSafe(_c("scenario", b)),
-    "lyquidity:non-XDT-segment-aspect-test": lambda a, b: _c("non_dim", a).eqNullSafe(_c("non_dim", b)),
-    "lyquidity:aspectMatch": aspect_match,
-    "lyquidity:minimized-date-string": minimized_date,
+    "ext:is-item": lambda side="": ~F.coalesce(_c("subst_group", side).endswith("tuple"), F.lit(False)),
+    "ext:is-tuple": lambda side="": F.coalesce(_c("subst_group", side).endswith("tuple"), F.lit(False)),
+    "ext:context-reference": _field("context_ref"),
+    "ext:non-XDT-scenario-aspect-test": lambda a, b: _c("scenario", a).eqNullSafe(_c("scenario", b)),
+    "ext:non-XDT-segment-aspect-test": lambda a, b: _c("non_dim", a).eqNullSafe(_c("non_dim", b)),
+    "ext:aspectMatch": aspect_match,
+    "ext:minimized-date-string": minimized_date,
     # Aggregates over an instance: any value in document order, all values, whether there is one only.
     "xfi:taxonomy-refs": lambda: F.array_sort(F.collect_set("schema_ref")),
     **{f"xfi:any-{n}": (lambda e=e: F.min_by(e(), "ordinal")) for n, e in {"identifier": _struct("scheme", "entity"), "start-date": _moment("duration", "start"), "end-date": _moment("duration", "end"), "instant-date": _moment("instant", "end")}.items()},

@@ -21,10 +21,8 @@ def flatten_json(df: DataFrame, key: str, col: str) -> DataFrame:
         leaves = level.where(~nested).select(key, "path", F.col("v").cast("string").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
         level = level.where(nested)
-        fields = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,string>")).alias("k", "text"))
-        raw = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("k", "v")).select(key, F.concat("path", F.lit("."), "k").alias("path"), "v")
-        items = level.where(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.from_json(F.to_json("v"), "array<variant>")).alias("i", "v")).select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "v")
-        del fields
+        raw = level.where(kind.startswith("OBJECT")).select(key, "path", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("_k", "_v")).select(key, F.concat("path", F.lit("."), "_k").alias("path"), F.col("_v").alias("v"))
+        items = level.where(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.from_json(F.to_json("v"), "array<variant>")).alias("_i", "_v")).select(key, F.concat("path", F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("path"), F.col("_v").alias("v"))
         level = raw.unionByName(items).persist()
         if level.isEmpty():
             break

@@ -522,4 +522,4 @@ def signing_hashes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS \"end\" FROM orders")
 def minimized_dates(spark: SparkSession, d: str) -> DataFrame:
     call = registry.call
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"), call("lyquidity:minimized-date-string", F.col("o_orderdate")).alias("start"), call("lyquidity:minimized-date-string", F.col("o_orderdate"), True).alias("end"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"), call("ext:minimized-date-string", F.col("o_orderdate")).alias("start"), call("ext:minimized-date-string", F.col("o_orderdate"), True).alias("end"))

@@ -73,10 +73,10 @@ def _attr(name: str):
 
 def with_continuations(rows: DataFrame) -> DataFrame:
     """Text of elements followed by that of their continuations, in the chain's order."""
-    parts = rows.where("tag = 'continuation'").select("doc_id", F.col("id").alias("_id"), F.col("text").alias("_text"), _attr("continuedat").alias("_next"))
+    parts = rows.where("tag = 'continuation'").select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.col("text").alias("_text"), _attr("continuedat").alias("_next"))
     heads = rows.where("tag <> 'continuation'").withColumns({"_at": _attr("continuedat"), "_seen": F.array("id")})
     for _ in range(MOST):
-        j = heads.join(parts, (heads["_at"] == parts["_id"]) & (heads["doc_id"] == parts["doc_id"]), "left").drop(parts["doc_id"])
+        j = heads.join(parts, (F.col("_at") == F.col("_id")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc")
         again = F.array_contains("_seen", F.coalesce("_id", F.lit("")))
         heads = j.withColumns({"text": F.when(F.col("_id").isNotNull() & ~again, F.concat("text", "_text")).otherwise(F.col("text")), "_at": F.when(~again, F.col("_next")), "_seen": F.concat("_seen", F.array(F.coalesce("_id", F.lit(""))))}).drop("_id", "_text", "_next").persist()
         if heads.where("_at is not null").isEmpty():
