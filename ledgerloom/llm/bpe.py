@@ -9,7 +9,7 @@ The vocabulary file is given by path; it must hold a BPE model with word ends wh
 the order of the merges.
 
 Defined cases: a null text is empty and has no tokens; the special tokens' own strings become their ids, as the
-library does; equal texts have equal ids; the memory of words seen is cleared when it holds ``WORDS`` of them.
+library does; equal texts have equal ids; the memory of words seen is cleared when it holds ``WORDS`` of them and at a task's end.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from .common import small_batches, text_or_empty
 
-WORDS = 500_000
+WORDS = 100_000
 END = "\x00"
 #: Texts of code points below this take the shorter pattern: all tables agree there.
 NEAR = 0x558
@@ -213,9 +214,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(BinaryType())
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = load(path)
-        return pd.Series([t.encode(x) for x in texts])
+        try:
+            for texts in batches:
+                yield pd.Series([t.encode(x) for x in texts], dtype=object)
+        finally:  # workers outlive tasks: words seen would stay in their memory
+            t.seen.clear()
+            t.compatible.clear()
 
     return run(text_or_empty(text_col))
 
