@@ -9,7 +9,7 @@ The vocabulary file is given by path; it must hold a BPE model with word ends wh
 the order of the merges.
 
 Defined cases: a null text is empty and has no tokens; the special tokens' own strings become their ids, as the
-library does; equal texts have equal ids; the memory of words seen is cleared when it holds ``WORDS`` of them and at a task's end.
+library does; equal texts have equal ids; words seen are remembered in two generations of ``WORDS`` each, and forgotten at a task's end.
 """
 
 from __future__ import annotations
@@ -61,17 +61,29 @@ def byte_letters() -> list[str]:
 
 
 class _Seen(dict):
-    """Ids by word; a word that is not there yet is encoded and kept."""
+    """Ids by word; a word that is not there is taken from the older generation or encoded."""
 
     def __init__(self, owner: "WordBPE"):
         super().__init__()
-        self.owner = owner
+        self.owner, self.older = owner, {}
 
     def __missing__(self, word: str) -> bytes:
-        own = self.owner
-        ids = self[word] = own.word(word.encode("utf-8", "replace").decode("latin-1").translate(own.table))
+        ids = self.older.get(word)
+        if ids is None:
+            own = self.owner
+            ids = own.word(word.encode("utf-8", "replace").decode("latin-1").translate(own.table))
+        self[word] = ids
         return ids
 
+    def age(self) -> None:
+        """What was seen of late becomes the older generation; words not met in two of them are forgotten."""
+        self.older = dict(self)
+        self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class WordBPE:
     def __init__(self, path: str):
@@ -176,7 +188,7 @@ class WordBPE:
         else:
             found = self.near_words.findall(text.replace("Σ", "σ").lower())
         if len(self.seen) > WORDS:
-            self.seen.clear()
+            self.seen.age()
         return b"".join(map(self.seen.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
@@ -220,7 +232,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
             for texts in batches:
                 yield pd.Series([t.encode(x) for x in texts], dtype=object)
         finally:  # workers outlive tasks: words seen would stay in their memory
-            t.seen.clear()
+            t.seen.forget()
             t.compatible.clear()
 
     return run(text_or_empty(text_col))
