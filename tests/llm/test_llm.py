@@ -126,6 +126,15 @@ def test_resharding(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_resharding_keeps_untouched_shards(spark):
+    docs = spark.createDataFrame([(i, "x" * 9, i % 2 if i < 8 else 2) for i in range(20)], "doc_id long, text string, s int").where("s < 2 or doc_id < 12")
+    out, path = resharding.rewrite(docs, F.col("s"), 3)
+    assert out.count() == 12 and not os.path.exists(path.removeprefix("file:"))  # four rows a shard already
+    docs = docs.where("doc_id <> 11")
+    out, path = resharding.rewrite(docs, F.when(F.col("doc_id") == 0, 2).otherwise(F.col("s")), 3)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
 def test_resharding_odd(spark):
     docs = odd_docs(spark)
     out, path = resharding.rewrite(docs, F.lit(0), 3)
