@@ -202,7 +202,7 @@ def fact_rules(spark: SparkSession, d: str) -> DataFrame:
 def context_rules(spark: SparkSession, d: str) -> DataFrame:
     """Periods from shipping to sixty days after the order, which must start before they end."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    ctx = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("context_id"), F.lit("duration").alias("period_type"), F.col("l_shipdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 60 day")).alias("end"), F.lit("e").alias("entity"), F.lit("s").alias("scheme"))
+    ctx = lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd")).alias("context_id"), F.lit("duration").alias("period_type"), F.col("l_shipdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 60 day")).alias("end"), F.lit("e").alias("entity"), F.lit("s").alias("scheme"))
     bad = validation.contexts(ctx)
     return bad.groupBy(F.col("doc_id").cast("long").alias("order_key")).agg(F.count(F.lit(1)).alias("n"))
 
