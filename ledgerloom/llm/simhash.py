@@ -16,7 +16,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,12 @@ BITS = 64
 BUCKET = 4096
 #: At the last level buckets are cut into blocks of this size, and all pairs of blocks are compared.
 BLOCK = 16384
-UPPER = re.compile(rb"[A-Z]+")
+#: Similar texts: words to a shingle, least similarity, blocks a text is dealt to and hashes to a block's key, and the
+#: radius within which fingerprints of a block are candidates.
+WIDE, SIMILARITY, BANDS, ROWS, LOOSE = 5, 0.8, 14, 3, 16
+_RNG = np.random.default_rng(6)
+_XOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -317,12 +321,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+# --- similarity of five-word shingles ----------------------------------------------------------------------------
+
+
+def shingle_hashes(text: str | None, width: int = WIDE) -> np.ndarray:
+    """Different hashes of the shingles, sorted; fewer words than ``width`` are one shingle."""
+    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if n <= width:
+        return np.array([digest(line)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.unique(np.fromiter([digest(line[i:j]) for i, j in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64, n - width + 1))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """Keys of the blocks a text is dealt to: smallest hashes under fixed permutations, ``ROWS`` to a key."""
+    if not len(h):
+        return []
+    least = np.array([((h ^ x) * m).min() for x, m in zip(_XOR, _MULTIPLY)], np.uint64).reshape(BANDS, ROWS)
+    return [int(np.int64(xxhash.xxh3_64_intdigest(k.tobytes(), i) - (1 << 63))) for i, k in enumerate(least)]
+
+
+def _signed(docs: DataFrame, text_col: str) -> Column:
+    """fp and band keys of a text, as a struct."""
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64)
+        return pd.DataFrame({"fp": fps, "bands": [band_keys(shingle_hashes(t)) for t in texts]})
+
+    return run(F.col(text_col).cast("string"))
+
+
+def _candidates(radius: int):
+    """Over rows sorted by block: each member with the block's first and with its neighbour, if their fingerprints are
+    within the radius. At most two links a member and block; only one row is carried from batch to batch."""
+
+    def run(batches):
+        first = last = None  # (key, fp, node)
+        for b in batches:
+            key, fps, node = (b[c].to_numpy(np.int64) for c in ("key", "fp", "node"))
+            if not len(key):
+                continue
+            if last is not None:
+                key, fps, node = (np.concatenate([[x[i], y[i]], z]) for i, (x, y, z) in zip(range(3), [(first, last, key), (first, last, fps), (first, last, node)]))
+            starts = np.concatenate([[True], key[1:] != key[:-1]])
+            head = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
+            at = np.nonzero(~starts)[0]
+            for other in (head[at], at - 1):
+                near = _planes_within((fps[at] ^ fps[other]).astype(np.uint64), radius)
+                x, y = node[at[near]], node[other[near]]
+                yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})[x != y]
+            first, last = tuple(int(v[head[-1]]) for v in (key, fps, node)), tuple(int(v[-1]) for v in (key, fps, node))
+
+    return run
+
+
+def similar_links(texts: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, radius: int = LOOSE) -> DataFrame:
+    """(a, b) of texts whose five-word shingles have at least the similarity, found in common blocks.
+
+    ``texts``: node, text (equal rows may repeat); ``signed``: node, fp, bands. Candidates by fingerprints are checked on
+    the whole shingle sets of the texts concerned.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = signed.select("node", "fp", F.explode("bands").alias("key")).repartition(parts, "key").sortWithinPartitions("key", "fp", "node")
+    pairs = cut(dealt.mapInPandas(_candidates(radius), "a long, b long").distinct())
+    wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    few = wanted.count() <= 2_000_000
+
+    @F.pandas_udf("binary")
+    def hashes(col: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t).tobytes() for t in col])
+
+    sets = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", hashes("text").alias("h"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(common / max(len(p) + len(q) - common, 1))
+        return pd.Series(out)
+
+    return both.withColumn("s", jaccard("ha", "hb")).where(F.col("s") >= similarity).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id by equal texts, fingerprints within the radius, and similar five-word shingles."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    marked = cut(keyed.select("doc_id", "node", _signed(keyed, "text").alias("s")).select("doc_id", "node", "s.fp", "s.bands"))
+    per_text = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    home = per_text.groupBy("fp").agg(F.min("node").alias("home"))
+    same = per_text.join(home, "fp").where("node <> home").select(F.col("node").alias("a"), F.col("home").alias("b"))
+    close = links(home.select("fp"), radius)
+    ends = close.join(home.select(F.col("fp").alias("a"), F.col("home").alias("x")), "a").join(home.select(F.col("fp").alias("b"), F.col("home").alias("y")), "b")
+    near = similar_links(keyed.select("node", "text"), per_text.select("node", "fp", "bands"), similarity)
+    roots = components(spark, same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(near))
+    grouped = per_text.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(grouped.join(ids, "root").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar: bool = True) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id; of rows repeating it, one.
 
+    With ``similar``, texts whose five-word shingles are similar belong together too.
+
     A narrow table of the surviving ids is joined back, so texts are not shuffled by component.
     """
-    near = near_duplicates(docs, id_col, text_col, radius)
+    near = similar_groups(docs, id_col, text_col, radius) if similar else near_duplicates(docs, id_col, text_col, radius)
     first = near.where("doc_id <=> component_id").select("doc_id").distinct()
     kept = free_name(docs, "nd_id")
     rows = first.count()

@@ -273,6 +273,31 @@ def test_within_planes():
         assert set(simhash.within(planes, q, len(fps))) == {i for i, f in enumerate(fps) if bin(int(f) ^ q).count("1") <= 3}
 
 
+def test_similar_groups(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([30, 200, 600]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, len(base) // 40, len(base) // 8])):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += texts[:3]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            similarity = len(a & b) / len(a | b)
+            if similarity >= 0.8:
+                assert got[i] == got[j]
+            if similarity < 0.2:
+                assert got[i] != got[j]
+
+
 def test_simhash_odd(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd_docs(spark)).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 4), (7, 7), (8, 7)} <= got
@@ -442,7 +467,8 @@ def test_pipeline(spark):
     bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").join(docs.select("doc_id").exceptAll(kept.select("doc_id")), "doc_id").count()
     assert bad <= 2 and kept.columns == docs.columns
     near = p.near_dedup_stage(spark, kept, SF)
-    groups = simhash.near_duplicates(kept).select("component_id").distinct().count()
+    groups = simhash.similar_groups(kept).select("component_id").distinct().count()
+    assert groups <= simhash.near_duplicates(kept).select("component_id").distinct().count()
     assert near.count() == groups and near.columns == docs.columns
     clean = p.suffix_stage(spark, near, SF)
     assert clean.count() == groups and clean.where("n_chars <> char_length(text)").count() == 0
