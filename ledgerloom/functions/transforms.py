@@ -60,12 +60,12 @@ DEVANAGARI = ("०१२३४५६७८९", "0123456789")
 
 
 def _group(c: Column, pattern: str, i: int) -> Column:
-    got = F.regexp_extract(c, pattern, i)
-    return F.when(c.rlike(pattern), got)
+    """A group of the pattern; NULL where nothing matches."""
+    return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
 def _two(c: Column) -> Column:
-    return F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.lpad(c.try_cast("int").cast("string"), 2, "0")
 
 
 def year4(y: Column) -> Column:
@@ -93,7 +93,8 @@ def _date(c: Column, pattern: str, day: int, month: int, year: int, names=None,
     c = clean(c) if clean else c
     y, d = year4(_group(c, pattern, year)), _group(c, pattern, day)
     out = F.concat_ws("-", y, _two(_month(_group(c, pattern, month), names)), _two(d))
-    return F.when(c.rlike(pattern) & F.try_to_timestamp(out, F.lit("yyyy-MM-dd")).isNotNull(), out)
+    whole = F.length(out) >= 10  # a part that is missing leaves a shorter text
+    return F.when(whole & F.try_to_timestamp(out, F.lit("yyyy-MM-dd")).isNotNull(), out)
 
 
 def _month_day(c: Column, pattern: str, day: int, month: int, names=None) -> Column:
@@ -104,8 +105,8 @@ def _month_day(c: Column, pattern: str, day: int, month: int, names=None) -> Col
 
 def _year_month(c: Column, pattern: str, month: int, year: int, names=None, clean=None) -> Column:
     c = clean(c) if clean else c
-    m = _month(_group(c, pattern, month), names)
-    return F.when(m.between(1, 12), F.concat_ws("-", year4(_group(c, pattern, year)), _two(m)))
+    m, y = _month(_group(c, pattern, month), names), _group(c, pattern, year)
+    return F.when(m.between(1, 12) & y.isNotNull(), F.concat_ws("-", year4(y), _two(m)))
 
 
 def _whole(body: str, flags: str = "") -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import equality, registry
+from ..functions import equality, registry, transforms
 from ..functions.rounding import presented
 from ..operators import calc, contexts, filters, networks, report, rules, sets, validation
 from ..operators.facts import Facts, concept_labels
@@ -321,3 +321,59 @@ def presentation_join(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("concept").agg(F.count(F.lit(1)).alias("facts"), F.round(F.max(F.col("num").cast("double")), 2).alias("most"))
 
 
+
+
+# --- the function registry --------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT o_orderkey AS order_key, CAST(o_custkey AS VARCHAR) AS identifier, 'urn:entity' AS scheme, true AS is_instant, false AS is_duration, true AS is_numeric, false AS is_fraction, 'INF' AS decimals, 'INF' AS precision,
+           o_orderdate + INTERVAL 1 DAY AS instant, CAST(o_orderkey AS VARCHAR) AS member, true AS has_dimension, false AS has_typed, 'order' AS dimensions, 'iso4217:USD' AS measure FROM orders""")
+def fact_functions(spark: SparkSession, d: str) -> DataFrame:
+    f = order_facts(spark, d).withColumn("base_types", F.array().cast("array<string>"))
+    call = registry.call
+    return f.select(
+        F.col("dims")["order"].cast("long").alias("order_key"), call("xfi:fact-identifier-value").alias("identifier"), call("xfi:identifier-scheme").alias("scheme"), call("xfi:is-instant-period").alias("is_instant"), call("xfi:is-duration-period").alias("is_duration"),
+        call("xfi:is-numeric").alias("is_numeric"), call("xfi:is-fraction").alias("is_fraction"), call("xfi:decimals").alias("decimals"), call("xfi:precision").alias("precision"), call("xfi:period-instant").alias("instant"), call("xfi:fact-explicit-dimension-value", "order").alias("member"),
+        call("xfi:fact-has-explicit-dimension", "order").alias("has_dimension"), call("xfi:fact-has-typed-dimension", "order").alias("has_typed"), F.array_join(call("xfi:fact-dimensions"), ",").alias("dimensions"), call("xfi:measure-name", call("xfi:unit-numerator")).alias("measure"),
+    )
+
+
+@query("""
+    SELECT l_orderkey AS order_key, l_partkey AS part_key, l_suppkey AS supplier, false AS same_unit, true AS same_period, true AS same_entity, l_quantity = l_extendedprice AS same_value, false AS identical FROM lineitem""")
+def pair_functions(spark: SparkSession, d: str) -> DataFrame:
+    v = lambda n, c: rules.FactVariable(n, [filters.concept_name(c), filters.aspect_cover("unit")])
+    e = rules.evaluate(rules.VariableSet([v("a", "quantity"), v("b", "extendedprice")]), line_facts(spark, d))
+    call = registry.call
+    return e.select(
+        e["a__dims"]["order"].cast("long").alias("order_key"), e["a__dims"]["part"].cast("long").alias("part_key"), F.col("a__entity").cast("long").alias("supplier"), call("xfi:u-equal", "a", "b").alias("same_unit"), call("ext:aspectMatch", "a", "b", "period").alias("same_period"),
+        call("ext:aspectMatch", "a", "b", "entity-identifier").alias("same_entity"), call("xfi:x-equal", F.col("a").cast("string"), F.col("b").cast("string")).alias("same_value"), call("xfi:identical-nodes", "a", "b").alias("identical"),
+    )
+
+
+@query("""
+    SELECT o_orderstatus AS status, CAST(count(DISTINCT o_custkey) AS INT) AS identifiers, count(DISTINCT o_custkey) = 1 AS single, CAST(count(DISTINCT o_orderdate) AS INT) AS dates, min(o_orderdate) + INTERVAL 1 DAY AS first_date FROM orders GROUP BY 1""")
+def instance_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates over instances; document order is the order of dates here."""
+    o = table(spark, d, "orders")
+    f = as_facts(o, F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderdate"), {}, F.lit("pure"), F.col("o_orderkey")).withColumn("ordinal", F.unix_seconds(F.col("end").cast("timestamp")))
+    call = registry.call
+    return f.groupBy(F.col("concept").alias("status")).agg(F.size(call("xfi:unique-identifiers")).alias("identifiers"), call("xfi:single-unique-identifier").alias("single"), F.size(call("xfi:unique-instant-dates")).alias("dates"), call("xfi:any-instant-date").alias("first_date"))
+
+
+_LANGUAGES = [n for n in transforms.DAY_MONTHNAME_YEAR if n not in ("hi", "dk")]
+
+
+@query("SELECT o_orderkey AS order_key, " + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') AS {n}_" for n in _LANGUAGES) + " FROM orders")
+def transform_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Dates written with the month names of every language, and read back."""
+    o = table(spark, d, "orders")
+    out = [F.col("o_orderkey").alias("order_key")]
+    for n in _LANGUAGES:
+        names = transforms.MONTHS[n].split()
+        order = transforms.MONTH_ORDER.get(n, range(1, 13))
+        by_month = [g.split("|")[0] for _, g in sorted(zip(order, names))]
+        month = F.element_at(F.array(*map(F.lit, by_month)), F.month("o_orderdate"))
+        text = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(". "), month, F.lit(" "), F.year("o_orderdate").cast("string"))
+        out.append(transforms.transform(text, f"date-day-monthname-year-{n}").alias(f"{n}_"))
+    return o.select(*out)
