@@ -25,9 +25,9 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType
 
-from .common import small_batches, text_or_empty
+from .common import series_udf, small_batches, text_or_empty, tidy
 
 WORDS = 100_000
 END = "\x00"
@@ -234,6 +234,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
         finally:  # workers outlive tasks: words seen would stay in their memory
             t.seen.forget()
             t.compatible.clear()
+            tidy()
 
     return run(text_or_empty(text_col))
 
@@ -241,12 +242,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> Column:
 def decode(ids: Column, path: str) -> Column:
     """The decoded text of a column of ids."""
 
-    @F.pandas_udf(StringType())
     def run(col: pd.Series) -> pd.Series:
         t = load(path)
-        return pd.Series([t.decode(bytes(x)).decode("utf-8") for x in col])
+        return pd.Series([t.decode(bytes(x)).decode("utf-8") for x in col], dtype=object)
 
-    return run(ids)
+    return series_udf(run, "string")(ids)
 
 
 def ids_array(ids: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory back to the system: Python workers are kept for later tasks, and idle ones would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidying(f):
+    """A function over a task's batches that tidies up when the task is done."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
+def series_udf(f, returns: str):
+    """A pandas UDF of one column, by batches, that tidies up when the task is done."""
+
+    def run(batches):
+        for b in batches:
+            yield f(b)
+
+    return F.pandas_udf(tidying(run), returns, F.PandasUDFType.SCALAR_ITER)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

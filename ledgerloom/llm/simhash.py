@@ -22,9 +22,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .common import cut, free_name, small_batches
+from .common import cut, free_name, series_udf, small_batches, tidying
 
 RADIUS = 3
 SEED = 42
@@ -67,11 +66,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> Column:
     """The fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf(LongType())
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))
 
-    return run(F.col(text_col).cast("string"))
+    return series_udf(run, "long")(F.col(text_col).cast("string"))
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------
@@ -242,7 +240,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, block
     n_hot = hot.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_by = lambda df: df.select("level", "key", "fp").repartition(parts, "level", "key").sortWithinPartitions("level", "key", "fp")
-    edges = lambda df: sorted_by(df).mapInPandas(_edges_of_batches(radius), "a long, b long")
+    edges = lambda df: sorted_by(df).mapInPandas(tidying(_edges_of_batches(radius)), "a long, b long")
     if not n_hot:
         return edges(first)
     # Members of a hot bucket agree on its band; the bits left differ in at most ``radius`` places, so they are cut
@@ -349,12 +347,11 @@ def band_keys(h: np.ndarray) -> list[int]:
 def _signed(docs: DataFrame, text_col: str) -> Column:
     """fp and band keys of a text, as a struct."""
 
-    @F.pandas_udf("fp long, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         fps = np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64)
         return pd.DataFrame({"fp": fps, "bands": [band_keys(shingle_hashes(t)) for t in texts]})
 
-    return run(F.col(text_col).cast("string"))
+    return series_udf(run, "fp long, bands array<long>")(F.col(text_col).cast("string"))
 
 
 def _candidates(radius: int):
@@ -389,15 +386,14 @@ def similar_links(texts: DataFrame, signed: DataFrame, similarity: float = SIMIL
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.select("node", "fp", F.explode("bands").alias("key")).repartition(parts, "key").sortWithinPartitions("key", "fp", "node")
-    pairs = cut(dealt.mapInPandas(_candidates(radius), "a long, b long").distinct())
+    pairs = cut(dealt.mapInPandas(tidying(_candidates(radius)), "a long, b long").distinct())
     wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     few = wanted.count() <= 2_000_000
 
-    @F.pandas_udf("binary")
     def hashes(col: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t).tobytes() for t in col])
+        return pd.Series([shingle_hashes(t).tobytes() for t in col], dtype=object)
 
-    sets = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", hashes("text").alias("h"))
+    sets = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", series_udf(hashes, "binary")("text").alias("h"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
 
     @F.pandas_udf("double")

@@ -30,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, stored
+from .common import cut, series_udf, small_batches, stored, tidying
 
 LENGTH = 400
 ANCHOR = 101
@@ -102,6 +102,37 @@ def _sample(length: int, width: int):
     return run
 
 
+def _settled(pairs: np.ndarray, length: int, width: int):
+    """Spans of the sample places whose (anchor, ctx) is among at most ``FEW`` pairs; those of a text that overlap are
+    merged at once, so a passage gives one row a text and not one a place."""
+    mix = lambda p: p[:, 0] * np.int64(-7046029254386353131) + p[:, 1]
+    order = np.argsort(mix(pairs), kind="stable")
+    pairs = pairs[order]
+    keys = mix(pairs)
+
+    def run(batches):
+        for b in batches:
+            own = b[["anchor", "ctx"]].to_numpy(np.int64)
+            want = mix(own)
+            low, high = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
+            hit = np.zeros(len(own), bool)
+            for step in range(int((high - low).max(initial=0))):  # more than one only where mixed keys collide
+                at = low + step
+                ok = at < high
+                hit[ok] |= (pairs[at[ok]] == own[ok]).all(axis=1)
+            rows = b[hit]
+            if not len(rows):
+                continue
+            key, place = rows[KEY].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
+            start, stop = np.maximum(0, place - (length - width)), np.minimum(key[:, 2], place + length)
+            new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (start[1:] > stop[:-1]) | (start[1:] < start[:-1])])
+            first = np.nonzero(new)[0]
+            last = np.concatenate([first[1:] - 1, [len(rows) - 1]])
+            yield pd.DataFrame({**{k: key[first, i] for i, k in enumerate(KEY)}, "start": start[first], "stop": stop[last]})
+
+    return run
+
+
 def _contexts(length: int, width: int):
     def run(batches):
         for b in (whole.iloc[i : i + 100].reset_index(drop=True) for whole in batches for i in range(0, len(whole), 100)):
@@ -247,29 +278,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, t
     marked = long.select(*KEY, text.alias("text"), F.col(id_col).alias("own_id")).join(_few(copies), KEY, "left")
     once = marked.where(F.col("n").isNull() | F.col("own_id").eqNullSafe(F.col("first_id"))).select("text", *KEY)
     kinds = ", ".join(f"{k} long" for k in KEY)
-    sample = stored(once.mapInPandas(_sample(length, width), f"anchor long, ctx long, {kinds}, place long"), "sample")
+    sample = stored(once.mapInPandas(tidying(_sample(length, width)), f"anchor long, ctx long, {kinds}, place long"), "sample")
     around = sample.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("first"))
     own = Window.partitionBy("anchor")
     around = around.withColumns({"total": F.sum("n").over(own), "kinds": F.count(F.lit(1)).over(own), "singles": F.sum((F.col("n") == 1).cast("long")).over(own)})
     around = cut(around.where("total > 1"))
     # Places with equal surroundings: all their windows are repeated.
-    equal = sample.join(_few(around.where("n > 1").select("anchor", "ctx")), ["anchor", "ctx"])
-    equal = equal.select(*KEY, F.greatest(F.lit(0), F.col("place") - (length - width)).alias("start"), F.least(F.col("sd_len"), F.col("place") + length).alias("stop"))
+    settled = around.where("n > 1").select("anchor", "ctx")
+    if settled.count() <= FEW:
+        equal = sample.mapInPandas(tidying(_settled(settled.toPandas().to_numpy(np.int64), length, width)), f"{kinds}, start long, stop long")
+    else:
+        equal = sample.join(settled, ["anchor", "ctx"])
+        equal = equal.select(*KEY, F.greatest(F.lit(0), F.col("place") - (length - width)).alias("start"), F.least(F.col("sd_len"), F.col("place") + length).alias("stop"))
     # Others share the sample's first bytes with different surroundings: sort their suffixes.
     wanted = around.where("kinds > 1 and singles > 0").select("first.*", F.struct("anchor", F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > block).alias("block")).alias("w"))
     wanted = cut(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")))
     texts = once.join(_few(wanted, FEW // 4), KEY)
     shape = f"anchor long, single boolean, block boolean, before int, around binary, {kinds}, place long"
-    contexts = texts.mapInPandas(_contexts(length, width), shape)
+    contexts = texts.mapInPandas(tidying(_contexts(length, width)), shape)
     large = around.where((F.col("kinds") > block) & (F.col("singles") > 0)).limit(1).count() > 0
     contexts = contexts.persist(StorageLevel.DISK_ONLY) if large else contexts
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = contexts.where("not block") if large else contexts
     sorted_rows = small.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    resolved = sorted_rows.mapInPandas(_resolve(length, width), f"{kinds}, start long, stop long")
+    resolved = sorted_rows.mapInPandas(tidying(_resolve(length, width)), f"{kinds}, start long, stop long")
     spans = whole.unionByName(equal).unionByName(resolved)
     if large:
-        windows = contexts.where("block").mapInPandas(_windows(length, width), f"h1 long, h2 long, single boolean, start long, {kinds}")
+        windows = contexts.where("block").mapInPandas(tidying(_windows(length, width)), f"h1 long, h2 long, single boolean, start long, {kinds}")
         where = F.struct(*KEY, "start")  # one window can be met from several places of the sample
         twice = windows.groupBy("h1", "h2").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
         spans = spans.unionByName(windows.where("single").join(twice, ["h1", "h2"]).select(*KEY, "start", (F.col("start") + length).alias("stop")))
@@ -292,11 +327,10 @@ def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id
     by_text = cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("sd_raw")))
     joined = keyed.join(_few(by_text, FEW // 4), KEY, "left")
 
-    @F.pandas_udf("array<struct<start: long, stop: long>>")
     def merge(col: pd.Series) -> pd.Series:
         return pd.Series([[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in raw])] if raw is not None else [] for raw in col])
 
-    spans_col = F.when(F.col("sd_raw").isNull(), F.array().cast("array<struct<start: long, stop: long>>")).otherwise(merge("sd_raw"))
+    spans_col = F.when(F.col("sd_raw").isNull(), F.array().cast("array<struct<start: long, stop: long>>")).otherwise(series_udf(merge, "array<struct<start: long, stop: long>>")("sd_raw"))
     return joined.withColumns({"sd_spans": spans_col, "sd_bytes": F.col("sd_len")}).drop("sd_raw", *KEY)
 
 
