@@ -14,6 +14,10 @@ from ledgerloom.llm.common import scratch_path, table
 from ledgerloom.llm.queries import vocabulary_path
 
 
+#: Repeated passages of over 50 words go, whatever their bytes; so do those of op9's 400 bytes.
+PASSAGE = 51
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the importance sample go."""
     model = quality.ImportanceResampler.fit(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; n_chars follows."""
-    out = suffixdedup.without_repeats(docs)
+    out = suffixdedup.without_repeats(docs, words=PASSAGE)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

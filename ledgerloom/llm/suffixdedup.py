@@ -17,6 +17,9 @@ than ``BLOCK`` different surroundings is not brought together: its windows are h
 
 Defined cases: null and empty texts and texts under ``length`` bytes lose nothing; of equal texts of at least that
 length each loses all; null ids and repeated rows are documents like others; an empty table gives an empty result.
+
+Passages of so many words, whatever their bytes, are found by the same sorting over texts in which each word stands as
+``UNIT`` bytes of its hash. Words are what ASCII white space parts.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, series_udf, small_batches, stored, tidying
+from .common import cut, free_name, series_udf, small_batches, stored, tidying
 
 LENGTH = 400
 ANCHOR = 101
 BLOCK = 8000
 FEW = 400_000
+#: Bytes that stand for a word where passages are measured in words.
+UNIT = 8
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Columns that identify a text: a hash, a checksum and its length.
 KEY = ["sd_unit", "sd_crc", "sd_len"]
 
@@ -78,6 +84,25 @@ def anchors(raw: bytes, length: int = LENGTH, width: int = ANCHOR) -> np.ndarray
     return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each word, in bytes."""
+    edge = np.diff(np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8)], [True]]).astype(np.int8))
+    return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+
+
+def coded_words(raw: bytes) -> str:
+    """``UNIT`` characters a word: 56 bits of its hash, seven to a character, so each is one byte."""
+    start, stop = word_bounds(raw)
+    up, down = _powers(len(raw))
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_TABLE[np.frombuffer(raw, np.uint8)] * up, out=run[1:])
+    h = (run[stop] - run[start]) * down[start]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return (h.astype(">u8").view(np.uint8) & np.uint8(0x7F)).tobytes().decode("ascii")
+
+
 def surroundings(n: int, place: int, length: int, width: int) -> tuple[int, int]:
     """The stretch of text that holds every window a sample place can stand for."""
     return max(0, place - (length - width)), min(n, place + length)
@@ -102,9 +127,9 @@ def _sample(length: int, width: int):
     return run
 
 
-def _settled(pairs: np.ndarray, length: int, width: int):
+def _settled(pairs: np.ndarray, length: int, width: int, unit: int = 1):
     """Spans of the sample places whose (anchor, ctx) is among at most ``FEW`` pairs; those of a text that overlap are
-    merged at once, so a passage gives one row a text and not one a place."""
+    merged at once, so a passage gives one row a text and not one a place. Spans start and stop at multiples of ``unit``."""
     mix = lambda p: p[:, 0] * np.int64(-7046029254386353131) + p[:, 1]
     order = np.argsort(mix(pairs), kind="stable")
     pairs = pairs[order]
@@ -125,6 +150,7 @@ def _settled(pairs: np.ndarray, length: int, width: int):
                 continue
             key, place = rows[KEY].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
             start, stop = np.maximum(0, place - (length - width)), np.minimum(key[:, 2], place + length)
+            start, stop = -(-start // unit) * unit, stop // unit * unit
             new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (start[1:] > stop[:-1]) | (start[1:] < start[:-1])])
             first = np.nonzero(new)[0]
             last = np.concatenate([first[1:] - 1, [len(rows) - 1]])
@@ -267,8 +293,10 @@ def _few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the key of its text (``KEY``), and the repeated spans (``KEY``, start, stop), which may overlap. Spans of equal texts stand there once."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, unit: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the key of its text (``KEY``), and the repeated spans (``KEY``, start, stop), which may overlap. Spans of equal texts stand there once.
+
+    With ``unit``, only windows that start at its multiples count; ``length`` is one too."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text).cast("long")])))
@@ -286,7 +314,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, t
     # Places with equal surroundings: all their windows are repeated.
     settled = around.where("n > 1").select("anchor", "ctx")
     if settled.count() <= FEW:
-        equal = sample.mapInPandas(tidying(_settled(settled.toPandas().to_numpy(np.int64), length, width)), f"{kinds}, start long, stop long")
+        equal = sample.mapInPandas(tidying(_settled(settled.toPandas().to_numpy(np.int64), length, width, unit)), f"{kinds}, start long, stop long")
     else:
         equal = sample.join(settled, ["anchor", "ctx"])
         equal = equal.select(*KEY, F.greatest(F.lit(0), F.col("place") - (length - width)).alias("start"), F.least(F.col("sd_len"), F.col("place") + length).alias("stop"))
@@ -308,6 +336,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, t
         where = F.struct(*KEY, "start")  # one window can be met from several places of the sample
         twice = windows.groupBy("h1", "h2").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
         spans = spans.unionByName(windows.where("single").join(twice, ["h1", "h2"]).select(*KEY, "start", (F.col("start") + length).alias("stop")))
+    if unit > 1:
+        whole_units = [(F.ceil(F.col("start") / unit) * unit).cast("long").alias("start"), (F.floor(F.col("stop") / unit) * unit).cast("long").alias("stop")]
+        spans = spans.select(*KEY, *whole_units).where(F.col("stop") - F.col("start") >= length)
     return keyed, spans
 
 
@@ -352,13 +383,41 @@ def kept_sha256(text_col: str = "text") -> Column:
     return run(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("sd_spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the repeated bytes taken out of the text; characters cut in part are dropped."""
-    found = with_spans(docs, length, text_col, id_col)
+def _with_word_spans(docs: DataFrame, words: int, text_col: str, id_col: str, name: str) -> DataFrame:
+    """``docs`` plus the spans, in words, of passages of at least so many words that stand anywhere else too."""
+    coded = free_name(docs, "sd_coded")
+
+    def code(texts: pd.Series) -> pd.Series:
+        return pd.Series([coded_words(t.encode("utf-8", "replace")) for t in texts], dtype=object)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed, spans = repeated_spans(docs.withColumn(coded, series_udf(code, "string")(text)), words * UNIT, text_col=coded, id_col=id_col, unit=UNIT)
+    by_text = cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") / UNIT).cast("long").alias("start"), (F.col("stop") / UNIT).cast("long").alias("stop"))).alias(name)))
+    return keyed.drop(coded).join(_few(by_text, FEW // 4), KEY, "left").drop(*KEY)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the text; characters cut in part are dropped.
+
+    With ``words``, repeated passages of at least so many words go too, whatever their bytes and the white space
+    between their words.
+    """
+    small_batches(docs.sparkSession)
+    by_words = free_name(docs, "sd_by_words")
+    found = with_spans(docs, length, text_col, id_col) if words is None else with_spans(_with_word_spans(docs, words, text_col, id_col, by_words), length, text_col, id_col)
+
+    def clean_text(text: str, spans, wide) -> str:
+        raw = text.encode("utf-8", "replace")
+        out = [(s["start"], s["stop"]) for s in spans]
+        if wide is not None and len(wide):
+            start, stop = word_bounds(raw)
+            out += [(int(start[w["start"]]), int(stop[w["stop"] - 1])) for w in wide]
+        return kept_bytes(text, [{"start": a, "stop": b} for a, b in merged(out)]).decode("utf-8", "ignore") if out else text
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if not len(s) else kept_bytes(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans)])
+    def run(texts: pd.Series, spans: pd.Series, wide: pd.Series) -> pd.Series:
+        return pd.Series([clean_text(t, s, w) for t, s, w in zip(texts, spans, wide)], dtype=object)
 
-    clean = F.when(F.col(text_col).isNull() | (F.size("sd_spans") == 0), F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans")))
+    wide = F.lit(None).cast("array<struct<start: long, stop: long>>") if words is None else F.col(by_words)
+    clean = F.when(F.col(text_col).isNull() | ((F.size("sd_spans") == 0) & wide.isNull()), F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans"), wide))
     return found.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import bpe, media, mixing, quality, queries, resharding, simhash, suffixdedup, topk, toxicity, warc
 
 SF = os.environ.get("LLM_TEST_DATA", "/root/testdata/sf0.001")
@@ -407,6 +408,35 @@ def test_repeats_odd(spark):
     assert suffixdedup.with_spans(no_docs(spark)).count() == 0
 
 
+def brute_word_repeats(texts, words):
+    split = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if seen[tuple(w[i : i + words])] > 1:
+                gone[i : i + words] = [True] * words
+        out.append([x for x, g in zip(w, gone) if not g])
+    return out
+
+
+@pytest.mark.parametrize("block", [suffixdedup.BLOCK, 2])
+def test_passages_of_51_words(spark, monkeypatch, block):
+    monkeypatch.setattr(suffixdedup.repeated_spans, "__defaults__", tuple(block if d == suffixdedup.BLOCK else d for d in suffixdedup.repeated_spans.__defaults__))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 3)))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 51, 52, 60)]
+    texts = []
+    for i in range(60):
+        own = lambda: [word() for _ in range(rng.randint(0, 90))]
+        texts.append(rng.choice([" ", "  ", "\n"]).join(own() + shared[i % 5] + own() + (shared[2] + shared[3] if i % 7 == 0 else [])))
+    assert len(" ".join(shared[2] + shared[3])) < suffixdedup.LENGTH
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.suffix_stage(spark, df, SF).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_word_repeats(texts, 51)
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
