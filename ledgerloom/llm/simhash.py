@@ -34,11 +34,14 @@ BUCKET = 4096
 #: At the last level buckets are cut into blocks of this size, and all pairs of blocks are compared.
 BLOCK = 16384
 #: Similar texts: words to a shingle, least similarity, blocks a text is dealt to and hashes to a block's key, and the
-#: radius within which fingerprints of a block are candidates.
+#: radius within which fingerprints of a block are candidates of the first pass.
 WIDE, SIMILARITY, BANDS, ROWS, LOOSE = 5, 0.8, 14, 3, 16
 _RNG = np.random.default_rng(6)
 _XOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_FURTHER = tuple(np.random.default_rng(7).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.array([[0], [1]], np.uint64))
+#: Bits of an odd sketch, and members of a block of similar texts that one task holds.
+SKETCH, HELD = 1024, 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -336,27 +339,42 @@ def shingle_hashes(text: str | None, width: int = WIDE) -> np.ndarray:
     return np.unique(np.fromiter([digest(line[i:j]) for i, j in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64, n - width + 1))
 
 
-def band_keys(h: np.ndarray) -> list[int]:
+def band_keys(h: np.ndarray, xor: np.ndarray = _XOR, multiply: np.ndarray = _MULTIPLY) -> list[int]:
     """Keys of the blocks a text is dealt to: smallest hashes under fixed permutations, ``ROWS`` to a key."""
     if not len(h):
         return []
-    least = np.array([((h ^ x) * m).min() for x, m in zip(_XOR, _MULTIPLY)], np.uint64).reshape(BANDS, ROWS)
+    least = np.array([((h ^ x) * m).min() for x, m in zip(xor, multiply)], np.uint64).reshape(BANDS, ROWS)
     return [int(np.int64(xxhash.xxh3_64_intdigest(k.tobytes(), i) - (1 << 63))) for i, k in enumerate(least)]
 
 
+def odd_sketch(h: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of the hashes end in i: two sketches differ in no more bits than the sets in members."""
+    return np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).view(np.uint64)
+
+
+def may_be_similar(sketch: np.ndarray, n: np.ndarray, i: int, similarity: float) -> np.ndarray:
+    """Which sets can reach the similarity to set ``i``: at it, sets differ in (1 - s) / (1 + s) of both sizes at most."""
+    most = (n + n[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fit = np.abs(n - n[i]) <= most
+    fit[fit] = np.bitwise_count(sketch[fit] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most[fit]
+    return fit
+
+
 def _signed(docs: DataFrame, text_col: str) -> Column:
-    """fp and band keys of a text, as a struct."""
+    """fp, band keys, size and odd sketch of a text, as a struct."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
         fps = np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64)
-        return pd.DataFrame({"fp": fps, "bands": [band_keys(shingle_hashes(t)) for t in texts]})
+        sets = [shingle_hashes(t) for t in texts]
+        return pd.DataFrame({"fp": fps, "bands": [band_keys(h) for h in sets], "n": [len(h) for h in sets], "sketch": [odd_sketch(h).tobytes() for h in sets]})
 
-    return series_udf(run, "fp long, bands array<long>")(F.col(text_col).cast("string"))
+    return series_udf(run, "fp long, bands array<long>, n long, sketch binary")(F.col(text_col).cast("string"))
 
 
 def _candidates(radius: int):
     """Over rows sorted by block: each member with the block's first and with its neighbour, if their fingerprints are
-    within the radius. At most two links a member and block; only one row is carried from batch to batch."""
+    within the radius. At most two links a member and block; only one row is carried from batch to batch. A cheap first
+    pass: pairs it leaves out are compared by ``block_links``."""
 
     def run(batches):
         first = last = None  # (key, fp, node)
@@ -379,7 +397,7 @@ def _candidates(radius: int):
 
 
 def similar_links(texts: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, radius: int = LOOSE) -> DataFrame:
-    """(a, b) of texts whose five-word shingles have at least the similarity, found in common blocks.
+    """(a, b) of texts whose five-word shingles have at least the similarity, as far as the first pass over their blocks finds them.
 
     ``texts``: node, text (equal rows may repeat); ``signed``: node, fp, bands. Candidates by fingerprints are checked on
     the whole shingle sets of the texts concerned.
@@ -408,23 +426,161 @@ def similar_links(texts: DataFrame, signed: DataFrame, similarity: float = SIMIL
     return both.withColumn("s", jaccard("ha", "hb")).where(F.col("s") >= similarity).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id by equal texts, fingerprints within the radius, and similar five-word shingles."""
+def _whole_groups(work, columns: list[str], by: list[str]):
+    """Over rows sorted by group: ``work`` on each complete group, the last one waits for the next batch."""
+
+    def groups(rows: pd.DataFrame):
+        key = rows[by].to_numpy(np.int64)
+        edge = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, [len(rows)]])
+        parts = [work(rows.iloc[a:b]) for a, b in zip(edge[:-1], edge[1:]) if b - a > 1]
+        parts = [x for x in parts if len(x)]
+        if parts:
+            yield pd.concat(parts, ignore_index=True)[columns]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = b[by].iloc[-1]
+            same = (b[by] == last).all(axis=1).to_numpy()
+            if held and (held[0][by].iloc[0] == last).all() and same.all():
+                held.append(b)
+                continue
+            first = len(b) - int(np.argmin(same[::-1])) if not same.all() else 0
+            yield from groups(pd.concat([*held, b.iloc[:first]], ignore_index=True)) if held or first else ()
+            held = [b.iloc[first:]]
+        if held:
+            yield from groups(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _open_members(similarity: float):
+    """The members of a group that can be similar to one of another root."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        root, n = g["root"].to_numpy(np.int64), g["n"].to_numpy(np.int64)
+        sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        kinds, counts = np.unique(root, return_counts=True)
+        found = np.zeros(len(g), bool)
+        for i in np.nonzero(root != kinds[counts.argmax()])[0]:
+            fit = may_be_similar(sketch, n, i, similarity) & (root != root[i])
+            if fit.any():
+                found |= fit
+                found[i] = True
+        return g[found]
+
+    return work
+
+
+def _checked_links(similarity: float):
+    """A forest of the roots of a group whose members' whole sets are similar."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        root, sets, links = g["root"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in g["h"]], []
+        n, sketch, label = np.array([len(h) for h in sets]), np.array([odd_sketch(h) for h in sets]), np.unique(root, return_inverse=True)[1]
+        for i in range(1, len(g)):
+            left = np.nonzero(may_be_similar(sketch, n, i, similarity)[:i])[0]
+            left = left[label[left] != label[i]]
+            while len(left):
+                j = left[0]
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common / max(n[i] + n[j] - common, 1) >= similarity:
+                    links.append((root[i], root[j]))
+                    label[label == label[j]] = label[i]
+                left = left[1:]
+                left = left[label[left] != label[i]]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return work
+
+
+def _mixed(dealt: DataFrame) -> DataFrame:
+    """Blocks of more than one root: key, members, the root with most of them, and members of other roots."""
+    per_root = dealt.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    per_key = per_root.groupBy("key").agg(F.sum("c").alias("total"), F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return cut(per_key.select("key", "total", F.col("most.root").alias("major"), (F.col("total") - F.col("most.c")).alias("minor")))
+
+
+def block_links(texts: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, held: int = HELD) -> DataFrame:
+    """(a, b) of roots that connect all similar texts of common blocks.
+
+    ``signed``: node, root, bands, n, sketch. All members of a block are compared, unless they have one root already:
+    by what sizes and odd sketches can prove, then by their whole sets. Blocks with more than ``held`` members outside
+    their largest root are dealt on by further smallest hashes; what is still too large for a task is cut into parts,
+    and each part outside the largest root meets every other one.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = lambda df, n: F.broadcast(df) if n <= 500_000 else df
+    dealt = signed.select("node", "root", "n", "sketch", F.explode("bands").alias("key"))
+    mixed = _mixed(dealt.select("key", "root"))
+    rows = dealt.join(few(mixed, mixed.count()), "key")
+    if mixed.where(F.col("minor") > held).limit(1).count():
+        hot = rows.where(F.col("minor") > held)
+        ids = cut(hot.select("node").distinct())
+
+        def further(col: pd.Series) -> pd.Series:
+            return pd.Series([band_keys(shingle_hashes(t), *_FURTHER) for t in col])
+
+        more = texts.join(few(ids, ids.count()), "node", "left_semi").dropDuplicates(["node"]).select("node", series_udf(further, "array<long>")("text").alias("more"))
+        hot = hot.select("key", "node", "root", "n", "sketch").join(more, "node").withColumn("more", F.explode("more")).withColumn("key", F.xxhash64("key", "more")).drop("more")
+        again = _mixed(hot.select("key", "root"))
+        rows = rows.where(F.col("minor") <= held).unionByName(hot.join(few(again, again.count()), "key"))
+    number = lambda n: F.greatest(F.ceil(n * 2 / held), F.lit(1)).cast("int")
+    q, p = number(F.col("minor")), number(F.col("total") - F.col("minor"))
+    of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumns({"q": q, "p": p}).withColumn("own", F.when(F.col("root") == F.col("major"), F.col("q") + of(F.col("p"))).otherwise(of(F.col("q"))))
+    others = F.when(F.col("total") <= held, F.array(F.lit(-1))).when(F.col("own") < F.col("q"), F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
+    rows = rows.withColumn("other", F.explode(others)).where("other <> own")
+    rows = rows.withColumns({"i": F.when(F.col("other") < 0, -1).otherwise(F.least("own", "other")), "j": F.when(F.col("other") < 0, -1).otherwise(F.greatest("own", "other"))})
+    by = ["key", "i", "j"]
+    grouped = lambda df: df.repartition(parts, *by).sortWithinPartitions(*by)
+    some = grouped(rows.select(*by, "node", "root", "n", "sketch")).mapInPandas(tidying(_whole_groups(_open_members(similarity), [*by, "node", "root"], by)), "key long, i int, j int, node long, root long")
+    some = cut(some)
+    wanted = cut(some.select("node").distinct())
+
+    def hashes(col: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t).tobytes() for t in col], dtype=object)
+
+    sets = texts.join(few(wanted, wanted.count()), "node", "left_semi").dropDuplicates(["node"]).select("node", series_udf(hashes, "binary")("text").alias("h"))
+    return grouped(some.join(sets, "node").select(*by, "root", "h")).mapInPandas(tidying(_whole_groups(_checked_links(similarity), ["a", "b"], by)), "a long, b long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+
+
+def _similar_roots(docs: DataFrame, id_col: str, text_col: str, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node of every row, and node, least id, root of every text."""
     spark = docs.sparkSession
     small_batches(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    marked = cut(keyed.select("doc_id", "node", _signed(keyed, "text").alias("s")).select("doc_id", "node", "s.fp", "s.bands"))
-    per_text = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    keyed = _texts(docs, id_col, text_col)
+    marked = cut(keyed.select("doc_id", "node", _signed(keyed, "text").alias("s")).select("doc_id", "node", "s.*"))
+    per_text = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "bands", "n", "sketch")]))
     home = per_text.groupBy("fp").agg(F.min("node").alias("home"))
     same = per_text.join(home, "fp").where("node <> home").select(F.col("node").alias("a"), F.col("home").alias("b"))
     close = links(home.select("fp"), radius)
     ends = close.join(home.select(F.col("fp").alias("a"), F.col("home").alias("x")), "a").join(home.select(F.col("fp").alias("b"), F.col("home").alias("y")), "b")
-    near = similar_links(keyed.select("node", "text"), per_text.select("node", "fp", "bands"), similarity)
+    texts = keyed.select("node", "text")
+    near = similar_links(texts, per_text.select("node", "fp", "bands"), similarity)
     roots = components(spark, same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(near))
-    grouped = per_text.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = cut(per_text.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    more = cut(block_links(texts, grouped.select("node", "root", "n", "sketch", "bands"), similarity))
+    grouped = grouped.select("node", "least", "root")
+    if more.limit(1).count():
+        joined = components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        grouped = grouped.join(joined, "root", "left").select("node", "least", F.coalesce("_to", "root").alias("root"))
+    return marked.select("doc_id", "node"), grouped
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id by equal texts, fingerprints within the radius, and similar five-word shingles."""
+    marked, grouped = _similar_roots(docs, id_col, text_col, radius, similarity)
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(grouped.join(ids, "root").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+    return marked.join(grouped.join(ids, "root").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar: bool = True) -> DataFrame:

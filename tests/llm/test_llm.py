@@ -299,6 +299,45 @@ def test_similar_groups(spark):
                 assert got[i] != got[j]
 
 
+def similar_pairs(texts):
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+def test_similar_groups_refrain(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{int(2000 * rng.random() ** 2)}"
+    texts = []
+    for _ in range(60):
+        body, refrain = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(8))
+        texts += [f"{body} {' '.join([refrain] * n)}" for n in (2, 60)]
+    likeness = similar_pairs(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    pairs = [i for i in range(0, len(texts), 2) if likeness(i, i + 1) >= 0.8]
+    assert len(pairs) == 60 and all(got[i] == got[i + 1] for i in pairs) and len(set(got.values())) == 60
+
+
+@pytest.mark.parametrize("held", [simhash.HELD, 150])
+def test_block_links_shared_passage(spark, held):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    shared, texts, twins = " ".join(word() for _ in range(150)), [], 60
+    for i in range(1500):
+        tail = [word() for _ in range(70)]
+        texts.append(f"{shared} {' '.join(tail)}")
+        if i < twins:
+            texts.append(f"{shared} {' '.join(tail[:50] + [word() for _ in range(20)])}")
+    likeness = similar_pairs(texts)
+    keyed = simhash._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "doc_id", "text")
+    signed = keyed.select("doc_id", "node", F.col("node").alias("root"), simhash._signed(keyed, "text").alias("s")).select("doc_id", "node", "root", "s.*").cache()
+    node = {r["doc_id"]: r["node"] for r in signed.select("doc_id", "node").collect()}
+    rows = simhash.block_links(keyed.select("node", "text"), signed.drop("doc_id"), held=held).collect()
+    got = {frozenset((r["a"], r["b"])) for r in rows}
+    want = {frozenset((node[2 * i], node[2 * i + 1])) for i in range(twins) if likeness(2 * i, 2 * i + 1) >= 0.8}
+    assert len(want) == twins and got == want
+
+
 def test_simhash_odd(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd_docs(spark)).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 4), (7, 7), (8, 7)} <= got
