@@ -310,13 +310,16 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _roots_by_fp(per_fp: DataFrame, radius: int) -> DataFrame:
+    """``per_fp`` with the smallest fingerprint reachable over links."""
+    roots = components(per_fp.sparkSession, links(per_fp.select("fp"), radius))
+    return per_fp.join(roots, per_fp["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (smallest id reachable over links) of every row."""
-    spark = docs.sparkSession
     marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, text_col).alias("fp")))
-    per_fp = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(spark, links(per_fp.select("fp"), radius))
-    grouped = per_fp.join(roots, per_fp["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    grouped = _roots_by_fp(cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius)
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
@@ -583,18 +586,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(grouped.join(ids, "root").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
 
 
+def _near_roots(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """node, least id, root of every text, by fingerprints alone."""
+    small_batches(docs.sparkSession)
+    keyed = _texts(docs, id_col, text_col)
+    marked = keyed.select("doc_id", "node", fingerprints(keyed, "text").alias("fp"))
+    per_text = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    return per_text.join(_roots_by_fp(cut(per_text.select("fp").distinct()), radius), "fp")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar: bool = True) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id; of rows repeating it, one.
+    """``docs`` with one row of each component: that of the smallest id (null only if all are) and, of texts that share
+    it, of the smallest hash; of rows repeating both, one. Rows of other components stay, whatever ids they share.
 
     With ``similar``, texts whose five-word shingles are similar belong together too.
 
-    A narrow table of the surviving ids is joined back, so texts are not shuffled by component.
+    A narrow table of the surviving ids and text hashes is joined back, so texts are not shuffled by component.
     """
-    near = similar_groups(docs, id_col, text_col, radius) if similar else near_duplicates(docs, id_col, text_col, radius)
-    first = near.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = free_name(docs, "nd_id")
+    grouped = _similar_roots(docs, id_col, text_col, radius, SIMILARITY)[1] if similar else _near_roots(docs, id_col, text_col, radius)
+    first = cut(grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("s")).select("s.least", "s.node"))
+    kept, own = free_name(docs, "nd_id"), free_name(docs, "nd_text")
+    mate = free_name(docs, "nd_node")
     rows = first.count()
-    first = first.select(F.col("doc_id").alias(kept))
-    out = docs.join(F.broadcast(first) if rows <= 2_000_000 else first, docs[id_col].eqNullSafe(F.col(kept)), "inner").drop(kept)
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    first = first.select(F.col("least").alias(kept), F.col("node").alias(mate))
+    named = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    out = named.join(F.broadcast(first) if rows <= 2_000_000 else first, named[id_col].eqNullSafe(F.col(kept)) & (F.col(own) == F.col(mate)), "inner")
+    repeated = named.groupBy(id_col, own).count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates([id_col, own]) if repeated else out).select(*[f"`{c}`" for c in docs.columns])

@@ -338,6 +338,15 @@ def test_block_links_shared_passage(spark, held):
     assert len(want) == twins and got == want
 
 
+def test_keep_one_common_ids(spark):
+    texts = ["one two three", "four five six", "seven eight nine", "seven eight nine", "ten eleven twelve", "thirteen fourteen"]
+    df = spark.createDataFrame(list(zip([None, None, None, 3, 4, 4], texts)), "doc_id long, text string")
+    for similar in (True, False):
+        kept = sorted((r["text"], r["doc_id"]) for r in simhash.keep_one(df, similar=similar).collect())
+        assert [t for t, _ in kept] == sorted(set(texts)) and ("seven eight nine", 3) in kept
+        assert simhash.keep_one(df.unionByName(df), similar=similar).count() == 5
+
+
 def test_simhash_odd(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd_docs(spark)).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 4), (7, 7), (8, 7)} <= got
