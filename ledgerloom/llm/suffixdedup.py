@@ -1,19 +1,21 @@
-"""Removal of repeated passages by blockwise suffix sorting with a cover sample.
+"""Removal of repeated passages: blockwise suffix sorting with a difference cover.
 
-A byte goes if a string of ``length`` bytes that covers it starts anywhere else too. Sorting all suffixes would
-need each one's text or rank in every task, so suffixes are sorted block by block with the help of a sample:
+A byte goes if a string of ``length`` bytes that covers it starts anywhere else too. Suffixes are never sorted all at
+once:
 
-* Cover sample. Of all places in a window of ``length`` bytes the one whose next ``ANCHOR`` bytes have the smallest
-  hash is in the sample, so any two equal windows meet it at the same distance, which is what a difference cover
-  provides by residues. Content-defined places are about one in 150, residues would need one in 17.
-* Ranks. Sample suffixes with the same first bytes form a block; they are sorted by their text and named by their
-  common prefixes.
-* Buckets. The suffixes that start a given distance before the sample are sorted one distance at a time: by the
-  bytes up to the sample, ties by the rank of the sample suffix. Neighbours with ``length`` bytes in common are
-  repeats. Only narrow arrays of one bucket are held at once.
+* Cover sample. The places whose residue modulo v is in a perfect difference set are the sample (for 400 bytes 18
+  residues of 307). Whatever two equal windows there are, within v bytes both meet the sample at the same distance.
+* Blocks. Sample suffixes with the same first ``width`` bytes (``length`` - v + 1) form a block. Spark deals out their
+  names in packed arrays and drops all that stand alone; a task merges its own names first, so a name that many
+  documents share reaches its bucket once a task and not once a place. One bucket of names is looked at at a time.
+* Ranks. The sample suffixes of a block are ranked by their text and by the text before them, read backwards.
+* Suffix buckets. The suffixes that start a given distance before a block's sample places form a bucket. It is sorted
+  by the bytes up to the sample, ties by the rank of the sample suffix, one bucket at a time. Neighbours with
+  ``length`` bytes in common are repeats.
 
 Sample places whose whole surroundings (every window they can stand for) are equal need no sorting. A block of more
-than ``BLOCK`` different surroundings is not brought together: its windows are hashed and grouped by Spark.
+than ``BLOCK`` different surroundings isn't brought together in one task: its windows are dealt out by name like the
+sample.
 
 Defined cases: null and empty texts and texts under ``length`` bytes lose nothing; of equal texts of at least that
 length each loses all; null ids and repeated rows are documents like others; an empty table gives an empty result.
@@ -25,28 +27,32 @@ Passages of so many words, whatever their bytes, are found by the same sorting o
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, series_udf, small_batches, stored, tidying
 
 LENGTH = 400
-ANCHOR = 101
 BLOCK = 8000
 FEW = 400_000
 #: Bytes that stand for a word where passages are measured in words.
 UNIT = 8
+#: Entries that a task merges before it deals them out, and bytes of text that it hashes at a time.
+FLUSH, CHUNK = 1_000_000, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Columns that identify a text: a hash, a checksum and its length.
 KEY = ["sd_unit", "sd_crc", "sd_len"]
+KINDS = ", ".join(f"{k} long" for k in KEY)
+#: What an entry is for the bucket of its name: open, a witness that its task holds the name twice, or decided already.
+OPEN, WITNESS, DONE, ASKED = 0, 1, 2, 4
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,27 +67,63 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def anchors(raw: bytes, length: int = LENGTH, width: int = ANCHOR) -> np.ndarray:
-    """The sample places of a text, ascending."""
-    n = len(raw)
-    if n < length:
-        return np.zeros(0, np.int64)
-    up, down = _powers(n)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[np.frombuffer(raw, np.uint8)] * up, out=run[1:])
-    h = (run[width:] - run[:-width]) * down[: n - width + 1]
-    bits = max(n.bit_length(), 1)
-    places = np.arange(len(h), dtype=np.uint64)
-    h = (h >> np.uint64(bits)) << np.uint64(bits) | places
-    span = length - width + 1
-    pad = -len(h) % span
-    grid = np.concatenate([h, np.full(pad, ~np.uint64(0))]).reshape(-1, span)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - length + 1
-    least = np.minimum(behind[:starts], ahead[span - 1 : span - 1 + starts])
-    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
+def _sums(raw: bytes) -> np.ndarray:
+    """Running sums from which the hash of any stretch follows."""
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_TABLE[np.frombuffer(raw, np.uint8)] * _powers(len(raw))[0], out=run[1:])
+    return run
+
+
+def _stretch(run: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    h = (run[stop] - run[start]) * _powers(len(run))[1][start]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+# --- the sample --------------------------------------------------------------------------------------------------
+
+
+@lru_cache
+def difference_cover(length: int) -> tuple[int, np.ndarray]:
+    """(v, residues): a perfect difference set modulo the largest v = q * q + q + 1 (q prime) up to four fifths of ``length``.
+
+    Residues are the powers of a root of a cubic over q that have no square term, which is how planes give such sets;
+    each cubic is tried until every difference occurs.
+    """
+    v, residues = (3, [0, 1]) if length >= 4 else (1, [0])
+    q = 2
+    while q * q + q + 1 <= length * 0.8:
+        if all(q % p for p in range(2, q)):
+            v, residues = q * q + q + 1, _plane(q)
+        q += 1
+    return v, np.array(residues, np.int64)
+
+
+def _plane(q: int) -> list[int]:
+    v = q * q + q + 1
+    for a, b, c in ((a, b, c) for a in range(q) for b in range(q) for c in range(1, q)):
+        power, found = (1, 0, 0), []
+        for i in range(v):
+            if power[2] == 0:
+                found.append(i)
+            x, y, z = power
+            power = (z * c) % q, (x + z * b) % q, (y + z * a) % q
+        if len(found) == q + 1 and len({(i - j) % v for i in found for j in found}) == v:
+            return found
+    raise ValueError(f"no difference set for {q}")
+
+
+def cover_width(length: int, unit: int = 1) -> int:
+    """Bytes that two equal windows are sure to have in common from the sample place that both meet."""
+    return length - (difference_cover(length // unit)[0] - 1) * unit
+
+
+def sample_places(n: int, length: int, unit: int = 1) -> np.ndarray:
+    """The sample places of a text of ``n`` bytes, ascending."""
+    v, residues = difference_cover(length // unit)
+    grid = ((np.arange(n // unit // v + 1)[:, None] * v + residues) * unit).ravel()
+    return grid[grid <= n - cover_width(length, unit)] if n >= length else grid[:0]
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +135,7 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def coded_words(raw: bytes) -> str:
     """``UNIT`` characters a word: 56 bits of its hash, seven to a character, so each is one byte."""
     start, stop = word_bounds(raw)
-    up, down = _powers(len(raw))
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[np.frombuffer(raw, np.uint8)] * up, out=run[1:])
-    h = (run[stop] - run[start]) * down[start]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
+    h = _stretch(_sums(raw), start, stop)
     return (h.astype(">u8").view(np.uint8) & np.uint8(0x7F)).tobytes().decode("ascii")
 
 
@@ -108,57 +144,211 @@ def surroundings(n: int, place: int, length: int, width: int) -> tuple[int, int]
     return max(0, place - (length - width)), min(n, place + length)
 
 
-def _sample(length: int, width: int):
+# --- entries dealt out by name -----------------------------------------------------------------------------------
+
+
+class _Entries:
+    """Names with the text (its ``KEY``) and place they come from, as arrays."""
+
+    def __init__(self, names: np.ndarray, text: np.ndarray, place: np.ndarray, flag: np.ndarray):
+        self.names, self.text, self.place, self.flag = names, text, place, flag
+
+    def __len__(self):
+        return len(self.place)
+
+    def take(self, at) -> "_Entries":
+        return _Entries(self.names[at], self.text[at], self.place[at], self.flag[at])
+
+    def mark(self, flag: int) -> "_Entries":
+        return _Entries(self.names, self.text, self.place, (self.flag & ASKED) | np.uint8(flag))
+
+    @staticmethod
+    def join(parts: list["_Entries"]) -> "_Entries":
+        return _Entries(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("names", "text", "place", "flag")])
+
+    def packed(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.names, self.text[:, 0], (self.text[:, 1] << 32) | self.text[:, 2], self.place.astype(np.uint32), self.flag))
+
+    @staticmethod
+    def unpacked(blob: bytes, width: int) -> "_Entries":
+        n, at, out = len(blob) // (8 * width + 21), 0, []
+        for kind, count in ((np.uint64, n * width), (np.int64, n), (np.int64, n), (np.uint32, n), (np.uint8, n)):
+            out.append(np.frombuffer(blob, kind, count, at))
+            at += out[-1].nbytes
+        text = np.column_stack([out[1], out[2] >> 32 & 0xFFFFFFFF, out[2] & 0xFFFFFFFF])
+        return _Entries(out[0].reshape(n, width), text, out[3].astype(np.int64), out[4])
+
+    def grouped(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order by name, the first of each name in it, and how many it has."""
+        order = np.argsort(self.names[:, 0]) if self.names.shape[1] == 1 else np.lexsort(self.names.T)
+        names = self.names[order]
+        first = np.nonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))[0] if len(names) else np.zeros(0, np.int64)
+        return order, first, np.diff(np.append(first, len(names)))
+
+
+def _dealt(make, parts: int, flush: int = FLUSH):
+    """Packed entries of ``make`` (of a batch of texts) by bucket. Names that a task holds twice are decided here: their
+    entries are dealt on by text, and one witness goes to the name's bucket."""
+
+    def out(held: list[_Entries]):
+        e = _Entries.join(held)
+        order, first, count = e.grouped()
+        many = count > 1
+        rows = [(order[first[~many]], OPEN), (order[first[many]], WITNESS), (order[np.repeat(many, count)], DONE)]
+        every = _Entries.join([e.take(at).mark(flag) for at, flag in rows])
+        part = (np.where(every.flag & 3 == DONE, every.text[:, 0].astype(np.uint64), every.names[:, 0]) >> np.uint64(20)) % np.uint64(parts)
+        # By bucket, then as they come from the texts: what stands side by side is alike and packs well.
+        order = np.argsort(part << np.uint64(32) | np.concatenate([at for at, _ in rows]).astype(np.uint64))
+        every, part = every.take(order), part[order]
+        at = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0]
+        ends = np.append(at[1:], len(part))
+        for i in range(0, len(at), 256):
+            yield pd.DataFrame({"part": part[at[i : i + 256]].astype(np.int64), "blob": [every.take(slice(x, y)).packed() for x, y in zip(at[i : i + 256], ends[i : i + 256])]})
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            first, ctx, places = [], [], []
-            for text in b["text"]:
-                raw = text.encode("utf-8", "replace")
-                at, n = anchors(raw, length, width), len(raw)
-                places.append(at)
-                for p in at.tolist():
-                    i, j = surroundings(n, p, length, width)
-                    first.append(xxhash.xxh3_64_intdigest(raw[p : p + width]))
-                    ctx.append(xxhash.xxh3_64_intdigest(raw[i:j], seed=p - i + 1))
-            each = np.repeat(np.arange(len(b)), list(map(len, places)))
-            whose = {k: b[k].to_numpy()[each] for k in KEY}
-            yield pd.DataFrame({"anchor": np.array(first, np.uint64).astype(np.int64), "ctx": np.array(ctx, np.uint64).astype(np.int64), **whose, "place": np.concatenate([*places, np.zeros(0, np.int64)])})
+            for e in make(b):
+                if len(e):
+                    held.append(e)
+                    size += len(e)
+                if size > flush:
+                    yield from out(held)
+                    held, size = [], 0
+        if size:
+            yield from out(held)
 
     return run
 
 
-def _settled(pairs: np.ndarray, length: int, width: int, unit: int = 1):
-    """Spans of the sample places whose (anchor, ctx) is among at most ``FEW`` pairs; those of a text that overlap are
-    merged at once, so a passage gives one row a text and not one a place. Spans start and stop at multiples of ``unit``."""
-    mix = lambda p: p[:, 0] * np.int64(-7046029254386353131) + p[:, 1]
-    order = np.argsort(mix(pairs), kind="stable")
-    pairs = pairs[order]
-    keys = mix(pairs)
+def _buckets(width: int, use):
+    """Over packed entries sorted by bucket: ``use`` of the decided and of the open entries of each bucket, with what is
+    known of the open ones: how many entries there are of their name, two if there is a witness."""
+
+    def bucket(blobs: list[bytes]):
+        e = _Entries.join([_Entries.unpacked(b, width) for b in blobs])
+        done = e.flag & 3 == DONE
+        rest = e.take(~done)
+        order, first, count = rest.grouped()
+        rest = rest.take(order)
+        seen = count + np.bincount(np.repeat(np.arange(len(count)), count), weights=rest.flag & 3 == WITNESS, minlength=len(count)).astype(np.int64) if len(count) else count
+        return use(e.take(done), rest, first, np.repeat(seen, count))
 
     def run(batches):
+        blobs, last, out, rows = [], None, [], 0
         for b in batches:
-            own = b[["anchor", "ctx"]].to_numpy(np.int64)
-            want = mix(own)
-            low, high = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
-            hit = np.zeros(len(own), bool)
-            for step in range(int((high - low).max(initial=0))):  # more than one only where mixed keys collide
-                at = low + step
-                ok = at < high
-                hit[ok] |= (pairs[at[ok]] == own[ok]).all(axis=1)
-            rows = b[hit]
-            if not len(rows):
-                continue
-            key, place = rows[KEY].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
-            start, stop = np.maximum(0, place - (length - width)), np.minimum(key[:, 2], place + length)
-            start, stop = -(-start // unit) * unit, stop // unit * unit
-            new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (start[1:] > stop[:-1]) | (start[1:] < start[:-1])])
-            first = np.nonzero(new)[0]
-            last = np.concatenate([first[1:] - 1, [len(rows) - 1]])
-            yield pd.DataFrame({**{k: key[first, i] for i, k in enumerate(KEY)}, "start": start[first], "stop": stop[last]})
+            for part, blob in zip(b["part"], b["blob"]):
+                if part != last and blobs:
+                    out.append(bucket(blobs))
+                    rows, blobs = rows + len(out[-1]), []
+                    if rows > 20_000:
+                        yield pd.concat(out, ignore_index=True)
+                        out, rows = [], 0
+                last = part
+                blobs.append(bytes(blob))
+        if blobs:
+            out.append(bucket(blobs))
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _by_name(texts: DataFrame, make, width: int, use, shape: str) -> DataFrame:
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInPandas(tidying(_dealt(make, max(1024, 16 * parts))), "part long, blob binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(tidying(_buckets(width, use)), shape)
+
+
+def _table(e: _Entries, **more) -> pd.DataFrame:
+    return pd.DataFrame({**{k: e.text[:, i] for i, k in enumerate(KEY)}, "place": e.place, **more})
+
+
+def _names(length: int, unit: int):
+    """The sample places of a batch of texts, named by what stands there."""
+    width = cover_width(length, unit)
+
+    def chunk(raws: list[bytes], key: np.ndarray) -> _Entries:
+        n = np.fromiter(map(len, raws), np.int64, len(raws))
+        grid = sample_places(int(n.max()), length, unit)
+        count = np.searchsorted(grid, n - width, "right")
+        whose = np.repeat(np.arange(len(raws)), count)
+        place = grid[np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)]
+        at = (np.cumsum(n) - n)[whose] + place
+        return _Entries(_stretch(_sums(b"".join(raws)), at, at + width)[:, None], key[whose], place, np.zeros(len(place), np.uint8))
+
+    def make(b: pd.DataFrame):
+        key, raws, size, first = b[KEY].to_numpy(np.int64), [], 0, 0
+        for i, text in enumerate(b["text"]):
+            raws.append(text.encode("utf-8", "replace"))
+            size += len(raws[-1])
+            if size > CHUNK:
+                yield chunk(raws, key[first : i + 1])
+                raws, size, first = [], 0, i + 1
+        if raws:
+            yield chunk(raws, key[first:])
+
+    return make
+
+
+def _repeated_names(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    e = _Entries.join([done, rest.take((seen > 1) & (rest.flag & 3 == OPEN))])
+    return _table(e, anchor=e.names[:, 0].astype(np.int64))
+
+
+def _around(length: int, width: int):
+    """The sample places with a repeated name, named by their whole surroundings too."""
+
+    def make(b: pd.DataFrame):
+        for key, text, at in zip(b[KEY].to_numpy(np.int64), b["text"], b["at"]):
+            raw, out = text.encode("utf-8", "replace"), []
+            for x in at:
+                i, j = surroundings(len(raw), x["place"], length, width)
+                out.append((x["anchor"] & 0xFFFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(raw[i:j], seed=x["place"] - i + 1)))
+            yield _Entries(np.array(out, np.uint64), np.tile(key, (len(at), 1)), np.array([x["place"] for x in at], np.int64), np.zeros(len(at), np.uint8))
+
+    return make
+
+
+#: What a place turns out to be: one whose surroundings are repeated, one whose are not, one of each repeated kind.
+SETTLED, SINGLE, MATE = 0, 1, 2
+
+
+def _settled(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    opened, twice = rest.flag & 3 == OPEN, seen > 1
+    parts = [(done, SETTLED), (rest.take(opened & twice), SETTLED), (rest.take(opened & ~twice), SINGLE), (rest.take(first[twice[first]]), MATE)]
+    return pd.concat([_table(e, anchor=e.names[:, 0].astype(np.int64), kind=np.int32(kind)) for e, kind in parts], ignore_index=True)
+
+
+def _windows(length: int, width: int, unit: int):
+    """Every window that places of large blocks stand for, named by 128 bits."""
+
+    def make(b: pd.DataFrame):
+        for key, text, wanted in zip(b[KEY].to_numpy(np.int64), b["text"], b["wanted"]):
+            raw, own = text.encode("utf-8", "replace"), {}
+            for w in wanted:
+                if w["block"]:
+                    for i in range(w["place"] % unit + max(0, (w["place"] - (length - width)) // unit * unit), min(w["place"], len(raw) - length) + 1, unit):
+                        own[i] = own.get(i, False) or w["single"]
+            if own:
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + length]) for i in own), np.uint64).reshape(-1, 2)
+                yield _Entries(names, np.tile(key, (len(own), 1)), np.fromiter(own, np.int64, len(own)), np.where(np.fromiter(own.values(), bool, len(own)), ASKED, 0).astype(np.uint8))
+
+    return make
+
+
+def _repeated_windows_of(length: int):
+    def use(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+        e = _Entries.join([done, rest.take((seen > 1) & (rest.flag & 3 == OPEN))])
+        e = e.take(e.flag & ASKED > 0)
+        return _table(e, stop=e.place + length).rename(columns={"place": "start"})
+
+    return use
+
+
+# --- suffixes of a block -----------------------------------------------------------------------------------------
+
+
 def _contexts(length: int, width: int):
     def run(batches):
         for b in (whole.iloc[i : i + 100].reset_index(drop=True) for whole in batches for i in range(0, len(whole), 100)):
@@ -167,8 +357,8 @@ def _contexts(length: int, width: int):
                 raw = text.encode("utf-8", "replace")
                 for w in wanted:
                     i, j = surroundings(len(raw), w["place"], length, width)
-                    out.append((w["anchor"], w["single"], w["block"], w["place"] - i, raw[i:j]))
-            frame = pd.DataFrame(out, columns=["anchor", "single", "block", "before", "around"])
+                    out.append((w["anchor"], w["single"], w["place"] - i, raw[i:j]))
+            frame = pd.DataFrame(out, columns=["anchor", "single", "before", "around"])
             each = np.repeat(np.arange(len(b)), [len(w) for w in b["wanted"]])
             for x in KEY:
                 frame[x] = b[x].to_numpy()[each]
@@ -201,24 +391,32 @@ def _ranked(rows: list[bytes], block: np.ndarray, width: int) -> tuple[np.ndarra
     return order, lcp
 
 
-def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes], length: int, width: int, asked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _best_neighbour(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row with another one of its block."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(lcp, np.append(lcp[1:], -1))
+    return out
+
+
+def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes], length: int, width: int, asked: np.ndarray, unit: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each distance from the sample (a bucket of suffixes) the asked rows whose window there is repeated.
 
-    Rows are different surroundings of sample places; equal ``block`` means equal first ``width`` bytes.
+    Rows are different surroundings of sample places; rows of one ``block`` are compared with each other.
     """
     n, span = len(around), length - width
     right_order, right_lcp = _ranked([x[p:] for x, p in zip(around, before.tolist())], block, length)
     left_order, left_lcp = _ranked([x[:p][::-1] for x, p in zip(around, before.tolist())], block, max(span, 1))
     after = np.fromiter(map(len, around), np.int64, n) - before
+    # No window is repeated that reaches farther than a row's best neighbours on either side.
+    far, near = np.minimum(_best_neighbour(left_order, left_lcp), before), length - np.minimum(_best_neighbour(right_order, right_lcp), after)
     name_right, name_left = np.empty(n, np.int64), np.empty(n, np.int64)
     found = []
-    for d in range(span + 1):
-        fit = (before >= d) & (after >= length - d)
-        if fit.sum() < 2:
+    for d in range(0, span + 1, unit):
+        rows = np.nonzero((near <= d) & (d <= far))[0]
+        if len(rows) < 2:
             continue
         name_right[right_order] = np.cumsum(right_lcp < length - d)
         name_left[left_order] = np.cumsum(left_lcp < d)
-        rows = np.nonzero(fit)[0]
         bucket = name_left[rows] * (n + 1) + name_right[rows]
         order = np.argsort(bucket, kind="stable")
         s = bucket[order]
@@ -233,20 +431,20 @@ def repeated_windows(block: np.ndarray, before: np.ndarray, around: list[bytes],
     return found
 
 
-def _resolve(length: int, width: int, rows: int = 4000):
+def _resolve(length: int, width: int, unit: int = 1, rows: int = 4000):
     """Over rows sorted by block: complete blocks are resolved some thousand rows at a time."""
 
     def spans(part: pd.DataFrame) -> pd.DataFrame:
         if len(part) < 2:
             return pd.DataFrame(columns=[*KEY, "start", "stop"])
-        got = repeated_windows(part["anchor"].to_numpy(np.int64), part["before"].to_numpy(np.int64), [bytes(x) for x in part["around"]], length, width, part["single"].to_numpy(bool))
+        got = repeated_windows(part["anchor"].to_numpy(np.int64), part["before"].to_numpy(np.int64), [bytes(x) for x in part["around"]], length, width, part["single"].to_numpy(bool), unit)
         if not got:
             return pd.DataFrame(columns=[*KEY, "start", "stop"])
         d, row = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
         order = np.lexsort((-d, row))
         d, row = d[order], row[order]
         start = part["place"].to_numpy(np.int64)[row] - d
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (d[1:] != d[:-1] - 1)]) if len(row) else np.zeros(0, bool)
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (d[1:] != d[:-1] - unit)]) if len(row) else np.zeros(0, bool)
         first = np.nonzero(new)[0]
         last = np.concatenate([first[1:] - 1, [len(row) - 1]]) if len(first) else first
         out = part[KEY].iloc[row[first]].reset_index(drop=True)
@@ -270,34 +468,16 @@ def _resolve(length: int, width: int, rows: int = 4000):
     return run
 
 
-def _windows(length: int, width: int):
-    """Of rows of large blocks: a 128-bit hash for each window (two longs), with its place."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(0, len(b), 50):
-                part = b.iloc[i : i + 50]
-                out = []
-                for x, p, single, place, *key in part[["around", "before", "single", "place", *KEY]].itertuples(index=False):
-                    x = bytes(x)
-                    for s in range(len(x) - length + 1):
-                        if s <= p:
-                            h = xxhash.xxh3_128_digest(x[s : s + length])
-                            out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), single, place - p + s, *key))
-                yield pd.DataFrame(out, columns=["h1", "h2", "single", "start", *KEY])
-
-    return run
-
-
 def _few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, unit: int = 1) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the key of its text (``KEY``), and the repeated spans (``KEY``, start, stop), which may overlap. Spans of equal texts stand there once.
 
     With ``unit``, only windows that start at its multiples count; ``length`` is one too."""
     small_batches(docs.sparkSession)
+    width = cover_width(length, unit)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text).cast("long")])))
     long = keyed.where(F.col("sd_len") >= length)
@@ -305,43 +485,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, width: int = ANCHOR, t
     whole = copies.select(*KEY, F.lit(0).cast("long").alias("start"), F.col("sd_len").alias("stop"))
     marked = long.select(*KEY, text.alias("text"), F.col(id_col).alias("own_id")).join(_few(copies), KEY, "left")
     once = marked.where(F.col("n").isNull() | F.col("own_id").eqNullSafe(F.col("first_id"))).select("text", *KEY)
-    kinds = ", ".join(f"{k} long" for k in KEY)
-    sample = stored(once.mapInPandas(tidying(_sample(length, width)), f"anchor long, ctx long, {kinds}, place long"), "sample")
-    around = sample.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("first"))
-    own = Window.partitionBy("anchor")
-    around = around.withColumns({"total": F.sum("n").over(own), "kinds": F.count(F.lit(1)).over(own), "singles": F.sum((F.col("n") == 1).cast("long")).over(own)})
-    around = cut(around.where("total > 1"))
+    names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, place long, anchor long"), "names")
+    at = names.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
+    kinds = stored(_by_name(_of_texts(once, at), _around(length, width), 2, _settled, f"{KINDS}, place long, anchor long, kind int"), "kinds")
     # Places with equal surroundings: all their windows are repeated.
-    settled = around.where("n > 1").select("anchor", "ctx")
-    if settled.count() <= FEW:
-        equal = sample.mapInPandas(tidying(_settled(settled.toPandas().to_numpy(np.int64), length, width, unit)), f"{kinds}, start long, stop long")
-    else:
-        equal = sample.join(settled, ["anchor", "ctx"])
-        equal = equal.select(*KEY, F.greatest(F.lit(0), F.col("place") - (length - width)).alias("start"), F.least(F.col("sd_len"), F.col("place") + length).alias("stop"))
+    start, stop = F.greatest(F.lit(0), F.col("place") - (length - width)), F.least(F.col("sd_len"), F.col("place") + length)
+    equal = kinds.where(F.col("kind") == SETTLED).select(*KEY, start.alias("start"), stop.alias("stop"))
     # Others share the sample's first bytes with different surroundings: sort their suffixes.
-    wanted = around.where("kinds > 1 and singles > 0").select("first.*", F.struct("anchor", F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > block).alias("block")).alias("w"))
-    wanted = cut(wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted")))
-    texts = once.join(_few(wanted, FEW // 4), KEY)
-    shape = f"anchor long, single boolean, block boolean, before int, around binary, {kinds}, place long"
-    contexts = texts.mapInPandas(tidying(_contexts(length, width)), shape)
-    large = around.where((F.col("kinds") > block) & (F.col("singles") > 0)).limit(1).count() > 0
-    contexts = contexts.persist(StorageLevel.DISK_ONLY) if large else contexts
+    members = kinds.where(F.col("kind") != SETTLED).withColumn("single", F.col("kind") == SINGLE)
+    sizes = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("singles")).where("kinds > 1 and singles").select("anchor", (F.col("kinds") > block).alias("block"))
+    wanted = members.join(sizes, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "place", "single", "block")).alias("wanted"))
+    wanted = stored(wanted, "wanted")
+    small = F.filter("wanted", lambda w: ~w["block"])
+    contexts = _of_texts(once, wanted.withColumn("wanted", small).where(F.size("wanted") > 0)).mapInPandas(tidying(_contexts(length, width)), f"anchor long, single boolean, before int, around binary, {KINDS}, place long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = contexts.where("not block") if large else contexts
-    sorted_rows = small.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    resolved = sorted_rows.mapInPandas(tidying(_resolve(length, width)), f"{kinds}, start long, stop long")
+    resolved = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(tidying(_resolve(length, width, unit)), f"{KINDS}, start long, stop long")
     spans = whole.unionByName(equal).unionByName(resolved)
-    if large:
-        windows = contexts.where("block").mapInPandas(tidying(_windows(length, width)), f"h1 long, h2 long, single boolean, start long, {kinds}")
-        where = F.struct(*KEY, "start")  # one window can be met from several places of the sample
-        twice = windows.groupBy("h1", "h2").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").drop("a", "b")
-        spans = spans.unionByName(windows.where("single").join(twice, ["h1", "h2"]).select(*KEY, "start", (F.col("start") + length).alias("stop")))
+    large = wanted.where(F.exists("wanted", lambda w: w["block"]))
+    if large.limit(1).count():
+        spans = spans.unionByName(_by_name(_of_texts(once, large), _windows(length, width, unit), 2, _repeated_windows_of(length), f"{KINDS}, start long, stop long"))
     if unit > 1:
         whole_units = [(F.ceil(F.col("start") / unit) * unit).cast("long").alias("start"), (F.floor(F.col("stop") / unit) * unit).cast("long").alias("stop")]
         spans = spans.select(*KEY, *whole_units).where(F.col("stop") - F.col("start") >= length)
     return keyed, spans
 
 
+def _of_texts(once: DataFrame, by_text: DataFrame) -> DataFrame:
+    """The texts that ``by_text`` names, with its columns; others are dropped before texts are shuffled."""
+    keys = by_text.select(*KEY)
+    n = keys.count()
+    return (once.join(F.broadcast(keys), KEY, "left_semi") if n <= FEW else once).join(by_text, KEY)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):

@@ -433,11 +433,22 @@ def passages(rng, n=60):
     return out + out[10:16]
 
 
-@pytest.mark.parametrize("seed,width,block", [(1, 11, 20000), (2, 39, 20000), (3, 5, 3)])
-def test_repeats(spark, seed, width, block):
+def test_difference_cover():
+    for length in (1, 4, 40, 51, 400):
+        v, residues = suffixdedup.difference_cover(length)
+        assert {(int(a) - int(b)) % v for a in residues for b in residues} == set(range(v)) and v <= max(1, length * 0.8)
+    assert suffixdedup.difference_cover(400)[0] == 307 and suffixdedup.sample_places(399, 400).size == 0
+    at = suffixdedup.sample_places(5000, 400)
+    for i, j in ((0, 1), (7, 900), (3, 4600), (1000, 1307)):  # equal windows meet the sample at a common distance
+        assert any(i + d in at and j + d in at for d in range(307))
+
+
+@pytest.mark.parametrize("seed,flush,block", [(1, 1_000_000, 20000), (2, 50, 20000), (3, 1_000_000, 3), (4, 10, 2)])
+def test_repeats(spark, monkeypatch, seed, flush, block):
+    monkeypatch.setattr(suffixdedup._dealt, "__defaults__", (flush,))
     texts = passages(random.Random(seed))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    found = suffixdedup.with_spans(df, 40, width=width, block=block)
+    found = suffixdedup.with_spans(df, 40, block=block)
     got = {r["doc_id"]: (r["sd_bytes"], sum(s["stop"] - s["start"] for s in r["sd_spans"]), len(r["sd_spans"]), r["k"]) for r in found.withColumn("k", suffixdedup.kept_sha256()).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
 
