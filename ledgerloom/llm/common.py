@@ -105,6 +105,13 @@ def unit_hash(seed: int, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def bounded_sample(ids: DataFrame, id_col: str, most: int) -> Column:
+    """A condition that holds for at most ``most`` rows of ``ids`` (and their ties), chosen by a checksum of their ids."""
+    mark = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    last = ids.select(mark.alias("m")).orderBy("m").limit(most).agg(F.max("m"), F.count(F.lit(1))).first()
+    return F.lit(True) if last[1] < most else mark <= F.lit(last[0])
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, limit: int = 2_000_000) -> DataFrame:
     """Join with a broadcast only if ``right`` has at most ``limit`` narrow rows; else let Spark shuffle."""
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)

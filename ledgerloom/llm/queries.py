@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.ImportanceResampler.fit(docs, table(spark, sf_dir, "labels"), train_on=~toxicity.held_out())
-    return model.resample(docs).select("doc_id", toxicity.held_out().alias("held_out"), F.col("qr_ratio").alias("log_ratio"), F.col("qr_key").alias("gumbel_key"), F.col("qr_keep").alias("kept"))
+    return model.scores(docs).select("doc_id", toxicity.held_out().alias("held_out"), F.col("qr_ratio").alias("log_ratio"), F.col("qr_key").alias("gumbel_key"), F.col("qr_keep").alias("kept"))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,61 @@ def test_quality_keeps_good_rows(spark):
     assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.2
 
 
+def test_quality_against_plain_counts(spark):
+    """The query's models, weights, keys and sample, worked out over plain dictionaries."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    raw, target, feats = Counter(), Counter(), {}
+    for i, text in docs:
+        words = [zlib.crc32(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\s]+", (text or "").lower().encode())]
+        pairs = [1 if a == b else ((a * 0x9E3779B1 + b * 0x85EBCA77 + 7) % 2**64) >> 16 for a, b in zip(words, words[1:])]
+        feats[i] = [x % quality.BUCKETS for x in words + pairs]
+        raw.update(feats[i])
+        if labels.get(i):
+            target.update(feats[i])
+    n, m, k = raw.total(), target.total(), quality.BUCKETS
+    ratio = lambda x: min(8, max(-8, math.log((target[x] + 0.5) / (m + 0.5 * k)) - math.log((raw[x] + 0.5) / (n + 0.5 * k))))
+    mean = {i: sum(map(ratio, f)) / len(f) if f else 0.0 for i, f in feats.items()}
+    unit = lambda i: int(hashlib.md5(f"{quality.SEED}\x1f{i}".encode()).hexdigest()[:13], 16) / 2**52
+    key = {i: quality.PASSAGE * mean[i] - math.log(-math.log(unit(i) + 2.0**-54)) for i in mean}
+    seen = sorted(labels)
+    cutoff = quality.best_cutoff(np.array([mean[i] for i in seen]), np.array([labels[i] for i in seen]))
+    last = sorted(key.values(), reverse=True)[sum(x >= cutoff for x in mean.values()) - 1]
+    for r in queries.op2_quality(spark, SF).collect():
+        assert abs(r["log_ratio"] - mean[r["doc_id"]]) < 1e-9 and abs(r["gumbel_key"] - key[r["doc_id"]]) < 1e-6 and r["kept"] == (key[r["doc_id"]] >= last - 1e-9)
+
+
+def test_quality_sample_follows_target(spark):
+    """A sample of k documents by importance comes nearer to the target's words than the raw documents."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.ImportanceResampler.fit(docs, labels)
+    good = {r[0] for r in labels.where("quality = 1").collect()}
+    rows = model.resample(docs, k=300).select("doc_id", "text", "qr_keep").collect()
+    assert sum(r["qr_keep"] for r in rows) == 300
+
+    def share(chosen):
+        n = np.full(quality.BUCKETS, 0.1)
+        for r in chosen:
+            np.add.at(n, quality.features(r["text"] or ""), 1)
+        return n / n.sum()
+
+    target, sample, raw = share(r for r in rows if r["doc_id"] in good), share(r for r in rows if r["qr_keep"]), share(rows)
+    away = lambda p: float((target * np.log(target / p)).sum())
+    assert away(sample) < away(raw)
+
+
+def test_bounded_sample(spark):
+    from ledgerloom.llm.common import bounded_sample
+
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    for most, n in ((10, 10), (1000, 1000), (5000, 1000)):
+        assert ids.where(bounded_sample(ids, "doc_id", most)).count() == n
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.choice([rng.random(), 0.5, rng.gauss(0, 1e6)]) for _ in range(3000)]
