@@ -154,6 +154,21 @@ def test_topk(spark, blocks):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_topk_lengths_and_large_values(spark):
+    """Vectors of other lengths and values that doubles don't hold take part."""
+    raw = [(i, [i % 7 - 3, 2, i % 5]) for i in range(90)] + [(100, [5]), (120, [1, 2, 3, 4, 5, 6]), (140, [2**40, 3, -1]), (141, [2**40 + 1, 1, 1]), (160, [-(2**20), 2**30, 7])]
+    df = spark.createDataFrame(raw, "vec_id long, v array<long>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block=2, query_block=1)
+    limit = 2**63 - 1
+    want = [(q, r, i, max(-limit, min(limit, s))) for q, r, i, s in brute_top(raw, 20)]
+    assert sorted((r[0], r[1], r[3]) for r in got.collect()) == sorted((w[0], w[1], w[3]) for w in want)
+    unlimited = {w[:3] for w in want if abs(w[3]) < limit}
+    assert unlimited <= {tuple(r)[:3] for r in got.collect()}
+    rows = [(0, [1.0, 2.0]), (1, [3.4e7, 1.0]), (2, [-1.0, 0.5])]
+    big = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.quantise().alias("v"))
+    assert {r["vec_id"]: r["score"] for r in topk.top_k(big, F.col("vec_id") == 0, 5).collect()} == {1: 64 * 64 * 34_000_000 + 128 * 64, 2: -64 * 64 + 128 * 32}
+
+
 def test_quantise(spark):
     rows = [(1, [0.5, -0.01]), (2, [float("nan"), 0.0]), (3, None), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
