@@ -42,9 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: smaller than a checkpoint for many rows."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _clean_up(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _clean_up(spark: SparkSession) -> None:
+    """Spark drops shuffle files when their tables are no longer held; let both sides notice now rather than late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy() -> None:
     """Give memory back to the system: Python workers are kept for later tasks, and idle ones would hold on to it."""
     gc.collect()

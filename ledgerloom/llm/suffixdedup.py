@@ -40,10 +40,12 @@ from .common import cut, free_name, series_udf, small_batches, stored, tidying
 LENGTH = 400
 BLOCK = 8000
 FEW = 400_000
+#: Bytes of a table of spans that is broadcast; a larger one is joined as Spark sees fit.
+SENT = 32 << 20
 #: Bytes that stand for a word where passages are measured in words.
 UNIT = 8
 #: Entries that a task merges before it deals them out, and bytes of text that it hashes at a time.
-FLUSH, CHUNK = 1_000_000, 1 << 20
+FLUSH, CHUNK = 500_000, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
@@ -349,21 +351,23 @@ def _repeated_windows_of(length: int):
 # --- suffixes of a block -----------------------------------------------------------------------------------------
 
 
-def _contexts(length: int, width: int):
+def _contexts(length: int, width: int, rows: int = 4000):
+    """A row with its surroundings for each wanted place, some thousand at a time."""
+
     def run(batches):
-        for b in (whole.iloc[i : i + 100].reset_index(drop=True) for whole in batches for i in range(0, len(whole), 100)):
-            out = []
-            for text, wanted in zip(b["text"], b["wanted"]):
+        out = []
+        frame = lambda: pd.DataFrame(out, columns=["anchor", "single", "before", "around", *KEY, "place"])
+        for b in batches:
+            for text, wanted, *key in b[["text", "wanted", *KEY]].itertuples(index=False):
                 raw = text.encode("utf-8", "replace")
                 for w in wanted:
                     i, j = surroundings(len(raw), w["place"], length, width)
-                    out.append((w["anchor"], w["single"], w["place"] - i, raw[i:j]))
-            frame = pd.DataFrame(out, columns=["anchor", "single", "before", "around"])
-            each = np.repeat(np.arange(len(b)), [len(w) for w in b["wanted"]])
-            for x in KEY:
-                frame[x] = b[x].to_numpy()[each]
-            frame["place"] = [w["place"] for ws in b["wanted"] for w in ws]
-            yield frame
+                    out.append((w["anchor"], w["single"], w["place"] - i, raw[i:j], *key, w["place"]))
+                    if len(out) >= rows:
+                        yield frame()
+                        out = []
+        if out:
+            yield frame()
 
     return run
 
@@ -527,17 +531,47 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _by_text(spans: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """The maximal runs of each text's spans as an array ``name``, and whether the table is small enough to broadcast."""
+
+    def merge(col: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in raw])] for raw in col])
+
+    raw = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("raw"))
+    runs = stored(raw.select(*KEY, series_udf(merge, "array<struct<start: long, stop: long>>")("raw").alias(name)), "spans")
+    size = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(name)), F.lit(0))).first()
+    return runs, size[0] * 64 + size[1] * 16 <= SENT
+
+
+def _joined(keyed: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``keyed`` with the maximal runs of its texts as ``name``, empty where there are none."""
+    runs, few = _by_text(spans, name)
+    joined = keyed.join(F.broadcast(runs) if few else runs, KEY, "left")
+    return joined.withColumn(name, F.coalesce(name, F.array().cast("array<struct<start: long, stop: long>>")))
+
+
 def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", **names) -> DataFrame:
     """``docs`` plus sd_bytes and sd_spans, the maximal removed runs as an array of [start, stop) byte ranges."""
     keyed, spans = repeated_spans(docs, length, text_col=text_col, id_col=id_col, **names)
-    by_text = cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("sd_raw")))
-    joined = keyed.join(_few(by_text, FEW // 4), KEY, "left")
+    return _joined(keyed, spans, "sd_spans").withColumn("sd_bytes", F.col("sd_len")).drop(*KEY)
 
-    def merge(col: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in raw])] if raw is not None else [] for raw in col])
 
-    spans_col = F.when(F.col("sd_raw").isNull(), F.array().cast("array<struct<start: long, stop: long>>")).otherwise(series_udf(merge, "array<struct<start: long, stop: long>>")("sd_raw"))
-    return joined.withColumns({"sd_spans": spans_col, "sd_bytes": F.col("sd_len")}).drop("sd_raw", *KEY)
+def with_passages(docs: DataFrame, words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` plus sd_passages, the maximal runs, in words, of passages of at least so many words that stand anywhere
+    else too, whatever their bytes and the white space between their words."""
+    coded = free_name(docs, "sd_coded")
+
+    def code(texts: pd.Series) -> pd.Series:
+        return pd.Series([coded_words(t.encode("utf-8", "replace")) for t in texts], dtype=object)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed, spans = repeated_spans(docs.withColumn(coded, series_udf(code, "string")(text)), words * UNIT, text_col=coded, id_col=id_col, unit=UNIT)
+    in_words = spans.select(*KEY, *[(F.col(c) / UNIT).cast("long").alias(c) for c in ("start", "stop")])
+    return _joined(keyed, in_words, "sd_passages").drop(coded, *KEY)
+
+
+def span_total(col: str) -> Column:
+    return F.aggregate(col, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
 def kept_bytes(text: str | None, spans) -> bytes:
@@ -558,19 +592,6 @@ def kept_sha256(text_col: str = "text") -> Column:
     return run(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("sd_spans"))
 
 
-def _with_word_spans(docs: DataFrame, words: int, text_col: str, id_col: str, name: str) -> DataFrame:
-    """``docs`` plus the spans, in words, of passages of at least so many words that stand anywhere else too."""
-    coded = free_name(docs, "sd_coded")
-
-    def code(texts: pd.Series) -> pd.Series:
-        return pd.Series([coded_words(t.encode("utf-8", "replace")) for t in texts], dtype=object)
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed, spans = repeated_spans(docs.withColumn(coded, series_udf(code, "string")(text)), words * UNIT, text_col=coded, id_col=id_col, unit=UNIT)
-    by_text = cut(spans.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") / UNIT).cast("long").alias("start"), (F.col("stop") / UNIT).cast("long").alias("stop"))).alias(name)))
-    return keyed.drop(coded).join(_few(by_text, FEW // 4), KEY, "left").drop(*KEY)
-
-
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; characters cut in part are dropped.
 
@@ -578,21 +599,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     between their words.
     """
     small_batches(docs.sparkSession)
-    by_words = free_name(docs, "sd_by_words")
-    found = with_spans(docs, length, text_col, id_col) if words is None else with_spans(_with_word_spans(docs, words, text_col, id_col, by_words), length, text_col, id_col)
+    none = F.array().cast("array<struct<start: long, stop: long>>")
+    found = with_spans(docs.withColumn("sd_passages", none) if words is None else with_passages(docs, words, text_col, id_col), length, text_col, id_col)
 
-    def clean_text(text: str, spans, wide) -> str:
+    def clean_text(text: str, spans, passages) -> str:
         raw = text.encode("utf-8", "replace")
         out = [(s["start"], s["stop"]) for s in spans]
-        if wide is not None and len(wide):
+        if len(passages):
             start, stop = word_bounds(raw)
-            out += [(int(start[w["start"]]), int(stop[w["stop"] - 1])) for w in wide]
+            out += [(int(start[w["start"]]), int(stop[w["stop"] - 1])) for w in passages]
         return kept_bytes(text, [{"start": a, "stop": b} for a, b in merged(out)]).decode("utf-8", "ignore") if out else text
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, spans: pd.Series, wide: pd.Series) -> pd.Series:
-        return pd.Series([clean_text(t, s, w) for t, s, w in zip(texts, spans, wide)], dtype=object)
+    def run(texts: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series:
+        return pd.Series([clean_text(t, s, w) for t, s, w in zip(texts, spans, passages)], dtype=object)
 
-    wide = F.lit(None).cast("array<struct<start: long, stop: long>>") if words is None else F.col(by_words)
-    clean = F.when(F.col(text_col).isNull() | ((F.size("sd_spans") == 0) & wide.isNull()), F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans"), wide))
+    untouched = F.col(text_col).isNull() | ((F.size("sd_spans") == 0) & (F.size("sd_passages") == 0))
+    clean = F.when(untouched, F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans"), F.col("sd_passages")))
     return found.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -60,7 +61,6 @@ def test_quality_keeps_good_rows(spark):
 def test_quality_against_plain_counts(spark):
     """The query's models, weights, keys and sample, worked out over plain dictionaries."""
     import math
-    import re
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
@@ -526,8 +526,13 @@ def test_repeats(spark, monkeypatch, seed, flush, block):
 def test_repeats_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     want = brute_repeats([r["text"] for r in docs], 400)
-    got = {r[0]: tuple(r)[1:] for r in queries.op9_suffix(spark, SF).collect()}
+    rows = queries.op9_suffix(spark, SF).collect()
+    got = {r[0]: tuple(r)[1:5] for r in rows}
     assert [got[r["doc_id"]] for r in docs] == want
+    texts = [re.sub(r"[ \t\n\r\x0b\x0c]+", " ", r["text"] or "") for r in docs]
+    left = brute_word_repeats([[w for w in t.split(" ") if w] for t in texts], 51)
+    words = {r["doc_id"]: r["passage_words"] for r in rows}
+    assert [words[r["doc_id"]] for r in docs] == [len([w for w in t.split(" ") if w]) - len(x) for t, x in zip(texts, left)]
 
 
 def test_repeats_odd(spark):
@@ -538,7 +543,7 @@ def test_repeats_odd(spark):
 
 
 def brute_word_repeats(texts, words):
-    split = [t.split() for t in texts]
+    split = [t.split() if isinstance(t, str) else t for t in texts]
     seen = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
     out = []
     for w in split:
