@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, quality, simhash, suffixdedup
+from ledgerloom.llm import bpe, mixing, quality, queries, simhash, suffixdedup
 from ledgerloom.llm.common import scratch_path, table
 from ledgerloom.llm.queries import vocabulary_path
 
 
 #: Repeated passages of over 50 words go, whatever their bytes; so do those of op9's 400 bytes.
-PASSAGE = 51
+PASSAGE = queries.PASSAGE
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
