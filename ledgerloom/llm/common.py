@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import wraps
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
         root = jsc.getCheckpointDir().get()
     return root.rstrip("/")
@@ -38,10 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: smaller than a checkpoint for many rows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _clean_up(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -98,6 +101,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def columns(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever signs these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -106,6 +114,30 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of these names (in any case) renamed, and a function that gives them their names back; a
+    new column of such a name is then called what ``free_name`` says."""
+    wanted = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in wanted]
+    aside = {}
+    for c in clash:
+        aside[c] = free_name(df, f"aside_{c}")
+        df = df.withColumnRenamed(c, aside[c])
+
+    def put_back(out: DataFrame) -> DataFrame:
+        taken = {c.lower() for c in clash}
+        kept = {v: k for k, v in aside.items()}
+        named = []
+        for c in out.columns:
+            new = kept.get(c, c)
+            while c not in kept and new.lower() in taken:
+                new = f"_{new}"
+            named.append(columns([c])[0].alias(new))
+        return out.select(*named) if clash else out
+
+    return df, put_back
+
+
 def unit_hash(seed: int, *cols: str) -> Column:
     """A number in [0, 1) fixed by the seed and the columns' values (52 bits of an MD5)."""
     key = F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols])

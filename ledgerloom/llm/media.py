@@ -408,7 +408,8 @@ def tensors(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests and features read from the stored streams: payload from the coefficients, colours from the tensor."""
+    """Digests and features read from the stored streams: payload from the coefficients, colours, shape and digest of the
+    full-resolution tensor."""
 
     def run(batches):
         for b in batches:
@@ -420,9 +421,9 @@ def describe(media: DataFrame) -> DataFrame:
                 flat = t.reshape(-1, 3)
                 mean = flat.mean(axis=0, dtype=np.float64)
                 feature = f"{pic.width}x{pic.height} rgb " + " ".join(f"{x:.3f}" for x in mean)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "payload_bytes": cols[0], "payload_sha256": cols[1], "tail_crc32": cols[2], "media_bytes": cols[3], "media_sha256": cols[4], "feature": cols[5]})
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, "x".join(map(str, t.shape)), hashlib.sha256(t).hexdigest()))
+            cols = list(zip(*out)) or [[]] * 8
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "payload_bytes": cols[0], "payload_sha256": cols[1], "tail_crc32": cols[2], "media_bytes": cols[3], "media_sha256": cols[4], "feature": cols[5], "tensor_shape": cols[6], "tensor_sha256": cols[7]})
 
     kind = dict(media.dtypes)["doc_id"]
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_shape string, tensor_sha256 string")

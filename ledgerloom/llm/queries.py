@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, media, mixing, quality, resharding, simhash, suffixdedup, topk, toxicity, warc
-from .common import table
+from .common import stored, table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,7 +49,8 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.encode_texts(table(spark, sf_dir, "documents")))
+    """The streams are written to a table, and all but the length of the text is worked out from what is read back."""
+    return media.describe(stored(media.encode_texts(table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
