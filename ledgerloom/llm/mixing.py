@@ -6,7 +6,7 @@ decided by a hash of the seed and its id.
 
 Defined cases: a null text counts no words; a null source is a source of its own that sorts last; a null id draws
 like any other value; rows with the same id draw alike; an empty table gives an empty result; an extra column is
-carried through. Sources without words get a rate of zero unless ``keep_empty``.
+carried through, under its own name even if that is a name used here. Sources without words get a rate of zero.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, unit_hash
+from .common import columns, set_aside, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3.0
@@ -54,7 +54,12 @@ def source_targets(sizes: DataFrame, cap: float = CAP, weight=cycling_weight) ->
 
 
 def with_copies(docs: DataFrame, seed: int = SEED, cap: float = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", few_sources: int = 100_000) -> DataFrame:
-    """``docs`` plus mix_size, mix_source_size, mix_target and mix_copies (names the table must not have)."""
+    """``docs`` plus mix_size, mix_source_size, mix_target and mix_copies (named by ``free_name`` where the table has such)."""
+    docs, put_back = set_aside(docs, ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_key"])
+    return put_back(_planned(docs, seed, cap, id_col, source_col, text_col, few_sources))
+
+
+def _planned(docs: DataFrame, seed: int, cap: float, id_col: str, source_col: str, text_col: str, few_sources: int = 100_000) -> DataFrame:
     sized = docs.withColumn("mix_size", word_count(text_col))
     targets = source_targets(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size")), cap)
     targets = targets.select(F.col("source").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
@@ -67,6 +72,7 @@ def with_copies(docs: DataFrame, seed: int = SEED, cap: float = CAP, id_col: str
 
 def mix(docs: DataFrame, seed: int = SEED, cap: float = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: each document as many times as its copies say, with the columns of ``docs``."""
-    planned = with_copies(docs, seed, cap, id_col, source_col, text_col).where("mix_copies > 0")
-    copy = free_name(planned, "mix_copy")
-    return planned.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[planned[f"`{c}`"] for c in docs.columns])
+    names, (docs, put_back) = docs.columns, set_aside(docs, ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_key", "mix_copy"])
+    planned = _planned(docs, seed, cap, id_col, source_col, text_col).where("mix_copies > 0")
+    out = planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*columns(docs.columns))
+    return put_back(out).select(*columns(names))

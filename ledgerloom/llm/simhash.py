@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, series_udf, small_batches, tidying
+from .common import columns, cut, free_name, series_udf, small_batches, tidying
 
 RADIUS = 3
 SEED = 42
@@ -612,4 +612,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     named = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     out = named.join(F.broadcast(first) if rows <= 2_000_000 else first, named[id_col].eqNullSafe(F.col(kept)) & (F.col(own) == F.col(mate)), "inner")
     repeated = named.groupBy(id_col, own).count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates([id_col, own]) if repeated else out).select(*[f"`{c}`" for c in docs.columns])
+    return (out.dropDuplicates([id_col, own]) if repeated else out).select(*columns(docs.columns))

@@ -18,7 +18,8 @@ than ``BLOCK`` different surroundings isn't brought together in one task: its wi
 sample.
 
 Defined cases: null and empty texts and texts under ``length`` bytes lose nothing; of equal texts of at least that
-length each loses all; null ids and repeated rows are documents like others; an empty table gives an empty result.
+length each loses all; null ids and repeated rows are documents like others; an empty table gives an empty result; extra
+columns keep their names and values, and a new column that would clash with one is named by ``free_name``.
 
 Passages of so many words, whatever their bytes, are found by the same sorting over texts in which each word stands as
 ``UNIT`` bytes of its hash. Words are what ASCII white space parts.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, series_udf, small_batches, stored, tidying
+from .common import columns, cut, series_udf, set_aside, small_batches, stored, tidying
 
 LENGTH = 400
 BLOCK = 8000
@@ -552,22 +553,23 @@ def _joined(keyed: DataFrame, spans: DataFrame, name: str) -> DataFrame:
 
 def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", **names) -> DataFrame:
     """``docs`` plus sd_bytes and sd_spans, the maximal removed runs as an array of [start, stop) byte ranges."""
+    docs, put_back = set_aside(docs, [*KEY, "sd_spans", "sd_bytes"])
     keyed, spans = repeated_spans(docs, length, text_col=text_col, id_col=id_col, **names)
-    return _joined(keyed, spans, "sd_spans").withColumn("sd_bytes", F.col("sd_len")).drop(*KEY)
+    return put_back(_joined(keyed, spans, "sd_spans").withColumn("sd_bytes", F.col("sd_len")).drop(*KEY))
 
 
 def with_passages(docs: DataFrame, words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` plus sd_passages, the maximal runs, in words, of passages of at least so many words that stand anywhere
     else too, whatever their bytes and the white space between their words."""
-    coded = free_name(docs, "sd_coded")
+    docs, put_back = set_aside(docs, [*KEY, "sd_coded", "sd_passages"])
 
     def code(texts: pd.Series) -> pd.Series:
         return pd.Series([coded_words(t.encode("utf-8", "replace")) for t in texts], dtype=object)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed, spans = repeated_spans(docs.withColumn(coded, series_udf(code, "string")(text)), words * UNIT, text_col=coded, id_col=id_col, unit=UNIT)
+    keyed, spans = repeated_spans(docs.withColumn("sd_coded", series_udf(code, "string")(text)), words * UNIT, text_col="sd_coded", id_col=id_col, unit=UNIT)
     in_words = spans.select(*KEY, *[(F.col(c) / UNIT).cast("long").alias(c) for c in ("start", "stop")])
-    return _joined(keyed, in_words, "sd_passages").drop(coded, *KEY)
+    return put_back(_joined(keyed, in_words, "sd_passages").drop("sd_coded", *KEY))
 
 
 def span_total(col: str) -> Column:
@@ -599,6 +601,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     between their words.
     """
     small_batches(docs.sparkSession)
+    names, (docs, put_back) = docs.columns, set_aside(docs, [*KEY, "sd_spans", "sd_bytes", "sd_coded", "sd_passages"])
     none = F.array().cast("array<struct<start: long, stop: long>>")
     found = with_spans(docs.withColumn("sd_passages", none) if words is None else with_passages(docs, words, text_col, id_col), length, text_col, id_col)
 
@@ -616,4 +619,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
 
     untouched = F.col(text_col).isNull() | ((F.size("sd_spans") == 0) & (F.size("sd_passages") == 0))
     clean = F.when(untouched, F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans"), F.col("sd_passages")))
-    return found.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])
+    return put_back(found.withColumn(text_col, clean).select(*columns(docs.columns))).select(*columns(names))

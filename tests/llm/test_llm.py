@@ -206,6 +206,51 @@ def test_resharding_keeps_untouched_shards(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect())
 
 
+def test_resharding_moves_least(spark):
+    """Against the transport problem worked out over plain rows: what moves is the least, up to a document a transfer."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(5000), F.lit(5300)))))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    size = {i: len((t or "").encode()) + 1 for i, t in rows.items()}
+    old_of = {i: zlib.crc32((t or "").encode()) % 5 for i, t in rows.items()}
+    out, path = resharding.rewrite(docs, F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(5)), 7, block_rows=100)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: r["text"] for i, r in got.items()} == rows and all(got[i]["rs_size"] == size[i] and got[i]["rs_old"] == old_of[i] for i in rows)
+    total, biggest = sum(size.values()), max(size.values())
+    held = [sum(size[i] for i, r in got.items() if r["rs_shard"] == j) for j in range(7)]
+    assert max(abs(h - total / 7) for h in held) <= 6 * biggest
+    old = Counter()
+    for i in rows:
+        old[old_of[i]] += size[i]
+    least = sum(max(0, old[j] - total / 7) for j in old)
+    moved = {i for i, r in got.items() if r["rs_shard"] != r["rs_old"]}
+    assert least - 12 * biggest <= sum(size[i] for i in moved) <= least + 12 * biggest
+    written = {r["doc_id"] for r in spark.read.parquet(path).select("doc_id").collect()}
+    assert written == moved
+    for j in range(7):
+        assert sorted(r["rs_slot"] for r in got.values() if r["rs_shard"] == j) == list(range(sum(r["rs_shard"] == j for r in got.values())))
+
+
+def test_clashing_names(spark):
+    """Columns that bear the operators' own names come through with their values; new ones get other names."""
+    names = ["sd_unit", "sd_len", "SD_SPANS", "sd_passages", "mix_size", "mix_copies", "rs_size", "rs_block", "qr_ratio", "qr_keep", "nd_id", "fp", "node", "block", "anchor", "text_", "a`b c"]
+    docs = spark.createDataFrame([(i, f"some words {i % 3} " * (i % 4 * 30), "s", *[f"{n}{i}" for n in names]) for i in range(12)], ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    own = lambda df: sorted(tuple(r) for r in df.select(*[F.col(f"`{n.replace('`', '``')}`") for n in ["doc_id", *names]]).distinct().collect())
+    want = own(docs)
+    assert own(suffixdedup.with_spans(docs, 40)) == want == own(suffixdedup.with_passages(docs, 51)) == own(suffixdedup.without_repeats(docs, 40, words=51))
+    assert {"_sd_spans", "sd_bytes"} <= {c.lower() for c in suffixdedup.with_spans(docs, 40).columns}
+    mixed = mixing.with_copies(docs)
+    assert own(mixed) == want and "_mix_size" in mixed.columns and set(own(mixing.mix(docs))) <= set(want) and mixing.mix(docs).columns == docs.columns
+    shards, _ = resharding.rewrite(docs, F.lit(0), 3)
+    assert own(shards) == want and "_rs_size" in shards.columns
+    scored = quality.ImportanceResampler.fit(docs, labels).resample(docs)
+    assert own(scored) == want and "_qr_keep" in scored.columns
+    kept = simhash.keep_one(docs)
+    assert set(own(kept)) <= set(want) and kept.columns == docs.columns
+    assert docs.select(toxicity.Toxicity.fit(docs, labels, train_on=F.lit(True)).score(docs)).count() == 12
+
+
 def test_resharding_odd(spark):
     docs = odd_docs(spark)
     out, path = resharding.rewrite(docs, F.lit(0), 3)
