@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, mixing, quality, queries, simhash, suffixdedup
-from ledgerloom.llm.common import scratch_path, table
+from ledgerloom.llm.common import columns, free_name, scratch_path, table
 from ledgerloom.llm.queries import vocabulary_path
 
 
@@ -21,7 +21,7 @@ PASSAGE = queries.PASSAGE
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the importance sample go."""
     model = quality.ImportanceResampler.fit(docs, table(spark, sf_dir, "labels"))
-    return model.resample(docs).where("qr_keep").select(*[f"`{c}`" for c in docs.columns])
+    return model.resample(docs).where(F.col(free_name(docs, "qr_keep"))).select(*columns(docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
