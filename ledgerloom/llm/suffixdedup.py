@@ -50,6 +50,7 @@ FLUSH, CHUNK = 500_000, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
+WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Columns that identify a text: a hash, a checksum and its length.
 KEY = ["sd_unit", "sd_crc", "sd_len"]
@@ -135,11 +136,16 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
 
 
-def coded_words(raw: bytes) -> str:
-    """``UNIT`` characters a word: 56 bits of its hash, seven to a character, so each is one byte."""
+def coded_words(raw: bytes) -> bytes:
+    """``UNIT`` bytes a word: its hash."""
     start, stop = word_bounds(raw)
-    h = _stretch(_sums(raw), start, stop)
-    return (h.astype(">u8").view(np.uint8) & np.uint8(0x7F)).tobytes().decode("ascii")
+    return _stretch(_sums(raw), start, stop).tobytes()
+
+
+def _symbols(text: str, unit: int) -> bytes:
+    """What is sorted: the bytes of a text, or the codes of its words."""
+    raw = text.encode("utf-8", "replace")
+    return raw if unit == 1 else coded_words(raw)
 
 
 def surroundings(n: int, place: int, length: int, width: int) -> tuple[int, int]:
@@ -283,7 +289,7 @@ def _names(length: int, unit: int):
     def make(b: pd.DataFrame):
         key, raws, size, first = b[KEY].to_numpy(np.int64), [], 0, 0
         for i, text in enumerate(b["text"]):
-            raws.append(text.encode("utf-8", "replace"))
+            raws.append(_symbols(text, unit))
             size += len(raws[-1])
             if size > CHUNK:
                 yield chunk(raws, key[first : i + 1])
@@ -299,12 +305,12 @@ def _repeated_names(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.
     return _table(e, anchor=e.names[:, 0].astype(np.int64))
 
 
-def _around(length: int, width: int):
+def _around(length: int, width: int, unit: int):
     """The sample places with a repeated name, named by their whole surroundings too."""
 
     def make(b: pd.DataFrame):
         for key, text, at in zip(b[KEY].to_numpy(np.int64), b["text"], b["at"]):
-            raw, out = text.encode("utf-8", "replace"), []
+            raw, out = _symbols(text, unit), []
             for x in at:
                 i, j = surroundings(len(raw), x["place"], length, width)
                 out.append((x["anchor"] & 0xFFFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(raw[i:j], seed=x["place"] - i + 1)))
@@ -328,7 +334,7 @@ def _windows(length: int, width: int, unit: int):
 
     def make(b: pd.DataFrame):
         for key, text, wanted in zip(b[KEY].to_numpy(np.int64), b["text"], b["wanted"]):
-            raw, own = text.encode("utf-8", "replace"), {}
+            raw, own = _symbols(text, unit), {}
             for w in wanted:
                 if w["block"]:
                     for i in range(w["place"] % unit + max(0, (w["place"] - (length - width)) // unit * unit), min(w["place"], len(raw) - length) + 1, unit):
@@ -352,7 +358,7 @@ def _repeated_windows_of(length: int):
 # --- suffixes of a block -----------------------------------------------------------------------------------------
 
 
-def _contexts(length: int, width: int, rows: int = 4000):
+def _contexts(length: int, width: int, unit: int, rows: int = 4000):
     """A row with its surroundings for each wanted place, some thousand at a time."""
 
     def run(batches):
@@ -360,7 +366,7 @@ def _contexts(length: int, width: int, rows: int = 4000):
         frame = lambda: pd.DataFrame(out, columns=["anchor", "single", "before", "around", *KEY, "place"])
         for b in batches:
             for text, wanted, *key in b[["text", "wanted", *KEY]].itertuples(index=False):
-                raw = text.encode("utf-8", "replace")
+                raw = _symbols(text, unit)
                 for w in wanted:
                     i, j = surroundings(len(raw), w["place"], length, width)
                     out.append((w["anchor"], w["single"], w["place"] - i, raw[i:j], *key, w["place"]))
@@ -480,11 +486,12 @@ def _few(df: DataFrame, limit: int = FEW) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """``docs`` with the key of its text (``KEY``), and the repeated spans (``KEY``, start, stop), which may overlap. Spans of equal texts stand there once.
 
-    With ``unit``, only windows that start at its multiples count; ``length`` is one too."""
+    With ``unit`` the texts stand for the codes of their words, of so many bytes each; ``length`` is a multiple of it."""
     small_batches(docs.sparkSession)
     width = cover_width(length, unit)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text).cast("long")])))
+    size = F.octet_length(text) if unit == 1 else F.regexp_count(text, F.lit(WORD)) * unit
+    keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), size.cast("long")])))
     long = keyed.where(F.col("sd_len") >= length)
     copies = cut(long.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1"))
     whole = copies.select(*KEY, F.lit(0).cast("long").alias("start"), F.col("sd_len").alias("stop"))
@@ -492,7 +499,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     once = marked.where(F.col("n").isNull() | F.col("own_id").eqNullSafe(F.col("first_id"))).select("text", *KEY)
     names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, place long, anchor long"), "names")
     at = names.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
-    kinds = stored(_by_name(_of_texts(once, at), _around(length, width), 2, _settled, f"{KINDS}, place long, anchor long, kind int"), "kinds")
+    kinds = stored(_by_name(_of_texts(once, at), _around(length, width, unit), 2, _settled, f"{KINDS}, place long, anchor long, kind int"), "kinds")
     # Places with equal surroundings: all their windows are repeated.
     start, stop = F.greatest(F.lit(0), F.col("place") - (length - width)), F.least(F.col("sd_len"), F.col("place") + length)
     equal = kinds.where(F.col("kind") == SETTLED).select(*KEY, start.alias("start"), stop.alias("stop"))
@@ -502,7 +509,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     wanted = members.join(sizes, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "place", "single", "block")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     small = F.filter("wanted", lambda w: ~w["block"])
-    contexts = _of_texts(once, wanted.withColumn("wanted", small).where(F.size("wanted") > 0)).mapInPandas(tidying(_contexts(length, width)), f"anchor long, single boolean, before int, around binary, {KINDS}, place long")
+    contexts = _of_texts(once, wanted.withColumn("wanted", small).where(F.size("wanted") > 0)).mapInPandas(tidying(_contexts(length, width, unit)), f"anchor long, single boolean, before int, around binary, {KINDS}, place long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     resolved = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(tidying(_resolve(length, width, unit)), f"{KINDS}, start long, stop long")
     spans = whole.unionByName(equal).unionByName(resolved)
@@ -561,15 +568,10 @@ def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id
 def with_passages(docs: DataFrame, words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` plus sd_passages, the maximal runs, in words, of passages of at least so many words that stand anywhere
     else too, whatever their bytes and the white space between their words."""
-    docs, put_back = set_aside(docs, [*KEY, "sd_coded", "sd_passages"])
-
-    def code(texts: pd.Series) -> pd.Series:
-        return pd.Series([coded_words(t.encode("utf-8", "replace")) for t in texts], dtype=object)
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed, spans = repeated_spans(docs.withColumn("sd_coded", series_udf(code, "string")(text)), words * UNIT, text_col="sd_coded", id_col=id_col, unit=UNIT)
+    docs, put_back = set_aside(docs, [*KEY, "sd_passages"])
+    keyed, spans = repeated_spans(docs, words * UNIT, text_col=text_col, id_col=id_col, unit=UNIT)
     in_words = spans.select(*KEY, *[(F.col(c) / UNIT).cast("long").alias(c) for c in ("start", "stop")])
-    return put_back(_joined(keyed, in_words, "sd_passages").drop("sd_coded", *KEY))
+    return put_back(_joined(keyed, in_words, "sd_passages").drop(*KEY))
 
 
 def span_total(col: str) -> Column:
@@ -601,7 +603,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     between their words.
     """
     small_batches(docs.sparkSession)
-    names, (docs, put_back) = docs.columns, set_aside(docs, [*KEY, "sd_spans", "sd_bytes", "sd_coded", "sd_passages"])
+    names, (docs, put_back) = docs.columns, set_aside(docs, [*KEY, "sd_spans", "sd_bytes", "sd_passages"])
     none = F.array().cast("array<struct<start: long, stop: long>>")
     found = with_spans(docs.withColumn("sd_passages", none) if words is None else with_passages(docs, words, text_col, id_col), length, text_col, id_col)
 
