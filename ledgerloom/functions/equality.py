@@ -15,14 +15,33 @@ def _both(a: str, b: str, name: str) -> Column:
     return F.col(f"{a}_{name}").eqNullSafe(F.col(f"{b}_{name}"))
 
 
-def x_equal(a: Column, b: Column) -> Column:
-    """Typed values: numbers as numbers, booleans as booleans, else strings; missing equals missing only."""
-    na, nb = a.try_cast("double"), b.try_cast("double")
+#: Types whose values are compared as they are written.
+TEXTUAL = ("stringItemType", "normalizedStringItemType", "tokenItemType", "languageItemType", "NameItemType", "NCNameItemType", "anyURIItemType", "QNameItemType", "string", "normalizedString", "token", "anyURI", "QName")
+
+
+def _exact(c: Column) -> Column:
+    """A number's digits without leading and trailing zeros, of any length; NULL for other texts."""
+    t = F.trim(c)
+    digits = F.regexp_replace(t, r"^[+-]", "")
+    whole, part = F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(1)), "^0+", ""), F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(2)), "0+$", "")
+    sign = F.when(t.startswith("-") & (F.length(F.concat(whole, part)) > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.concat(sign, whole, F.lit("."), part))
+
+
+def x_equal(a: Column, b: Column, a_type: Column | None = None, b_type: Column | None = None) -> Column:
+    """Typed values: numbers by their digits, to any length; booleans as booleans, else strings; missing equals missing only.
+
+    Where declared types are given and one of them is textual, both are compared as written.
+    """
+    na, nb, ea, eb = a.try_cast("double"), b.try_cast("double"), _exact(a), _exact(b)
     flag = lambda c: F.when(c.isin("true", "1"), F.lit(True)).when(c.isin("false", "0"), F.lit(False))
     inf = lambda c: F.upper(c).isin("INF", "-INF")
+    textual = lambda t: F.coalesce(t.isin(*TEXTUAL), F.lit(False)) if t is not None else F.lit(False)
     return (
         F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull())
+        .when(textual(a_type) | textual(b_type), a == b)
         .when(inf(a) | inf(b), F.upper(a) == F.upper(b))
+        .when(ea.isNotNull() & eb.isNotNull(), ea == eb)
         .when(na.isNotNull() & nb.isNotNull(), na == nb)
         .when(flag(a).isNotNull() & flag(b).isNotNull(), flag(a) == flag(b))
         .otherwise(a == b)

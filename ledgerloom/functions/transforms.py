@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Beginnings of month names by language, January to December, alternatives divided by a bar.
 MONTHS = {
     "bg": "ян фев мар апр май|маи юни юли авг сеп окт ное дек",
-    "cs": "led úno|uno bře|bre dub kvě|kve červenc|cervenc|čvc|cvc červ|cerv|čvn|cvn srp zář|zar říj|rij lis pro",
+    "cs": "led úno|uno bře|bre dub kvě|kve čvn|cvn čvc|cvc srp zář|zar říj|rij lis pro",
     "da": "jan feb mar apr maj jun jul aug sep okt nov dec",
     "de": "jan|jän|jaen feb mär|maer|mar apr mai jun jul aug sep okt nov dez",
     "el": "ιαν|ίαν|iαν φεβ μάρ|μαρ απρ|άπρ|aπρ|αρίλ|άρίλ|αριλ|άριλ|aρίλ|aριλ μαΐ|μαι|μάι|μαϊ|μάϊ ιούν|ίούν|ίουν|ιουν|iούν|iουν ιούλ|ίούλ|ίουλ|ιουλ|iούλ|iουλ αύγ|αυγ σεπ οκτ|όκτ|oκτ νοέ|νοε δεκ",
@@ -39,8 +39,9 @@ MONTHS = {
     "sl": "jan feb mar apr maj jun jul avg sep okt nov dec",
     "hi": "जनवरी फरवरी|फ़रवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर|सितम्बर अक्टूबर|अक्तूबर नवंबर|नवम्बर दिसंबर|दिसम्बर",
 }
-#: Czech lists July before June above, as its name begins with June's.
-MONTH_ORDER = {"cs": [1, 2, 3, 4, 5, 7, 6, 8, 9, 10, 11, 12]}
+#: Czech names are whole words, after a day in one case, with a year alone in three.
+CZECH_DAY = "ledna února|unora března|brezna dubna května|kvetna června|cervna července|cervence srpna září|zari října|rijna listopadu prosince"
+CZECH_MONTH = "leden|ledna|lednu únor|unor|února|unora|únoru|unoru březen|brezen|března|brezna|březnu|breznu duben|dubna|dubnu květen|kveten|května|kvetna|květnu|kvetnu červen|cerven|června|cervna|červnu|cervnu červenec|cervenec|července|cervence|červenci|cervenci srpen|srpna|srpnu září|zari říjen|rijen|října|rijna|říjnu|rijnu listopad|listopadu prosinec|prosince|prosinci"
 LONG_EN = "January February March April May June July August September October November December".split()
 SHORT_EN = [m[:3] for m in LONG_EN]
 ROMAN = "I II III IV V VI VII VIII IX X XI XII".split()
@@ -64,6 +65,26 @@ def _group(c: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
+MARK = "\x1f"
+
+
+def _fields(c: Column, pattern: str, groups: tuple[int, ...], build) -> Column:
+    """``build`` of groups of a pattern that spans the whole text, matched once a row; NULL where it doesn't match."""
+    found = F.split(F.regexp_replace(F.translate(c, MARK, " "), pattern, MARK.join(f"${i}" for i in groups)), MARK)
+    field = lambda parts, i: F.nullif(F.element_at(parts, i + 1), F.lit(""))
+    return _once(found, lambda parts: F.when(F.size(parts) == len(groups), build(*[field(parts, i) for i in range(len(groups))])))
+
+
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _last_day(month: Column, year: Column | None = None) -> Column:
+    leap = F.lit(True) if year is None else (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).when(month.between(1, 12), 31)
+
+
 def _two(c: Column) -> Column:
     return F.lpad(c.try_cast("int").cast("string"), 2, "0")
 
@@ -77,10 +98,10 @@ def _month_table(names: list[tuple[str, int]]) -> Column:
     return F.create_map(*[F.lit(x) for name, n in names for x in (name, n)])
 
 
-def _named(language: str) -> tuple[str, list[tuple[str, int]]]:
+def _named(language: str, shape: str = "") -> tuple[str, list[tuple[str, int]]]:
     """Pattern of the month names of a language and what they mean, longer names first."""
-    order = MONTH_ORDER.get(language, range(1, 13))
-    names = [(name, n) for n, group in zip(order, MONTHS[language].split()) for name in group.split("|")]
+    lists = [MONTHS[language]] + ([CZECH_MONTH if shape == "my" else CZECH_DAY] if language == "cs" else [])
+    names = [(name, n) for each in lists for n, group in enumerate(each.split(), 1) for name in group.split("|")]
     names.sort(key=lambda x: -len(x[0]))
     return "(" + "|".join(n for n, _ in names) + ")", names
 
@@ -90,23 +111,33 @@ def _month(text: Column, names) -> Column:
 
 
 def _date(c: Column, pattern: str, day: int, month: int, year: int, names=None, clean=None) -> Column:
-    c = clean(c) if clean else c
-    y, d = year4(_group(c, pattern, year)), _group(c, pattern, day)
-    out = F.concat_ws("-", y, _two(_month(_group(c, pattern, month), names)), _two(d))
-    whole = F.length(out) >= 10  # a part that is missing leaves a shorter text
-    return F.when(whole & F.try_to_timestamp(out, F.lit("yyyy-MM-dd")).isNotNull(), out)
+    def build(d: Column, m: Column, y: Column) -> Column:
+        return _valid_date(year4(y), _month(m, names), d.try_cast("int"))
+
+    return _fields(clean(c) if clean else c, pattern, (day, month, year), build)
+
+
+def _valid_date(y: Column, m: Column, d: Column) -> Column:
+    def build(v: Column) -> Column:
+        n = v["y"].try_cast("int")
+        return F.when((n >= 1) & (v["d"] >= 1) & (v["d"] <= _last_day(v["m"], n)), F.concat_ws("-", v["y"], _two(v["m"]), _two(v["d"])))
+
+    return _once(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), build)
 
 
 def _month_day(c: Column, pattern: str, day: int, month: int, names=None) -> Column:
-    d, m = _group(c, pattern, day).try_cast("int"), _month(_group(c, pattern, month), names)
-    last = F.when(m == 2, 29).when(m.isin(4, 6, 9, 11), 30).when(m.between(1, 12), 31)
-    return F.when((d >= 1) & (d <= last), F.concat(F.lit("--"), _two(m), F.lit("-"), _two(d)))
+    def build(d: Column, m: Column) -> Column:
+        d = d.try_cast("int")
+        return _once(_month(m, names), lambda m: F.when((d >= 1) & (d <= _last_day(m)), F.concat(F.lit("--"), _two(m), F.lit("-"), _two(d))))
+
+    return _fields(c, pattern, (day, month), build)
 
 
 def _year_month(c: Column, pattern: str, month: int, year: int, names=None, clean=None) -> Column:
-    c = clean(c) if clean else c
-    m, y = _month(_group(c, pattern, month), names), _group(c, pattern, year)
-    return F.when(m.between(1, 12) & y.isNotNull(), F.concat_ws("-", year4(y), _two(m)))
+    def build(m: Column, y: Column) -> Column:
+        return _once(_month(m, names), lambda m: F.when(m.between(1, 12) & y.isNotNull(), F.concat_ws("-", year4(y), _two(m))))
+
+    return _fields(clean(c) if clean else c, pattern, (month, year), build)
 
 
 def _whole(body: str, flags: str = "") -> str:
@@ -125,19 +156,19 @@ def _constant(value: str):
 def _slash(c: Column, mark: str, day: int, month: int) -> Column:
     """Plain digits between marks, rearranged without a calendar check."""
     p = _whole(rf"(\d+){mark}(\d+){mark}(\d+)")
-    return F.when(c.rlike(p), F.concat_ws("-", year4(F.regexp_extract(c, p, 3)), _two(_group(c, p, month)), _two(_group(c, p, day))))
+    return _fields(c, p, (day, month, 3), lambda d, m, y: F.concat_ws("-", year4(y), _two(m), _two(d)))
 
 
 def _short(c: Column, day: int, month: int) -> Column:
     p = _whole(r"([0-9]{1,2})/([0-9]{1,2})")
-    return F.when(c.rlike(p), F.concat(F.lit("--"), _two(_group(c, p, month)), F.lit("-"), _two(_group(c, p, day))))
+    return _fields(c, p, (day, month), lambda d, m: F.concat(F.lit("--"), _two(m), F.lit("-"), _two(d)))
 
 
 def _unit_number(c: Column, indian: bool = False) -> Column:
     """A major and a minor unit with words after them: 2 dollars 5 cents is 2.05."""
     c = F.translate(c, WIDE_DIGITS[0] + "，．", WIDE_DIGITS[1] + ",.")
     p = _whole(r"([0-9][0-9,. " + NBSP + r"]*)([^0-9]+)([0-9]{1,2})([^0-9]*)") if indian else r"^([0-9.,]+)([^0-9.,][^0-9]*)([0-9]{1,2})[^0-9]*$"
-    return F.when(c.rlike(p), F.concat(F.translate(_group(c, p, 1), ",. " + NBSP, ""), F.lit("."), F.lpad(_group(c, p, 3), 2, "0")))
+    return _fields(c, p, (1, 3), lambda major, minor: F.concat(F.translate(major, ",. " + NBSP, ""), F.lit("."), F.lpad(minor, 2, "0")))
 
 
 def _canonical(c: Column) -> Column:
@@ -155,13 +186,14 @@ def _era(c: Column, with_day: bool) -> Column:
     c = F.translate(c, *WIDE_DIGITS)
     space = r"[\s　]*"
     p = "^" + space + "(" + "|".join(sorted(ERAS, key=len, reverse=True)) + ")" + space + "([0-9]{1,2}|元)" + space + "年" + space + "([0-9]{1,2})" + space + "月" + space + ("([0-9]{1,2})" + space + "日" + space if with_day else "") + "$"
-    base = F.try_element_at(F.create_map(*[F.lit(x) for kv in ERAS.items() for x in kv]), _group(c, p, 1))
-    y = (base + F.when(_group(c, p, 2) == "元", 1).otherwise(_group(c, p, 2).try_cast("int"))).cast("string")
-    m = _group(c, p, 3).try_cast("int")
-    if not with_day:
-        return F.when(m.between(1, 12), F.concat_ws("-", y, _two(m)))
-    out = F.concat_ws("-", y, _two(m), _two(_group(c, p, 4)))
-    return F.when(c.rlike(p) & F.try_to_timestamp(out, F.lit("yyyy-MM-dd")).isNotNull(), out)
+    first = F.create_map(*[F.lit(x) for kv in ERAS.items() for x in kv])
+
+    def build(era: Column, n: Column, m: Column, d: Column | None = None) -> Column:
+        y = (F.try_element_at(first, era) + F.when(n == "元", 1).otherwise(n.try_cast("int"))).cast("string")
+        m = m.try_cast("int")
+        return F.when(m.between(1, 12), F.concat_ws("-", y, _two(m))) if d is None else _valid_date(y, m, d.try_cast("int"))
+
+    return _fields(c, p, (1, 2, 3, 4) if with_day else (1, 2, 3), build)
 
 
 def _saka(c: Column) -> Column:
@@ -194,8 +226,10 @@ def _roman(c: Column, kind: str) -> Column:
 
 def _by_name(language: str, shape: str):
     """Formats with a month name: the shape names day, month and year in order."""
-    pattern, names = _named(language)
+    pattern, names = _named(language, shape)
     tail = "" if language == "en" else "[^0-9]*?"
+    if language == "cs":  # whole words: no letter may follow
+        tail = r"\.?" if shape == "dm" else r"(?![0-9a-zA-Z])"
     flags = "(?iu)"
     gap = r"[^0-9]*[^0-9\p{L}]" if language in ("fi", "pl", "lt") else GAP
     end_day = "[^0-9]{0,2}" if language == "en" else "[^0-9]*"

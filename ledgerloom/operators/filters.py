@@ -6,7 +6,7 @@ variables are join conditions: they give the name of the variable and the aspect
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,32 @@ class Filter:
     match: tuple | None = None  # (variable, aspects) for filters that refer to another variable
     semi: DataFrame | None = None  # concepts or facts that may stay, by the columns it has
     uncovers: frozenset = frozenset()
+    parts: tuple = ()  # filters that a combination is made of
+    any_part: bool = False  # one of them is enough
+
+    def leaves(self) -> list["Filter"]:
+        return [x for f in self.parts for x in f.leaves()] if self.parts else [self]
+
+    def truth(self, leaf) -> Column:
+        """The combination's truth from that of its leaves (each before its own complement)."""
+        if not self.parts:
+            out = leaf(self)
+        else:
+            out = F.lit(not self.any_part)
+            for f in self.parts:
+                out = (out | f.truth(leaf)) if self.any_part else (out & f.truth(leaf))
+        return ~out if self.complement else out
 
     def column(self) -> Column:
-        test = F.coalesce(self.test, F.lit(False)) if self.test is not None else F.lit(True)
-        return ~test if self.complement else test
+        if any(f.semi is not None or f.match for f in self.leaves()):
+            raise ValueError("a filter that needs a join has no column; give it to a variable")
+        return self.truth(lambda f: F.coalesce(f.test, F.lit(False)) if f.test is not None else F.lit(True))
 
     def covered(self) -> frozenset:
         return self.covers if self.cover else frozenset()
 
     def __invert__(self) -> "Filter":
-        return Filter(self.test, self.covers, not self.complement, self.cover, self.match, self.semi, self.uncovers)
+        return replace(self, complement=not self.complement)
 
 
 def _make(test: Column, *covers: str) -> Filter:
@@ -213,17 +229,18 @@ def location_filter(variable: str, up: int = 1) -> Filter:
 
 
 def and_filter(*filters: Filter) -> Filter:
-    test = F.lit(bool(filters))
-    for f in filters:
-        test = test & f.column()
-    return Filter(test, frozenset().union(*[f.covered() for f in filters]))
+    """All filters, whatever they need: columns, joins, or another variable. None at all lets nothing through."""
+    return _combined(filters, False)
 
 
 def or_filter(*filters: Filter) -> Filter:
-    test = F.lit(False)
-    for f in filters:
-        test = test | f.column()
-    return Filter(test, frozenset().union(*[f.covered() for f in filters]))
+    """At least one of the filters."""
+    return _combined(filters, True)
+
+
+def _combined(filters: tuple[Filter, ...], any_part: bool) -> Filter:
+    covers = frozenset().union(*[f.covered() for f in filters])
+    return Filter(covers=covers, parts=filters, any_part=any_part) if filters else Filter(F.lit(False), covers)
 
 
 def aspect_cover(*aspects: str, exclude: tuple = ()) -> Filter:

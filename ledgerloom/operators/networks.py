@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("descendant", "child", "ancestor", "parent", "sibling", "sibling-or-descendant", "descendant-or-self", "child-or-self", "ancestor-or-self", "parent-or-self")
-MOST = 64
 
 
 def edges(arcs: DataFrame, role: str | None = None, arcrole: str | None = None, link_name: str | None = None, arc_name: str | None = None) -> DataFrame:
@@ -20,27 +19,31 @@ def edges(arcs: DataFrame, role: str | None = None, arcrole: str | None = None,
     return arcs.withColumn("_n", F.row_number().over(w)).where("_n = 1 and coalesce(`use`, 'optional') <> 'prohibited'").drop("_n")
 
 
-def reach(pairs: DataFrame, sources: DataFrame, generations: int = 0, most: int = MOST) -> DataFrame:
-    """(source, node, depth, path) for all nodes met from ``sources`` (a column ``source``) over (parent, child).
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the checkpoint folder where there is one, which also keeps plans short, else in memory."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
 
-    Each round joins the frontier with the pairs; a node already on its path is not entered again, so cycles end.
-    The plan grows with the depth only, and the frontier is checkpointed where the network is deep.
+
+def reach(pairs: DataFrame, sources: DataFrame, generations: int = 0) -> DataFrame:
+    """(source, node, depth) for all nodes met from ``sources`` (a column ``source``) over (parent, child), at least depth.
+
+    Each round joins the frontier with the pairs and drops what its source has met already, so cycles end, a node with
+    many ways to it is entered once, and the rounds go on until nothing new is met.
     """
-    spark = pairs.sparkSession
-    pairs = pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct()
-    frontier = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path"))
-    found, rounds = None, generations or most
-    deep = spark.sparkContext.getCheckpointDir() is not None
-    for n in range(1, rounds + 1):
-        step = frontier.join(pairs, F.col("node") == F.col("_p")).where(~F.array_contains("path", F.col("_c")))
-        frontier = step.select("source", F.col("_c").alias("node"), F.lit(n).alias("depth"), F.concat("path", F.array("_c")).alias("path"))
+    pairs = settled(pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct())
+    frontier = sources.select("source", F.col("source").alias("node")).distinct()
+    met, found, n = frontier, None, 0
+    while not generations or n < generations:
+        n += 1
+        step = frontier.join(pairs, F.col("node") == F.col("_p")).select("source", F.col("_c").alias("node")).distinct()
+        frontier = step.join(met, ["source", "node"], "left_anti")
         if not generations:
-            frontier = frontier.checkpoint() if deep and n % 8 == 0 else frontier.persist()
+            frontier = settled(frontier)
             if frontier.isEmpty():
                 break
-        found = frontier if found is None else found.unionByName(frontier)
-    empty = frontier.limit(0)
-    return found if found is not None else empty
+        level = frontier.withColumn("depth", F.lit(n))
+        met, found = met.unionByName(frontier), level if found is None else found.unionByName(level)
+    return found if found is not None else frontier.withColumn("depth", F.lit(n)).limit(0)
 
 
 def concept_relationships(arcs: DataFrame, source: str | DataFrame, axis: str, role: str | None = None, arcrole: str | None = None, generations: int = 0, link_name: str | None = None, arc_name: str | None = None) -> DataFrame:
@@ -71,17 +74,26 @@ def concept_relationships(arcs: DataFrame, source: str | DataFrame, axis: str, r
     return out.distinct()
 
 
+def _sortable(n: Column) -> Column:
+    """A number as text that sorts like it: six digits, and a letter that grows with the length before longer ones."""
+    text = n.cast("string")
+    return F.when(F.length(text) <= 6, F.lpad(text, 6, "0")).otherwise(F.concat(F.char(F.length(text) + 58), text))
+
+
 def walk(arcs: DataFrame, root: str, role: str | None = None, arcrole: str | None = None) -> DataFrame:
     """The tree below a root in document order: concept, parent, depth, ord, and a sortable path."""
     spark = arcs.sparkSession
     own = edges(arcs, role, arcrole)
     place = Window.partitionBy("from").orderBy("ord", "priority", "to")
-    own = own.withColumn("_n", F.lpad(F.row_number().over(place).cast("string"), 6, "0")).select(F.col("from").alias("_p"), F.col("to").alias("_c"), F.col("ord").alias("_o"), "_n", F.col("preferred_label").alias("_l")).persist()
+    own = own.withColumn("_n", _sortable(F.row_number().over(place))).select(F.col("from").alias("_p"), F.col("to").alias("_c"), F.col("ord").alias("_o"), "_n", F.col("preferred_label").alias("_l")).persist()
     level = spark.createDataFrame([(root, None, 0, None, None, "", [root])], "concept string, parent string, depth int, ord double, preferred_label string, sort string, path array<string>")
     out = level
-    for depth in range(1, MOST):
+    depth = 0
+    while True:  # a path ends before it meets a concept again, so the walk does too
+        depth += 1
         step = level.join(own, F.col("concept") == F.col("_p")).where(~F.array_contains("path", F.col("_c")))
-        level = step.select(F.col("_c").alias("concept"), F.col("concept").alias("parent"), F.lit(depth).alias("depth"), F.col("_o").alias("ord"), F.col("_l").alias("preferred_label"), F.concat("sort", F.lit("/"), "_n").alias("sort"), F.concat("path", F.array("_c")).alias("path")).persist()
+        level = step.select(F.col("_c").alias("concept"), F.col("concept").alias("parent"), F.lit(depth).alias("depth"), F.col("_o").alias("ord"), F.col("_l").alias("preferred_label"), F.concat("sort", F.lit("/"), "_n").alias("sort"), F.concat("path", F.array("_c")).alias("path"))
+        level = settled(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -140,10 +152,27 @@ def directed_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | Non
 
 
 def undirected_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | None = None) -> DataFrame:
-    """Concepts with two ways to them from one ancestor."""
-    own = edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct()
-    below = reach(own, own.select(F.col("parent").alias("source")).distinct())
-    return below.groupBy("source", "node").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select(F.col("node").alias("concept")).distinct()
+    """Concepts with two ways to them from one ancestor.
+
+    Concepts with a single neighbour are pruned until none is left. Where two ways part, they leave an ancestor by two
+    children, so it is enough to follow what is left from each child of an ancestor with several.
+    """
+    own = settled(edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct())
+    n = own.count()
+    while n:
+        ends = own.select(F.col("parent").alias("c")).unionByName(own.select(F.col("child").alias("c"))).groupBy("c").count()
+        single = ends.where("count = 1").select("c")
+        own = settled(own.join(single.withColumnRenamed("c", "parent"), "parent", "left_anti").join(single.withColumnRenamed("c", "child"), "child", "left_anti").select("parent", "child"))
+        m = own.count()
+        if m == n:
+            break
+        n = m
+    parting = own.join(own.groupBy("parent").count().where("count > 1").select("parent"), "parent", "left_semi")
+    starts = settled(parting.select(F.col("parent").alias("ancestor"), F.col("child").alias("source")))
+    below = reach(own, starts.select("source").distinct()).select("source", "node")
+    met = starts.select("ancestor", F.col("source").alias("via"), F.col("source").alias("node"))
+    met = met.unionByName(starts.join(below, "source").select("ancestor", F.col("source").alias("via"), "node"))
+    return met.groupBy("ancestor", "node").agg(F.count_distinct("via").alias("ways")).where("ways > 1").select(F.col("node").alias("concept")).distinct()
 
 
 def dependency_order(needs: dict[str, set[str]]) -> list[str]:
@@ -155,13 +184,14 @@ def dependency_order(needs: dict[str, set[str]]) -> list[str]:
 
 
 def ancestors_of_facts(facts: DataFrame) -> DataFrame:
-    """(doc_id, fact_id, ancestor_id, depth) over tuples, by repeated self-join."""
-    parent = facts.where("parent_id is not null").select("doc_id", "fact_id", F.col("parent_id").alias("ancestor_id"))
-    level = parent.withColumn("depth", F.lit(1)).persist()
-    out, up = level, parent.select("doc_id", F.col("fact_id").alias("_f"), F.col("ancestor_id").alias("_a"))
-    for depth in range(2, MOST):
-        level = level.alias("l").join(up.alias("u"), (F.col("l.doc_id") == F.col("u.doc_id")) & (F.col("l.ancestor_id") == F.col("u._f"))).select("l.doc_id", "l.fact_id", F.col("u._a").alias("ancestor_id"), F.lit(depth).alias("depth")).persist()
+    """(doc_id, fact_id, ancestor_id, depth) over tuples, by repeated self-join until nothing new is met."""
+    up = settled(facts.where("parent_id is not null").select("doc_id", "fact_id", F.col("parent_id").alias("ancestor_id")))
+    above = up.select(F.col("doc_id").alias("_d"), F.col("fact_id").alias("_f"), F.col("ancestor_id").alias("_a"))
+    level, out, depth = up, up.withColumn("depth", F.lit(1)), 1
+    while True:
+        depth += 1
+        step = level.join(above, (F.col("doc_id") == F.col("_d")) & (F.col("ancestor_id") == F.col("_f"))).select("doc_id", "fact_id", F.col("_a").alias("ancestor_id")).distinct()
+        level = settled(step.join(out.select("doc_id", "fact_id", "ancestor_id"), ["doc_id", "fact_id", "ancestor_id"], "left_anti"))
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))

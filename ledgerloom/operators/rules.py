@@ -31,6 +31,8 @@ class FactVariable:
     fallback: str | None = None
     matches: bool = False
     nils: bool = False
+    #: A sequence's sums, counts and so on (sum, count, avg, min, max) instead of its items: partial sums, no arrays.
+    aggregates: tuple[str, ...] = ()
 
     def covered(self) -> set[str]:
         out: set[str] = set()
@@ -82,23 +84,52 @@ class VariableSet:
     implicit_filtering: bool = True
     dimensional: bool = True
     dimensions: list[str] = field(default_factory=list)  # dimensions that filters treat one by one
+    unique_facts: bool = False  # the caller's facts have unique ids, so that equal evaluations can't come up
+
+
+def _pieces(expression: str) -> list[tuple[str, bool]]:
+    """An expression cut into text and string literals (true)."""
+    return [(x, x[0] in "'\"") for x in re.split(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")""", expression) if x]
 
 
 def _replace(expression: str, names: dict[str, str]) -> str:
-    for n, e in names.items():
-        expression = re.sub(rf"\${re.escape(n)}\b", lambda _, e=e: f"({e})", expression)
-    return expression
+    def one(text: str) -> str:
+        return re.sub(r"\$([A-Za-z_]\w*)", lambda m: f"({names[m[1]]})" if m[1] in names else m[0], text)
+
+    return "".join(x if quoted else one(x) for x, quoted in _pieces(expression))
+
+
+def _call(expression: str, name: str) -> tuple[int, int, list[str]] | None:
+    """The first call of a function outside string literals: where it starts and stops, and its arguments."""
+    quoted, at = [], 0
+    for x, is_text in _pieces(expression):
+        quoted += [is_text] * len(x)
+    for m in re.finditer(rf"(?<![\w.]){re.escape(name)}\(", expression):
+        if quoted[m.start()]:
+            continue
+        depth, args, at = 1, [], m.end()
+        for i in range(m.end(), len(expression)):
+            if quoted[i]:
+                continue
+            depth += (expression[i] in "([{") - (expression[i] in ")]}")
+            if depth == 0 or (depth == 1 and expression[i] == ","):
+                args.append(expression[at:i].strip())
+                at = i + 1
+            if depth == 0:
+                return m.start(), i + 1, [a for a in args if a] if len(args) == 1 else args
+        raise ValueError(f"{name} has no closing bracket: {expression}")
+    return None
 
 
 def compile_expression(expression: str, rule: VariableSet, parameters: dict[str, str]) -> str:
-    """$variables and $parameters to columns and constants, custom functions to what they compute."""
+    """$variables and $parameters to columns and constants, custom functions to what they compute, to any depth of calls."""
     out = _replace(expression, parameters)
     for f in rule.functions:
-        pattern = re.compile(rf"\b{re.escape(f.name)}\(((?:[^()]|\([^()]*\))*)\)")
-        while m := pattern.search(out):
-            args = re.split(r",(?![^(]*\))", m[1]) if m[1].strip() else []
-            out = out[: m.start()] + f"({f.expand([a.strip() for a in args])})" + out[m.end() :]
-    return re.sub(r"\$([A-Za-z_][A-Za-z0-9_]*)", r"`\1`", out)
+        while found := _call(out, f.name):
+            start, stop, args = found
+            out = out[:start] + f"({f.expand(args)})" + out[stop:]
+    column = lambda text: re.sub(r"\$([A-Za-z_]\w*)", r"`\1`", text)
+    return "".join(x if quoted else column(x) for x, quoted in _pieces(out))
 
 
 def resolve_parameters(rule: VariableSet, given: dict[str, str] | None = None) -> dict[str, str]:
@@ -111,17 +142,54 @@ def resolve_parameters(rule: VariableSet, given: dict[str, str] | None = None) -
     return out
 
 
+def _joins(f: Filter) -> bool:
+    return any(x.match for x in f.leaves())
+
+
+def _marked(df: DataFrame, f: Filter, marks: dict[int, str]) -> DataFrame:
+    """``df`` with a column for each leaf that asks whether a row is in another table."""
+    for leaf in f.leaves():
+        if leaf.semi is not None:
+            special = [c for c in leaf.semi.columns if c.startswith("member of ")]
+            for c in special:
+                df = df.withColumn(c, F.try_element_at("dims", F.lit(c.removeprefix("member of "))))
+            name = f"test_{len(marks)}"
+            df = df.join(leaf.semi.distinct().withColumn(name, F.lit(True)), leaf.semi.columns, "left").drop(*special)
+            marks[id(leaf)] = name
+    return df
+
+
+def _leaf(marks: dict[int, str]):
+    def test(f: Filter) -> Column:
+        own = F.coalesce(f.test, F.lit(False)) if f.test is not None else F.lit(True)
+        return own & F.col(marks[id(f)]).isNotNull() if f.semi is not None else own
+
+    return test
+
+
 def _filtered(wide: DataFrame, v: FactVariable, rule: VariableSet) -> DataFrame:
+    """The facts that pass a variable's own filters. Of combinations with a filter on another variable the tests are kept
+    as columns test_0, ... for the join."""
     df = wide if v.nils else wide.where("not coalesce(is_nil, false)")
     df = df.where("context_ref is not null")
-    for f in [*rule.group_filters, *v.filters]:
-        if f.test is not None:
-            df = df.where(f.column())
-        if f.semi is not None:
+    for i, f in enumerate([*rule.group_filters, *v.filters]):
+        marks: dict[int, str] = {}
+        if not f.parts and f.semi is not None and not (f.complement and f.test is not None):
             special = [c for c in f.semi.columns if c.startswith("member of ")]
             for c in special:
                 df = df.withColumn(c, F.try_element_at("dims", F.lit(c.removeprefix("member of "))))
             df = df.join(f.semi, f.semi.columns, "left_anti" if f.complement else "left_semi").drop(*special)
+            df = df if f.test is None else df.where(F.coalesce(f.test, F.lit(False)))
+        elif f.parts and _joins(f):
+            if v.bind_as_sequence:
+                raise ValueError("a combination with a filter on another variable can't limit a sequence")
+            df = _marked(df, f, marks)
+            for n, leaf in enumerate(x for x in f.leaves() if not x.match):
+                df = df.withColumn(f"leaf_{i}_{n}", _leaf(marks)(leaf))
+            df = df.drop(*marks.values())
+        elif f.test is not None or f.parts or f.semi is not None:
+            df = _marked(df, f, marks)
+            df = df.where(f.truth(_leaf(marks))).drop(*marks.values())
     return df
 
 
@@ -130,7 +198,7 @@ def _keys(covered: set[str], rule: VariableSet) -> dict[str, Column]:
     out = {a: F.col(c) for a, c in KEYS.items() if a not in covered}
     if "dims" not in covered:
         named = [d for d in covered if d not in ASPECTS]
-        out["dims"] = dims_key(F.coalesce("dims", F.create_map().cast("map<string,string>")), F.coalesce("typed_dims", F.create_map().cast("map<string,string>")), sorted(set(named) | set(rule.dimensions)))
+        out["dims"] = F.col("dims_key") if not named and not rule.dimensions else dims_key(F.coalesce("dims", F.create_map().cast("map<string,string>")), F.coalesce("typed_dims", F.create_map().cast("map<string,string>")), sorted(set(named) | set(rule.dimensions)))
         for d in rule.dimensions:
             if d not in covered:
                 out[d] = F.coalesce(F.try_element_at("dims", F.lit(d)), F.try_element_at("typed_dims", F.lit(d)))
@@ -166,7 +234,7 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
             df = _sequence(df, v, key_cols)
         else:
             shown = F.when(F.col("num").isNotNull(), F.col("num").cast("double"))
-            df = df.select("doc_id", *[c.alias(n) for n, c in key_cols.items()], shown.alias(v.name), *[F.col(c).alias(f"{v.name}__{c}") for c in CARRIED])
+            df = df.select("doc_id", *[c.alias(n) for n, c in key_cols.items()], shown.alias(v.name), *[F.col(c).alias(f"{v.name}__{c}") for c in [*CARRIED, *[c for c in df.columns if c.startswith("leaf_")]]])
         if v.fallback is not None:
             fallbacks.append(v)
         bound = df if bound is None else _join(bound, df, v, uncovered, rule)
@@ -186,10 +254,14 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
 
 
 def _sequence(df: DataFrame, v: FactVariable, key_cols: dict[str, Column]) -> DataFrame:
-    """One row a group of equal uncovered aspects, its values in document order."""
+    """One row a group of equal uncovered aspects, its values in document order, or its aggregates with their number."""
     df = df.withColumns({**key_cols})
     if not v.matches:
         df = df.dropDuplicates(["doc_id", *key_cols, "concept", "entity_key", "period_key", "unit_key", "dims_key", "parent_id"])
+    if v.aggregates:
+        number = F.col("num").cast("double")
+        made = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
+        return df.groupBy("doc_id", *key_cols).agg(F.count(F.lit(1)).alias(v.name), *[made[a](number).alias(f"{v.name}__{a}") for a in v.aggregates])
     items = F.array_sort(F.collect_list(F.struct("ordinal", "fact_id", F.col("num").cast("double").alias("num"))))
     out = df.groupBy("doc_id", *key_cols).agg(F.transform(items, lambda x: x["num"]).alias(v.name), F.transform(items, lambda x: x["fact_id"]).alias(f"{v.name}__fact_ids"), *[F.min(c).alias(f"{v.name}__{c}") for c in CARRIED if c not in ("dims", "typed_dims", "numerator", "denominator", "num")])
     return out
@@ -212,8 +284,29 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
         for own_col, other_col in [] if cols == "uncovered" else cols:
             same = _match_column(v.name, own_col).eqNullSafe(_match_column(other, other_col))
             on = on & (~same if f.complement else same)
+    for i, f in enumerate([*rule.group_filters, *v.filters]):
+        if f.parts and _joins(f):
+            on = on & f.truth(_joined_leaf(f, i, v))
     out = bound.join(right, on, "left" if v.fallback is not None else "inner")
-    return out.drop(f"{v.name}__doc")
+    return out.drop(f"{v.name}__doc", *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
+
+
+def _joined_leaf(f: Filter, number: int, v: FactVariable):
+    """A leaf of a combination in a join: a kept test, or equality with another variable."""
+    plain = [id(x) for x in f.leaves() if not x.match]
+
+    def test(x: Filter) -> Column:
+        if not x.match:
+            return F.col(f"{v.name}__leaf_{number}_{plain.index(id(x))}")
+        other, cols = x.match
+        if cols == "uncovered":
+            raise ValueError("a relative filter can't be part of a combination")
+        same = F.lit(True)
+        for own_col, other_col in cols:
+            same = same & _match_column(v.name, own_col).eqNullSafe(_match_column(other, other_col))
+        return same
+
+    return test
 
 
 def not_used(facts: DataFrame, evaluations: DataFrame, variable: str) -> DataFrame:
@@ -223,7 +316,10 @@ def not_used(facts: DataFrame, evaluations: DataFrame, variable: str) -> DataFra
 
 
 def distinct_evaluations(evaluations: DataFrame, rule: VariableSet) -> DataFrame:
-    """Evaluations with the same facts count once."""
+    """Evaluations with the same facts count once; no shuffle where the rule says that facts are unique and nothing is spread."""
+    spread = any(isinstance(v, GeneralVariable) and not v.bind_as_sequence for v in rule.variables)
+    if rule.unique_facts and not spread:
+        return evaluations
     ids = [f"{v.name}__fact_ids" if v.bind_as_sequence else f"{v.name}__fact_id" for v in rule.variables if isinstance(v, FactVariable)]
     return evaluations.dropDuplicates(["doc_id", *[c for c in ids if c in evaluations.columns]])
 
@@ -254,7 +350,8 @@ class ValueAssertion:
 
 @dataclass
 class ExistenceAssertion:
-    """Counts distinct evaluations; the test sees the count as $count and has a row even where nothing binds."""
+    """Counts each document's distinct evaluations; the test sees the count as $count, and a document in which nothing binds
+    has a row too. An input without documents has one row, with no document and a count of zero."""
 
     id: str
     rule: VariableSet
@@ -263,8 +360,12 @@ class ExistenceAssertion:
     def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
         got = distinct_evaluations(evaluate(self.rule, wide, parameters), self.rule)
         known = resolve_parameters(self.rule, parameters)
+        found = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+        documents = wide.select("doc_id").distinct()
+        counts = documents.join(found, "doc_id", "left").select("doc_id", F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
+        none = wide.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(None).cast("string").alias("doc_id"), F.lit(0).cast("long").alias("count"))
         ok = F.expr(compile_expression(self.test, self.rule, known))
-        return got.agg(F.count(F.lit(1)).alias("count")).select(F.lit(self.id).alias("assertion"), "count", ok.alias("satisfied"))
+        return counts.unionByName(none).select(F.lit(self.id).alias("assertion"), "doc_id", "count", ok.alias("satisfied"))
 
 
 def count_outcomes(results: DataFrame) -> DataFrame:

@@ -128,10 +128,18 @@ def implicit_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS order_key, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS total, max(l_extendedprice) AS most FROM lineitem GROUP BY l_orderkey")
 def sequence_sum(spark: SparkSession, d: str) -> DataFrame:
-    v = _number("p", "extendedprice", filters.aspect_cover("part", "entity", "period"), bind_as_sequence=True, matches=True)
+    v = _number("p", "extendedprice", filters.aspect_cover("part", "entity", "period"), bind_as_sequence=True, matches=True, aggregates=("sum", "max"))
+    e = rules.evaluate(rules.VariableSet([v], dimensions=["order", "part"]), line_facts(spark, d))
+    return e.select(F.col("p__key_order").cast("long").alias("order_key"), F.col("p").alias("n"), F.round("p__sum", 2).alias("total"), F.col("p__max").alias("most"))
+
+
+@query("SELECT l_orderkey AS order_key, CAST(count(*) AS INT) AS n, round(sum(l_discount), 4) AS total FROM lineitem GROUP BY l_orderkey")
+def sequence_items(spark: SparkSession, d: str) -> DataFrame:
+    """A sequence with its items, for rules that need each of them."""
+    v = _number("p", "discount", filters.aspect_cover("part", "entity", "period"), bind_as_sequence=True, matches=True)
     e = rules.evaluate(rules.VariableSet([v], dimensions=["order", "part"]), line_facts(spark, d))
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    return e.select(F.col("p__key_order").cast("long").alias("order_key"), F.size("p").cast("long").alias("n"), F.round(total, 2).alias("total"), F.array_max("p").alias("most"))
+    return e.select(F.col("p__key_order").cast("long").alias("order_key"), F.size("p").alias("n"), F.round(total, 4).alias("total"))
 
 
 @query("""
@@ -170,14 +178,25 @@ def assertion_messages(spark: SparkSession, d: str) -> DataFrame:
 def existence_assertion(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     f = as_facts(ev, F.col("event_type"), F.col("value"), F.col("user_id"), F.col("ts").cast("date"), {"event": F.col("event_id")}, F.lit("pure"), F.col("event_id"))
-    return rules.ExistenceAssertion("none", rules.VariableSet([rules.FactVariable("x", [filters.concept_name("refund")])]), "$count = 0").run(f)
+    return rules.ExistenceAssertion("none", rules.VariableSet([rules.FactVariable("x", [filters.concept_name("refund")])]), "$count = 0").run(f).select("assertion", "count", "satisfied")
 
 
 @query("SELECT 'some' AS assertion, CAST(count(*) AS BIGINT) AS count, count(*) > 0 AS satisfied FROM events WHERE event_type = 'purchase'")
 def existence_some(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     f = as_facts(ev, F.col("event_type"), F.coalesce("value", F.lit(0.0)), F.col("user_id"), F.col("ts").cast("date"), {"event": F.col("event_id")}, F.lit("pure"), F.col("event_id"))
-    return rules.ExistenceAssertion("some", rules.VariableSet([rules.FactVariable("x", [filters.concept_name("purchase")])])).run(f)
+    return rules.ExistenceAssertion("some", rules.VariableSet([rules.FactVariable("x", [filters.concept_name("purchase")])])).run(f).select("assertion", "count", "satisfied")
+
+
+@query("""
+    SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS count, count(*) FILTER (event_type = 'purchase') > 0 AS satisfied
+    FROM events GROUP BY user_id""")
+def existence_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events are a document; those without a purchase are counted with zero."""
+    ev = table(spark, d, "events")
+    f = as_facts(ev, F.col("event_type"), F.coalesce("value", F.lit(0.0)), F.col("user_id"), F.col("ts").cast("date"), {"event": F.col("event_id")}, F.lit("pure"), F.col("event_id"))
+    f = f.withColumn("doc_id", F.col("entity"))
+    return rules.ExistenceAssertion("some", rules.VariableSet([rules.FactVariable("x", [filters.concept_name("purchase")])])).run(f).select("doc_id", "count", "satisfied")
 
 
 def _charges(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +233,7 @@ def derived_facts(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
     sums = as_facts(lines, F.lit("quantity"), F.col("q"), F.lit("e"), F.lit("2000-01-01").cast("date"), {"order": F.col("l_orderkey")}, F.lit("pure"), F.concat(F.lit("l-"), "l_orderkey"))
     cover = filters.aspect_cover("unit", "entity", "period")
-    rule = rules.VariableSet([rules.FactVariable("t", [filters.concept_name("totalprice"), cover]), rules.FactVariable("q", [filters.concept_name("quantity"), cover])], functions=[rules.Function("ratio", ["a", "b"], "$top / $b", [("top", "$a")])])
+    rule = rules.VariableSet([rules.FactVariable("t", [filters.concept_name("totalprice"), cover]), rules.FactVariable("q", [filters.concept_name("quantity"), cover])], unique_facts=True, functions=[rules.Function("ratio", ["a", "b"], "$top / $b", [("top", "$a")])])
     f = rules.Formula("average", rule, "ratio($t, $q)", concept="'average'", source="t", divide_by=["q"])
     got = f.run(order_facts(spark, d).unionByName(sums))
     return got.select(got["dims"]["order"].cast("long").alias("order_key"), F.col("derived").alias("average"), F.col("unit_key").alias("unit"))
@@ -316,6 +335,55 @@ def network_cycles(spark: SparkSession, d: str) -> DataFrame:
     return networks.directed_cycles(place_arcs(spark, d))
 
 
+@query("""
+    WITH back AS (SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 100 = 7)
+    SELECT c_name AS concept FROM back UNION SELECT n_name FROM back UNION SELECT r_name FROM back""")
+def network_back_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs from some customers back to their region close cycles through their nation."""
+    c = table(spark, d, "customer").where("c_custkey % 100 = 7").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    arcs = place_arcs(spark, d)
+    own = {"from": F.col("c_name"), "to": F.col("r_name"), "role": F.lit("place"), "arcrole": F.lit("parent-child"), "ord": F.lit(1.0), "weight": F.lit(1.0), "priority": F.lit(0), "use": F.lit("optional"), "link_name": F.lit("link"), "arc_name": F.lit("arc")}
+    back = c.select(*[own.get(n, F.lit(None).cast(kind)).alias(n) for n, kind in arcs.dtypes])
+    return networks.directed_cycles(arcs.unionByName(back))
+
+
+@query("SELECT c_name AS concept FROM customer WHERE c_custkey % 50 = 3 AND c_nationkey <> 5")
+def network_two_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Some customers stand in a second nation too, under one root of all nations: two ways lead to them."""
+    nation = table(spark, d, "nation")
+    c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    other = nation.where("n_nationkey = 5").select(F.col("n_name").alias("second"))
+    pairs = nation.select(F.lit("world").alias("from"), F.col("n_name").alias("to")).unionByName(c.select(F.col("n_name").alias("from"), F.col("c_name").alias("to")))
+    pairs = pairs.unionByName(c.where("c_custkey % 50 = 3").join(F.broadcast(other)).select(F.col("second").alias("from"), F.col("c_name").alias("to")))
+    arcs = pairs.withColumns({"role": F.lit("place"), "arcrole": F.lit("parent-child"), "ord": F.lit(1.0), "priority": F.lit(0), "use": F.lit("optional")})
+    return networks.undirected_cycles(arcs)
+
+
+@query("""
+    SELECT l_orderkey AS order_key, l_partkey AS part_key FROM lineitem
+    WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45) OR (l_discount > 0.08 AND NOT l_suppkey % 7 = 3)""")
+def combined_filters(spark: SparkSession, d: str) -> DataFrame:
+    """A network of members or a test, with a complement inside: combinations whose parts need a join."""
+    members = table(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").cast("string").alias("member"))
+    either = filters.or_filter(filters.explicit_dimension("part", network=members), filters.and_filter(filters.general("num > 0.08"), ~filters.identifier_test("cast(entity as bigint) % 7 = 3")))
+    e = rules.evaluate(rules.VariableSet([rules.FactVariable("x", [filters.concept_name("discount"), either])]), line_facts(spark, d))
+    return e.select(e["x__dims"]["order"].cast("long").alias("order_key"), e["x__dims"]["part"].cast("long").alias("part_key"))
+
+
+@query("""
+    SELECT a.l_orderkey AS order_key, a.l_linenumber AS line, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND (a.l_suppkey = b.l_suppkey OR b.l_quantity > 49)
+    WHERE a.l_quantity < 2""")
+def match_or_test(spark: SparkSession, d: str) -> DataFrame:
+    """A second variable in the same order with the same supplier, or with a large number."""
+    lines = table(spark, d, "lineitem")
+    f = as_facts(lines, F.lit("q"), F.col("l_quantity"), F.col("l_suppkey"), F.lit("2000-01-01").cast("date"), {"order": F.col("l_orderkey")}, F.lit("pure"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).withColumn("line", F.lit(None))
+    either = filters.or_filter(filters.match("entity", "a"), filters.general("num > 49"))
+    rule = rules.VariableSet([rules.FactVariable("a", [filters.concept_name("q"), filters.general("num < 2")]), rules.FactVariable("b", [filters.concept_name("q"), either])])
+    e = rules.evaluate(rule, f.drop("line"))
+    line = lambda v: F.split_part(F.col(f"{v}__fact_id"), F.lit("-"), F.lit(2)).cast("int")
+    return e.select(e["a__dims"]["order"].cast("long").alias("order_key"), line("a").alias("line"), line("b").alias("other"))
+
+
 # --- windows and reports ----------------------------------------------------------------------------------------
 
 
@@ -511,6 +579,18 @@ def typed_equality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), equality.x_equal(s("l_discount"), s("l_tax")).alias("same"), equality.x_equal(s("l_quantity"), s("l_linenumber")).alias("line"))
 
 
+@query("""
+    SELECT l_orderkey AS order_key, l_partkey AS part_key, l_discount = l_tax AS numbers, CAST(l_discount AS VARCHAR) || '0' = CAST(l_discount AS VARCHAR) AS texts, true AS zeros, false AS close
+    FROM lineitem""")
+def declared_equality(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers by their digits whatever zeros they carry, texts as written, and digits beyond a double's."""
+    x, y = F.col("l_discount").cast("string"), F.col("l_tax").cast("string")
+    number, text = F.lit("decimalItemType"), F.lit("stringItemType")
+    longer = F.concat(x, F.lit("0"))
+    far = F.concat(x, F.lit("00000000000000000001"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), equality.x_equal(x, y, number, number).alias("numbers"), equality.x_equal(longer, x, text, text).alias("texts"), equality.x_equal(F.concat(F.lit("0"), longer), x, number, number).alias("zeros"), equality.x_equal(far, x, number, number).alias("close"))
+
+
 @query("SELECT page_id, to_base64(unhex(sha256(html)))[-16:] AS hash FROM pages")
 def signing_hashes(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.packages import file_hashes

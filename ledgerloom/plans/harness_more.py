@@ -361,19 +361,42 @@ def instance_functions(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.col("concept").alias("status")).agg(F.size(call("xfi:unique-identifiers")).alias("identifiers"), call("xfi:single-unique-identifier").alias("single"), F.size(call("xfi:unique-instant-dates")).alias("dates"), call("xfi:any-instant-date").alias("first_date"))
 
 
-_LANGUAGES = [n for n in transforms.DAY_MONTHNAME_YEAR if n not in ("hi", "dk")]
-
-
-@query("SELECT o_orderkey AS order_key, " + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') AS {n}_" for n in _LANGUAGES) + " FROM orders")
+#: Month names as they stand in dates, January to December.
+_WRITTEN = {
+    "bg": "януари февруари март април май юни юли август септември октомври ноември декември",
+    "cs": "ledna února března dubna května června července srpna září října listopadu prosince",
+    "da": "januar februar marts april maj juni juli august september oktober november december",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "dk": "jan. feb. mar. apr. maj jun. jul. aug. sep. okt. nov. dec.",
+    "el": "Ιανουαρίου Φεβρουαρίου Μαρτίου Απριλίου Μαΐου Ιουνίου Ιουλίου Αυγούστου Σεπτεμβρίου Οκτωβρίου Νοεμβρίου Δεκεμβρίου",
+    "en": "January February March April May June July August September October November December",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "et": "jaanuar veebruar märts aprill mai juuni juuli august september oktoober november detsember",
+    "fi": "tammikuuta helmikuuta maaliskuuta huhtikuuta toukokuuta kesäkuuta heinäkuuta elokuuta syyskuuta lokakuuta marraskuuta joulukuuta",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "hi": "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर",
+    "hr": "siječnja veljače ožujka travnja svibnja lipnja srpnja kolovoza rujna listopada studenoga prosinca",
+    "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+    "nl": "januari februari maart april mei juni juli augustus september oktober november december",
+    "no": "januar februar mars april mai juni juli august september oktober november desember",
+    "pl": "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia",
+    "pt": "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro",
+    "ro": "ianuarie februarie martie aprilie mai iunie iulie august septembrie octombrie noiembrie decembrie",
+    "se": "januari februari mars april maj juni juli augusti september oktober november december",
+    "sk": "januára februára marca apríla mája júna júla augusta septembra októbra novembra decembra",
+    "sl": "januarja februarja marca aprila maja junija julija avgusta septembra oktobra novembra decembra",
+}
+
+
+@query("SELECT o_orderkey AS order_key, " + ", ".join(f"strftime(o_orderdate, '%Y-%m-%d') AS {n}_, strftime(o_orderdate, '%Y-%m') AS {n}_month" for n in _WRITTEN) + ", CAST(NULL AS VARCHAR) AS no_czech FROM orders")
 def transform_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Dates written with the month names of every language, and read back."""
+    """Dates and months written with the month names of every language, and read back; a Czech name with letters after it isn't one."""
     o = table(spark, d, "orders")
     out = [F.col("o_orderkey").alias("order_key")]
-    for n in _LANGUAGES:
-        names = transforms.MONTHS[n].split()
-        order = transforms.MONTH_ORDER.get(n, range(1, 13))
-        by_month = [g.split("|")[0] for _, g in sorted(zip(order, names))]
-        month = F.element_at(F.array(*map(F.lit, by_month)), F.month("o_orderdate"))
-        text = F.concat(F.dayofmonth("o_orderdate").cast("string"), F.lit(". "), month, F.lit(" "), F.year("o_orderdate").cast("string"))
-        out.append(transforms.transform(text, f"date-day-monthname-year-{n}").alias(f"{n}_"))
-    return o.select(*out)
+    day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
+    for n, names in _WRITTEN.items():
+        month = F.element_at(F.array(*map(F.lit, names.split())), F.month("o_orderdate"))
+        out.append(transforms.transform(F.concat(day, F.lit(". "), month, F.lit(" "), year), f"date-day-monthname-year-{n}").alias(f"{n}_"))
+        out.append(transforms.transform(F.concat(month, F.lit(" "), year), f"date-monthname-year-{n}").alias(f"{n}_month"))
+    bad = transforms.transform(F.concat(day, F.lit(" ledxyz "), year), "date-day-monthname-year-cs")
+    return o.select(*out, bad.alias("no_czech"))

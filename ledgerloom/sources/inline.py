@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms
-from ..operators.networks import MOST
+from ..operators.networks import settled
 
 ELEMENTS = ("nonfraction", "nonnumeric", "fraction", "numerator", "denominator", "tuple", "continuation", "footnote", "exclude", "header", "hidden", "resources", "references", "relationship")
 RAW = "doc_id string, tag string, id string, name string, text string, attrs map<string,string>, parent string, ordinal int"
@@ -75,13 +75,13 @@ def with_continuations(rows: DataFrame) -> DataFrame:
     """Text of elements followed by that of their continuations, in the chain's order."""
     parts = rows.where("tag = 'continuation'").select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.col("text").alias("_text"), _attr("continuedat").alias("_next"))
     heads = rows.where("tag <> 'continuation'").withColumns({"_at": _attr("continuedat"), "_seen": F.array("id")})
-    for _ in range(MOST):
+    while True:  # a chain ends, or meets an element that it has seen
         j = heads.join(parts, (F.col("_at") == F.col("_id")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc")
         again = F.array_contains("_seen", F.coalesce("_id", F.lit("")))
-        heads = j.withColumns({"text": F.when(F.col("_id").isNotNull() & ~again, F.concat("text", "_text")).otherwise(F.col("text")), "_at": F.when(~again, F.col("_next")), "_seen": F.concat("_seen", F.array(F.coalesce("_id", F.lit(""))))}).drop("_id", "_text", "_next").persist()
+        heads = j.withColumns({"text": F.when(F.col("_id").isNotNull() & ~again, F.concat("text", "_text")).otherwise(F.col("text")), "_at": F.when(~again, F.col("_next")), "_seen": F.concat("_seen", F.array(F.coalesce("_id", F.lit(""))))}).drop("_id", "_text", "_next")
+        heads = settled(heads)
         if heads.where("_at is not null").isEmpty():
-            break
-    return heads.drop("_at", "_seen")
+            return heads.drop("_at", "_seen")
 
 
 def facts(rows: DataFrame, registry: dict | str = transforms.TR4, formats: list[str] | None = None) -> DataFrame:
