@@ -46,7 +46,7 @@ SENT = 32 << 20
 #: Bytes that stand for a word where passages are measured in words.
 UNIT = 8
 #: Entries that a task merges before it deals them out, and bytes of text that it hashes at a time.
-FLUSH, CHUNK = 500_000, 1 << 20
+FLUSH, CHUNK = 200_000, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
@@ -490,18 +490,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     small_batches(docs.sparkSession)
     width = cover_width(length, unit)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = F.octet_length(text) if unit == 1 else F.regexp_count(text, F.lit(WORD)) * unit
-    keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), size.cast("long")])))
-    long = keyed.where(F.col("sd_len") >= length)
+    keyed = docs.withColumns(dict(zip(KEY, [F.xxhash64(text), F.crc32(text.cast("binary")), F.octet_length(text).cast("long")])))
+    # So many words have as many bytes and the spaces between them at least; the tasks leave out what is still too short.
+    long = keyed.where(F.col("sd_len") >= (length if unit == 1 else length // unit * 2 - 1))
     copies = cut(long.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).where("n > 1"))
-    whole = copies.select(*KEY, F.lit(0).cast("long").alias("start"), F.col("sd_len").alias("stop"))
     marked = long.select(*KEY, text.alias("text"), F.col(id_col).alias("own_id")).join(_few(copies), KEY, "left")
     once = marked.where(F.col("n").isNull() | F.col("own_id").eqNullSafe(F.col("first_id"))).select("text", *KEY)
+    symbols = F.octet_length("text") if unit == 1 else F.regexp_count("text", F.lit(WORD)) * unit
+    whole = marked.where(F.col("n").isNotNull() & F.col("own_id").eqNullSafe(F.col("first_id"))).select(*KEY, F.lit(0).cast("long").alias("start"), symbols.cast("long").alias("stop")).where(F.col("stop") >= length)
     names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, place long, anchor long"), "names")
     at = names.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
     kinds = stored(_by_name(_of_texts(once, at), _around(length, width, unit), 2, _settled, f"{KINDS}, place long, anchor long, kind int"), "kinds")
-    # Places with equal surroundings: all their windows are repeated.
-    start, stop = F.greatest(F.lit(0), F.col("place") - (length - width)), F.least(F.col("sd_len"), F.col("place") + length)
+    # Places with equal surroundings: all their windows are repeated. Stops may lie beyond a text's end.
+    start, stop = F.greatest(F.lit(0), F.col("place") - (length - width)), F.col("place") + length
     equal = kinds.where(F.col("kind") == SETTLED).select(*KEY, start.alias("start"), stop.alias("stop"))
     # Others share the sample's first bytes with different surroundings: sort their suffixes.
     members = kinds.where(F.col("kind") != SETTLED).withColumn("single", F.col("kind") == SINGLE)
@@ -551,18 +552,20 @@ def _by_text(spans: DataFrame, name: str) -> tuple[DataFrame, bool]:
     return runs, size[0] * 64 + size[1] * 16 <= SENT
 
 
-def _joined(keyed: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    """``keyed`` with the maximal runs of its texts as ``name``, empty where there are none."""
+def _joined(keyed: DataFrame, spans: DataFrame, name: str, end: Column) -> DataFrame:
+    """``keyed`` with the maximal runs of its texts, up to their end, as ``name``; empty where there are none."""
     runs, few = _by_text(spans, name)
     joined = keyed.join(F.broadcast(runs) if few else runs, KEY, "left")
-    return joined.withColumn(name, F.coalesce(name, F.array().cast("array<struct<start: long, stop: long>>")))
+    up_to = lambda n: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.least(s["stop"], n).alias("stop")))
+    within = F.element_at(F.transform(F.array(end.cast("long")), up_to), 1)  # the end is worked out once a row, and for these rows only
+    return joined.withColumn(name, F.when(F.col(name).isNull(), F.array().cast("array<struct<start: long, stop: long>>")).otherwise(within))
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", **names) -> DataFrame:
     """``docs`` plus sd_bytes and sd_spans, the maximal removed runs as an array of [start, stop) byte ranges."""
     docs, put_back = set_aside(docs, [*KEY, "sd_spans", "sd_bytes"])
     keyed, spans = repeated_spans(docs, length, text_col=text_col, id_col=id_col, **names)
-    return put_back(_joined(keyed, spans, "sd_spans").withColumn("sd_bytes", F.col("sd_len")).drop(*KEY))
+    return put_back(_joined(keyed, spans, "sd_spans", F.col("sd_len")).withColumn("sd_bytes", F.col("sd_len")).drop(*KEY))
 
 
 def with_passages(docs: DataFrame, words: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -571,7 +574,8 @@ def with_passages(docs: DataFrame, words: int, text_col: str = "text", id_col: s
     docs, put_back = set_aside(docs, [*KEY, "sd_passages"])
     keyed, spans = repeated_spans(docs, words * UNIT, text_col=text_col, id_col=id_col, unit=UNIT)
     in_words = spans.select(*KEY, *[(F.col(c) / UNIT).cast("long").alias(c) for c in ("start", "stop")])
-    return put_back(_joined(keyed, in_words, "sd_passages").drop(*KEY))
+    words_of = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD))
+    return put_back(_joined(keyed, in_words, "sd_passages", words_of).drop(*KEY))
 
 
 def span_total(col: str) -> Column:
