@@ -3,13 +3,14 @@
 Records are range-partitioned and sorted by id; the borders come from ids chosen by their own hash, so they depend
 on the data and not on its files. Each range is written as gzip members, one a record, into files rolled when their
 compressed size passes a limit. Record ids, dates, lengths and digests are made anew from the data, so a rerun gives
-the same bytes. A file is written under a temporary name of its attempt and renamed when complete; the manifest,
-written last and renamed in the same way, names the files that count.
+the same bytes. A file is written under a temporary name of its attempt and renamed when complete. What was written goes
+into a manifest of parts, a row a file, written by Spark under a temporary name and renamed; ``manifest.json``, last,
+says how many files and records count.
 
 A payload of at least ``REVISIT_MIN`` bytes that an earlier id has too is written as a revisit without its bytes.
 
-Defined cases: a null payload is empty; null ids sort first, are written as "null" and refer to the smallest
-non-null id with an equal payload; of rows with the same id and payload the first is a response and the others
+Defined cases: a null payload is empty; null ids sort first, have no id header and refer to the smallest
+non-null id with an equal payload; ids of any signs are percent-encoded in headers; rows of one id stay in one range; of rows with the same id and payload the first is a response and the others
 revisit that id; an empty table gives a manifest without files.
 """
 
@@ -21,6 +22,7 @@ import io
 import json
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -31,7 +33,8 @@ from .common import scratch_path, small_batches
 
 REVISIT_MIN = 100
 ROLL_BYTES = 32 << 20
-RANGE_ROWS = 4000
+#: Payload bytes of a range: so many for each of at most ``MOST_RANGES`` ranges, within these bounds.
+RANGE_BYTES, LARGEST_RANGE, MOST_RANGES = 8 << 20, 256 << 20, 20_000
 DATE = "2000-01-01T00:00:00Z"
 _NAMES = uuid.UUID("7a1e0f9c-5d0b-5a77-9b1e-3f5a3c2d1e00")
 
@@ -55,16 +58,18 @@ def _member(data: bytes) -> bytes:
 
 
 def record(page: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
-    """One compressed record; ``refers_to`` makes it a revisit."""
+    """One compressed record; ``refers_to`` makes it a revisit. Ids are marked by a first sign, a null id is empty."""
     digest = hashlib.sha256(payload).hexdigest()
     uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url) or "about:blank"
-    fields = [("X-Page-Id", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
+    fields = [("X-Page-Id", quote(page[1:]))] if page else []
+    fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is None:
         body = http + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     else:
         body = http + b"\r\n"
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{_record_id(refers_to, digest)}>"), ("X-Refers-To-Page", refers_to)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{_record_id(refers_to, digest)}>")]
+        fields += [("X-Refers-To-Page", quote(refers_to[1:]))] if refers_to else []
     block = hashlib.sha256(body).hexdigest()
     fields += [("WARC-Block-Digest", f"sha256:{block}"), ("Content-Type", "application/http; msgtype=response")]
     return _member(_header("response" if refers_to is None else "revisit", _record_id(page, digest), uri, fields, body))
@@ -126,7 +131,7 @@ def _writer(root: str, roll: int):
     return run
 
 
-def write(pages: DataFrame, path: str | None = None, roll_bytes: int = ROLL_BYTES, range_rows: int = RANGE_ROWS, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
+def write(pages: DataFrame, path: str | None = None, roll_bytes: int = ROLL_BYTES, range_rows: int | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
     """Write the archives and their manifest; returns the folder."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -137,20 +142,36 @@ def write(pages: DataFrame, path: str | None = None, roll_bytes: int = ROLL_BYTE
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
     narrow = rows.where(F.octet_length("html") >= REVISIT_MIN).select("id", digest.alias("digest"))
     repeated = narrow.groupBy("digest").agg(F.min("id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
-    notes = narrow.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("target"))).select("id", "digest", F.col("target").cast("string").alias("target")).distinct()
+    notes = narrow.join(repeated, "digest").where(~F.col("id").eqNullSafe(F.col("target"))).select("id", "digest", _marked("target").alias("target")).distinct()
     notes = notes.select("id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "target")
     every = rows.select("id", F.lit(1).alias("mark"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("target")).unionByName(notes)
-    borders = _borders(rows, range_rows)
+    borders = _borders(rows, range_rows or _range_rows(rows))
     dealt = every.withColumn("range", _place("id", borders))
     sorted_rows = dealt.repartitionByRange(len(borders) + 1, "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "mark", "url", F.xxhash64("html"))
-    page = F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page")
-    made = sorted_rows.select("range", page, "mark", "url", "html", "digest", "target").mapInPandas(_writer(path, roll_bytes), "file string, records long, bytes long, sha256 string, first_page string")
-    files = [r.asDict() for r in made.collect()]  # one row a file
-    kind = dict(rows.dtypes)["id"]
-    _put(system, f"{base}/manifest.json", json.dumps({"id_type": kind, "files": sorted(files, key=lambda f: f["file"])}).encode())
+    made = sorted_rows.select("range", F.coalesce(_marked("id"), F.lit("")).alias("page"), "mark", "url", "html", "digest", "target").mapInPandas(_writer(path, roll_bytes), MANIFEST)
+    temporary = f"manifest.{uuid.uuid4().hex}.tmp"
+    made.write.json(f"{path}/{temporary}")
+    system.move(f"{base}/{temporary}", f"{base}/manifest")
+    one = F.crc32(F.concat_ws("|", "file", "sha256").cast("binary"))
+    files, records, check = spark.read.schema(MANIFEST).json(f"{path}/manifest").agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum(one), F.lit(0))).first()
+    _put(system, f"{base}/manifest.json", json.dumps({"id_type": dict(rows.dtypes)["id"], "files": files, "records": records, "check": check}).encode())
     return path
 
 
+MANIFEST = "file string, records long, bytes long, sha256 string, first_page string"
+
+
+def _marked(col: str):
+    return F.concat(F.lit("="), F.col(col).cast("string"))
+
+
+def _range_rows(rows: DataFrame) -> int:
+    """Rows to a range: by their average size, and so that there are at most ``MOST_RANGES`` unless ranges get too large."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    wanted = min(max(RANGE_BYTES, size // MOST_RANGES), LARGEST_RANGE)
+    return max(1, int(n * wanted / max(size, 1)))
+
+
 def _borders(rows: DataFrame, range_rows: int, per_range: int = 8, most: int = 200_000) -> list:
     """Ids that part the rows into ranges of about ``range_rows``: every so many of those that their hash picks."""
     n = rows.count()
@@ -201,37 +222,36 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     payload_digest, refers_to, payload (null for revisits)."""
     system, base = _files(path)
     with system.open_input_stream(f"{base}/manifest.json") as f:
-        manifest = json.loads(f.read())
-    kind = manifest["id_type"]
+        head = json.loads(f.read())
+    kind = head["id_type"]
     schema = f"page_id {kind}, url string, record_type string, payload_bytes long, payload_digest string, refers_to {kind}, payload binary"
-    if not manifest["files"]:
+    if not head["files"]:
         return spark.createDataFrame([], schema)
-    expected = {f["file"]: f["sha256"] for f in manifest["files"]}
     number = kind in ("tinyint", "smallint", "int", "bigint")
-    ident = lambda x: None if x is None or x == "null" else int(x) if number else x
+    ident = lambda x: None if x is None else int(x) if number else unquote(x)
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b["path"], b["content"]):
+            for name, content, expected in zip(b["path"], b["content"], b["sha256"]):
                 content = bytes(content)
-                if hashlib.sha256(content).hexdigest() != expected[name.rsplit("/", 1)[1]]:
+                if hashlib.sha256(content).hexdigest() != expected:
                     raise ValueError(f"{name} is not the file that the manifest names")
                 out = []
                 for fields, body in parse(content):
                     if "sha256:" + hashlib.sha256(body).hexdigest() != fields["WARC-Block-Digest"]:
                         raise ValueError(f"{name}: a record's digest is wrong")
                     payload = body.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else None
-                    out.append((ident(fields["X-Page-Id"]), fields["WARC-Target-URI"], fields["WARC-Type"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][7:], ident(fields.get("X-Refers-To-Page")), payload))
+                    out.append((ident(fields.get("X-Page-Id")), fields["WARC-Target-URI"], fields["WARC-Type"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][7:], ident(fields.get("X-Refers-To-Page")), payload))
                     if len(out) == 500:
                         yield _frame(out, number)
                         out = []
                 if out:
                     yield _frame(out, number)
 
-    files = spark.read.format("binaryFile").load([f"{path}/{n}" for n in expected] if len(expected) <= 1000 else f"{path}/*.warc.gz").select("path", "content")
-    if len(expected) > 1000:
-        files = files.where(F.element_at(F.split("path", "/"), -1).isin(list(expected)))
-    return files.mapInPandas(run, schema)
+    named = spark.read.schema(MANIFEST).json(f"{path}/manifest").select(F.col("file").alias("_file"), "sha256")
+    named = F.broadcast(named) if head["files"] <= 200_000 else named
+    files = spark.read.format("binaryFile").load(f"{path}/*.warc.gz").select("path", "content", F.element_at(F.split("path", "/"), -1).alias("_file"))
+    return files.join(named, "_file").select("path", "content", "sha256").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple], number: bool) -> pd.DataFrame:
