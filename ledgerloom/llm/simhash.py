@@ -6,8 +6,9 @@ on by the bands of their other bits, level by level. Within a bucket 64 fingerpr
 holds their p-th bits, a query is compared with all of them by XOR, carry-save counters add up the differing bits,
 and words whose 64 members all exceed the radius are dropped before the next planes are read.
 
-A bucket reports a spanning forest of its links (one row per member at most), never all pairs. Links are joined to
-components by alternating star contraction, checkpointed in the shared folder.
+A bucket of more than 48 members reports a spanning forest of its links, one row a member at most; smaller ones stand
+side by side in the planes and report their links as they are. Links are joined to components by alternating star
+contraction, checkpointed in the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like others; null ids take part but are
 never the smallest of a component unless all ids are null; repeated rows keep their own output rows; an empty
@@ -87,34 +88,34 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(full.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(planes: np.ndarray, query: int, n: int, radius: int = RADIUS, step: int = 16) -> np.ndarray:
+def within(planes: np.ndarray, query: int, n: int, radius: int = RADIUS) -> np.ndarray:
     """Indexes of the fingerprints at most ``radius`` bits from ``query``."""
+    flips = np.array([~np.uint64(0) if query >> (BITS - 1 - p) & 1 else np.uint64(0) for p in range(BITS)], np.uint64)
     words = np.arange(planes.shape[1])
+    found = _counted(lambda p, at: planes[p, at] ^ flips[p], words, np.zeros(len(words), np.uint64), radius)
+    return found[found < n]
+
+
+def _counted(differing, words: np.ndarray, over: np.ndarray, radius: int, step: int = 16) -> np.ndarray:
+    """Lanes (64 to a word) with at most ``radius`` differing bits. ``differing`` gives a plane's differing bits of some
+    words; carry-save counters add the planes up, and words whose lanes are all over the radius are left out of the next."""
     size = (radius + 1).bit_length()
     counters = [np.zeros(len(words), np.uint64) for _ in range(size)]
-    over = np.zeros(len(words), np.uint64)
     for first in range(0, BITS, step):
-        part = planes[first : first + step]
-        part = part if len(words) == planes.shape[1] else part[:, words]
-        flips = np.array([~np.uint64(0) if query >> (BITS - 1 - p) & 1 else np.uint64(0) for p in range(first, first + step)], np.uint64)
-        for diff in part ^ flips[:, None]:
-            carry = diff
+        for p in range(first, first + step):
+            carry = differing(p, words)
             for i in range(size):
                 counters[i], carry = counters[i] ^ carry, counters[i] & carry
-            over |= carry
-        past = over.copy()
-        past |= _exceeds(counters, radius)
-        alive = past != ~np.uint64(0)
+            over = over | carry
+        over = over | _exceeds(counters, radius)
+        alive = over != ~np.uint64(0)
         if not alive.any():
             return np.zeros(0, np.int64)
         if not alive.all():
             words, over, counters = words[alive], over[alive], [c[alive] for c in counters]
-        over |= _exceeds(counters, radius)
-    hit = ~over
-    lanes = np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     w, lane = np.nonzero(lanes)
-    found = words[w] * 64 + lane
-    return found[found < n]
+    return words[w] * 64 + lane
 
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -130,18 +131,25 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def _small_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside many small buckets at once: rows i and i + s of the same bucket, for each shift s."""
-    left, right = [], []
-    rows, shift = np.arange(len(fps)), 1
-    while len(rows):
-        rows = rows[rows + shift < len(fps)]
-        rows = rows[bucket[rows] == bucket[rows + shift]]
-        for i in range(0, len(rows), 1 << 20):
-            r = rows[i : i + (1 << 20)]
-            near = _planes_within(fps[r] ^ fps[r + shift], radius)
-            left.append(r[near])
-            right.append(r[near] + shift)
-        shift += 1
+    """Links inside many small buckets at once: rows i and i + s of the same bucket, for each shift s below 64.
+
+    The planes of all rows are stored once; a shift moves every plane by s lanes, and lanes that would cross into another
+    bucket are over the radius from the start.
+    """
+    n, left, right = len(fps), [], []
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    planes = np.hstack([bit_planes(fps), np.zeros((BITS, 1), np.uint64)])
+    for shift in range(1, min(n, BITS)):
+        lanes = np.zeros((planes.shape[1] - 1) * 64, np.uint8)
+        lanes[: n - shift] = bucket[shift:] == bucket[:-shift]
+        if not lanes.any():
+            break
+        pairs = np.packbits(lanes, bitorder="little").view(np.uint64)
+        words, down, up = np.nonzero(pairs)[0], np.uint64(shift), np.uint64(64 - shift)
+        near = _counted(lambda p, at: planes[p, at] ^ (planes[p, at] >> down | planes[p, at + 1] << up), words, ~pairs[words], radius)
+        left.append(near)
+        right.append(near + shift)
     z = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (z, z)
 
@@ -174,7 +182,7 @@ def bucket_edges(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
     return fps[moved], fps[forest.of[moved]]
 
 
-def _edges_of_batches(radius: int, small: int = 48):
+def _edges_of_batches(radius: int, small: int = 48):  # below 64, the lanes of a word
     """Over rows sorted by bucket: complete buckets are compared, the last one waits for the next batch."""
 
     def compare(key: np.ndarray, fps: np.ndarray):

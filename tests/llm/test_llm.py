@@ -42,6 +42,46 @@ def test_toxicity_held_out(spark):
     assert (said[truth == 1]).mean() > 0.7 and said[truth == 0].mean() < 0.03
 
 
+def test_toxicity_against_plain_counts(spark):
+    """Kneser-Ney evidence worked out over plain dictionaries, for texts with known, rare and unknown expressions."""
+    import math
+
+    rng, d = random.Random(12), toxicity.DISCOUNT
+    word = lambda: rng.choice(["good", "day", "you", "are", "rotten", "rottenness", "fool", "sun", "warmth", "warmly"])
+    texts = [(i, " ".join(word() for _ in range(rng.randint(1, 30))), i % 3 == 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    model = toxicity.Toxicity.fit(docs, labels, epsilon=0.0, train_on=F.lit(True)).model
+    pairs, stems = (Counter(), Counter()), (Counter(), Counter())
+    for _, t, y in texts:
+        w = t.split()
+        pairs[y].update(zip(["", *w], w))
+        stems[y].update(x[: toxicity.BEGINNING] for x in w)
+    follows = [Counter(w for _, w in p) for p in pairs]
+    context = [Counter() for _ in pairs]
+    for c, p in zip(context, pairs):
+        for (a, _), n in p.items():
+            c[a] += n
+    types = len(set(follows[0]) | set(follows[1]))
+    left = lambda n: max(1 - sum(max(x - d, 0) for x in n.values()) / sum(n.values()), 1e-6)
+
+    def evidence(text):
+        out, w = [], text.split()
+        for a, b in zip(["", *w], w):
+            shared = (stems[0][b[:5]] + stems[1][b[:5]] + 1e-2) / (sum(stems[0].values()) + sum(stems[1].values()))
+            stem = [max(s[b[:5]] - d, 0) / sum(s.values()) + left(s) * shared for s in stems]
+            lean = (math.log(stem[1]) - math.log(stem[0])) / 2
+            low = [max(f[b] - d, 0) / sum(f.values()) + left(f) / types * math.exp(sign * lean) for f, sign in zip(follows, (-1, 1))]
+            rest = [min(1.0, max(1e-6, 1 - sum(max(n - d, 0) for (x, _), n in p.items() if x == a) / max(c[a], 1))) for p, c in zip(pairs, context)]
+            high = [max(p[a, b] - d, 0) / max(c[a], 1) + r * q for p, c, r, q in zip(pairs, context, rest, low)]
+            known = all(c[a] >= 2 for c in context)
+            out.append(min(6.0, max(-3.0, math.log((high if known else low)[1]) - math.log((high if known else low)[0]))))
+        return out
+
+    for text in ("good day you are rotten", "rottenest fool unseen words here", "warm", "fool fool fool sun warmly good", *[t for _, t, _ in texts[:10]]):
+        assert np.allclose(model.evidence(*toxicity.tokens(text)), evidence(text), atol=1e-9)
+
+
 def test_toxicity_odd(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (7, 1, 1), (None, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
@@ -381,6 +421,22 @@ def test_links_by_planes(spark, bucket, block):
     assert pairs(got) == {frozenset(map(signed, g)) for g in pairs(want)}
 
 
+def test_small_links():
+    rng = random.Random(11)
+    fps, bucket = [], []
+    for b in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 3, 20, 48])):
+            x = base
+            for bit in rng.sample(range(64), rng.randint(0, 4)):
+                x ^= 1 << bit
+            fps.append(x)
+            bucket.append(b)
+    a, b = simhash._small_links(np.array(fps, np.uint64), np.array(bucket), 3)
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bucket[i] == bucket[j] and bin(fps[i] ^ fps[j]).count("1") <= 3}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
 def test_within_planes():
     rng = random.Random(7)
     fps = np.array([rng.getrandbits(64) for _ in range(300)] + [rng.getrandbits(3) for _ in range(300)], np.uint64)
@@ -517,6 +573,9 @@ def test_warc(spark):
     _, b = warc._files(again)
     assert system.open_input_stream(f"{a}/manifest.json").read() == system.open_input_stream(f"{b}/manifest.json").read()
     assert warc.read(spark, warc.write(df.limit(0))).count() == 0
+    odd = spark.createDataFrame([("null", "u", page), ("a\r\nWARC/1.1 b", "u", page), (None, "u", page), ("", "u", "x"), ("é%20", "u", "y" * 200)], "page_id string, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(spark, warc.write(odd)).collect()}
+    assert got == {("", "response", None), ("é%20", "response", None), ("a\r\nWARC/1.1 b", "response", None), ("null", "revisit", "a\r\nWARC/1.1 b"), (None, "revisit", "a\r\nWARC/1.1 b")}
 
 
 # --- repeated passages -------------------------------------------------------------------------------------------
