@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType
 from .common import join_small, small_batches, text_or_empty
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
-EPSILON = 1e-5
+EPSILON = 2e-6
 CURVE_ROWS = 20_000
 DISCOUNT = 0.75
 BEGINNING = 5
