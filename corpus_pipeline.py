@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, quality, queries, simhash, suffixdedup
+from ledgerloom.llm import mixing, quality, queries, simhash, suffixdedup
 from ledgerloom.llm.common import columns, free_name, scratch_path, table
-from ledgerloom.llm.queries import vocabulary_path
 
 
 #: Repeated passages of over 50 words go, whatever their bytes; so do those of op9's 400 bytes.
@@ -42,10 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of their decoded text."""
-    path = vocabulary_path()
-    coded = docs.select("doc_id", bpe.encode(docs, path).alias("ids"))
-    decoded = coded.withColumn("decoded", bpe.decode(F.col("ids"), path))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return queries.tokens(docs)
 
 
 STAGES = [
