@@ -63,5 +63,14 @@ NON_NUMERIC_TYPES = [
     "gMonthItemType", "normalizedStringItemType", "tokenItemType", "languageItemType", "NameItemType", "NCNameItemType",
     "enumerationItemType", "enumerationSetItemType",
 ]
-#: Units used where a typed item needs one and none is given.
-DEFAULT_UNITS = {"monetaryItemType": "iso4217:USD", "sharesItemType": "xbrli:shares", "pureItemType": "xbrli:pure"}
+#: Units used where an item of a numeric type needs one and none is given, by the type's local name.
+DEFAULT_UNITS = {
+    "decimalItemType": "pure", "floatItemType": "pure", "doubleItemType": "pure", "monetaryItemType": "USD", "sharesItemType": "shares", "pureItemType": "pure", "fractionItemType": "pure", "integerItemType": "pure",
+    "nonPositiveIntegerItemType": "pure", "negativeIntegerItemType": "pure", "longItemType": "pure", "intItemType": "pure", "shortItemType": "pure", "byteItemType": "pure", "nonNegativeIntegerItemType": "pure",
+    "unsignedLongItemType": "pure", "unsignedIntItemType": "pure", "unsignedShortItemType": "pure", "unsignedByteItemType": "pure", "positiveIntegerItemType": "pure", "durationItemType": "H", "percentItemType": "pure",
+    "perShareItemType": "Monetary_per_Share", "areaItemType": "sqm", "volumeItemType": "m3", "massItemType": "kg", "weightItemType": "kg", "energyItemType": "J", "powerItemType": "W", "lengthItemType": "m", "memoryItemType": "B",
+    "voltageItemType": "V", "flowItemType": "Volume_per_Duration", "electricCurrentItemType": "A", "frequencyItemType": "Hz", "perUnitItemType": "Monetary_per_Decimal", "noDecimalsMonetaryItemType": "USD",
+    "nonNegativeMonetaryItemType": "USD", "nonNegativeNoDecimalsMonetaryItemType": "USD", "insolationItemType": "pure", "temperatureItemType": "C", "pressureItemType": "Pa", "irradianceItemType": "pure", "speedItemType": "kph",
+    "planeAngleItemType": "Degree", "forceItemType": "N", "electricChargeItemType": "C", "massFlowItemType": "pure", "monetaryPerLengthItemType": "Monetary_per_Decimal", "monetaryPerAreaItemType": "Monetary_per_Decimal",
+    "monetaryPerVolumeItemType": "Monetary_per_Decimal", "monetaryPerDurationItemType": "Monetary_per_Decimal", "monetaryPerEnergyItemType": "Monetary_per_Decimal", "monetaryPerMassItemType": "Monetary_per_Decimal",
+}

@@ -84,15 +84,17 @@ class Contexts:
         names = F.explode(F.concat(F.map_keys("dims"), F.map_values("dims")))
         return self.df.select(names.alias("name")).select(F.regexp_extract("name", r"^\{?([^}:]*)[}:]", 1).alias("namespace")).distinct()
 
-    def explicit_dimensions(self) -> DataFrame:
-        return self._dimensions("dims")
+    def explicit_dimensions(self, listed: bool = True) -> DataFrame:
+        """Dimensions with their contexts, listed or counted."""
+        return self._dimensions("dims", listed)
 
-    def typed_dimensions(self) -> DataFrame:
-        return self._dimensions("typed_dims")
+    def typed_dimensions(self, listed: bool = True) -> DataFrame:
+        return self._dimensions("typed_dims", listed)
 
-    def _dimensions(self, col: str) -> DataFrame:
+    def _dimensions(self, col: str, listed: bool) -> DataFrame:
         each = self.df.select(F.explode(F.map_keys(col)).alias("dimension"), "context_id")
-        return each.groupBy("dimension").agg(F.array_sort(F.collect_set("context_id")).alias("contexts"))
+        found = F.array_sort(F.collect_set("context_id")) if listed else F.count(F.lit(1))
+        return each.groupBy("dimension").agg(found.alias("contexts"))
 
     def duration(self) -> DataFrame:
         return self.df.agg(F.min("start").alias("start"), F.max("end").alias("end"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import STANDARD_LABEL
+from ..model import DEFAULT_UNITS, STANDARD_LABEL
 
 
 class Facts:
@@ -80,3 +80,10 @@ def duplicates(wide: DataFrame) -> DataFrame:
     """Facts that share concept, tuple, context and unit with another; the value does not matter."""
     w = Window.partitionBy("doc_id", "concept", "parent_id", "entity_key", "period_key", "dims_key", "non_dim", "scenario", "unit_key")
     return wide.withColumn("n_duplicates", F.count(F.lit(1)).over(w)).where("n_duplicates > 1 and context_ref is not null")
+
+
+def with_default_units(facts: DataFrame) -> DataFrame:
+    """Facts of numeric types without a unit get their type's usual one; others are left as they are."""
+    table = F.create_map(*[F.lit(x) for kv in DEFAULT_UNITS.items() for x in kv])
+    local = F.regexp_extract("item_type", "([^:]*)$", 1)
+    return facts.withColumn("unit_ref", F.coalesce("unit_ref", F.try_element_at(table, local)))

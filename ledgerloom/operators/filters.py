@@ -219,10 +219,11 @@ def sibling_filter(variable: str) -> Filter:
 
 
 def location_filter(variable: str, up: int = 1) -> Filter:
-    """A fact in the tuple ``up`` levels above the variable's fact; one level is its siblings' place."""
-    if up != 1:
-        raise ValueError("join networks.ancestors_of_facts for places further up")
-    return sibling_filter(variable)
+    """A fact in the tuple ``up`` levels above the variable's fact; one level is its siblings' place. For more levels the
+    facts need the columns of ``networks.with_places``."""
+    if up < 1:
+        raise ValueError("a place is one level up or more")
+    return sibling_filter(variable) if up == 1 else Filter(None, frozenset({"location"}), match=(variable, (("parent_id", f"up_{up}"),)))
 
 
 # --- combinations and matches ---------------------------------------------------------------------------------

@@ -195,3 +195,13 @@ def ancestors_of_facts(facts: DataFrame) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+
+
+def with_places(facts: DataFrame, levels: int) -> DataFrame:
+    """``facts`` with the tuples around each fact as columns up_2, up_3, ... (up_1 is parent_id)."""
+    above = facts.where("parent_id is not null").select(F.col("doc_id").alias("_d"), F.col("fact_id").alias("_f"), F.col("parent_id").alias("_p"))
+    at = F.col("parent_id")
+    for n in range(2, levels + 1):
+        facts = facts.join(above, (F.col("doc_id") == F.col("_d")) & (at == F.col("_f")), "left").drop("_d", "_f").withColumnRenamed("_p", f"up_{n}")
+        at = F.col(f"up_{n}")
+    return facts

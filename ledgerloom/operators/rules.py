@@ -33,6 +33,8 @@ class FactVariable:
     nils: bool = False
     #: A sequence's sums, counts and so on (sum, count, avg, min, max) instead of its items: partial sums, no arrays.
     aggregates: tuple[str, ...] = ()
+    #: The name of another set of facts (``evaluate``'s ``instances``) to bind from, whatever documents these are.
+    instance: str | None = None
 
     def covered(self) -> set[str]:
         out: set[str] = set()
@@ -84,6 +86,7 @@ class VariableSet:
     implicit_filtering: bool = True
     dimensional: bool = True
     dimensions: list[str] = field(default_factory=list)  # dimensions that filters treat one by one
+    equalities: dict[str, str] = field(default_factory=dict)  # a dimension's own test of two members, SQL over a and b
     unique_facts: bool = False  # the caller's facts have unique ids, so that equal evaluations can't come up
 
 
@@ -214,11 +217,12 @@ def _match_column(side: str, col: str) -> Column:
     return F.col(f"{prefix}{col}")
 
 
-def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """All bindings of a rule: one row an evaluation. ``scope`` feeds the evaluations of another rule."""
+def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | None = None, scope: DataFrame | None = None, instances: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All bindings of a rule: one row an evaluation. ``scope`` feeds the evaluations of another rule, ``instances`` names
+    other facts that variables may bind from."""
     known = resolve_parameters(rule, parameters)
     named = {d for v in rule.variables if isinstance(v, FactVariable) for d in v.covered() if d not in ASPECTS}
-    rule = VariableSet(**{**rule.__dict__, "dimensions": sorted(set(rule.dimensions) | named)})
+    rule = VariableSet(**{**rule.__dict__, "dimensions": sorted(set(rule.dimensions) | named | set(rule.equalities))})
     bound, uncovered, fallbacks = scope, {}, []
     for v in rule.variables:
         if isinstance(v, GeneralVariable):
@@ -228,13 +232,13 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
         group = {a for f in rule.group_filters for a in f.covered()}
         covered = v.covered() | group
         keys = _keys(covered, rule)
-        df = _filtered(wide, v, rule)
+        df = _filtered(wide if v.instance is None else instances[v.instance], v, rule)
         key_cols = {f"{v.name}__key_{a}": c for a, c in keys.items()}
         if v.bind_as_sequence:
             df = _sequence(df, v, key_cols)
         else:
             shown = F.when(F.col("num").isNotNull(), F.col("num").cast("double"))
-            df = df.select("doc_id", *[c.alias(n) for n, c in key_cols.items()], shown.alias(v.name), *[F.col(c).alias(f"{v.name}__{c}") for c in [*CARRIED, *[c for c in df.columns if c.startswith("leaf_")]]])
+            df = df.select("doc_id", *[c.alias(n) for n, c in key_cols.items()], shown.alias(v.name), *[F.col(c).alias(f"{v.name}__{c}") for c in [*CARRIED, *[c for c in df.columns if c.startswith(("leaf_", "up_"))]]])
         if v.fallback is not None:
             fallbacks.append(v)
         bound = df if bound is None else _join(bound, df, v, uncovered, rule)
@@ -270,7 +274,7 @@ def _sequence(df: DataFrame, v: FactVariable, key_cols: dict[str, Column]) -> Da
 def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str, str], rule: VariableSet) -> DataFrame:
     """The candidate's rows with those bound so far, by the aspects both leave uncovered and by explicit matches."""
     right = df.withColumnRenamed("doc_id", f"{v.name}__doc")
-    on = F.col("doc_id") == F.col(f"{v.name}__doc")
+    on = F.col("doc_id") == F.col(f"{v.name}__doc") if v.instance is None else F.lit(True)
     own = [c.removeprefix(f"{v.name}__key_") for c in right.columns if c.startswith(f"{v.name}__key_")]
     explicit = [f for f in v.filters if f.match]
     relative = next((f.match[0] for f in explicit if f.match[1] == "uncovered"), None)
@@ -278,7 +282,8 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
         for a in own:
             first = relative or uncovered.get(a)
             if first and f"{first}__key_{a}" in bound.columns:
-                on = on & F.col(f"{v.name}__key_{a}").eqNullSafe(F.col(f"{first}__key_{a}"))
+                mine, theirs = f"{v.name}__key_{a}", f"{first}__key_{a}"
+                on = on & (_own_equality(rule.equalities[a], theirs, mine) if a in rule.equalities else F.col(mine).eqNullSafe(F.col(theirs)))
     for f in explicit:
         other, cols = f.match
         for own_col, other_col in [] if cols == "uncovered" else cols:
@@ -288,7 +293,13 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
         if f.parts and _joins(f):
             on = on & f.truth(_joined_leaf(f, i, v))
     out = bound.join(right, on, "left" if v.fallback is not None else "inner")
-    return out.drop(f"{v.name}__doc", *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
+    return out.drop(*([f"{v.name}__doc"] if v.instance is None else []), *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
+
+
+def _own_equality(test: str, a: str, b: str) -> Column:
+    """A test that a rule gives for two members of a dimension; both may be missing, one may not."""
+    known = F.expr(re.sub(r"\b([ab])\b", lambda m: f"`{a if m[1] == 'a' else b}`", test))
+    return F.when(F.col(a).isNull() | F.col(b).isNull(), F.col(a).isNull() & F.col(b).isNull()).otherwise(F.coalesce(known, F.lit(False)))
 
 
 def _joined_leaf(f: Filter, number: int, v: FactVariable):
@@ -431,8 +442,11 @@ class Formula:
     precision: str | None = None
 
     def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
+        return self.of(distinct_evaluations(evaluate(self.rule, wide, parameters), self.rule), parameters)
+
+    def of(self, got: DataFrame, parameters: dict[str, str] | None = None, carry: list[str] = ()) -> DataFrame:
+        """The derived facts of evaluations, with some of their columns."""
         rule, known = self.rule, resolve_parameters(self.rule, parameters)
-        got = distinct_evaluations(evaluate(rule, wide, parameters), rule)
         src = self.source or next(v.name for v in rule.variables if isinstance(v, FactVariable))
         e = lambda text: F.expr(compile_expression(text, rule, known))
         start, end, kind = F.col(f"{src}__start"), F.col(f"{src}__end"), F.col(f"{src}__period_type")
@@ -459,10 +473,36 @@ class Formula:
             dims = F.map_concat(dims, F.create_map(*[x for d, m in self.dims.items() for x in (F.lit(d), e(m))]))
         scheme, entity = (e(self.entity[0]), e(self.entity[1])) if self.entity else (F.col(f"{src}__scheme"), F.col(f"{src}__entity"))
         concept = e(self.concept) if self.concept else F.col(f"{src}__concept")
-        out = got.select("doc_id", concept.alias("concept"), e(self.value).cast("double").alias("derived"), scheme.alias("scheme"), entity.alias("entity"), kind.alias("period_type"), start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"), F.array_sort(num).alias("numerator"), F.array_sort(den).alias("denominator"), dims.alias("dims"), (e(self.decimals).cast("string") if self.decimals else F.lit(None).cast("string")).alias("decimals"), (e(self.precision).cast("string") if self.precision else F.lit(None).cast("string")).alias("precision"))
+        out = got.select("doc_id", *carry, concept.alias("concept"), e(self.value).cast("double").alias("derived"), scheme.alias("scheme"), entity.alias("entity"), kind.alias("period_type"), start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"), F.array_sort(num).alias("numerator"), F.array_sort(den).alias("denominator"), dims.alias("dims"), (e(self.decimals).cast("string") if self.decimals else F.lit(None).cast("string")).alias("decimals"), (e(self.precision).cast("string") if self.precision else F.lit(None).cast("string")).alias("precision"))
         return with_context_keys(out)
 
 
+@dataclass
+class TupleFormula:
+    """A derived tuple for each evaluation, and the formulas of the facts in it, over the same variables."""
+
+    id: str
+    concept: str
+    rule: VariableSet
+    parts: list[Formula] = field(default_factory=list)
+    inside: str | None = None  # the variable whose tuple holds the new one
+
+    def _id(self) -> Column:
+        facts = [F.coalesce(F.col(f"{v.name}__fact_id"), F.lit("")) for v in self.rule.variables if isinstance(v, FactVariable) and not v.bind_as_sequence]
+        return F.concat(F.lit("t-"), F.substring(F.sha2(F.concat_ws("|", F.lit(self.id), "doc_id", *facts), 256), 1, 16))
+
+    def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """The tuples (doc_id, fact_id, concept, parent_id), and their facts as ``Formula.run`` gives them with a parent_id."""
+        got = distinct_evaluations(evaluate(self.rule, wide, parameters), self.rule)
+        above = F.col(f"{self.inside}__parent_id") if self.inside else F.lit(None).cast("string")
+        tuples = got.select("doc_id", self._id().alias("fact_id"), F.lit(self.concept).alias("concept"), above.alias("parent_id"))
+        facts = None
+        for n, part in enumerate(self.parts):
+            made = part.of(got.withColumn("_tuple", self._id()), parameters, ["_tuple"]).withColumnRenamed("_tuple", "parent_id").withColumn("ordinal", F.lit(n))
+            facts = made if facts is None else facts.unionByName(made)
+        return tuples, facts
+
+
 def with_context_keys(derived: DataFrame) -> DataFrame:
     """Derived facts with synthetic ids for their contexts and units: equal content, equal id."""
     from ..functions.aspects import period_key, sorted_entries, unit_key

@@ -9,7 +9,7 @@ from ..functions import equality, registry, transforms
 from ..functions.numbers import format_number
 from ..functions.rounding import inferred_decimals, inferred_precision, order_of, round_even
 from ..operators import calc, contexts, filters, networks, report, rules, sets
-from ..operators.facts import duplicates
+from ..operators.facts import duplicates, with_default_units
 from .reporting import as_facts, line_facts, order_facts, place_arcs, table
 
 QUERIES: dict = {}
@@ -58,8 +58,10 @@ def period_year(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS order_key FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-06-30'")
 def period_contains(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where((F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit("1995-06-30").cast("timestamp_ntz")))
-    return o.select(F.col("o_orderkey").alias("order_key"))
+    """Periods of 181 days from the order's day that contain a date."""
+    f = order_facts(spark, d).withColumns({"period_type": F.lit("duration"), "start": F.col("end") - F.expr("interval 1 day")})
+    f = f.withColumn("end", F.col("start") + F.expr("interval 181 day"))
+    return contexts.Contexts(f).containing_date("1995-06-30").df.select(F.col("dims")["order"].cast("long").alias("order_key"))
 
 
 @query("SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders ORDER BY year")
@@ -74,8 +76,8 @@ def all_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'order' AS dimension, CAST(count(*) AS BIGINT) AS contexts FROM lineitem UNION ALL SELECT 'part', count(*) FROM lineitem")
 def explicit_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    f = line_facts(spark, d).where("concept = 'quantity'")
-    return f.select(F.explode(F.map_keys("dims")).alias("dimension")).groupBy("dimension").agg(F.count(F.lit(1)).alias("contexts"))
+    f = line_facts(spark, d).where("concept = 'quantity'").withColumn("context_id", F.col("context_ref"))
+    return contexts.Contexts(f).explicit_dimensions(listed=False)
 
 
 @query("SELECT l_orderkey AS order_key, l_partkey AS part_key, l_quantity AS quantity FROM lineitem WHERE l_partkey = 17")
@@ -384,6 +386,68 @@ def match_or_test(spark: SparkSession, d: str) -> DataFrame:
     return e.select(e["a__dims"]["order"].cast("long").alias("order_key"), line("a").alias("line"), line("b").alias("other"))
 
 
+@query("""
+    SELECT l_orderkey AS order_key, l_partkey AS part_key, CAST(l_quantity AS DOUBLE) AS quantity, CAST(p_retailprice AS DOUBLE) AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40""")
+def two_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of one report with prices from another document, by the aspects they share."""
+    prices = as_facts(table(spark, d, "part"), F.lit("price"), F.col("p_retailprice"), F.lit("e"), F.lit("2000-01-01").cast("date"), {"part": F.col("p_partkey")}, F.lit("iso4217:USD"), F.col("p_partkey")).withColumn("doc_id", F.lit("prices"))
+    cover = filters.aspect_cover("unit", "entity", "period", "order")
+    rule = rules.VariableSet([rules.FactVariable("q", [filters.concept_name("quantity"), filters.general("num > 40"), cover]), rules.FactVariable("p", [filters.concept_name("price"), cover], instance="prices")], dimensions=["order", "part"])
+    e = rules.evaluate(rule, line_facts(spark, d), instances={"prices": prices})
+    return e.select(e["q__dims"]["order"].cast("long").alias("order_key"), e["q__dims"]["part"].cast("long").alias("part_key"), F.col("q").alias("quantity"), F.col("p").alias("price"))
+
+
+@query("""
+    SELECT o_orderkey AS order_key, 'total' AS concept, o_totalprice AS derived FROM orders WHERE o_totalprice > 300000
+    UNION ALL SELECT o_orderkey, 'tenth', o_totalprice / 10 FROM orders WHERE o_totalprice > 300000""")
+def derived_tuples(spark: SparkSession, d: str) -> DataFrame:
+    """A tuple for each large order with two facts in it; every fact must find its tuple."""
+    rule = rules.VariableSet([rules.FactVariable("t", [filters.concept_name("totalprice"), filters.general("num > 300000")])])
+    parts = [rules.Formula("a", rule, "$t", concept="'total'"), rules.Formula("b", rule, "$t / 10", concept="'tenth'")]
+    tuples, facts = rules.TupleFormula("large", "largeOrder", rule, parts).run(order_facts(spark, d))
+    both = facts.join(tuples.select("doc_id", F.col("fact_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+    return both.select(both["dims"]["order"].cast("long").alias("order_key"), "concept", "derived")
+
+
+@query("""
+    SELECT a.s_suppkey AS supplier, b.s_suppkey AS other FROM supplier a JOIN supplier b ON abs(a.s_nationkey - b.s_nationkey) <= 1 WHERE a.s_suppkey <= 20 AND b.s_suppkey > 20""")
+def equality_definition(spark: SparkSession, d: str) -> DataFrame:
+    """A typed dimension whose members count as equal if they are at most one apart, by the rule's own test."""
+    s = table(spark, d, "supplier")
+    f = as_facts(s, F.when(F.col("s_suppkey") <= 20, "few").otherwise("many"), F.col("s_acctbal"), F.lit("e"), F.lit("2000-01-01").cast("date"), {}, F.lit("pure"), F.col("s_suppkey"))
+    f = f.withColumn("typed_dims", F.create_map(F.lit("place"), F.lit(None).cast("string")))
+    places = s.select(F.col("s_suppkey").cast("string").alias("fact_id"), F.create_map(F.lit("place"), F.col("s_nationkey").cast("string")).alias("typed_dims"))
+    f = f.drop("typed_dims").join(places, "fact_id")
+    rule = rules.VariableSet([rules.FactVariable("a", [filters.concept_name("few")]), rules.FactVariable("b", [filters.concept_name("many")])], equalities={"place": "abs(cast(a as int) - cast(b as int)) <= 1"})
+    rule.variables[0].filters.append(filters.aspect_cover("concept"))
+    e = rules.evaluate(rule, f)
+    return e.select(F.col("a__fact_id").cast("long").alias("supplier"), F.col("b__fact_id").cast("long").alias("other"))
+
+
+@query("SELECT a.c_custkey AS customer, b.n_nationkey AS nation FROM customer a JOIN nation n ON a.c_nationkey = n.n_nationkey JOIN nation b ON b.n_regionkey = n.n_regionkey WHERE a.c_custkey <= 300")
+def place_above(spark: SparkSession, d: str) -> DataFrame:
+    """Customers stand in their nation's tuple, nations' facts in their region's: facts two levels above a customer's place."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer").where("c_custkey <= 300")
+    def made(df: DataFrame, concept: str, number, key, parent) -> DataFrame:
+        f = as_facts(df, F.lit(concept), number, F.lit("e"), F.lit("2000-01-01").cast("date"), {"in": parent}, F.lit("pure"), key).withColumn("parent_id", F.col("dims")["in"])
+        return f.withColumns({"dims": F.create_map().cast("map<string,string>"), "dims_key": F.lit("")})
+
+    facts = made(customer, "balance", F.col("c_acctbal"), F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
+    facts = facts.unionByName(made(nation, "nation", F.col("n_nationkey"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+    rule = rules.VariableSet([rules.FactVariable("c", [filters.concept_name("balance")]), rules.FactVariable("n", [filters.concept_name("nation"), filters.location_filter("c", 2)])])
+    e = rules.evaluate(rule, networks.with_places(facts, 2))
+    return e.select(F.substring("c__fact_id", 2, 20).cast("long").alias("customer"), F.substring("n__fact_id", 2, 20).cast("int").alias("nation"))
+
+
+@query("SELECT l_orderkey AS order_key, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'shares' WHEN 2 THEN 'given' END AS unit FROM lineitem")
+def default_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units by type where none is given: money, shares, a unit that is there, and a text that has none."""
+    n = F.col("l_linenumber") % 4
+    kind = F.when(n == 0, "xbrli:monetaryItemType").when(n == 1, "sharesItemType").when(n == 2, "monetaryItemType").otherwise("stringItemType")
+    f = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("item_type"), F.when(n == 2, F.lit("given")).alias("unit_ref"))
+    return with_default_units(f).select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.col("unit_ref").alias("unit"))
+
+
 # --- windows and reports ----------------------------------------------------------------------------------------
 
 
@@ -425,9 +489,8 @@ def roll_forward(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INT) AS year, o_orderkey AS order_key FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) = 1""")
 def latest_in_year(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy(F.desc("o_orderdate"), "o_orderkey")
-    o = table(spark, d, "orders").withColumn("n", F.row_number().over(w)).where("n = 1")
-    return o.select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("order_key"))
+    f = order_facts(spark, d).withColumns({"year": F.year(F.date_sub(F.col("end").cast("date"), 1)), "order_key": F.col("dims")["order"].cast("long"), "dims_key": F.lit(""), "fact_id": F.lpad(F.col("dims")["order"], 12, "0")})
+    return report.latest_in_year(f).select(F.col("entity").cast("long").alias("customer"), "year", "order_key")
 
 
 @query("SELECT o_orderkey AS order_key, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
