@@ -249,6 +249,25 @@ def decode(ids: Column, path: str) -> Column:
     return series_udf(run, "string")(ids)
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> Column:
+    """A struct of a text's ids, as ``encode`` gives them, and of what they decode to: one Python worker a task for both."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t = load(path)
+        try:
+            for texts in batches:
+                ids = [t.encode(x) for x in texts]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([t.decode(x).decode("utf-8") for x in ids], dtype=object)})
+        finally:
+            t.seen.forget()
+            t.compatible.clear()
+            tidy()
+
+    return run(text_or_empty(text_col))
+
+
 def ids_array(ids: Column) -> Column:
     """The ids of a binary column as an array of longs, for users of single ids."""
     n = (F.octet_length(ids) / 4).cast("int")

@@ -60,10 +60,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to."""
-    path = vocabulary_path()
-    coded = docs.select("doc_id", bpe.encode(docs, path).alias("ids"))
-    decoded = coded.withColumn("decoded", bpe.decode(F.col("ids"), path))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", bpe.round_trip(docs, vocabulary_path()).alias("t"))
+    return coded.select("doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2(F.col("t.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

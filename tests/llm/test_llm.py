@@ -544,6 +544,19 @@ def test_bpe_equals_library():
         assert own.decode(mine).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_query(spark):
+    """The query against the library, over whole texts."""
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op7_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_odd(spark):
     path, docs = queries.vocabulary_path(), odd_docs(spark)
     out = docs.select("doc_id", bpe.encode(docs, path).alias("ids")).withColumn("n", F.size(bpe.ids_array(F.col("ids")))).collect()
