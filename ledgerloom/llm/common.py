@@ -43,10 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: smaller than a checkpoint for many rows."""
-    path = scratch_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    _clean_up(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # else its shuffles would count as held
+    _clean_up(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _clean_up(spark: SparkSession) -> None:

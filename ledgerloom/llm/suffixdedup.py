@@ -497,6 +497,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     marked = long.select(*KEY, text.alias("text"), F.col(id_col).alias("own_id")).join(_few(copies), KEY, "left")
     once = marked.where(F.col("n").isNull() | F.col("own_id").eqNullSafe(F.col("first_id"))).select("text", *KEY)
     symbols = F.octet_length("text") if unit == 1 else F.regexp_count("text", F.lit(WORD)) * unit
+    symbols = F.when(F.col("n") > 1, symbols)  # for copies only: a test of the text alone would be made before the join, on all texts
     whole = marked.where(F.col("n").isNotNull() & F.col("own_id").eqNullSafe(F.col("first_id"))).select(*KEY, F.lit(0).cast("long").alias("start"), symbols.cast("long").alias("stop")).where(F.col("stop") >= length)
     names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, place long, anchor long"), "names")
     at = names.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
