@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, resharding, simhash, suffixdedup, topk, toxicity, warc
+from . import bpe, media, mixing, packing, periodic, quality, resharding, simhash, suffixdedup, topk, toxicity, warc, whitening
 from .common import stored, table
 
 
@@ -96,8 +98,55 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns, the size of each piece's sequence and the step group that the sequence is dealt to."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+    names = {"pk_start": "start", "pk_length": "length", "pk_tokens": "doc_tokens", "pk_sequence": "sequence_id", "pk_offset": "offset", "pk_tier": "tier", "pk_step": "step_group"}
+    return packed.select("doc_id", *[F.col(c).alias(n) for c, n in names.items()], F.crc32("pk_ids").alias("ids_crc32"))
+
+
+def planted_period(n: int, doc_id: str | None):
+    """Places of the words that make the text searched by op12: every tenth document, by a checksum of its id, gets a
+    period in its later part. A null id leaves the text as it is."""
+    h = zlib.crc32(doc_id.encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests are made of the operator's runs and collapsed texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("name"))
+    found = periodic.collapsed(docs, order=planted_period, order_col="name")
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("pr_runs", none, lambda b, r: F.when(better(b, r), r).otherwise(b))
+    lines = F.array_join(F.transform("pr_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("pr_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("pr_runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("pr_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", *[F.col(f"wh_{c}").alias(c) for c in ("component", "n", "deviation", "whitened", "explained", "identity_error")])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_topk, op4_resharding, op5_media, op6_simhash, op7_bpe, op8_warc, op9_suffix, op10_mixing)}
+    all_of_them = (
+        op1_toxicity, op2_quality, op3_topk, op4_resharding, op5_media, op6_simhash, op7_bpe, op8_warc, op9_suffix, op10_mixing, op11_packing, op12_periodic, op13_whitening,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
