@@ -90,6 +90,47 @@ class VariableSet:
     unique_facts: bool = False  # the caller's facts have unique ids, so that equal evaluations can't come up
 
 
+@dataclass
+class Scope:
+    """The evaluations of another rule, whose variables a rule sees as if they were bound before its own: these meet them on
+    all aspects that both leave uncovered."""
+
+    rule: VariableSet
+    evaluations: DataFrame
+
+    def bound(self, rule: VariableSet) -> tuple[DataFrame, dict[str, str]]:
+        """The evaluations with their keys worked out anew for the dimensions that either rule names, and the first variable
+        that leaves each aspect uncovered."""
+        names = {v.name for v in self.rule.variables}
+        if clash := names & {v.name for v in rule.variables}:
+            raise ValueError(f"the scope has variables of the same name: {sorted(clash)}")
+        named, df, uncovered = _dimensions(self.rule), self.evaluations, {}
+        every = sorted({*named, *rule.dimensions})
+        empty = F.create_map().cast("map<string,string>")
+        for v in self.rule.variables:
+            if isinstance(v, GeneralVariable):
+                continue
+            covered = v.covered() | {a for f in self.rule.group_filters for a in f.covered()}
+            if "dims" not in covered and every != named:
+                if v.bind_as_sequence:
+                    raise ValueError(f"the sequence {v.name} of the scope is not grouped by {sorted(set(every) - set(named))}: name these in its rule's dimensions")
+                dims, typed = (F.coalesce(F.col(f"{v.name}__{c}"), empty) for c in ("dims", "typed_dims"))
+                df = df.withColumn(f"{v.name}__key_dims", dims_key(dims, typed, every))
+                for d in every:
+                    if d not in covered:
+                        df = df.withColumn(f"{v.name}__key_{d}", F.coalesce(F.try_element_at(dims, F.lit(d)), F.try_element_at(typed, F.lit(d))))
+            for c in df.columns:
+                if c.startswith(f"{v.name}__key_"):
+                    uncovered.setdefault(c.removeprefix(f"{v.name}__key_"), v.name)
+        return df, uncovered
+
+
+def _dimensions(rule: VariableSet) -> list[str]:
+    """The dimensions that a rule treats one by one."""
+    named = {d for v in rule.variables if isinstance(v, FactVariable) for d in v.covered() if d not in ASPECTS}
+    return sorted(set(rule.dimensions) | named | set(rule.equalities))
+
+
 def _pieces(expression: str) -> list[tuple[str, bool]]:
     """An expression cut into text and string literals (true)."""
     return [(x, x[0] in "'\"") for x in re.split(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*")""", expression) if x]
@@ -217,13 +258,14 @@ def _match_column(side: str, col: str) -> Column:
     return F.col(f"{prefix}{col}")
 
 
-def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | None = None, scope: DataFrame | None = None, instances: dict[str, DataFrame] | None = None) -> DataFrame:
+def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | None = None, scope: Scope | None = None, instances: dict[str, DataFrame] | None = None) -> DataFrame:
     """All bindings of a rule: one row an evaluation. ``scope`` feeds the evaluations of another rule, ``instances`` names
     other facts that variables may bind from."""
     known = resolve_parameters(rule, parameters)
-    named = {d for v in rule.variables if isinstance(v, FactVariable) for d in v.covered() if d not in ASPECTS}
-    rule = VariableSet(**{**rule.__dict__, "dimensions": sorted(set(rule.dimensions) | named | set(rule.equalities))})
-    bound, uncovered, fallbacks = scope, {}, []
+    named = _dimensions(rule)
+    rule = VariableSet(**{**rule.__dict__, "dimensions": sorted({*named, *(_dimensions(scope.rule) if scope else [])})})
+    bound, uncovered = scope.bound(rule) if scope else (None, {})
+    fallbacks = []
     for v in rule.variables:
         if isinstance(v, GeneralVariable):
             value = F.expr(compile_expression(v.select, rule, known))
@@ -296,10 +338,46 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
     return out.drop(*([f"{v.name}__doc"] if v.instance is None else []), *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
 
 
+def _of_members(test: str, a: str, b: str) -> str:
+    """A test over ``a`` and ``b`` with these names in place of the two, literals left alone."""
+    one = lambda text: re.sub(r"\b([ab])\b", lambda m: a if m[1] == "a" else b, text)
+    return "".join(x if quoted else one(x) for x, quoted in _pieces(test))
+
+
+def _normal_form(test: str) -> str | None:
+    """The left side of a test that asks whether the same is made of both members, as lower(a) = lower(b) does."""
+    sides = [i for x, quoted, at in _placed(test) if not quoted for i in (at + m.start() for m in re.finditer(r"(?<![<>!=])=(?![=>])", x))]
+    if len(sides) != 1 or any(re.search(r"(?i)\b(and|or|not|case|in|is|like|rlike|between)\b|[<>!]", x) for x, quoted in _pieces(test) if not quoted):
+        return None
+    left, right = test[: sides[0]].strip(), test[sides[0] + 1 :].strip()
+    uses = {m for x, quoted in _pieces(left) if not quoted for m in re.findall(r"\b[ab]\b", x)}
+    return left if len(uses) == 1 and _of_members(left, "b", "a") == right else None
+
+
+def _placed(expression: str) -> list[tuple[str, bool, int]]:
+    out, at = [], 0
+    for x, quoted in _pieces(expression):
+        out.append((x, quoted, at))
+        at += len(x)
+    return out
+
+
 def _own_equality(test: str, a: str, b: str) -> Column:
-    """A test that a rule gives for two members of a dimension; both may be missing, one may not."""
-    known = F.expr(re.sub(r"\b([ab])\b", lambda m: f"`{a if m[1] == 'a' else b}`", test))
-    return F.when(F.col(a).isNull() | F.col(b).isNull(), F.col(a).isNull() & F.col(b).isNull()).otherwise(F.coalesce(known, F.lit(False)))
+    """A test that a rule gives for two members of a dimension; both may be missing, one may not.
+
+    A test that compares the same expression of both members is an equality of keys, so the join stays an equi-join; members
+    for which it is null equal none."""
+    both_missing, any_missing = F.col(a).isNull() & F.col(b).isNull(), F.col(a).isNull() | F.col(b).isNull()
+    form = _normal_form(test)
+    if form is None:
+        return F.when(any_missing, both_missing).otherwise(F.coalesce(F.expr(_of_members(test, f"`{a}`", f"`{b}`")), F.lit(False)))
+
+    def key(own: str, side: str) -> Column:
+        made = F.expr(_of_members(form, f"`{own}`", f"`{own}`"))
+        state = F.when(F.col(own).isNull(), F.lit("missing")).when(made.isNull(), F.lit(side)).otherwise(F.lit("known"))
+        return F.struct(state.alias("state"), made.alias("value"))
+
+    return key(a, "unknown on the left").eqNullSafe(key(b, "unknown on the right"))
 
 
 def _joined_leaf(f: Filter, number: int, v: FactVariable):
@@ -331,8 +409,7 @@ def distinct_evaluations(evaluations: DataFrame, rule: VariableSet) -> DataFrame
     spread = any(isinstance(v, GeneralVariable) and not v.bind_as_sequence for v in rule.variables)
     if rule.unique_facts and not spread:
         return evaluations
-    ids = [f"{v.name}__fact_ids" if v.bind_as_sequence else f"{v.name}__fact_id" for v in rule.variables if isinstance(v, FactVariable)]
-    return evaluations.dropDuplicates(["doc_id", *[c for c in ids if c in evaluations.columns]])
+    return evaluations.dropDuplicates(["doc_id", *[c for c in evaluations.columns if c.endswith(("__fact_id", "__fact_ids"))]])  # of a scope's variables too
 
 
 # --- assertions -----------------------------------------------------------------------------------------------
@@ -347,9 +424,9 @@ class ValueAssertion:
     unsatisfied_message: str | None = None
     severity: str = "error"
 
-    def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
+    def run(self, wide: DataFrame, parameters: dict[str, str] | None = None, scope: Scope | None = None) -> DataFrame:
         """One row a distinct evaluation with its outcome and message."""
-        got = distinct_evaluations(evaluate(self.rule, wide, parameters), self.rule)
+        got = distinct_evaluations(evaluate(self.rule, wide, parameters, scope), self.rule)
         known = resolve_parameters(self.rule, parameters)
         ok = F.coalesce(F.expr(compile_expression(self.test, self.rule, known)).cast("boolean"), F.lit(False))
         text = F.when(ok, message(self.satisfied_message, self.rule, known)).otherwise(message(self.unsatisfied_message, self.rule, known))
@@ -441,8 +518,8 @@ class Formula:
     decimals: str | None = None
     precision: str | None = None
 
-    def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
-        return self.of(distinct_evaluations(evaluate(self.rule, wide, parameters), self.rule), parameters)
+    def run(self, wide: DataFrame, parameters: dict[str, str] | None = None, scope: Scope | None = None) -> DataFrame:
+        return self.of(distinct_evaluations(evaluate(self.rule, wide, parameters, scope), self.rule), parameters)
 
     def of(self, got: DataFrame, parameters: dict[str, str] | None = None, carry: list[str] = ()) -> DataFrame:
         """The derived facts of evaluations, with some of their columns."""

@@ -1,0 +1,149 @@
+"""Queries over the harness tables for structures: hierarchies, dimension sets, ranges, chained rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..model import ARCROLES
+from ..operators import dimension_sets, filters, hierarchies, intervals, rules
+from .harness import query
+from .reporting import line_facts, order_facts, place_arcs, table
+
+# --- hierarchies ------------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH RECURSIVE a AS (SELECT r_name AS p, n_name AS c FROM nation JOIN region ON n_regionkey = r_regionkey
+               UNION ALL SELECT n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    w AS (SELECT p AS anchor, c AS node, 1 AS away FROM a UNION ALL SELECT anchor, a.c, away + 1 FROM w JOIN a ON a.p = node)
+    SELECT anchor, CAST(away AS INT) AS away, CAST(count(*) AS BIGINT) AS places FROM w GROUP BY ALL""")
+def hierarchy_below(spark: SparkSession, d: str) -> DataFrame:
+    """All places below each region and nation, by the generations between them, as ranges of places."""
+    trees = hierarchies.tree(place_arcs(spark, d))
+    anchors = place_arcs(spark, d).select(F.col("from").alias("anchor"))
+    return hierarchies.below(trees, anchors).groupBy("anchor", "away").agg(F.count(F.lit(1)).alias("places"))
+
+
+@query("""
+    SELECT depth, CAST(count(DISTINCT x) AS BIGINT) AS places FROM (
+      SELECT 0 AS depth, r_name AS x FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000
+      UNION ALL SELECT 1, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000
+      UNION ALL SELECT 2, c_name FROM customer WHERE c_acctbal > 9000) GROUP BY 1""")
+def hierarchy_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The network without what holds no rich customer; depths are worked out anew."""
+    rich = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_name").alias("concept"))
+    left = hierarchies.pruned(hierarchies.tree(place_arcs(spark, d)), rich)
+    return left.groupBy("depth").agg(F.count(F.lit(1)).alias("places"))
+
+
+@query("""
+    SELECT r_name AS root, n_name AS concept, CAST(count(c_custkey) AS BIGINT) AS below,
+           CAST(sum(count(c_custkey) + 1) OVER (PARTITION BY r_name ORDER BY n_nationkey) - count(c_custkey) AS BIGINT) AS first
+    FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name, n_nationkey""")
+def hierarchy_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places of nations in document order, and how much lies below them, from the intervals alone."""
+    trees = hierarchies.tree(place_arcs(spark, d)).where("depth = 1")
+    return trees.select("root", "concept", (F.col("last") - F.col("first")).alias("below"), "first")
+
+
+# --- dimension sets ---------------------------------------------------------------------------------------------
+
+
+def _cube_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """A primary item with nations and customers as members over three roles; poor customers are excluded by another hypercube,
+    customers of one segment can't be used."""
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.create_map().cast("map<string,string>")
+    target = lambda role: F.create_map(F.lit("targetRole"), role if not isinstance(role, str) else F.lit(role))
+
+    def arc(rows: DataFrame, role, arcrole: str, start, to, attrs=none) -> DataFrame:
+        col = lambda x: F.lit(x) if isinstance(x, str) else x
+        return rows.select(col(role).alias("role"), F.lit(ARCROLES[arcrole]).alias("arcrole"), col(start).alias("from"), col(to).alias("to"), F.lit(1.0).alias("ord"), F.lit(0).alias("priority"), F.lit("optional").alias("use"), attrs.alias("attrs"))
+
+    one, role = spark.range(1), F.concat(F.lit("role-"), "n_name")
+    usable = F.create_map(F.lit("usable"), (F.col("c_mktsegment") != "BUILDING").cast("string"))
+    parts = [
+        arc(one, "base", "all", "sales", "cube", target("cube")), arc(one, "base", "notAll", "sales", "poor", target("poor")),
+        arc(one, "base", "domain-member", "sales", "net sales"), arc(one, "base", "domain-member", "net sales", "home sales"),
+        arc(one, "cube", "hypercube-dimension", "cube", "who", target("who")), arc(one, "poor", "hypercube-dimension", "poor", "who"),
+        arc(nation, "who", "dimension-domain", "who", F.col("n_name"), target(role)), arc(customer, role, "domain-member", F.col("n_name"), F.col("c_name"), usable),
+        arc(one, "poor", "dimension-domain", "who", "the poor"), arc(customer.where("c_acctbal < 0"), "poor", "domain-member", "the poor", F.col("c_name")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("""
+    WITH m AS (SELECT n_name AS member FROM nation UNION ALL SELECT c_name FROM customer WHERE c_mktsegment <> 'BUILDING' AND NOT c_acctbal < 0)
+    SELECT p AS primary_item, CAST(count(*) AS BIGINT) AS members, min(member) AS least, max(member) AS most
+    FROM m, (VALUES ('sales'), ('net sales'), ('home sales')) AS x(p) GROUP BY 1""")
+def dimension_set_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members over target roles, inherited by two generations of primary items, the excluded ones taken out."""
+    got = dimension_sets.valid_members(_cube_arcs(spark, d))
+    return got.groupBy("primary_item").agg(F.count(F.lit(1)).alias("members"), F.min("member").alias("least"), F.max("member").alias("most"))
+
+
+@query("SELECT n_name AS nation, CAST(count(*) AS BIGINT) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
+def dimension_set_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Usable members below each nation in the sets of an heir of the primary item."""
+    wanted = table(spark, d, "nation").select(F.lit("home sales").alias("primary_item"), F.lit("who").alias("dimension"), F.col("n_name").alias("from_member"), F.lit(None).cast("string").alias("base_role"))
+    got = dimension_sets.select_members(_cube_arcs(spark, d), wanted)
+    return got.groupBy(F.col("from_member").alias("nation")).agg(F.count(F.lit(1)).alias("members"))
+
+
+# --- ranges -----------------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT p_partkey AS part, CAST(count(*) AS BIGINT) AS events FROM part JOIN events
+      ON epoch_us(ts) BETWEEN epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 600000000 AND epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 600000000 + p_size * 3600000000 GROUP BY 1""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    """Events within windows of one to fifty hours, one window a part: points meet intervals on blocks."""
+    start = F.lit(1704067200000000) + F.col("p_partkey") * 600_000_000
+    windows = table(spark, d, "part").select(F.col("p_partkey").alias("part"), start.alias("low"), (start + F.col("p_size") * F.lit(3_600_000_000)).alias("high"))
+    points = table(spark, d, "events").select("event_id", intervals.moments(F.col("ts")).alias("at"))
+    return intervals.hold(points, windows, "at", "low", "high").groupBy("part").agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- rules ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS order_key, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice * l_discount), 4) AS reduction FROM lineitem WHERE l_quantity > 10 AND l_discount > 0.02 GROUP BY 1")
+def scoped_rule(spark: SparkSession, d: str) -> DataFrame:
+    """A rule over the evaluations of another one: its variable meets theirs on all aspects, one row a line."""
+    f = line_facts(spark, d)
+    first = rules.VariableSet([rules.FactVariable("q", [filters.concept_name("quantity"), filters.aspect_cover("unit")]), rules.FactVariable("p", [filters.concept_name("extendedprice"), filters.aspect_cover("unit")])], preconditions=["$q > 10"])
+    second = rules.VariableSet([rules.FactVariable("r", [filters.concept_name("discount"), filters.aspect_cover("unit")])], preconditions=["$r > 0.02"])
+    e = rules.evaluate(second, f, scope=rules.Scope(first, rules.evaluate(first, f)))
+    return e.groupBy(e["q__dims"]["order"].cast("long").alias("order_key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("p") * F.col("r")), 4).alias("reduction"))
+
+
+@query("SELECT 'discount' AS assertion, CAST(count(*) FILTER (l_discount * 100 <= l_tax * 100 + 3.5) AS BIGINT) AS satisfied, CAST(count(*) FILTER (l_discount * 100 > l_tax * 100 + 3.5) AS BIGINT) AS unsatisfied FROM lineitem WHERE l_quantity > 40")
+def scoped_assertion(spark: SparkSession, d: str) -> DataFrame:
+    """An assertion in the scope of a formula's variables that names other dimensions than the assertion does."""
+    f = line_facts(spark, d)
+    first = rules.VariableSet([rules.FactVariable("q", [filters.concept_name("quantity"), filters.general("num > 40")]), rules.FactVariable("t", [filters.concept_name("tax")])])
+    second = rules.VariableSet([rules.FactVariable("r", [filters.concept_name("discount")])], dimensions=["order", "part"])
+    a = rules.ValueAssertion("discount", second, "$r * 100 <= $t * 100 + 3.5")
+    return rules.count_outcomes(a.run(f, scope=rules.Scope(first, rules.evaluate(first, f))))
+
+
+@query("""
+    SELECT CAST(count(*) AS BIGINT) AS pairs FROM (SELECT l_orderkey, l_partkey FROM lineitem) a
+    JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 10 <> 0""")
+def equality_with_literals(spark: SparkSession, d: str) -> DataFrame:
+    """A dimension's own equality, whose literals hold the names of the two members: orders written a-1 and b-1 are the same."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    from .reporting import as_facts
+
+    day = F.lit("2000-01-01").cast("date")
+    named = F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit("c-"), "l_orderkey")).otherwise(F.concat(F.lit("b-"), "l_orderkey"))
+    x = as_facts(lines, F.lit("line"), F.col("l_linenumber"), F.lit("e"), day, {"order": named}, F.lit("pure"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
+    y = as_facts(table(spark, d, "orders"), F.lit("head"), F.col("o_totalprice"), F.lit("e"), day, {"order": F.concat(F.lit("a-"), "o_orderkey")}, F.lit("pure"), F.concat(F.lit("o-"), "o_orderkey"))
+    same = "regexp_replace(a, '^(a|b)-', 'a b ') = regexp_replace(b, '^(a|b)-', 'a b ')"
+    rule = rules.VariableSet([rules.FactVariable("h", [filters.concept_name("head")]), rules.FactVariable("l", [filters.concept_name("line")])], equalities={"order": same})
+    return rules.evaluate(rule, x.unionByName(y)).agg(F.count(F.lit(1)).alias("pairs"))
