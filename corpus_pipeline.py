@@ -40,8 +40,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the digest of their decoded text."""
-    return queries.tokens(docs)
+    """The documents with the token ids of their texts in place of these, ready to be packed, and digests."""
+    return queries.training_rows(docs)
 
 
 STAGES = [

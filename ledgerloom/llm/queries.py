@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, media, mixing, packing, periodic, quality, resharding, simhash, suffixdedup, topk, toxicity, warc, whitening
-from .common import stored, table
+from .common import columns, set_aside, stored, table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -66,6 +66,16 @@ def tokens(docs: DataFrame) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2(F.col("t.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    """The documents' columns but the text, its token ids (little-endian unsigned 32-bit integers in a binary column, read with
+    numpy.frombuffer or ``bpe.ids_array``), their number, and digests of them and of what they decode to."""
+    docs, put_back = set_aside(docs, ["ids", "n_tokens", "ids_sha256", "decoded_sha256", "bpe_coded"])
+    coded = docs.withColumn("bpe_coded", bpe.round_trip(docs, vocabulary_path()))
+    ids = F.col("bpe_coded.ids")
+    new = [ids.alias("ids"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("bpe_coded.decoded").cast("binary"), 256).alias("decoded_sha256")]
+    return put_back(coded.select(*columns([c for c in docs.columns if c != "text"]), *new))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

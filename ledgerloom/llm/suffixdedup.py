@@ -32,6 +32,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -615,15 +617,26 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     def clean_text(text: str, spans, passages) -> str:
         raw = text.encode("utf-8", "replace")
         out = [(s["start"], s["stop"]) for s in spans]
-        if len(passages):
+        if passages:
             start, stop = word_bounds(raw)
             out += [(int(start[w["start"]]), int(stop[w["stop"] - 1])) for w in passages]
-        return kept_bytes(text, [{"start": a, "stop": b} for a, b in merged(out)]).decode("utf-8", "ignore") if out else text
+        return kept_bytes(text, [{"start": a, "stop": b} for a, b in merged(out)]).decode("utf-8", "ignore")
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series:
-        return pd.Series([clean_text(t, s, w) for t, s, w in zip(texts, spans, passages)], dtype=object)
+    at, kept = docs.columns.index(text_col), docs.columns
+    spans_of = columns(["sd_spans", "sd_passages"])
 
-    untouched = F.col(text_col).isNull() | ((F.size("sd_spans") == 0) & (F.size("sd_passages") == 0))
-    clean = F.when(untouched, F.col(text_col)).otherwise(run(F.coalesce(F.col(text_col), F.lit("")), F.col("sd_spans"), F.col("sd_passages")))
-    return put_back(found.withColumn(text_col, clean).select(*columns(docs.columns))).select(*columns(names))
+    def run(batches):
+        for b in batches:
+            spans, passages, texts = b.column("sd_spans"), b.column("sd_passages"), b.column(text_col)
+            found = pc.or_(pc.greater(pc.list_value_length(spans), 0), pc.greater(pc.list_value_length(passages), 0))
+            found = pc.and_(pc.fill_null(found, False), pc.is_valid(texts))
+            rows = np.nonzero(found.to_numpy(zero_copy_only=False))[0].tolist()
+            if rows:  # the others pass as they are
+                clean = [clean_text(texts[i].as_py(), spans[i].as_py(), passages[i].as_py()) for i in rows]
+                texts = pc.replace_with_mask(texts, found, pa.array(clean, texts.type))
+            own = b.select(kept)
+            yield own.set_column(at, own.schema.field(at), texts)
+
+    as_text = found.withColumn(text_col, F.col(text_col).cast("string"))
+    schema = as_text.select(*columns(kept)).schema
+    return put_back(as_text.select(*columns(kept), *spans_of).mapInArrow(tidying(run), schema)).select(*columns(names))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, media, mixing, quality, queries, resharding, simhash, suffixdedup, topk, toxicity, warc
+from ledgerloom.llm import bpe, media, mixing, packing, quality, queries, resharding, simhash, suffixdedup, topk, toxicity, warc
 
 SF = os.environ.get("LLM_TEST_DATA", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -659,6 +659,18 @@ def test_repeats_odd(spark):
     assert suffixdedup.with_spans(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("words", [None, 51])
+def test_cleaned_texts_can_be_used(spark, words):
+    """Filters, joins and aggregates on the text that is left, which once failed for want of a place to run its function."""
+    docs = odd_docs(spark)
+    out = suffixdedup.without_repeats(docs, words=words)
+    assert out.where("length(text) > 1").count() == 4 and out.where("text is null").count() == 1
+    assert out.groupBy(F.length("text")).count().where("count > 3").count() == 1
+    assert out.join(docs.select("text").distinct(), "text").count() == 8  # every cleaned text is one of the given ones here
+    assert suffixdedup.without_repeats(docs.withColumn("text", F.upper("text")), words=words).where(F.col("text").contains("SOME")).select("doc_id").first()[0] is None
+    assert suffixdedup.without_repeats(no_docs(spark), words=words).where("length(text) > 1").count() == 0
+
+
 def brute_word_repeats(texts, words):
     split = [t.split() if isinstance(t, str) else t for t in texts]
     seen = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
@@ -753,5 +765,35 @@ def test_pipeline(spark):
     assert near.count() == groups and near.columns == docs.columns
     clean = p.suffix_stage(spark, near, SF)
     assert clean.count() == groups and clean.where("n_chars <> char_length(text)").count() == 0
-    last = p.bpe_stage(spark, p.mixing_stage(spark, clean, SF), SF)
-    assert last.count() > 0 and p.run(spark, SF).count() > 0
+    mixed = p.mixing_stage(spark, clean, SF).persist()
+    last = p.bpe_stage(spark, mixed, SF)
+    assert last.columns == [*[c for c in docs.columns if c != "text"], "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    t = packing.tokenizer(queries.vocabulary_path())
+    want = {}
+    for r in mixed.collect():
+        want.setdefault((r["doc_id"], r["source"]), []).append(t.encode(r["text"] or "", add_special_tokens=False).ids)
+    for r in last.collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"], r["source"]].pop() and len(r["ids"]) == 4 * r["n_tokens"]
+    assert not any(want.values())
+    assert p.run(spark, SF).count() > 0
+
+
+def test_training_rows_odd(spark):
+    docs = odd_docs(spark).withColumn("ids", F.lit("own"))
+    out = queries.training_rows(docs)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "score", "ids", "_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.where("ids = 'own'").count() == docs.count() and out.where("n_tokens = 0 and length(_ids) = 0").count() == 2
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_results_can_be_used(spark, name):
+    """Each result is filtered, aggregated and joined on each of its columns, as a user would."""
+    out = queries.queries()[name](spark, SF)
+    rows = out.count()
+    for c in out.columns:
+        text = F.coalesce(F.col(c).cast("string"), F.lit("none"))
+        assert out.where(F.length(text) > 0).count() == rows
+    last = out.columns[-1]
+    counts = out.where(F.length(F.coalesce(F.col(last).cast("string"), F.lit("none"))) > 0).groupBy(last).agg(F.count(F.lit(1)).alias("of_it"))
+    joined = out.join(counts.withColumnRenamed(last, "_key"), F.col(last).eqNullSafe(F.col("_key")))
+    assert joined.count() == rows and joined.where("of_it < 1").count() == 0
