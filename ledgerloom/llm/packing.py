@@ -19,6 +19,9 @@ than the text are carried to each piece, columns named like new ones keep their
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +42,14 @@ END_MARK = 2
 GROUP_IDS = 4_000_000
 #: Ids of one step group.
 STEP = 65_536
-#: Bytes of text that are encoded at once, and words whose ids a task remembers in each of two generations.
+#: Bytes of text that are encoded at once, words whose ids a task remembers, and new words given to the library in one text.
 TEXT_BYTES = 8_000_000
-WORDS = 200_000
+WORDS = 500_000
+TOGETHER = 100
+#: A mark after a Latin letter that neither case nor composition turns into anything else.
+BREAK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}])([.,;:!?])"
+#: Fixed value: how a tokenizer's pattern says that a run of letters is a word.
+LETTERS = "|[\\\\p{L}]+|"
 
 NEW = ["pk_start", "pk_length", "pk_tokens", "pk_tier", "pk_sequence", "pk_offset", "pk_step", "pk_ids"]
 INNER = ["pk_bucket", "pk_row"]
@@ -62,36 +70,70 @@ def tokenizer(path: str):
 
 class WordIds:
     """Ids of many texts at once for tokenizers whose words never hold white space: each distinct word is encoded once and
-    remembered in two generations."""
+    remembered, up to ``WORDS`` of them. The library is given many new words in one text, with a special token between them."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.new, self.old = tokenizer(path), {}, {}
-
-    def _of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.new) > WORDS:
-            self.old, self.new = self.new, {}
-        out = [self.new.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        unknown = []
-        for i in missing:
-            out[i] = self.old.get(words[i])
-            if out[i] is None:
-                unknown.append(i)
-        for i, e in zip(unknown, self.tokenizer.encode_batch_fast([words[i] for i in unknown], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        for i in missing:
-            if len(words[i]) <= 100:
-                self.new[words[i]] = out[i]
-        return out
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
+        self.tokenizer = tokenizer(path)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.border = next(iter(special.items()), (None, None))
+        spec = json.loads(self.tokenizer.to_str())
+        self.plain = '"Lowercase"' in json.dumps(spec["normalizer"]) and LETTERS in json.dumps(spec["pre_tokenizer"])
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has."""
+        if self.border is None:
+            made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
+        texts = [f" {self.border} ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        flat = np.concatenate([np.array([*e.ids, self.mark], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        at = np.nonzero(flat == self.mark)[0]
+        return flat[flat != self.mark], np.diff(np.concatenate([[-1], at])) - 1
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Places of the words, new ones put behind the others."""
+        if len(self.place) > WORDS:
+            self.forget()
+        place = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.nonzero(place < 0)[0]
+        if len(new):
+            plain = [i for i in new.tolist() if self.border is None or self.border not in words[i]]
+            parts = [plain, sorted(set(new.tolist()) - set(plain))] if len(plain) < len(new) else [plain]
+            for part, several in zip(parts, (True, False)):
+                if not part:
+                    continue
+                if several:
+                    ids, sizes = self._encode([words[i] for i in part])
+                else:  # words that hold the border themselves
+                    made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)]
+                    ids, sizes = np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
+                place[part] = np.arange(len(self.place), len(self.place) + len(part))
+                self.place.update(zip([words[i] for i in part], place[part].tolist()))
+                self.ids.append(ids)
+                self.sizes.append(sizes)
+        return place
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
+        """All ids in a row, and how many each text has.
+
+        Words are split at a mark after a letter, where a tokenizer in lower case with runs of letters as words splits them
+        anyway, and its words are told apart without ASCII case: fewer words are new."""
+        if self.plain:
+            texts = pc.replace_substring_regex(texts, BREAK, r"\1 \2")
+            if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else letters in a special token's string would change it
+                texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        ids = self._of(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin, index = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        place = self._known(coded.dictionary.to_pylist())
+        self.ids, self.sizes = [np.concatenate([np.zeros(0, np.uint32), *self.ids])], [np.concatenate([np.zeros(0, np.int64), *self.sizes])]
+        flat, size = self.ids[0], self.sizes[0]
+        begin, index = np.cumsum(size) - size, place[coded.indices.to_numpy(zero_copy_only=False)]
         many = size[index]
         ends = np.cumsum(many)
         out = flat[np.repeat(begin[index] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
