@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aspects import dims_key
+from .running import running
 
 
 class Contexts:
@@ -108,21 +108,18 @@ class Contexts:
     def discrete_ranges(self) -> DataFrame:
         """Periods by document, widest first: a period belongs to the first range of its end that contains it.
 
-        The order matters, so each document's periods (a handful) are grouped by a small function.
+        In falling order of ends a period opens a range where it starts before all others so far; it belongs to the range with
+        the latest start that isn't after its own. Both are running values by month, so no document is one group.
         """
-
-        def group(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, ranges = [], []
-            for r in pdf.sort_values(["end", "start", "context_id"], ascending=[False, True, True]).itertuples():
-                home = next((i for i, (s, e) in enumerate(ranges) if s <= r.start and r.end <= e), None)
-                if home is None:
-                    ranges.append((r.start, r.end))
-                    home = len(ranges) - 1
-                out.append((r.doc_id, r.context_id, *ranges[home]))
-            return pd.DataFrame(out, columns=["doc_id", "context_id", "range_start", "range_end"])
-
         periods = self.df.where("end is not null").select("doc_id", "context_id", F.coalesce("start", "end").alias("start"), "end")
-        return periods.groupBy("doc_id").applyInPandas(group, "doc_id string, context_id string, range_start timestamp_ntz, range_end timestamp_ntz")
+        ends = periods.groupBy("doc_id", "end").agg(F.min("start").alias("start"))  # others with this end lie within the widest
+        month = lambda c: F.year(c) * 12 + F.month(c)
+        swept = running(ends, ["doc_id"], month("end"), [F.desc("end")], F.col("start"), "min", "least", descending=True)
+        ranges = swept.groupBy("doc_id", F.col("least").alias("start")).agg(F.max("end").alias("range_end"))
+        starts = periods.select("doc_id", "start").distinct()
+        marked = starts.join(ranges, ["doc_id", "start"], "left").withColumn("own", F.when(F.col("range_end").isNotNull(), F.struct(F.col("start").alias("s"), F.col("range_end").alias("e"))))
+        homes = running(marked, ["doc_id"], month("start"), [F.asc("start")], F.col("own"), "max", "home").select("doc_id", "start", F.col("home.s").alias("range_start"), F.col("home.e").alias("range_end"))
+        return periods.join(homes, ["doc_id", "start"]).select("doc_id", "context_id", "range_start", "range_end")
 
 
 def has_dimension(dimension: str) -> Column:

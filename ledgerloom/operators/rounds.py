@@ -35,8 +35,8 @@ def list_ranks(links: DataFrame, weights: list[str], rounds: Rounds | None = Non
 
     ``links`` holds (id, next, weights); ids are unique, a null next or one that isn't there ends a list. Each round an
     element skips to where its next one points and adds what lies between, so a list of n takes log2(n) rounds, however many
-    lists there are. Returns (id, last, cyclic, weights): the last element of the list, and whether it never ends; then
-    the sums mean nothing.
+    lists there are. Returns (id, last, cyclic, weights): the last element of the list, and whether it never ends; then the
+    sums mean nothing, and last is some element of the circle, each of which is the last one of some id.
     """
     rounds = rounds or Rounds()
     there = links.select(F.col("id").alias("next"), F.lit(True).alias("_there"))
@@ -53,4 +53,26 @@ def list_ranks(links: DataFrame, weights: list[str], rounds: Rounds | None = Non
         moved = going.select("id", F.col("_next").alias("next"), *sums, F.col("_last").alias("last"))
         now = rounds.keep(now.where("next is null").unionByName(moved), instead_of=now)
         left = now.where("next is not null").count()
-    return now.select("id", "last", F.col("next").isNotNull().alias("cyclic"), *weights)
+    return now.select("id", F.coalesce("next", "last").alias("last"), F.col("next").isNotNull().alias("cyclic"), *weights)
+
+
+def followers(links: DataFrame, starts: DataFrame, keys: list[str], rounds: Rounds | None = None) -> DataFrame:
+    """What follows each start in its list, by doubling: (keys, start, place, id), place from 1.
+
+    ``links`` holds (keys, id, next), ``starts`` (keys, id). Each round knows for every element the one twice as far on, and for
+    every start twice as many of its followers, so a list of n takes log2(n) rounds. Lists may run together; one that comes
+    back to itself is followed once around.
+    """
+    rounds = rounds or Rounds()
+    jump = rounds.keep(links.groupBy(*keys, "id").agg(F.min("next").alias("next")))
+    most = jump.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    found = rounds.keep(starts.select(*keys, F.col("id").alias("start"), "id").distinct().join(jump, [*keys, "id"]).select(*keys, "start", F.lit(1).cast("long").alias("place"), F.col("next").alias("id")))
+    far = 1
+    while far < most + 1 and not jump.isEmpty():
+        # Who follows a start at some place has the element ``far`` on at the place ``far`` more.
+        more = found.join(jump, [*keys, "id"]).select(*keys, "start", (F.col("place") + far).alias("place"), F.col("next").alias("id"))
+        found = rounds.keep(found.unionByName(more).groupBy(*keys, "start", "id").agg(F.min("place").alias("place")), instead_of=found)
+        to = jump.select(*keys, F.col("id").alias("next"), F.col("next").alias("_next"))
+        jump = rounds.keep(jump.join(to, [*keys, "next"]).select(*keys, "id", F.col("_next").alias("next")), instead_of=jump)
+        far *= 2
+    return found.select(*keys, "start", "place", "id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms
-from ..operators.networks import settled
+from ..operators.rounds import followers, list_ranks
 
 ELEMENTS = ("nonfraction", "nonnumeric", "fraction", "numerator", "denominator", "tuple", "continuation", "footnote", "exclude", "header", "hidden", "resources", "references", "relationship")
 RAW = "doc_id string, tag string, id string, name string, text string, attrs map<string,string>, parent string, ordinal int"
@@ -72,16 +72,19 @@ def _attr(name: str):
 
 
 def with_continuations(rows: DataFrame) -> DataFrame:
-    """Text of elements followed by that of their continuations, in the chain's order."""
-    parts = rows.where("tag = 'continuation'").select(F.col("doc_id").alias("_doc"), F.col("id").alias("_id"), F.col("text").alias("_text"), _attr("continuedat").alias("_next"))
-    heads = rows.where("tag <> 'continuation'").withColumns({"_at": _attr("continuedat"), "_seen": F.array("id")})
-    while True:  # a chain ends, or meets an element that it has seen
-        j = heads.join(parts, (F.col("_at") == F.col("_id")) & (F.col("doc_id") == F.col("_doc")), "left").drop("_doc")
-        again = F.array_contains("_seen", F.coalesce("_id", F.lit("")))
-        heads = j.withColumns({"text": F.when(F.col("_id").isNotNull() & ~again, F.concat("text", "_text")).otherwise(F.col("text")), "_at": F.when(~again, F.col("_next")), "_seen": F.concat("_seen", F.array(F.coalesce("_id", F.lit(""))))}).drop("_id", "_text", "_next")
-        heads = settled(heads)
-        if heads.where("_at is not null").isEmpty():
-            return heads.drop("_at", "_seen")
+    """Text of elements followed by that of their continuations, in the chain's order.
+
+    Chains of any length take rounds by their logarithm. A chain ends where it names no continuation of its document, or an
+    element that it has met; of several continuations with one id the first one's text counts."""
+    parts = rows.where("tag = 'continuation'").groupBy("doc_id", "id").agg(F.min_by("text", "ordinal").alias("_text"), F.min_by(_attr("continuedat"), F.col("ordinal")).alias("_next"))
+    there = parts.select("doc_id", F.col("id").alias("next"))
+    heads = rows.where("tag <> 'continuation'").select("doc_id", "id", _attr("continuedat").alias("next")).where("next is not null")
+    links = heads.unionByName(parts.select("doc_id", "id", F.col("_next").alias("next"))).where("next is not null").join(there, ["doc_id", "next"], "left_semi")
+    after = followers(links, heads, ["doc_id"]).where("id <> start").join(parts.select("doc_id", "id", "_text"), ["doc_id", "id"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_text"))), lambda x: x["_text"]), "")
+    more = after.groupBy("doc_id", F.col("start").alias("id")).agg(joined.alias("_more"))
+    out = rows.where("tag <> 'continuation'").join(more, ["doc_id", "id"], "left")
+    return out.withColumn("text", F.concat("text", F.coalesce("_more", F.lit("")))).select(*rows.columns)
 
 
 def facts(rows: DataFrame, registry: dict | str = transforms.TR4, formats: list[str] | None = None) -> DataFrame:
@@ -120,13 +123,25 @@ def problems(rows: DataFrame) -> DataFrame:
     no_context = valued.where(_attr("contextref").isNull()).select("doc_id", "id", F.lit("context").alias("rule"))
     no_unit = valued.where((F.col("tag") != "nonnumeric") & _attr("unitref").isNull()).select("doc_id", "id", F.lit("unit").alias("rule"))
     no_name = rows.where(F.col("tag").isin("nonfraction", "nonnumeric", "fraction", "tuple") & F.col("name").isNull()).select("doc_id", "id", F.lit("name").alias("rule"))
-    own = rows.where(_attr("tupleref") == F.col("id")).select("doc_id", "id", F.lit("circle").alias("rule"))
+    own = tuple_circles(rows).withColumn("rule", F.lit("circle"))
     out = ids
     for df in (lost, no_context, no_unit, no_name, own):
         out = out.unionByName(df)
     return out
 
 
+def tuple_circles(rows: DataFrame) -> DataFrame:
+    """(doc_id, id) of tuples that are inside themselves, over references and nesting of any length."""
+    tuples = rows.where("tag = 'tuple'").select("doc_id", "id", "parent", _attr("tupleref").alias("ref"))
+    nested = tuples.select("doc_id", F.col("id").alias("parent"), F.lit(True).alias("_in"))
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\x1f", "doc_id", c))
+    up = tuples.join(nested, ["doc_id", "parent"], "left").withColumn("above", F.coalesce("ref", F.when(F.col("_in"), F.col("parent"))))
+    links = up.groupBy("doc_id", "id").agg(F.min("above").alias("above"))
+    ranks = list_ranks(links.select(key("id").alias("id"), key("above").alias("next"), F.lit(1).alias("n")), ["n"])
+    around = ranks.where("cyclic").select(F.col("last").alias("_id")).distinct()
+    return links.select("doc_id", "id", key("id").alias("_id")).join(around, "_id", "left_semi").select("doc_id", "id")
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """Documents by target, with their number of facts."""
     return facts(rows).groupBy("target").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("facts"))

@@ -79,11 +79,23 @@ def catalog(files: DataFrame) -> DataFrame:
 
 
 def rewrite(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs by the rule of the longest prefix; others stay. Rules are few: they become one expression a package."""
-    out = F.col("url")
-    for r in sorted(rules.collect(), key=lambda r: len(r["prefix"])):
-        out = F.when(F.col("url").startswith(r["prefix"]), F.concat(F.lit(r["replacement"]), F.substring("url", len(r["prefix"]) + 1, 100_000))).otherwise(out)
-    return urls.withColumn("location", out)
+    """``urls`` with location: the url by the rule with its longest prefix, else as it is.
+
+    ``rules`` holds (prefix, replacement) and, where ``urls`` has a package too, the package that a rule is for. Each distinct
+    url meets the rules as a join on its own beginnings of the lengths that rules have; of equal rules the least replacement
+    counts. Rules may be many; only their distinct lengths come to the driver, which the longest prefix bounds.
+    """
+    keys = ["package"] if "package" in urls.columns and "package" in rules.columns else []
+    rules = rules.where("length(prefix) > 0").groupBy(*keys, "prefix").agg(F.min("replacement").alias("replacement"))
+    lengths = sorted(r[0] for r in rules.select(F.length("prefix")).distinct().collect())
+    each = urls.select(*keys, "url").where("url is not null").distinct()
+    begins = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("url")), lambda n: F.substring("url", F.lit(1), n))
+    met = each.withColumn("prefix", F.explode(begins)).join(rules, [*keys, "prefix"])
+    rest = F.substring(F.col("url"), F.length("prefix") + 1, F.length("url"))
+    best = met.groupBy(*keys, "url").agg(F.max_by(F.concat("replacement", rest), F.length("prefix")).alias("_to"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("url") == F.col("_url")]
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("url").alias("_url"), "_to")
+    return urls.join(best, same, "left").withColumn("location", F.coalesce("_to", "url")).drop("_to", "_url", *[f"_{k}" for k in keys])
 
 
 def manifest(files: DataFrame) -> DataFrame:

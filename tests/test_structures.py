@@ -188,3 +188,165 @@ def test_equalities_keep_literals(spark):
     assert pairs(run("nullif(lower(a), 'a') = nullif(lower(b), 'a')")) == [("x2", "y2"), ("x3", "y3")]  # null equals none
     assert pairs(run("a <> b and upper(b) = 'Z'")) == [("x1", "y4"), ("x2", "y4"), ("x3", "y3")]
     assert "lower(x__key_k" in plan(same) and "Filter" not in plan(same).split("Join")[0]  # keys of the join, no test after it
+
+
+# --- running values and date ranges ------------------------------------------------------------------------------
+
+
+def test_discrete_ranges_against_one_pass(spark):
+    import datetime as dt
+
+    from ledgerloom.operators.contexts import Contexts
+
+    rng, rows = random.Random(6), []
+    day = lambda n: dt.datetime(2019, 1, 1) + dt.timedelta(days=n)
+    for d in ("a", "b", None):
+        for i in range(70):
+            start = rng.randint(0, 500)
+            instant = rng.random() < 0.3
+            rows.append((d, f"c{i}", None if instant else day(start), day(start + (0 if instant else rng.choice([1, 30, 90, 365, 400])))))
+    rows.append(("a", "forever", None, None))
+    df = spark.createDataFrame(rows, "doc_id string, context_id string, start timestamp_ntz, end timestamp_ntz")
+    got = {(r.doc_id, r.context_id): (r.range_start, r.range_end) for r in Contexts(df.where("doc_id is not null")).discrete_ranges().collect()}
+    for d in ("a", "b"):
+        ranges = []
+        own = sorted(((-e.timestamp(), s or e, c, e) for x, c, s, e in rows if x == d and e), key=lambda r: r[:3])
+        for _, s, c, e in own:
+            home = next((r for r in ranges if r[0] <= s and e <= r[1]), None)
+            if home is None:
+                ranges.append(home := (s, e))
+            assert got[d, c] == home
+    assert len(got) == 140
+
+
+def test_running(spark):
+    from ledgerloom.operators.running import running
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["x", None]), i, rng.choice([None, rng.randint(0, 99)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, at int, v int")
+    out = running(df, ["k"], F.floor(F.col("at") / 13), [F.asc("at")], F.col("v"), "max", "most").orderBy("at").collect()
+    seen = {}
+    for k, at, v in rows:
+        seen[k] = max((x for x in (seen.get(k), v) if x is not None), default=None)
+        assert out[at].most == seen[k]
+
+
+# --- continuations, tuple circles, rewriting ---------------------------------------------------------------------
+
+
+def inline_rows(spark, rows):
+    return spark.createDataFrame([(d, tag, i, "n", text, attrs, parent, n) for n, (d, tag, i, text, attrs, parent) in enumerate(rows)], "doc_id string, tag string, id string, name string, text string, attrs map<string,string>, parent string, ordinal int")
+
+
+def test_long_continuations(spark):
+    from ledgerloom.sources import inline
+
+    n = 10_000
+    chain = [("d", "nonnumeric", "h", "start ", {"continuedat": "c0"}, None)] + [("d", "continuation", f"c{i}", f"{i} ", {"continuedat": f"c{i + 1}"} if i + 1 < n else {}, None) for i in range(n)]
+    odd = [("e", "nonnumeric", "h", "a", {"continuedat": "x"}, None), ("e", "nonnumeric", "h2", "b", {"continuedat": "x"}, None), ("e", "continuation", "x", "x", {"continuedat": "y"}, None), ("e", "continuation", "y", "y", {"continuedat": "x"}, None), ("e", "nonnumeric", "lost", "l", {"continuedat": "none"}, None), ("e", "nonnumeric", "plain", "p", {}, None)]
+    got = {(r.doc_id, r.id): r.text for r in inline.with_continuations(inline_rows(spark, chain + odd)).collect()}
+    assert got["d", "h"] == "start " + "".join(f"{i} " for i in range(n))
+    assert {k[1]: v for k, v in got.items() if k[0] == "e"} == {"h": "axy", "h2": "bxy", "lost": "l", "plain": "p"}
+
+
+def test_tuple_circles(spark):
+    from ledgerloom.sources import inline
+
+    rows = [("d", "tuple", "a", "", {"tupleref": "b"}, None), ("d", "tuple", "b", "", {"tupleref": "c"}, None), ("d", "tuple", "c", "", {}, "a"), ("d", "tuple", "into", "", {"tupleref": "a"}, None), ("d", "tuple", "self", "", {"tupleref": "self"}, None), ("d", "tuple", "fine", "", {}, None), ("d", "tuple", "in", "", {}, "fine"), ("e", "tuple", "b", "", {}, None)]
+    got = inline.tuple_circles(inline_rows(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == [("d", "a"), ("d", "b"), ("d", "c"), ("d", "self")]
+    assert {r.id for r in inline.problems(inline_rows(spark, rows)).where("rule = 'circle'").collect()} == {"a", "b", "c", "self"}
+
+
+def test_longest_prefix(spark):
+    from ledgerloom.sources import packages
+
+    urls = spark.createDataFrame([("p", "http://a/b/c.xsd"), ("q", "http://a/b/c.xsd"), ("p", "http://a/x"), ("p", "other"), (None, "http://a/x"), ("p", None), ("p", "http://a/b/c.xsd")], "package string, url string")
+    rules_ = spark.createDataFrame([("p", "http://a/", "one/"), ("p", "http://a/b/", "two/"), ("q", "http://a/b/c.xsd", "three"), ("p", "", "never")], "package string, prefix string, replacement string")
+    got = sorted(((r.package, r.url, r.location) for r in packages.rewrite(urls, rules_).collect()), key=str)
+    assert got == sorted([("p", "http://a/b/c.xsd", "two/c.xsd")] * 2 + [("q", "http://a/b/c.xsd", "three"), ("p", "http://a/x", "one/x"), ("p", "other", "other"), (None, "http://a/x", "http://a/x"), ("p", None, None)], key=str)
+    assert packages.rewrite(urls, rules_.limit(0)).where("location <=> url").count() == 7
+
+
+# --- taxonomies --------------------------------------------------------------------------------------------------
+
+SCHEMA = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:xbrli="http://www.xbrl.org/2003/instance" targetNamespace="{ns}">{body}</xs:schema>'
+
+
+def _element(name):
+    return f'<xs:element name="{name}" id="{name}" type="xbrli:monetaryItemType" substitutionGroup="xbrli:item" xbrli:periodType="instant"/>'
+
+
+def _ref(href):
+    return f'<xs:annotation><xs:appinfo><link:linkbaseRef xlink:type="simple" xlink:href="{href}"/></xs:appinfo></xs:annotation>'
+
+
+def _linkbase(*arcs_, labels=()):
+    locs = {h for a in arcs_ for h in a[:2]} | {h for h, _ in labels}
+    body = "".join(f'<link:loc xlink:type="locator" xlink:href="{h}" xlink:label="{h}"/>' for h in sorted(locs))
+    body += "".join(f'<link:presentationArc xlink:type="arc" xlink:arcrole="{ARCROLES["parent-child"]}" xlink:from="{a}" xlink:to="{b}" order="{n}" priority="{p}" use="{u}"/>' for a, b, n, p, u in arcs_)
+    body += "".join(f'<link:label xlink:type="resource" xlink:label="l{i}" xlink:role="r" xml:lang="en">{t}</link:label><link:labelArc xlink:type="arc" xlink:arcrole="x" xlink:from="{h}" xlink:to="l{i}"/>' for i, (h, t) in enumerate(labels))
+    return f'<link:linkbase xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink"><link:presentationLink xlink:type="extended" xlink:role="role">{body}</link:presentationLink></link:linkbase>'
+
+
+def documents(spark, extra=()):
+    base, own = "http://t/base/", "http://t/own/"
+    rows = [
+        (base + "core.xsd", SCHEMA.format(ns="urn:base", body=_ref("pre/core.xml") + _element("Assets") + _element("Cash") + _element("Old"))),
+        (base + "pre/core.xml", _linkbase(("../core.xsd#Assets", "../core.xsd#Cash", 1, 0, "optional"), ("../core.xsd#Assets", "../core.xsd#Old", 2, 0, "optional"), labels=[("../core.xsd#Cash", "Cash at hand")])),
+        (own + "ext.xsd", SCHEMA.format(ns="urn:own", body='<xs:import namespace="urn:base" schemaLocation="../base/core.xsd"/>' + _ref("ext.xml#x") + _element("Cash") + _element("Crypto"))),
+        (own + "ext.xml", _linkbase(("../base/core.xsd#Assets", "../base/core.xsd#Old", 2, 1, "prohibited"), ("../base/core.xsd#Assets", "ext.xsd#Crypto", 3, 0, "optional"), ("../base/core.xsd#Assets", "ext.xsd#Cash", 4, 0, "optional"), labels=[("ext.xsd#Crypto", "Coins"), ("gone.xsd#X", "lost")])),
+        (base + "broken.xsd", "<xs:schema"),
+        *extra,
+    ]
+    return spark.createDataFrame(rows, "uri string, text string")
+
+
+def test_extension_taxonomy(spark):
+    from ledgerloom.sources import discovery, instance
+
+    docs = documents(spark)
+    parts = discovery.parse(docs).persist()
+    entries = spark.createDataFrame([("http://t/own/ext.xsd",), ("http://t/base/core.xsd",)], "entry string")
+    taxonomy = discovery.reached(parts, entries)
+    assert {(r.entry[9:12], r.uri.rpartition("/")[2], r.depth) for r in taxonomy.collect()} == {("own", "ext.xsd", 0), ("own", "core.xsd", 1), ("own", "ext.xml", 1), ("own", "core.xml", 2), ("own", "gone.xsd", 2), ("bas", "core.xsd", 0), ("bas", "core.xml", 1)}
+    assert [r.uri for r in discovery.missing(taxonomy, docs).collect()] == ["http://t/own/gone.xsd"]
+    net = {(r.entry[9:12], r["from"], r.to, r.ord) for r in discovery.arcs(parts, taxonomy).collect()}
+    assets, cash = "{urn:base}Assets", "{urn:base}Cash"
+    # The extension prohibits one arc of its base and adds two; the base alone is as it was, and two concepts of one name stay apart.
+    assert net == {("own", assets, cash, 1.0), ("own", assets, "{urn:own}Crypto", 3.0), ("own", assets, "{urn:own}Cash", 4.0), ("bas", assets, cash, 1.0), ("bas", assets, "{urn:base}Old", 2.0)}
+    assert {(r.entry[9:12], r.concept, r.text) for r in discovery.labels(parts, taxonomy).collect()} == {("own", "Cash", "Cash at hand"), ("own", "Crypto", "Coins"), ("bas", "Cash", "Cash at hand")}
+    assert parts.where("part = 'error'").select("uri").collect()[0][0].endswith("broken.xsd")
+    text = '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:b="urn:base" xmlns:o="urn:own"><link:schemaRef xlink:type="simple" xlink:href="../own/ext.xsd"/><b:Cash contextRef="c">1</b:Cash><o:Cash contextRef="c">2</o:Cash><o:Unknown contextRef="c">3</o:Unknown></xbrl>'
+    made = instance.tables(instance.parse(spark.createDataFrame([("http://t/filing/i.xml", text)], "doc_id string, text string")))
+    own = discovery.resolve_facts(made["facts"], discovery.entries_of(made["schema_refs"]), discovery.concepts(parts, taxonomy))
+    assert sorted((r.ns, r.concept, r.resolved, (r.layer or "").rpartition("/")[2], r.item_type) for r in own.collect()) == [("urn:base", "Cash", True, "core.xsd", "monetaryItemType"), ("urn:own", "Cash", True, "ext.xsd", "monetaryItemType"), ("urn:own", "Unknown", False, "", None)]
+
+
+def test_taxonomy_store(spark, tmp_path):
+    import os
+
+    from ledgerloom.sources import discovery, taxonomy_store as store
+
+    at = str(tmp_path / "store")
+    assert store.versions(spark, at) == [] and store.load(spark, at).count() == 0
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert store.compile(documents(spark), at) == 0
+    assert plain(store.load(spark, at)) == plain(discovery.parse(documents(spark)))
+    files = lambda n: sum(f.endswith(".parquet") for f in os.listdir(f"{at}/parts/{n}"))
+    before = {f: os.path.getmtime(f"{at}/parts/0/{f}") for f in os.listdir(f"{at}/parts/0")}
+    changed = [("http://t/own/ext.xml", _linkbase(("../base/core.xsd#Assets", "ext.xsd#Cash", 9, 0, "optional")))]
+    assert store.compile(spark.createDataFrame(changed, "uri string, text string"), at) == 1
+    assert {r.uri for r in spark.read.parquet(f"{at}/parts/1").select("uri").distinct().collect()} == {"http://t/own/ext.xml"} and files(1) >= 1
+    assert before == {f: os.path.getmtime(f"{at}/parts/0/{f}") for f in os.listdir(f"{at}/parts/0")}
+    now = documents(spark).where("uri <> 'http://t/own/ext.xml'").unionByName(spark.createDataFrame(changed, "uri string, text string"))
+    assert plain(store.load(spark, at)) == plain(discovery.parse(now))
+    assert plain(store.load(spark, at, 0)) == plain(discovery.parse(documents(spark)))  # readers of the old version aren't disturbed
+    assert [tuple(r) for r in store.changed(spark, at, 0, 1).collect()] == [("http://t/own/ext.xml", "changed")]
+    assert store.compile(documents(spark), at, replace=True) == 2  # all of it is stored already
+    assert plain(store.load(spark, at)) == plain(discovery.parse(documents(spark)))
+    os.makedirs(f"{at}/manifests/3")  # a compiler that failed before it was done
+    assert store.versions(spark, at) == [0, 1, 2] and store.compile(documents(spark).limit(0), at) == 4
+    with pytest.raises(ValueError):
+        store.load(spark, at, 3)
