@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import harness, harness_more, harness_structures  # the others register their queries with the first
+from .plans import harness, harness_functions, harness_more, harness_structures  # the others register their queries with the first
 
-assert harness_more.query is harness_structures.query is harness.query
+assert harness_functions.query is harness_more.query is harness_structures.query is harness.query
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

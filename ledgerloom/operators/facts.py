@@ -50,7 +50,7 @@ class Facts:
         return self.df.select("item_type").distinct()
 
     def substitution_groups(self, concepts: DataFrame) -> DataFrame:
-        return self.df.join(concepts.select("concept", "subst_group"), "concept").select("subst_group").distinct()
+        return self.df.select("concept").distinct().join(concepts.select("concept", "subst_group"), "concept").select("subst_group").distinct()
 
     def unique(self) -> "Facts":
         """Of a concept's items with the same context and value the first; tuples all stay."""
