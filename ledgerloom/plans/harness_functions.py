@@ -205,7 +205,7 @@ def match_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(counts_sql({
-    "by reference": "k IN (1, 2, 3)", "with duration": "kind = 1 AND (CAST(datediff('month', start, fin) AS INT) - CASE WHEN day(start) > day(fin) AND fin <> last_day(fin) THEN 1 ELSE 0 END) = 2", "instants": "kind = 0", "durations": "kind > 0", "of an entity": "entity = '1'", "of a scheme": "entity = '1'", "without segment": "false", "removed": "kind > 0", "added": "kind = 0 OR entity = '1'",
+    "by reference": "k IN (1, 2, 3)", "with duration": "kind = 1 AND (CAST(datediff('month', start, fin) AS INT) - CASE WHEN day(start) > day(fin) AND NOT (fin = last_day(fin) AND start = last_day(start)) THEN 1 ELSE 0 END) = 2", "instants": "kind = 0", "durations": "kind > 0", "of an entity": "entity = '1'", "of a scheme": "entity = '1'", "without segment": "false", "removed": "kind > 0", "added": "kind = 0 OR entity = '1'",
 }) + """ UNION ALL SELECT 'years', count(DISTINCT year(fin - INTERVAL 1 DAY)) FROM r WHERE fin IS NOT NULL UNION ALL SELECT 'typed dimensions', 1 UNION ALL SELECT 'namespaces', 1 UNION ALL SELECT 'same segment', count(*) FROM r WHERE k % 4 = 1 AND status = (SELECT status FROM r WHERE k = 1)
     UNION ALL SELECT 'has dimension', count(*) FROM r WHERE k % 2 = 0 UNION ALL SELECT 'default member', count(*) FROM r WHERE status = 'F' UNION ALL SELECT 'by label', count(*) FROM r WHERE k % 4 = 1""")
 def context_lookups(spark: SparkSession, d: str) -> DataFrame:

@@ -170,8 +170,9 @@ def read_cache(spark: SparkSession, path: str, names=("facts", "contexts", "unit
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def to_xml(facts: DataFrame, contexts: DataFrame, units: DataFrame, schema_ref: str) -> DataFrame:
-    """One XML document a doc_id, put together by Spark's string functions from derived or parsed rows."""
+def xml_pieces(facts: DataFrame, contexts: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, x, o, k) of contexts, units and facts: their XML, their part of a document and their place in it; facts with
+    their opening and closing tags apart, too."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     attr = lambda n, c: F.when(c.isNotNull(), F.concat(F.lit(f' {n}="'), esc(c), F.lit('"'))).otherwise(F.lit(""))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
@@ -184,7 +185,19 @@ def to_xml(facts: DataFrame, contexts: DataFrame, units: DataFrame, schema_ref:
     body = F.when(F.coalesce(F.size("denominator"), F.lit(0)) > 0, F.concat(F.lit("<divide><unitNumerator>"), measures(F.col("numerator")), F.lit("</unitNumerator><unitDenominator>"), measures(F.col("denominator")), F.lit("</unitDenominator></divide>"))).otherwise(measures(F.col("numerator")))
     ux = units.select("doc_id", F.concat(F.lit("<unit"), attr("id", F.col("unit_id")), F.lit(">"), body, F.lit("</unit>")).alias("x"), F.lit(1).alias("o"), F.col("unit_id").alias("k"))
     nil = F.when(F.coalesce("is_nil", F.lit(False)), F.lit(' xsi:nil="true"')).otherwise(F.lit(""))
-    fx = facts.select("doc_id", F.concat(F.lit("<f:"), "concept", attr("id", F.col("fact_id")), attr("contextRef", F.col("context_ref")), attr("unitRef", F.col("unit_ref")), attr("decimals", F.col("decimals")), attr("precision", F.col("precision")), nil, F.lit(' xmlns:f="'), F.coalesce("ns", F.lit("urn:facts")), F.lit('">'), esc(F.col("value")), F.lit("</f:"), "concept", F.lit(">")).alias("x"), F.lit(2).alias("o"), F.format_string("%010d", F.coalesce("ordinal", F.lit(0))).alias("k"))
-    every = cx.unionByName(ux).unionByName(fx).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "k", "x"))).alias("p"))
-    head = f'<xbrl xmlns="{XBRLI}" xmlns:link="{LINK}" xmlns:xlink="{XLINK}" xmlns:xsi="{XSI}" xmlns:xbrldi="{XBRLDI}" xmlns:iso4217="http://www.xbrl.org/2003/iso4217" xmlns:xbrli="{XBRLI}"><link:schemaRef xlink:type="simple" xlink:href="{schema_ref}"/>'
-    return every.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("p", lambda e: e["x"]), ""), F.lit("</xbrl>")).alias("text"))
+    opening = F.concat(F.lit("<f:"), "concept", attr("id", F.col("fact_id")), attr("contextRef", F.col("context_ref")), attr("unitRef", F.col("unit_ref")), attr("decimals", F.col("decimals")), attr("precision", F.col("precision")), nil, F.lit(' xmlns:f="'), F.coalesce("ns", F.lit("urn:facts")), F.lit('">'))
+    closing = F.concat(F.lit("</f:"), "concept", F.lit(">"))
+    fx = facts.select("doc_id", "fact_id", "parent_id", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), opening.alias("opening"), closing.alias("closing"), F.concat(opening, esc(F.col("value")), closing).alias("x"), F.lit(2).alias("o"), F.format_string("%010d", F.coalesce("ordinal", F.lit(0))).alias("k"))
+    return cx, ux, fx
+
+
+def xml_head(schema_ref: str) -> str:
+    return f'<xbrl xmlns="{XBRLI}" xmlns:link="{LINK}" xmlns:xlink="{XLINK}" xmlns:xsi="{XSI}" xmlns:xbrldi="{XBRLDI}" xmlns:iso4217="http://www.xbrl.org/2003/iso4217" xmlns:xbrli="{XBRLI}"><link:schemaRef xlink:type="simple" xlink:href="{schema_ref}"/>'
+
+
+def to_xml(facts: DataFrame, contexts: DataFrame, units: DataFrame, schema_ref: str) -> DataFrame:
+    """One XML document a doc_id as text, for documents that fit a row; tuples and what they hold aren't nested. ``xml_sink``
+    writes documents of any size, with tuples."""
+    cx, ux, fx = xml_pieces(facts, contexts, units)
+    every = cx.unionByName(ux).unionByName(fx.select("doc_id", "x", "o", "k")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "k", "x"))).alias("p"))
+    return every.select("doc_id", F.concat(F.lit(xml_head(schema_ref)), F.array_join(F.transform("p", lambda e: e["x"]), ""), F.lit("</xbrl>")).alias("text"))

@@ -350,3 +350,25 @@ def test_taxonomy_store(spark, tmp_path):
     assert store.versions(spark, at) == [0, 1, 2] and store.compile(documents(spark).limit(0), at) == 4
     with pytest.raises(ValueError):
         store.load(spark, at, 3)
+
+
+# --- XML documents -----------------------------------------------------------------------------------------------
+
+
+def test_xml_sink(spark, tmp_path):
+    from ledgerloom.sources import instance, xml_sink
+
+    item = lambda i, n="": f'<e:name{n} id="{i}" contextRef="c" unitRef="u" decimals="0">{len(i)}</e:name{n}>'
+    deep = item("in0")
+    for i in range(12):
+        deep = f'<e:box id="b{i}">{item(f"x{i}")}{deep}{item(f"y{i}", "2")}</e:box>'
+    body = item("first") + deep + '<e:box id="second">' + item("only") + "</e:box>" + item("last")
+    text = '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:e="urn:e"><context id="c"><entity><identifier scheme="s">A&amp;B</identifier></entity><period><instant>2020-01-01</instant></period></context><unit id="u"><measure>m</measure></unit>' + body + "</xbrl>"
+    raw = instance.parse(spark.createDataFrame([("one", text), ("two", text.replace("first", "erst"))], "doc_id string, text string"))
+    made = instance.tables(raw)
+    at = str(tmp_path / "xml")
+    xml_sink.write(made["facts"], made["contexts"], made["units"], "e.xsd", at)
+    back = instance.tables(instance.parse(xml_sink.read(spark, at)))
+    key = lambda df: [tuple(r) for r in df.select("doc_id", "fact_id", "parent_id", "concept", "ns", F.when(F.col("context_ref").isNotNull(), F.col("value")), "context_ref", "unit_ref", "decimals").orderBy("doc_id", "ordinal").collect()]
+    assert key(back["facts"]) == key(made["facts"]) and len(key(back["facts"])) == 82
+    assert [r.entity for r in back["contexts"].collect()] == ["A&B"] * 2 and back["errors"].count() == 0
