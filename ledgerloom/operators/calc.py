@@ -27,7 +27,7 @@ def calculation(wide: DataFrame, arcs: DataFrame, arcrole: str) -> DataFrame:
     """
     arcs = edges(arcs, arcrole=arcrole).select("role", F.col("from").alias("parent"), F.col("to").alias("child"), "weight")
     facts = _scoped(wide)
-    kids = facts.join(F.broadcast(arcs), facts["concept"] == arcs["child"]).select(*SCOPE, "role", "parent", F.col("copies").alias("child_copies"), (F.col("weight").cast("decimal(18,6)") * F.col("num")).cast("decimal(38,6)").alias("part"))
+    kids = facts.join(arcs, facts["concept"] == arcs["child"]).select(*SCOPE, "role", "parent", F.col("copies").alias("child_copies"), (F.col("weight").cast("decimal(18,6)") * F.col("num")).cast("decimal(38,6)").alias("part"))
     sums = kids.groupBy(*SCOPE, "role", "parent").agg(F.sum("part").alias("total"), F.count(F.lit(1)).alias("children"), F.max("child_copies").alias("most"))
     heads = facts.select(*SCOPE, "fact_id", F.col("concept").alias("parent"), "num", "decimals", "precision", "copies")
     both = heads.join(sums, [*SCOPE, "parent"])
@@ -48,7 +48,7 @@ def essence_alias(wide: DataFrame, arcs: DataFrame, arcrole: str) -> DataFrame:
     """Alias facts whose value differs from the essence fact of the same scope, at the coarser decimals."""
     a = edges(arcs, arcrole=arcrole).select("role", F.col("from").alias("essence"), F.col("to").alias("alias"))
     facts = _scoped(wide)
-    one = facts.join(F.broadcast(a), facts["concept"] == a["essence"]).select(*SCOPE, "role", "essence", "alias", F.col("fact_id").alias("essence_fact"), F.col("num").alias("n1"), F.col("value").alias("v1"), inferred_decimals(F.col("num"), F.col("decimals"), F.col("precision")).alias("d1"))
+    one = facts.join(a, facts["concept"] == a["essence"]).select(*SCOPE, "role", "essence", "alias", F.col("fact_id").alias("essence_fact"), F.col("num").alias("n1"), F.col("value").alias("v1"), inferred_decimals(F.col("num"), F.col("decimals"), F.col("precision")).alias("d1"))
     two = facts.select(*SCOPE, F.col("concept").alias("alias"), F.col("fact_id").alias("alias_fact"), F.col("num").alias("n2"), F.col("value").alias("v2"), inferred_decimals(F.col("num"), F.col("decimals"), F.col("precision")).alias("d2"))
     d = F.when(F.col("d1") == "INF", F.col("d2")).when(F.col("d2") == "INF", F.col("d1")).otherwise(F.least(F.col("d1").cast("int"), F.col("d2").cast("int")).cast("string"))
     same = F.when(F.col("n1").isNotNull() & F.col("n2").isNotNull(), presented(F.col("n1"), d) == presented(F.col("n2"), d)).otherwise(F.col("v1").eqNullSafe(F.col("v2")))
@@ -59,7 +59,7 @@ def inferred_essence(wide: DataFrame, arcs: DataFrame, arcrole: str) -> DataFram
     """Values for essence concepts that are not reported where all their aliases in the scope agree."""
     a = edges(arcs, arcrole=arcrole).select(F.col("from").alias("essence"), F.col("to").alias("alias"))
     facts = _scoped(wide)
-    kids = facts.join(F.broadcast(a), facts["concept"] == a["alias"])
+    kids = facts.join(a, facts["concept"] == a["alias"])
     agreed = kids.groupBy(*SCOPE, "essence").agg(F.count_distinct("value").alias("values"), F.min("value").alias("value")).where("values = 1")
     return agreed.join(facts.select(*SCOPE, F.col("concept").alias("essence")), [*SCOPE, "essence"], "left_anti").select("doc_id", F.col("essence").alias("concept"), "period_key", "unit_key", "value")
 
@@ -68,7 +68,7 @@ def requires_element(facts: DataFrame, arcs: DataFrame, arcrole: str) -> DataFra
     """Documents that report a source concept without the concept it requires."""
     a = edges(arcs, arcrole=arcrole).select(F.col("from").alias("concept"), F.col("to").alias("required"))
     there = facts.select("doc_id", "concept").distinct()
-    need = there.join(F.broadcast(a), "concept")
+    need = there.join(a, "concept")
     return need.join(there.withColumnRenamed("concept", "required"), ["doc_id", "required"], "left_anti")
 
 
@@ -79,7 +79,7 @@ def across_dimension(wide: DataFrame, dimension: str, members: DataFrame, weight
     """
     rest = F.to_json(F.array_sort(F.map_entries(F.map_filter("dims", lambda k, _: k != dimension))))
     f = wide.where("num is not null").select("doc_id", "concept", "entity_key", "period_key", "unit_key", rest.alias("rest"), F.try_element_at("dims", F.lit(dimension)).alias("member"), F.col("num"))
-    kids = f.join(F.broadcast(members), "member")
+    kids = f.join(members, "member")
     keys = ["doc_id", "concept", "entity_key", "period_key", "unit_key", "rest", "parent"]
     if weighted_by is None:
         return kids.groupBy(*keys).agg(F.sum("num").alias("total"))

@@ -7,6 +7,8 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import Rounds
+
 AXES = ("descendant", "child", "ancestor", "parent", "sibling", "sibling-or-descendant", "descendant-or-self", "child-or-self", "ancestor-or-self", "parent-or-self")
 
 
@@ -19,18 +21,14 @@ def edges(arcs: DataFrame, role: str | None = None, arcrole: str | None = None,
     return arcs.withColumn("_n", F.row_number().over(w)).where("_n = 1 and coalesce(`use`, 'optional') <> 'prohibited'").drop("_n")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the checkpoint folder where there is one, which also keeps plans short, else in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
-
-
 def reach(pairs: DataFrame, sources: DataFrame, generations: int = 0) -> DataFrame:
     """(source, node, depth) for all nodes met from ``sources`` (a column ``source``) over (parent, child), at least depth.
 
     Each round joins the frontier with the pairs and drops what its source has met already, so cycles end, a node with
     many ways to it is entered once, and the rounds go on until nothing new is met.
     """
-    pairs = settled(pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct())
+    rounds = Rounds()
+    pairs = rounds.keep(pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).distinct())
     frontier = sources.select("source", F.col("source").alias("node")).distinct()
     met, found, n = frontier, None, 0
     while not generations or n < generations:
@@ -38,12 +36,14 @@ def reach(pairs: DataFrame, sources: DataFrame, generations: int = 0) -> DataFra
         step = frontier.join(pairs, F.col("node") == F.col("_p")).select("source", F.col("_c").alias("node")).distinct()
         frontier = step.join(met, ["source", "node"], "left_anti")
         if not generations:
-            frontier = settled(frontier)
+            frontier = rounds.keep(frontier)
             if frontier.isEmpty():
                 break
         level = frontier.withColumn("depth", F.lit(n))
         met, found = met.unionByName(frontier), level if found is None else found.unionByName(level)
-    return found if found is not None else frontier.withColumn("depth", F.lit(n)).limit(0)
+    if found is None:
+        return frontier.withColumn("depth", F.lit(n)).limit(0)
+    return found if generations else rounds.last(found)
 
 
 def concept_relationships(arcs: DataFrame, source: str | DataFrame, axis: str, role: str | None = None, arcrole: str | None = None, generations: int = 0, link_name: str | None = None, arc_name: str | None = None) -> DataFrame:
@@ -85,7 +85,9 @@ def walk(arcs: DataFrame, root: str, role: str | None = None, arcrole: str | Non
     spark = arcs.sparkSession
     own = edges(arcs, role, arcrole)
     place = Window.partitionBy("from").orderBy("ord", "priority", "to")
-    own = own.withColumn("_n", _sortable(F.row_number().over(place))).select(F.col("from").alias("_p"), F.col("to").alias("_c"), F.col("ord").alias("_o"), "_n", F.col("preferred_label").alias("_l")).persist()
+    own = own.withColumn("_n", _sortable(F.row_number().over(place))).select(F.col("from").alias("_p"), F.col("to").alias("_c"), F.col("ord").alias("_o"), "_n", F.col("preferred_label").alias("_l"))
+    rounds = Rounds()
+    own = rounds.keep(own)
     level = spark.createDataFrame([(root, None, 0, None, None, "", [root])], "concept string, parent string, depth int, ord double, preferred_label string, sort string, path array<string>")
     out = level
     depth = 0
@@ -93,11 +95,11 @@ def walk(arcs: DataFrame, root: str, role: str | None = None, arcrole: str | Non
         depth += 1
         step = level.join(own, F.col("concept") == F.col("_p")).where(~F.array_contains("path", F.col("_c")))
         level = step.select(F.col("_c").alias("concept"), F.col("concept").alias("parent"), F.lit(depth).alias("depth"), F.col("_o").alias("ord"), F.col("_l").alias("preferred_label"), F.concat("sort", F.lit("/"), "_n").alias("sort"), F.concat("path", F.array("_c")).alias("path"))
-        level = settled(level)
+        level = rounds.keep(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    return out.drop("path").orderBy("sort")
+    return rounds.last(out.drop("path")).orderBy("sort")
 
 
 def keep_related(facts: DataFrame, arcs: DataFrame, source: str, axis: str, test: Column | None = None, **link) -> DataFrame:
@@ -157,18 +159,19 @@ def undirected_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | N
     Concepts with a single neighbour are pruned until none is left. Where two ways part, they leave an ancestor by two
     children, so it is enough to follow what is left from each child of an ancestor with several.
     """
-    own = settled(edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct())
+    rounds = Rounds()
+    own = rounds.keep(edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct())
     n = own.count()
     while n:
         ends = own.select(F.col("parent").alias("c")).unionByName(own.select(F.col("child").alias("c"))).groupBy("c").count()
         single = ends.where("count = 1").select("c")
-        own = settled(own.join(single.withColumnRenamed("c", "parent"), "parent", "left_anti").join(single.withColumnRenamed("c", "child"), "child", "left_anti").select("parent", "child"))
+        own = rounds.keep(own.join(single.withColumnRenamed("c", "parent"), "parent", "left_anti").join(single.withColumnRenamed("c", "child"), "child", "left_anti").select("parent", "child"), instead_of=own)
         m = own.count()
         if m == n:
             break
         n = m
     parting = own.join(own.groupBy("parent").count().where("count > 1").select("parent"), "parent", "left_semi")
-    starts = settled(parting.select(F.col("parent").alias("ancestor"), F.col("child").alias("source")))
+    starts = rounds.keep(parting.select(F.col("parent").alias("ancestor"), F.col("child").alias("source")))
     below = reach(own, starts.select("source").distinct()).select("source", "node")
     met = starts.select("ancestor", F.col("source").alias("via"), F.col("source").alias("node"))
     met = met.unionByName(starts.join(below, "source").select("ancestor", F.col("source").alias("via"), "node"))
@@ -185,15 +188,16 @@ def dependency_order(needs: dict[str, set[str]]) -> list[str]:
 
 def ancestors_of_facts(facts: DataFrame) -> DataFrame:
     """(doc_id, fact_id, ancestor_id, depth) over tuples, by repeated self-join until nothing new is met."""
-    up = settled(facts.where("parent_id is not null").select("doc_id", "fact_id", F.col("parent_id").alias("ancestor_id")))
+    rounds = Rounds()
+    up = rounds.keep(facts.where("parent_id is not null").select("doc_id", "fact_id", F.col("parent_id").alias("ancestor_id")))
     above = up.select(F.col("doc_id").alias("_d"), F.col("fact_id").alias("_f"), F.col("ancestor_id").alias("_a"))
     level, out, depth = up, up.withColumn("depth", F.lit(1)), 1
     while True:
         depth += 1
         step = level.join(above, (F.col("doc_id") == F.col("_d")) & (F.col("ancestor_id") == F.col("_f"))).select("doc_id", "fact_id", F.col("_a").alias("ancestor_id")).distinct()
-        level = settled(step.join(out.select("doc_id", "fact_id", "ancestor_id"), ["doc_id", "fact_id", "ancestor_id"], "left_anti"))
+        level = rounds.keep(step.join(out.select("doc_id", "fact_id", "ancestor_id"), ["doc_id", "fact_id", "ancestor_id"], "left_anti"))
         if level.isEmpty():
-            return out
+            return rounds.last(out)
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
 
 

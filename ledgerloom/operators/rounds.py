@@ -23,6 +23,12 @@ class Rounds:
             self.release(instead_of)
         return out
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """The result, computed once more from what is kept and kept itself; all other tables are let go."""
+        out = self.keep(df)
+        self.release(*[h for h in self.held if h is not out])
+        return out
+
     def release(self, *tables: DataFrame) -> None:
         for t in tables:
             if any(t is h for h in self.held):

@@ -18,6 +18,7 @@ from ..functions.aspects import dims_key
 from ..functions.rounding import inferred_decimals, presented
 from .filters import ASPECTS, Filter
 from .networks import dependency_order
+from .validation import hypercubes
 
 KEYS = {"location": "parent_id", "concept": "concept", "entity": "entity_key", "period": "period_key", "unit": "unit_key", "segment": "non_dim", "scenario": "scenario"}
 CARRIED = ["fact_id", "concept", "value", "num", "is_nil", "decimals", "precision", "context_ref", "unit_ref", "parent_id", "scheme", "entity", "entity_key", "period_type", "start", "end", "period_key", "unit_key", "numerator", "denominator", "non_dim", "scenario", "dims", "typed_dims", "dims_key", "ordinal"]
@@ -31,7 +32,7 @@ class FactVariable:
     fallback: str | None = None
     matches: bool = False
     nils: bool = False
-    #: A sequence's sums, counts and so on (sum, count, avg, min, max) instead of its items: partial sums, no arrays.
+    #: A sequence's sums, counts and so on (sum, count, avg, min, max, low, high) instead of its items: partial sums, no arrays.
     aggregates: tuple[str, ...] = ()
     #: The name of another set of facts (``evaluate``'s ``instances``) to bind from, whatever documents these are.
     instance: str | None = None
@@ -87,6 +88,7 @@ class VariableSet:
     dimensional: bool = True
     dimensions: list[str] = field(default_factory=list)  # dimensions that filters treat one by one
     equalities: dict[str, str] = field(default_factory=dict)  # a dimension's own test of two members, SQL over a and b
+    exact: bool = False  # numbers stay decimals of 38 digits, six of them after the point, where else they are doubles
     unique_facts: bool = False  # the caller's facts have unique ids, so that equal evaluations can't come up
 
 
@@ -277,9 +279,9 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
         df = _filtered(wide if v.instance is None else instances[v.instance], v, rule)
         key_cols = {f"{v.name}__key_{a}": c for a, c in keys.items()}
         if v.bind_as_sequence:
-            df = _sequence(df, v, key_cols)
+            df = _sequence(df, v, key_cols, rule.exact)
         else:
-            shown = F.when(F.col("num").isNotNull(), F.col("num").cast("double"))
+            shown = _number(rule.exact)
             df = df.select("doc_id", *[c.alias(n) for n, c in key_cols.items()], shown.alias(v.name), *[F.col(c).alias(f"{v.name}__{c}") for c in [*CARRIED, *[c for c in df.columns if c.startswith(("leaf_", "up_"))]]])
         if v.fallback is not None:
             fallbacks.append(v)
@@ -299,16 +301,29 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
     return bound
 
 
-def _sequence(df: DataFrame, v: FactVariable, key_cols: dict[str, Column]) -> DataFrame:
-    """One row a group of equal uncovered aspects, its values in document order, or its aggregates with their number."""
+def _number(exact: bool) -> Column:
+    return F.col("num").cast("decimal(38,6)" if exact else "double")
+
+
+def half_unit() -> Column:
+    """Half a unit of a fact's last reported place, which its true value may be off by; 0 where it is exact."""
+    d = inferred_decimals(F.col("num"), F.col("decimals"), F.col("precision"))
+    return F.when(d.isNull() | (d == "INF"), F.lit("0")).otherwise(F.concat(F.lit("5e"), (-d.try_cast("int") - 1).cast("string"))).try_cast("decimal(38,7)")
+
+
+def _sequence(df: DataFrame, v: FactVariable, key_cols: dict[str, Column], exact: bool = False) -> DataFrame:
+    """One row a group of equal uncovered aspects, its values in document order, or its aggregates with their number.
+
+    Sums of exact numbers are exact; ``low`` and ``high`` bound the sum of the true values, by the facts' decimals."""
     df = df.withColumns({**key_cols})
     if not v.matches:
         df = df.dropDuplicates(["doc_id", *key_cols, "concept", "entity_key", "period_key", "unit_key", "dims_key", "parent_id"])
     if v.aggregates:
-        number = F.col("num").cast("double")
-        made = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
+        number = _number(exact)
+        bound = lambda sign: lambda n: F.sum((F.col("num") + sign * half_unit()).cast("decimal(38,7)" if exact else "double"))
+        made = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "low": bound(-1), "high": bound(1)}
         return df.groupBy("doc_id", *key_cols).agg(F.count(F.lit(1)).alias(v.name), *[made[a](number).alias(f"{v.name}__{a}") for a in v.aggregates])
-    items = F.array_sort(F.collect_list(F.struct("ordinal", "fact_id", F.col("num").cast("double").alias("num"))))
+    items = F.array_sort(F.collect_list(F.struct("ordinal", "fact_id", _number(exact).alias("num"))))
     out = df.groupBy("doc_id", *key_cols).agg(F.transform(items, lambda x: x["num"]).alias(v.name), F.transform(items, lambda x: x["fact_id"]).alias(f"{v.name}__fact_ids"), *[F.min(c).alias(f"{v.name}__{c}") for c in CARRIED if c not in ("dims", "typed_dims", "numerator", "denominator", "num")])
     return out
 
@@ -521,6 +536,22 @@ class Formula:
     def run(self, wide: DataFrame, parameters: dict[str, str] | None = None, scope: Scope | None = None) -> DataFrame:
         return self.of(distinct_evaluations(evaluate(self.rule, wide, parameters, scope), self.rule), parameters)
 
+    def _decimals(self, e) -> Column:
+        """The rule's decimals; "coarsest" takes the least that the bound facts report, INF where all are exact."""
+        if self.decimals != "coarsest":
+            return e(self.decimals).cast("string") if self.decimals else F.lit(None).cast("string")
+        each = [inferred_decimals(*[F.col(f"{v.name}__{c}") for c in ("num", "decimals", "precision")]) for v in self.rule.variables if isinstance(v, FactVariable) and not v.bind_as_sequence]
+        least = F.array_min(F.array(*[F.when(d != "INF", d.try_cast("int")) for d in each]))
+        known = F.exists(F.array(*each), lambda d: d.isNotNull())
+        return F.when(known, F.coalesce(least.cast("string"), F.lit("INF")))
+
+    def violations(self, derived: DataFrame, cubes: DataFrame, cube_dims: DataFrame, dim_members: DataFrame) -> DataFrame:
+        """Derived facts whose dimensions their concept's hypercubes don't allow, as ``validation.hypercubes`` reports them; a
+        fact is named by its concept and context."""
+        named = derived.withColumn("fact_id", F.concat_ws("#", "concept", "context_ref"))
+        typed = named if "typed_dims" in named.columns else named.withColumn("typed_dims", F.create_map().cast("map<string,string>"))
+        return hypercubes(typed, cubes, cube_dims, dim_members)
+
     def of(self, got: DataFrame, parameters: dict[str, str] | None = None, carry: list[str] = ()) -> DataFrame:
         """The derived facts of evaluations, with some of their columns."""
         rule, known = self.rule, resolve_parameters(self.rule, parameters)
@@ -550,7 +581,7 @@ class Formula:
             dims = F.map_concat(dims, F.create_map(*[x for d, m in self.dims.items() for x in (F.lit(d), e(m))]))
         scheme, entity = (e(self.entity[0]), e(self.entity[1])) if self.entity else (F.col(f"{src}__scheme"), F.col(f"{src}__entity"))
         concept = e(self.concept) if self.concept else F.col(f"{src}__concept")
-        out = got.select("doc_id", *carry, concept.alias("concept"), e(self.value).cast("double").alias("derived"), scheme.alias("scheme"), entity.alias("entity"), kind.alias("period_type"), start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"), F.array_sort(num).alias("numerator"), F.array_sort(den).alias("denominator"), dims.alias("dims"), (e(self.decimals).cast("string") if self.decimals else F.lit(None).cast("string")).alias("decimals"), (e(self.precision).cast("string") if self.precision else F.lit(None).cast("string")).alias("precision"))
+        out = got.select("doc_id", *carry, concept.alias("concept"), e(self.value).cast("decimal(38,6)" if rule.exact else "double").alias("derived"), scheme.alias("scheme"), entity.alias("entity"), kind.alias("period_type"), start.cast("timestamp_ntz").alias("start"), end.cast("timestamp_ntz").alias("end"), F.array_sort(num).alias("numerator"), F.array_sort(den).alias("denominator"), dims.alias("dims"), self._decimals(e).alias("decimals"), (e(self.precision).cast("string") if self.precision else F.lit(None).cast("string")).alias("precision"))
         return with_context_keys(out)
 
 
@@ -609,7 +640,7 @@ class ConsistencyAssertion:
     def run(self, wide: DataFrame, parameters: dict[str, str] | None = None) -> DataFrame:
         keys = ["doc_id", "concept", "entity_key", "period_key", "unit_key", "dims_key"]
         derived = self.formula.run(wide, parameters).drop("decimals", "precision")
-        facts = wide.where("num is not null").select(*[F.col(k).alias(f"r_{k}") for k in keys], "fact_id", F.col("num").cast("double").alias("reported"), "decimals", "precision", "num")
+        facts = wide.where("num is not null").select(*[F.col(k).alias(f"r_{k}") for k in keys], "fact_id", _number(self.formula.rule.exact).alias("reported"), "decimals", "precision", "num")
         safe = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
         both = derived.join(facts, safe, "left" if self.strict else "inner")
         if self.absolute is not None:

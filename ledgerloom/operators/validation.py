@@ -91,7 +91,7 @@ def facts(f: DataFrame, ctx: DataFrame, u: DataFrame, concepts: DataFrame) -> Da
     c = ctx.select("doc_id", F.col("context_id").alias("context_ref"), F.col("period_type").alias("_period"), F.lit(True).alias("_ctx")).dropDuplicates(["doc_id", "context_ref"])
     v = u.select("doc_id", F.col("unit_id").alias("unit_ref"), F.col("numerator").alias("_num"), F.col("denominator").alias("_den"), F.lit(True).alias("_unit")).dropDuplicates(["doc_id", "unit_ref"])
     k = concepts.select("concept", F.col("period_type").alias("_kind"), "base_types", "subst_group", F.col("nillable").alias("_nillable"))
-    j = f.join(c, ["doc_id", "context_ref"], "left").join(v, ["doc_id", "unit_ref"], "left").join(F.broadcast(k), "concept", "left")
+    j = f.join(c, ["doc_id", "context_ref"], "left").join(v, ["doc_id", "unit_ref"], "left").join(k, "concept", "left")
     fid, is_tuple = F.col("fact_id"), F.coalesce(F.col("subst_group").endswith("tuple"), F.lit(False))
     of = lambda t: (F.col("item_type") == t) | F.array_contains("base_types", t)
     numeric = F.col("item_type").isin(NUMERIC_TYPES) | F.arrays_overlap(F.coalesce("base_types", F.array().cast("array<string>")), F.array(*map(F.lit, NUMERIC_TYPES)))
@@ -129,7 +129,7 @@ def facts(f: DataFrame, ctx: DataFrame, u: DataFrame, concepts: DataFrame) -> Da
 
 def enumerations(f: DataFrame, allowed: DataFrame) -> DataFrame:
     """Values of enumerations (a set divides by spaces) against (concept, members array)."""
-    j = f.where(F.col("item_type").isin("enumerationItemType", "enumerationSetItemType") & ~F.coalesce("is_nil", F.lit(False))).join(F.broadcast(allowed), "concept")
+    j = f.where(F.col("item_type").isin("enumerationItemType", "enumerationSetItemType") & ~F.coalesce("is_nil", F.lit(False))).join(allowed, "concept")
     values = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
     j = j.withColumn("_values", values)
     return _union([
@@ -147,12 +147,12 @@ def hypercubes(wide: DataFrame, cubes: DataFrame, cube_dims: DataFrame, dim_memb
     """
     empty = F.create_map().cast("map<string,string>")
     own = wide.where("context_ref is not null").select("doc_id", "fact_id", "concept", F.coalesce("dims", empty).alias("dims"), F.coalesce("typed_dims", empty).alias("typed"))
-    use = own.join(F.broadcast(cubes.select(F.col("primary_item").alias("concept"), "hypercube", "role", "closed")), "concept")
-    need = use.join(F.broadcast(cube_dims), ["hypercube", "role"], "left")
+    use = own.join(cubes.select(F.col("primary_item").alias("concept"), "hypercube", "role", "closed"), "concept")
+    need = use.join(cube_dims, ["hypercube", "role"], "left")
     member = F.when(F.col("kind") == "typed", F.try_element_at("typed", F.col("dimension"))).otherwise(F.try_element_at("dims", F.col("dimension")))
     need = need.withColumn("member", member)
     usable = dim_members.where("usable").select("dimension", "role", "member", F.lit(True).alias("_ok")).distinct()
-    j = need.join(F.broadcast(usable), ["dimension", "role", "member"], "left")
+    j = need.join(usable, ["dimension", "role", "member"], "left")
     default_written = (F.col("kind") == "explicit") & (F.col("member") == F.col("default_member"))
     fits = F.when(F.col("dimension").isNull(), True).when(F.col("member").isNull(), F.col("default_member").isNotNull()).when(F.col("kind") == "typed", True).otherwise(F.coalesce("_ok", F.lit(False)) & ~F.coalesce(default_written, F.lit(False)))
     size = F.size("dims") + F.size("typed")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import ARCROLES
 from ..operators import dimension_sets, filters, hierarchies, intervals, rules
 from .harness import query
-from .reporting import line_facts, order_facts, place_arcs, table
+from .reporting import as_facts, line_facts, place_arcs, table
 
 # --- hierarchies ------------------------------------------------------------------------------------------------
 
@@ -138,8 +138,6 @@ def scoped_assertion(spark: SparkSession, d: str) -> DataFrame:
 def equality_with_literals(spark: SparkSession, d: str) -> DataFrame:
     """A dimension's own equality, whose literals hold the names of the two members: orders written a-1 and b-1 are the same."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
-    from .reporting import as_facts
-
     day = F.lit("2000-01-01").cast("date")
     named = F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit("c-"), "l_orderkey")).otherwise(F.concat(F.lit("b-"), "l_orderkey"))
     x = as_facts(lines, F.lit("line"), F.col("l_linenumber"), F.lit("e"), day, {"order": named}, F.lit("pure"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
@@ -147,3 +145,53 @@ def equality_with_literals(spark: SparkSession, d: str) -> DataFrame:
     same = "regexp_replace(a, '^(a|b)-', 'a b ') = regexp_replace(b, '^(a|b)-', 'a b ')"
     rule = rules.VariableSet([rules.FactVariable("h", [filters.concept_name("head")]), rules.FactVariable("l", [filters.concept_name("line")])], equalities={"order": same})
     return rules.evaluate(rule, x.unionByName(y)).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("""
+    SELECT l_returnflag AS flag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT))::HUGEINT * 100000000000000000 + sum(l_orderkey)::HUGEINT AS VARCHAR) AS total FROM lineitem GROUP BY 1""")
+def exact_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of numbers of some 25 digits, to the last one."""
+    lines = table(spark, d, "lineitem")
+    cents = F.concat(F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), F.lpad(F.col("l_orderkey").cast("string"), 17, "0"))
+    f = line_facts_of(lines, cents.cast("decimal(38,6)"))
+    rule = rules.VariableSet([rules.FactVariable("x", [filters.aspect_cover("line", "entity", "period", "concept")], bind_as_sequence=True, matches=True, aggregates=("sum",))], dimensions=["line"], exact=True)
+    e = rules.evaluate(rule, f)
+    return e.select(F.col("x__key_unit").alias("flag"), F.col("x__sum").cast("decimal(38,0)").cast("string").alias("total"))
+
+
+def line_facts_of(lines: DataFrame, number) -> DataFrame:
+    """Facts of lines whose unit is their return flag."""
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity")
+    return as_facts(lines, F.lit("x"), number, F.lit("e"), F.lit("2000-01-01").cast("date"), {"line": key}, F.col("l_returnflag"), key)
+
+
+@query("""
+    SELECT l_returnflag AS flag, sum(CAST(l_quantity AS DECIMAL(18,7)) - CAST(CASE WHEN l_linenumber % 2 = 0 THEN 0.05 ELSE 0 END AS DECIMAL(18,7)))::DECIMAL(38,7)::VARCHAR AS low, sum(CAST(l_quantity AS DECIMAL(18,7)) + CAST(CASE WHEN l_linenumber % 2 = 0 THEN 0.05 ELSE 0 END AS DECIMAL(18,7)))::DECIMAL(38,7)::VARCHAR AS high FROM lineitem GROUP BY 1""")
+def bounded_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What a sum may truly be: facts reported to one decimal are off by half a tenth at most, the others are exact."""
+    lines = table(spark, d, "lineitem")
+    f = line_facts_of(lines, F.col("l_quantity")).join(lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity").alias("fact_id"), F.when(F.col("l_linenumber") % 2 == 0, "1").otherwise("INF").alias("_d")).distinct(), "fact_id")
+    f = f.withColumn("decimals", F.col("_d")).drop("_d")
+    rule = rules.VariableSet([rules.FactVariable("x", [filters.aspect_cover("line", "entity", "period", "concept")], bind_as_sequence=True, matches=True, aggregates=("low", "high"))], dimensions=["line"], exact=True)
+    e = rules.evaluate(rule, f)
+    return e.select(F.col("x__key_unit").alias("flag"), F.col("x__low").cast("string").alias("low"), F.col("x__high").cast("string").alias("high"))
+
+
+@query("SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 3 = 0 THEN 'INF' WHEN o_orderkey % 2 = 0 THEN '-2' ELSE '1' END AS decimals FROM orders WHERE o_orderstatus <> 'F'")
+def derived_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Derived facts at the coarsest of their sources' decimals, without those whose dimension the concept's hypercube forbids."""
+    o = table(spark, d, "orders")
+    k, own = F.col("o_orderkey"), {"order": F.col("o_orderkey"), "status": F.col("o_orderstatus")}
+    day = F.lit("2000-01-01").cast("date")
+    a = as_facts(o, F.lit("gross"), F.col("o_totalprice"), F.lit("e"), day, own, F.lit("pure"), F.concat(F.lit("g"), k)).withColumn("decimals", F.when(F.col("dims")["order"].cast("long") % 3 == 0, "INF").otherwise("1"))
+    b = as_facts(o, F.lit("tax"), F.col("o_totalprice") / 10, F.lit("e"), day, own, F.lit("pure"), F.concat(F.lit("t"), k)).withColumn("decimals", F.when(F.col("dims")["order"].cast("long") % 3 == 0, "INF").when(F.col("dims")["order"].cast("long") % 2 == 0, "-2").otherwise("2"))
+    rule = rules.VariableSet([rules.FactVariable(n, [filters.concept_name(n)]) for n in ("gross", "tax")])
+    formula = rules.Formula("net", rule, "$gross - $tax", concept="'net'", decimals="coarsest")
+    made = formula.run(a.unionByName(b))
+    text = lambda *rows: spark.createDataFrame(list(rows), "hypercube string, role string, dimension string, kind string, default_member string")
+    cubes = spark.createDataFrame([("cube", "r", "net", True, "segment")], "hypercube string, role string, primary_item string, closed boolean, context_element string")
+    members = o.where("o_orderstatus <> 'F'").select(F.lit("status").alias("dimension"), F.lit("r").alias("role"), F.lit("a").alias("arcrole"), F.lit("p").alias("parent"), F.col("o_orderstatus").alias("member"), F.lit(True).alias("usable")).distinct()
+    typed = made.withColumns({"typed_dims": F.map_filter("dims", lambda x, _: x == "order"), "dims": F.map_filter("dims", lambda x, _: x != "order")})
+    bad = formula.violations(typed, cubes, text(("cube", "r", "status", "explicit", None), ("cube", "r", "order", "typed", None)), members).select("object_id")
+    left = typed.withColumn("object_id", F.concat_ws("#", "concept", "context_ref")).join(bad.distinct(), "object_id", "left_anti")
+    return left.select(F.col("typed_dims")["order"].cast("long").alias("order_key"), "decimals")

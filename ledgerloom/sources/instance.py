@@ -141,7 +141,7 @@ def tables(raw: DataFrame, concepts: DataFrame | None = None) -> dict[str, DataF
     """Facts, contexts, units, footnotes, schema references and errors of raw rows."""
     facts = raw.where("kind = 'fact'").select("doc_id", F.col("id").alias("fact_id"), "parent_id", F.col("name").alias("concept"), "ns", "value", "is_nil", "decimals", "precision", "context_ref", "unit_ref", "ordinal")
     if concepts is not None:
-        facts = facts.join(F.broadcast(concepts.select("concept", "item_type").dropDuplicates(["concept"])), "concept", "left")
+        facts = facts.join(concepts.select("concept", "item_type").dropDuplicates(["concept"]), "concept", "left")
     else:
         facts = facts.withColumn("item_type", F.lit(None).cast("string"))
     facts = facts.withColumn("num", F.when(F.col("unit_ref").isNotNull(), F.trim("value").try_cast("decimal(38,6)")))
