@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ARCROLES
-from ..operators import dimension_sets, filters, hierarchies, intervals, rules
+from ..operators import dimension_sets, filters, hierarchies, intervals, report_groups, rules
 from .harness import query
 from .reporting import as_facts, line_facts, place_arcs, table
 
@@ -195,3 +195,30 @@ def derived_checked(spark: SparkSession, d: str) -> DataFrame:
     bad = formula.violations(typed, cubes, text(("cube", "r", "status", "explicit", None), ("cube", "r", "order", "typed", None)), members).select("object_id")
     left = typed.withColumn("object_id", F.concat_ws("#", "concept", "context_ref")).join(bad.distinct(), "object_id", "left_anti")
     return left.select(F.col("typed_dims")["order"].cast("long").alias("order_key"), "decimals")
+
+
+# --- report sections --------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH f AS (SELECT c_mktsegment AS s, n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000 GROUP BY ALL)
+    SELECT 'segment=' || s AS section, n_name AS concept, 1 AS depth, CAST(n AS BIGINT) AS facts FROM f UNION ALL SELECT DISTINCT 'segment=' || s, r_name, 0, 0 FROM f""")
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of rich customers by segment: each section shows its nations and the regions above them."""
+    c = table(spark, d, "customer").where("c_acctbal > 5000").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    f = as_facts(c, F.col("n_name"), F.col("c_acctbal"), F.col("c_custkey"), F.lit("2000-01-01").cast("date"), {"segment": F.col("c_mktsegment")}, F.lit("pure"), F.col("c_custkey"))
+    rows = report_groups.placed(hierarchies.tree(place_arcs(spark, d)), report_groups.sections(f))
+    return rows.select("section", "concept", "depth", "facts")
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT o_orderpriority AS section, CAST(o_custkey AS VARCHAR) AS row, o_orderstatus || (o_orderkey % 3) AS col, year(o_orderdate) AS period, CAST(floor(o_totalprice / 150000) AS INT) AS value FROM orders),
+    l AS (SELECT section, period, col, string_agg(row || ':' || value, ',' ORDER BY row, value) AS look FROM c GROUP BY ALL), k AS (SELECT section, period, look, min(col) AS kept FROM l GROUP BY ALL),
+    f AS (SELECT DISTINCT c.section, row, c.period, kept AS col, value FROM c JOIN l ON c.section = l.section AND c.period = l.period AND c.col = l.col JOIN k ON k.section = l.section AND k.period = l.period AND k.look = l.look),
+    x AS (SELECT section, period, max(n) = 1 AS fits FROM (SELECT section, period, row, count(DISTINCT value) AS n FROM f GROUP BY ALL) GROUP BY ALL)
+    SELECT DISTINCT f.section, row, CASE WHEN fits THEN min(col) OVER (PARTITION BY f.section, f.period) ELSE col END AS shown, CAST(f.period AS INT) AS period, value FROM f JOIN x ON f.section = x.section AND f.period = x.period""")
+def report_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns by status and key, merged where they agree."""
+    o = table(spark, d, "orders")
+    cells = o.select(F.col("o_orderpriority").alias("section"), F.col("o_custkey").cast("string").alias("row"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("column"), F.year("o_orderdate").alias("period"), F.floor(F.col("o_totalprice") / 150000).cast("int").alias("value"))
+    return report_groups.compacted(cells)

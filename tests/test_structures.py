@@ -372,3 +372,27 @@ def test_xml_sink(spark, tmp_path):
     key = lambda df: [tuple(r) for r in df.select("doc_id", "fact_id", "parent_id", "concept", "ns", F.when(F.col("context_ref").isNotNull(), F.col("value")), "context_ref", "unit_ref", "decimals").orderBy("doc_id", "ordinal").collect()]
     assert key(back["facts"]) == key(made["facts"]) and len(key(back["facts"])) == 82
     assert [r.entity for r in back["contexts"].collect()] == ["A&B"] * 2 and back["errors"].count() == 0
+
+
+# --- report sections ---------------------------------------------------------------------------------------------
+
+
+def test_columns_are_merged(spark):
+    from ledgerloom.operators import report_groups
+
+    cells = [("s", "r1", "a", 1, 5), ("s", "r2", "b", 1, 6), ("s", "r1", "c", 2, 5), ("s", "r1", "d", 2, 7), ("s", "r1", "e", 2, 5), ("s", "r3", "gone", 1, None), ("t", "r1", "b", 1, 5)]
+    got = report_groups.compacted(spark.createDataFrame(cells, "section string, row string, column string, period int, value int"))
+    # Of period 1 nothing clashes, so a and b are one; of period 2 c and e are the same, d says something else.
+    assert sorted(map(tuple, got.collect())) == [("s", "r1", "a", 1, 5), ("s", "r1", "c", 2, 5), ("s", "r1", "d", 2, 7), ("s", "r2", "a", 1, 6), ("t", "r1", "b", 1, 5)]
+    assert report_groups.compacted(got.limit(0).withColumnRenamed("shown", "column")).count() == 0
+
+
+def test_sections(spark):
+    from ledgerloom.operators import report_groups
+
+    f = spark.createDataFrame([("d", {"x": "1", "a": "2"}), ("e", {}), ("e", None), ("no", {"x": "1"})], "concept string, dims map<string,string>")
+    named = report_groups.sections(f)
+    assert [r.section for r in named.collect()] == ["a=2;x=1", "", "", "x=1"]
+    rows = report_groups.placed(hierarchies.tree(some_arcs(spark)).where("role = 't'"), named)
+    assert sorted((r.section, r.first, r.concept, r.depth, r.facts) for r in rows.collect()) == [("", 0, "a", 0, 0), ("", 1, "c", 1, 0), ("", 3, "e", 2, 2), ("a=2;x=1", 0, "a", 0, 0), ("a=2;x=1", 1, "c", 1, 0), ("a=2;x=1", 2, "d", 2, 1)]
+    assert [r.section for r in report_groups.sections(f, ["x"]).collect()] == ["x=1", "", "", "x=1"]
