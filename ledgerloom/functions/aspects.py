@@ -56,7 +56,7 @@ def period_start(lexical: Column) -> Column:
 
 def wide(facts: DataFrame, contexts: DataFrame, units: DataFrame, concepts: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
     """Facts with all their aspects. Concepts are a dictionary-sized table; the others join on the document too."""
-    c = contexts.select("doc_id", F.col("context_id").alias("context_ref"), "scheme", "entity", "period_type", "start", "end", without_defaults(F.col("dims"), defaults or {}).alias("dims"), "typed_dims", "non_dim", "scenario")
+    c = contexts.select("doc_id", F.col("context_id").alias("context_ref"), "scheme", "entity", "period_type", "start", "end", without_defaults(F.col("dims"), defaults or {}).alias("dims"), "typed_dims", "non_dim", "scenario", *[x for x in ("scenario_dims",) if x in contexts.columns])
     u = units.select("doc_id", F.col("unit_id").alias("unit_ref"), "numerator", "denominator", unit_key(F.col("numerator"), F.col("denominator")).alias("unit_key"))
     k = concepts.select("concept", "base_types", "subst_group", "subst_groups", F.col("period_type").alias("concept_period_type"), "balance", "attrs", "abstract", "nillable")
     out = facts.join(c, ["doc_id", "context_ref"], "left").join(u, ["doc_id", "unit_ref"], "left").join(k, "concept", "left")

@@ -133,7 +133,7 @@ COLUMNS = {
     "xfi:fact-has-typed-dimension": lambda d, side="": F.coalesce(F.map_contains_key(_c("typed_dims", side), d), F.lit(False)),
     "xfi:fact-has-explicit-dimension-value": lambda d, m, side="": F.coalesce(F.try_element_at(_c("dims", side), F.lit(d)) == m, F.lit(False)),
     "xfi:fact-explicit-dimension-value": lambda d, side="": F.try_element_at(_c("dims", side), F.lit(d)),
-    "xfi:fact-explicit-scenario-dimension-value": lambda d, side="": F.try_element_at(_c("dims", side), F.lit(d)),
+    "xfi:fact-explicit-scenario-dimension-value": lambda d, side="": F.try_element_at(_c("scenario_dims", side), F.lit(d)),
     "xfi:fact-typed-dimension-value": lambda d, side="": F.try_element_at(_c("typed_dims", side), F.lit(d)),
     "xfi:fact-typed-dimension-simple-value": lambda d, side="": F.regexp_replace(F.try_element_at(_c("typed_dims", side), F.lit(d)), "<[^>]*>", ""),
     "xfi:fact-explicit-dimensions": lambda side="": F.array_sort(F.map_keys(_c("dims", side))),
@@ -174,6 +174,14 @@ def _attribute(name_col: str):
     return lambda relationships, name: relationships.withColumn("value", F.try_element_at(name_col, F.lit(name)))
 
 
+#: Aspects that are no dimensions; others are a dimension each, or dims for all that no rule names.
+PLAIN_ASPECTS = ("location", "concept", "entity", "period", "unit", "segment", "scenario")
+
+
+def _uncovered(evaluations: DataFrame, variable: str) -> list[str]:
+    return [c.removeprefix(f"{variable}__key_") for c in evaluations.columns if c.startswith(f"{variable}__key_")]
+
+
 TABLES = {
     "xfi:facts-in-instance": lambda facts: facts,
     "xfi:items-in-instance": lambda facts: facts.where("context_ref is not null"),
@@ -202,8 +210,8 @@ TABLES = {
     "xfi:negative-filing-indicators": _indicators(False),
     "xfi:positive-filing-indicator": _indicators(True),
     "xfi:negative-filing-indicator": _indicators(False),
-    "xff:uncovered-non-dimensional-aspects": lambda evaluations, variable: [c.removeprefix(f"{variable}__key_") for c in evaluations.columns if c.startswith(f"{variable}__key_") and not c.endswith("_dims")],
-    "xff:uncovered-dimensional-aspects": lambda evaluations, variable: [c for c in evaluations.columns if c == f"{variable}__key_dims"],
+    "xff:uncovered-non-dimensional-aspects": lambda evaluations, variable: [a for a in _uncovered(evaluations, variable) if a in PLAIN_ASPECTS],
+    "xff:uncovered-dimensional-aspects": lambda evaluations, variable: [a for a in _uncovered(evaluations, variable) if a not in PLAIN_ASPECTS],
 }
 
 

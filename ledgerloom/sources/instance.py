@@ -18,7 +18,7 @@ from ..model import LINK, XBRLDI, XBRLI, XLINK, XSI
 RAW = (
     "doc_id string, kind string, id string, parent_id string, name string, ns string, value string, context_ref string, unit_ref string, "
     "decimals string, precision string, is_nil boolean, ordinal int, scheme string, entity string, period_type string, start_text string, end_text string, "
-    "dims map<string,string>, typed_dims map<string,string>, non_dim string, scenario string, numerator array<string>, denominator array<string>, "
+    "dims map<string,string>, typed_dims map<string,string>, non_dim string, scenario string, scenario_dims map<string,string>, numerator array<string>, denominator array<string>, "
     "href string, role string, lang string, target string"
 )
 COLUMNS = [c.split()[0] for c in RAW.split(", ")]
@@ -56,7 +56,7 @@ def _context(doc: str, node) -> dict:
     kind = "instant" if instant is not None else "duration" if end is not None else "forever"
     d1, t1, rest = _component(node.find(f"{x}entity/{x}segment"))
     d2, t2, scenario = _component(node.find(f"{x}scenario"))
-    return {"doc_id": doc, "kind": "context", "id": node.get("id"), "scheme": ident.get("scheme") if ident is not None else None, "entity": (ident.text or "").strip() if ident is not None else None, "period_type": kind, "start_text": start, "end_text": instant or end, "dims": d1 | d2, "typed_dims": t1 | t2, "non_dim": rest, "scenario": scenario}
+    return {"doc_id": doc, "kind": "context", "id": node.get("id"), "scheme": ident.get("scheme") if ident is not None else None, "entity": (ident.text or "").strip() if ident is not None else None, "period_type": kind, "start_text": start, "end_text": instant or end, "dims": d1 | d2, "typed_dims": t1 | t2, "non_dim": rest, "scenario": scenario, "scenario_dims": d2}
 
 
 def _unit(doc: str, node) -> dict:
@@ -147,7 +147,7 @@ def tables(raw: DataFrame, concepts: DataFrame | None = None) -> dict[str, DataF
     facts = facts.withColumn("num", F.when(F.col("unit_ref").isNotNull(), F.trim("value").try_cast("decimal(38,6)")))
     end = F.when(F.col("period_type") != "forever", period_end(F.col("end_text")))
     start = F.when(F.col("period_type") == "duration", period_start(F.col("start_text")))
-    contexts = raw.where("kind = 'context'").select("doc_id", F.col("id").alias("context_id"), "scheme", "entity", "period_type", start.alias("start"), end.alias("end"), "dims", "typed_dims", "non_dim", "scenario", dims_key(F.col("dims"), F.col("typed_dims")).alias("dims_key"), "start_text", "end_text")
+    contexts = raw.where("kind = 'context'").select("doc_id", F.col("id").alias("context_id"), "scheme", "entity", "period_type", start.alias("start"), end.alias("end"), "dims", "typed_dims", "non_dim", "scenario", "scenario_dims", dims_key(F.col("dims"), F.col("typed_dims")).alias("dims_key"), "start_text", "end_text")
     units = raw.where("kind = 'unit'").select("doc_id", F.col("id").alias("unit_id"), "numerator", "denominator", unit_key(F.col("numerator"), F.col("denominator")).alias("unit_key"))
     return {
         "facts": facts,

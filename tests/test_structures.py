@@ -396,3 +396,20 @@ def test_sections(spark):
     rows = report_groups.placed(hierarchies.tree(some_arcs(spark)).where("role = 't'"), named)
     assert sorted((r.section, r.first, r.concept, r.depth, r.facts) for r in rows.collect()) == [("", 0, "a", 0, 0), ("", 1, "c", 1, 0), ("", 3, "e", 2, 2), ("a=2;x=1", 0, "a", 0, 0), ("a=2;x=1", 1, "c", 1, 0), ("a=2;x=1", 2, "d", 2, 1)]
     assert [r.section for r in report_groups.sections(f, ["x"]).collect()] == ["x=1", "", "", "x=1"]
+
+
+def test_scenario_dimensions_and_uncovered_aspects(spark):
+    from ledgerloom.functions import registry
+    from ledgerloom.functions.aspects import wide
+    from ledgerloom.sources import instance
+
+    member = lambda d: f'<d:explicitMember dimension="{d}">m-{d}</d:explicitMember>'
+    text = f'<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:e="urn:e"><context id="c"><entity><identifier scheme="s">A</identifier><segment>{member("in")}</segment></entity><period><instant>2020-01-01</instant></period><scenario>{member("out")}</scenario></context><e:x id="f" contextRef="c">1</e:x></xbrl>'
+    made = instance.tables(instance.parse(spark.createDataFrame([("one", text)], "doc_id string, text string")))
+    none = spark.createDataFrame([], "concept string, base_types array<string>, subst_group string, subst_groups array<string>, period_type string, balance string, attrs map<string,string>, abstract boolean, nillable boolean")
+    facts_ = wide(made["facts"], made["contexts"], made["units"], none)
+    of = lambda d: [registry.call("xfi:fact-explicit-scenario-dimension-value", d), registry.call("xfi:fact-explicit-dimension-value", d)]
+    assert list(facts_.select(*of("in"), *of("out")).first()) == [None, "m-in", "m-out", "m-out"]
+    e = rules.evaluate(rules.VariableSet([rules.FactVariable("x", [filters.aspect_cover("unit", "entity")])], dimensions=["in"]), facts_)
+    assert sorted(registry.call("xff:uncovered-dimensional-aspects", e, "x")) == ["dims", "in"]
+    assert sorted(registry.call("xff:uncovered-non-dimensional-aspects", e, "x")) == ["concept", "location", "period", "scenario", "segment"]
