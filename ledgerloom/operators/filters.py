@@ -31,6 +31,7 @@ class Filter:
     uncovers: frozenset = frozenset()
     parts: tuple = ()  # filters that a combination is made of
     any_part: bool = False  # one of them is enough
+    band: str | None = None  # the variable within whose period a fact's period lies
 
     def leaves(self) -> list["Filter"]:
         return [x for f in self.parts for x in f.leaves()] if self.parts else [self]
@@ -124,6 +125,12 @@ def instant_duration(variable: str, boundary: str) -> Filter:
     return Filter(F.col("period_type") == "instant", frozenset({"period"}), match=(variable, (("end", boundary),)))
 
 
+def during(variable: str) -> Filter:
+    """Facts whose period lies within that of another variable's fact, ends included: an instant at a moment of it, a duration
+    between its ends. A range join on blocks of days, no pair by pair comparison; not part of a combination."""
+    return Filter(F.col("period_type") != "forever", frozenset({"period"}), band=variable)
+
+
 # --- units and entities ---------------------------------------------------------------------------------------
 
 

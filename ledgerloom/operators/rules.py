@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aspects import dims_key
 from ..functions.rounding import inferred_decimals, presented
+from . import intervals
 from .filters import ASPECTS, Filter
 from .networks import dependency_order
 from .validation import hypercubes
@@ -189,6 +190,8 @@ def resolve_parameters(rule: VariableSet, given: dict[str, str] | None = None) -
 
 
 def _joins(f: Filter) -> bool:
+    if f.parts and any(x.band for x in f.leaves()):
+        raise ValueError("a filter on another variable's period can't be part of a combination")
     return any(x.match for x in f.leaves())
 
 
@@ -334,13 +337,18 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
     on = F.col("doc_id") == F.col(f"{v.name}__doc") if v.instance is None else F.lit(True)
     own = [c.removeprefix(f"{v.name}__key_") for c in right.columns if c.startswith(f"{v.name}__key_")]
     explicit = [f for f in v.filters if f.match]
+    pairs: list[tuple[Column, Column]] = [] if v.instance is not None else [(F.col("doc_id"), F.col(f"{v.name}__doc"))]
     relative = next((f.match[0] for f in explicit if f.match[1] == "uncovered"), None)
     if rule.implicit_filtering or relative:
         for a in own:
             first = relative or uncovered.get(a)
             if first and f"{first}__key_{a}" in bound.columns:
                 mine, theirs = f"{v.name}__key_{a}", f"{first}__key_{a}"
-                on = on & (_own_equality(rule.equalities[a], theirs, mine) if a in rule.equalities else F.col(mine).eqNullSafe(F.col(theirs)))
+                if a in rule.equalities:
+                    on = on & _own_equality(rule.equalities[a], theirs, mine)
+                else:
+                    on = on & F.col(mine).eqNullSafe(F.col(theirs))
+                    pairs.append((F.col(theirs), F.col(mine)))
     for f in explicit:
         other, cols = f.match
         for own_col, other_col in [] if cols == "uncovered" else cols:
@@ -349,10 +357,35 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
     for i, f in enumerate([*rule.group_filters, *v.filters]):
         if f.parts and _joins(f):
             on = on & f.truth(_joined_leaf(f, i, v))
-    out = bound.join(right, on, "left" if v.fallback is not None else "inner")
+    bands = [f.band for f in v.filters if f.band]
+    if bands:
+        if v.fallback is not None or v.bind_as_sequence or any(f.complement for f in v.filters if f.band):
+            raise ValueError("a filter on another variable's period takes no fallback, sequence or complement")
+        out = _within(bound, right, v, bands[0], pairs).where(on)
+        for other in bands[1:]:
+            out = out.where(_lies_within(v.name, other))
+    else:
+        out = bound.join(right, on, "left" if v.fallback is not None else "inner")
     return out.drop(*([f"{v.name}__doc"] if v.instance is None else []), *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
 
 
+def _lies_within(name: str, other: str) -> Column:
+    first = F.coalesce(F.col(f"{name}__start"), F.col(f"{name}__end"))
+    begins, ends = F.coalesce(F.col(f"{other}__start"), F.col(f"{other}__end")), F.col(f"{other}__end")
+    return (begins.isNull() | (first >= begins)) & (ends.isNull() | (F.col(f"{name}__end") <= ends))
+
+
+def _within(bound: DataFrame, right: DataFrame, v: FactVariable, other: str, pairs: list[tuple[Column, Column]]) -> DataFrame:
+    """Rows bound so far with the candidates whose period ends within another variable's: points meet intervals on blocks of days
+    and on the keys that both sides have."""
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    day = lambda c: F.unix_date(c.cast("date")).cast("long")
+    names = [f"_key_{i}" for i in range(len(pairs))]
+    left = bound.withColumns({n: key(a) for n, (a, _) in zip(names, pairs)} | {"_from": day(F.coalesce(f"{other}__start", f"{other}__end")), "_to": day(F.col(f"{other}__end"))})
+    points = right.withColumns({n: key(b) for n, (_, b) in zip(names, pairs)} | {"_at": day(F.col(f"{v.name}__end"))})
+    return intervals.hold(points, left, "_at", "_from", "_to", names).where(_lies_within(v.name, other)).drop("_at", "_from", "_to", *names)
+
+
 def _of_members(test: str, a: str, b: str) -> str:
     """A test over ``a`` and ``b`` with these names in place of the two, literals left alone."""
     one = lambda text: re.sub(r"\b([ab])\b", lambda m: a if m[1] == "a" else b, text)

@@ -222,3 +222,61 @@ def report_columns(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     cells = o.select(F.col("o_orderpriority").alias("section"), F.col("o_custkey").cast("string").alias("row"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("column"), F.year("o_orderdate").alias("period"), F.floor(F.col("o_totalprice") / 150000).cast("int").alias("value"))
     return report_groups.compacted(cells)
+
+
+# --- ranges in rules --------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH q AS (SELECT DISTINCT o_custkey AS c, date_trunc('quarter', o_orderdate) AS a FROM orders), i AS (SELECT o_custkey AS c, o_orderdate + INTERVAL 1 DAY AS t, o_totalprice AS p FROM orders)
+    SELECT q.c AS customer, CAST(count(*) AS BIGINT) AS prices, round(sum(p), 2) AS total FROM q JOIN i ON i.c = q.c AND t >= a AND t <= a + INTERVAL 3 MONTH GROUP BY 1""")
+def range_rule(spark: SparkSession, d: str) -> DataFrame:
+    """A rule over prices at moments within the quarters that a customer reports: a moment on a border belongs to both."""
+    o = table(spark, d, "orders")
+    moments = as_facts(o, F.lit("price"), F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderdate"), {}, F.lit("pure"), F.concat(F.lit("p"), "o_orderkey"))
+    start = F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz")
+    quarters = as_facts(o.select("o_custkey", start.alias("a")).distinct(), F.lit("quarter"), F.lit(1), F.col("o_custkey"), F.col("a"), {}, F.lit("pure"), F.concat_ws("-", F.lit("q"), "o_custkey", F.col("a").cast("string")))
+    end = F.add_months(F.col("start").cast("date"), 3).cast("timestamp_ntz")
+    quarters = quarters.withColumns({"period_type": F.lit("duration"), "start": (F.col("end") - F.expr("interval 1 day")).cast("timestamp_ntz")}).withColumn("end", end)
+    quarters = quarters.withColumn("period_key", F.concat_ws("|", "period_type", F.col("start").cast("string"), F.col("end").cast("string")))
+    rule = rules.VariableSet([rules.FactVariable("q", [filters.concept_name("quarter")]), rules.FactVariable("p", [filters.concept_name("price"), filters.during("q")])])
+    e = rules.evaluate(rule, quarters.unionByName(moments))
+    return e.groupBy(F.col("p__entity").cast("long").alias("customer")).agg(F.count(F.lit(1)).alias("prices"), F.round(F.sum("p"), 2).alias("total"))
+
+
+# --- taxonomies -------------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT n_name AS nation, 'c' || c_custkey AS concept, CAST(c_custkey AS DOUBLE) AS ord, CASE WHEN c_custkey % 4 = 1 THEN 'ext.xml' ELSE 'base.xml' END AS layer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0 AND (c_custkey % 4 <> 1 OR c_acctbal > 0)""")
+def extension_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Base taxonomies of nations with their customers as concepts, and extensions that prohibit every third arc of the base and bring
+    arcs of their own; what stands in each extension's taxonomy, and which layer it is from."""
+    from ..sources import discovery
+
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("key", F.col("c_custkey").cast("string"))
+    heads = 'xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:xbrli="http://www.xbrl.org/2003/instance"'
+    rich = F.col("c_acctbal") > 0
+    name = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
+    join = lambda x, when=None: F.array_join(F.collect_list(x if when is None else F.when(when, x)), "")
+    element = name('<xs:element name="c', F.col("key"), '" id="c', F.col("key"), '" substitutionGroup="xbrli:item"/>')
+
+    def arc(schema: str, use: str, priority: int):
+        return name('<link:loc xlink:type="locator" xlink:href="', schema, "#c", F.col("key"), '" xlink:label="c', F.col("key"), '"/><link:presentationArc xlink:type="arc" xlink:arcrole="pc" xlink:from="top" xlink:to="c', F.col("key"), f'" order="', F.col("key"), f'" use="{use}" priority="{priority}"/>')
+
+    by_nation = c.groupBy("n_name").agg(
+        join(element, F.col("c_custkey") % 4 != 1).alias("base_elements"), join(element, (F.col("c_custkey") % 4 == 1) & rich).alias("own_elements"), join(arc("base.xsd", "optional", 0), F.col("c_custkey") % 4 != 1).alias("base_arcs"),
+        join(arc("ext.xsd", "optional", 0), (F.col("c_custkey") % 4 == 1) & rich).alias("own_arcs"), join(arc("../base/base.xsd", "prohibited", 1), (F.col("c_custkey") % 4 != 1) & (F.col("c_custkey") % 3 == 0)).alias("stops"), join(arc("ext.xsd", "prohibited", 1), (F.col("c_custkey") % 4 == 1) & (F.col("c_custkey") % 3 == 0) & rich).alias("own_stops"),
+    )
+    schema = lambda ns, body: name(f'<xs:schema {heads} targetNamespace="{ns}">', body, "</xs:schema>")
+    refers = lambda href: f'<link:linkbaseRef xlink:type="simple" xlink:href="{href}"/>'
+    links = lambda top, body: name(f'<link:linkbase {heads}><link:presentationLink xlink:type="extended" xlink:role="r"><link:loc xlink:type="locator" xlink:href="{top}" xlink:label="top"/>', body, "</link:presentationLink></link:linkbase>")
+    files = {
+        "base/base.xsd": schema("urn:base", name(refers("base.xml"), '<xs:element name="top" id="top" substitutionGroup="xbrli:item"/>', F.col("base_elements"))), "base/base.xml": links("base.xsd#top", F.col("base_arcs")),
+        "own/ext.xsd": schema("urn:own", name('<xs:import schemaLocation="../base/base.xsd"/>', refers("./ext.xml"), F.col("own_elements"))), "own/ext.xml": links("../base/base.xsd#top", name(F.col("own_arcs"), F.col("stops"), F.col("own_stops"))),
+    }
+    docs = by_nation.select(F.explode(F.array(*[F.struct(name("http://t/", F.col("n_name"), f"/{path}").alias("uri"), text.alias("text")) for path, text in files.items()])).alias("x")).select("x.*")
+    parts = discovery.parse(docs).persist()
+    entries = table(spark, d, "nation").select(name("http://t/", F.col("n_name"), "/own/ext.xsd").alias("entry"))
+    found = discovery.arcs(parts, discovery.reached(parts, entries))
+    return found.select(F.regexp_extract("entry", "//t/([^/]*)/", 1).alias("nation"), F.regexp_extract("to", r"\}(.*)$", 1).alias("concept"), "ord", F.regexp_extract("layer", "([^/]*)$", 1).alias("layer"))

@@ -413,3 +413,20 @@ def test_scenario_dimensions_and_uncovered_aspects(spark):
     e = rules.evaluate(rules.VariableSet([rules.FactVariable("x", [filters.aspect_cover("unit", "entity")])], dimensions=["in"]), facts_)
     assert sorted(registry.call("xff:uncovered-dimensional-aspects", e, "x")) == ["dims", "in"]
     assert sorted(registry.call("xff:uncovered-non-dimensional-aspects", e, "x")) == ["concept", "location", "period", "scenario", "segment"]
+
+
+def test_range_rules(spark):
+    wide = facts(spark, [("q", "q1", 1, {"k": "A"}), ("q", "q2", 1, {"k": "B"}), ("p", "p1", 5, {"k": "A"}), ("p", "p2", 6, {"k": "B"}), ("p", "p3", 7, {"k": "A"})])
+    moment = lambda n: F.expr(f"timestamp_ntz'2020-01-01 00:00:00' + interval {n} days")
+    at = {"q1": ("duration", 0, 10), "q2": ("duration", 0, 1), "p1": ("instant", None, 10), "p2": ("instant", None, 11), "p3": ("duration", 2, 11)}
+    for i, (kind, a, b) in at.items():
+        own = F.col("fact_id") == i
+        wide = wide.withColumns({"period_type": F.when(own, kind).otherwise(F.col("period_type")), "start": F.when(own, moment(a) if a is not None else F.lit(None).cast("timestamp_ntz")).otherwise(F.col("start")), "end": F.when(own, moment(b)).otherwise(F.col("end"))})
+    p = rules.FactVariable("p", [filters.concept_name("p"), filters.during("q")])
+    e = rules.evaluate(rules.VariableSet([rules.FactVariable("q", [filters.concept_name("q")]), p]), wide)
+    assert [(r.q__fact_id, r.p__fact_id) for r in e.collect()] == [("q1", "p1")]  # p3 begins within q1 and ends after it
+    assert "NestedLoop" not in plan(e) and "Cartesian" not in plan(e)
+    with pytest.raises(ValueError):
+        rules.evaluate(rules.VariableSet([rules.FactVariable("q", [filters.concept_name("q")]), rules.FactVariable("p", p.filters, fallback="0")]), wide)
+    with pytest.raises(ValueError):
+        rules.evaluate(rules.VariableSet([rules.FactVariable("q", [filters.concept_name("q")]), rules.FactVariable("p", [filters.or_filter(filters.during("q"), filters.nilled())])]), wide)
