@@ -42,9 +42,10 @@ END_MARK = 2
 GROUP_IDS = 4_000_000
 #: Ids of one step group.
 STEP = 65_536
-#: Bytes of text that are encoded at once, words whose ids a task remembers, and new words given to the library in one text.
+#: Bytes of text that are encoded at once, words (and their letters) whose ids a task remembers, and new words given to the
+#: library in one text.
 TEXT_BYTES = 8_000_000
-WORDS = 500_000
+WORDS, LETTERS_HELD = 500_000, 30_000_000
 TOGETHER = 100
 #: A mark after a Latin letter that neither case nor composition turns into anything else.
 BREAK = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}])([.,;:!?])"
@@ -82,6 +83,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0  # letters of the words remembered
         self.place: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
@@ -98,7 +100,7 @@ class WordIds:
 
     def _known(self, words: list[str]) -> np.ndarray:
         """Places of the words, new ones put behind the others."""
-        if len(self.place) > WORDS:
+        if len(self.place) > WORDS or self.held > LETTERS_HELD:
             self.forget()
         place = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.nonzero(place < 0)[0]
@@ -115,6 +117,7 @@ class WordIds:
                     ids, sizes = np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
                 place[part] = np.arange(len(self.place), len(self.place) + len(part))
                 self.place.update(zip([words[i] for i in part], place[part].tolist()))
+                self.held += sum(len(words[i]) for i in part)
                 self.ids.append(ids)
                 self.sizes.append(sizes)
         return place

@@ -162,7 +162,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_topk": """
-            WITH c AS (SELECT vec_id, i, CAST(floor(CAST(embedding[i] AS DOUBLE) * 64) AS BIGINT) AS x
+            WITH c AS (SELECT DISTINCT vec_id, i, CAST(floor(CAST(embedding[i] AS DOUBLE) * 64) AS BIGINT) AS x
                        FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)),
             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
                   FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),

@@ -194,6 +194,19 @@ def test_topk(spark, blocks):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_topk_sql_on_repeated_rows(spark, tmp_path):
+    """A row that stands there twice counts once, for the operator and its SQL alike."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(50)]
+    spark.createDataFrame(rows + rows[:15], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op3_topk"])
+    cols = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.op3_topk(spark, str(tmp_path)).select(*cols).collect())) == sorted(want.fetchall())
+
+
 def test_topk_lengths_and_large_values(spark):
     """Vectors of other lengths and values that doubles don't hold take part."""
     raw = [(i, [i % 7 - 3, 2, i % 5]) for i in range(90)] + [(100, [5]), (120, [1, 2, 3, 4, 5, 6]), (140, [2**40, 3, -1]), (141, [2**40 + 1, 1, 1]), (160, [-(2**20), 2**30, 7])]

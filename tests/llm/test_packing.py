@@ -95,6 +95,17 @@ def test_word_ids_equal_library():
         at += n
 
 
+def test_word_memory_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "LETTERS_HELD", 1000)
+    encode, t = packing.WordIds(queries.vocabulary_path()), packing.tokenizer(queries.vocabulary_path())
+    for i in range(6):
+        text = " ".join(f"{'q' * 300}{i}{j} same" for j in range(3))
+        ids, _ = encode(pa.array([text], pa.large_string()))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and encode.held < 2000
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_is_full(seed):
     rng = random.Random(seed)
