@@ -6,8 +6,10 @@ shards. Documents of an old shard are laid out in blocks, large documents first,
 and what moves is the tail of small documents; a document goes where the middle of its byte interval falls, so a
 transfer is off by less than one document.
 
-Only documents that move are shuffled with their texts and written; those that stay keep their files. Where each
-document stands is a narrow table, and only one row a block is summed up over a whole shard.
+``rewrite`` works on a table: only documents that move are shuffled with their texts and written; where each document
+stands is a narrow table, and only one row a block is summed up over a whole shard. ``write_layout``, ``reshard`` and
+``read_layout`` work on shards that are files with a manifest: a file that moves whole goes by reference, and only those cut by
+a border of two transfers are rewritten.
 
 Defined cases: a null text has size 1 (its separator byte); a null id sorts first among equals; equal texts have
 equal sizes and checksums and lie side by side within their block, and a text with very many copies has many blocks;
@@ -19,10 +21,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, set_aside, stored
+from .common import join_small, scratch_path, set_aside, stored
 
 BLOCK_ROWS = 20_000
 
@@ -157,3 +159,101 @@ def rewrite(docs: DataFrame, old_shard: Column, shards: int, path: str | None =
     moving.write.partitionBy("rs_shard").parquet(path)
     read = docs.sparkSession.read.schema(moving.schema).parquet(path)
     return put_back(read.unionByName(every.where("rs_shard = rs_old"))), path
+
+
+# --- shards as files --------------------------------------------------------------------------------------------
+
+#: Bytes of text in one file of a layout.
+UNIT_BYTES = 128 << 20
+MANIFEST = "shard int, rs_unit long, rows long, bytes long, offset long, first long"
+KEPT = ["rs_size", "rs_crc", "rs_hash"]
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of manifests that were written to their end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and done(n))
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A layout's files: their shard, unit, rows, bytes, offset in the shard and first slot. The latest version if none is named."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{_complete(spark, path)[-1] if version is None else version}")
+
+
+def _units(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+
+
+def _written(docs: DataFrame, path: str, version: int) -> DataFrame:
+    """Write rows (with rs_unit) as one file a unit, and say what each holds."""
+    docs.withColumn("rs_version", F.lit(version)).repartition("rs_unit").write.mode("append").partitionBy("rs_version", "rs_unit").parquet(f"{path}/data")
+    own = _units(docs.sparkSession, path).where(F.col("rs_version") == version)
+    return own.groupBy(F.col("rs_unit").cast("long").alias("rs_unit")).agg(F.count(F.lit(1)).alias("rows"), F.sum("rs_size").alias("bytes"))
+
+
+def _put(files: DataFrame, path: str, version: int) -> None:
+    """Write (shard, rs_unit, rows, bytes) as a manifest; units follow each other in a shard by their numbers."""
+    before = Window.partitionBy("shard").orderBy("rs_unit").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"offset": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "first": F.coalesce(F.sum("rows").over(before), F.lit(0))}
+    files.withColumns(sums).select("shard", "rs_unit", "rows", "bytes", "offset", "first").write.parquet(f"{path}/manifests/{version}")
+
+
+def write_layout(docs: DataFrame, shard: Column, path: str, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, unit_bytes: int = UNIT_BYTES) -> str:
+    """Write documents as shards of files, each some ``unit_bytes`` of neighbouring blocks, with their manifest."""
+    docs, _ = set_aside(docs, [*NARROW, *ADDED, *INNER, "rs_unit", "rs_version"])
+    sized = _sized(docs, F.coalesce(shard.cast("int"), F.lit(0)), id_col, text_col, block_rows)
+    before = Window.partitionBy("rs_old").orderBy("rs_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.groupBy("rs_old", "rs_block").agg(F.sum("rs_size").alias("bytes")).withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    units = stored(blocks.select("rs_old", "rs_block", (F.shiftleft(F.col("rs_old").cast("long"), 32) + F.floor(F.col("at") / unit_bytes)).alias("rs_unit")), "units")
+    dealt = join_small(sized, units, ["rs_old", "rs_block"], "inner", units.count()).drop("rs_block", "rs_id", "rs_old")
+    files = _written(dealt, path, 0)
+    _put(files.select(F.shiftright("rs_unit", 32).cast("int").alias("shard"), "rs_unit", "rows", "bytes"), path, 0)
+    return path
+
+
+def reshard(spark: SparkSession, path: str, shards: int, id_col: str = "doc_id") -> list[tuple[int, int, int]]:
+    """A new version of a layout with so many shards, and its transfers.
+
+    Sizes come from the manifest. A file that lies within one transfer goes to its shard by reference, without being read;
+    only those that a border of transfers cuts, at most one a transfer, are read and rewritten, one file a part. The new manifest
+    stands when it is complete; the version before it stays readable.
+    """
+    last = _complete(spark, path)[-1]
+    old = stored(manifest(spark, path, last), "manifest")
+    sizes = {r[0]: r[1] for r in old.groupBy("shard").agg(F.sum("bytes")).collect()}
+    flows = min_cost_transfers(sizes, equal_capacities(sum(sizes.values()), shards))
+    at = old.withColumn("rs_old", F.col("shard"))
+    ends = at.withColumns({"low": _shard_at(flows, F.col("offset") + 0.25), "high": _shard_at(flows, F.col("offset") + F.col("bytes") - 0.25)})
+    ends = stored(ends, "ends")
+    whole = ends.where("low = high").select(F.col("low").alias("shard"), "rs_unit", "rows", "bytes")
+    cut = ends.where("low <> high").select("rs_unit", "rs_old", "offset")
+    rows = _units(spark, path).withColumn("rs_unit", F.col("rs_unit").cast("long")).withColumn("rs_id", F.col(id_col))
+    some = [r[0] for r in cut.select("rs_unit").collect()]  # as many as there are borders at most
+    rows = rows.where(F.col("rs_unit").isin(some)).join(F.broadcast(cut), "rs_unit")
+    within = Window.partitionBy("rs_unit").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to = _shard_at(flows, F.col("offset") + F.sum("rs_size").over(within) - F.col("rs_size") / 2)
+    parts = rows.withColumn("to", to)
+    # New units stand behind all others of their new shard: numbers above those in use, by version.
+    names = {(u, d): n for n, (u, d) in enumerate(sorted((r[0], r[1]) for r in parts.select("rs_unit", "to").distinct().collect()))}
+    number = F.lit(None).cast("long")
+    for (u, d), n in names.items():
+        number = F.when((F.col("rs_unit") == u) & (F.col("to") == d), F.lit((1 << 56) + ((last + 1) << 40) + n)).otherwise(number)
+    files = whole
+    if names:
+        new = parts.withColumn("_new", number).drop("rs_unit", "rs_old", "offset", "rs_id", "to", "rs_version").withColumnRenamed("_new", "rs_unit")
+        shard_of = spark.createDataFrame([((1 << 56) + ((last + 1) << 40) + n, d) for (_, d), n in names.items()], "rs_unit long, shard int")
+        files = whole.unionByName(_written(new, path, last + 1).join(F.broadcast(shard_of), "rs_unit").select("shard", "rs_unit", "rows", "bytes"))
+    _put(files, path, last + 1)
+    return flows
+
+
+def read_layout(spark: SparkSession, path: str, version: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """All documents of a version with rs_size, rs_crc, rs_shard and rs_slot; slots follow the files of a shard."""
+    files = manifest(spark, path, version).select("rs_unit", F.col("shard").alias("rs_shard"), "first")
+    rows = _units(spark, path).withColumn("rs_unit", F.col("rs_unit").cast("long")).withColumn("rs_id", F.col(id_col))
+    inside = Window.partitionBy("rs_unit").orderBy(*_order())
+    placed = rows.join(files, "rs_unit").withColumn("rs_slot", (F.col("first") + F.row_number().over(inside) - 1).cast("long"))
+    return placed.drop("rs_unit", "rs_version", "rs_id", "rs_hash", "first")

@@ -275,3 +275,38 @@ def test_whitening_without_variance(spark):
     rows = whitening.whitened(line).where("wh_component = 2").agg(F.count("wh_whitened").alias("n"), F.max("wh_explained").alias("e")).first()
     assert (rows.n, rows.e) == (0, 0.0)
     assert whitening.whitened(same.limit(0)).count() == 0
+
+
+# --- shards as files ---------------------------------------------------------------------------------------------
+
+
+def test_layout_of_files(spark, tmp_path):
+    """Resharding files there and back: documents stay what they are, few files are rewritten, the others aren't touched."""
+    from collections import Counter
+
+    from ledgerloom.llm import resharding
+
+    rng = random.Random(2)
+    rows = [(i if i % 7 else None, "w" * rng.choice([0, 3, 50, 400]) if i % 11 else None, i % 4, "own") for i in range(600)] + [(5, "copy " * 30, 1, "own")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s int, rs_size string")
+    at = resharding.write_layout(docs, F.col("s"), str(tmp_path / "shards"), block_rows=50, unit_bytes=2000)
+    content = lambda df: Counter((r["doc_id"], r["text"], r["s"]) for r in df.collect())
+    want = content(docs)
+    files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(f"{at}/data") for f in names if f.endswith(".parquet")}
+    biggest, before = 401, files()
+    assert len(before) > 20
+    for shards in (7, 3):
+        flows = resharding.reshard(spark, at, shards)
+        out = resharding.read_layout(spark, at)
+        assert content(out) == want
+        held = out.groupBy("rs_shard").agg(F.sum("rs_size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("rs_slot").alias("a"), F.max("rs_slot").alias("b"), F.count_distinct("rs_slot").alias("d")).collect()
+        total = sum(r.n for r in held)
+        assert len(held) == shards and all(abs(r.n - total / shards) <= (shards + 4) * biggest for r in held)
+        assert all(r.a == 0 and r.b == r.rows - 1 and r.d == r.rows for r in held)
+        now = files()
+        assert all(now[f] == t for f, t in before.items())  # nothing is overwritten
+        assert 0 < len(now) - len(before) <= 2 * len(flows)
+        before = now
+    assert content(resharding.read_layout(spark, at, 0)) == want and resharding._complete(spark, at) == [0, 1, 2]
+    moved = resharding.read_layout(spark, at).where("length(text) > 100").groupBy("rs_shard").agg(F.max("rs_slot").alias("m")).join(spark.range(3).withColumnRenamed("id", "rs_shard"), "rs_shard")
+    assert moved.count() == 3
