@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, media, mixing, packing, periodic, quality, resharding, simhash, suffixdedup, topk, toxicity, warc, whitening
-from .common import columns, set_aside, stored, table
+from .common import columns, scratch_path, set_aside, stored, table
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,13 +41,18 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+#: Text in one file of op4's shards.
+UNIT_BYTES = 4 << 20
+
+
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 old shards by checksum to 16 of equal bytes."""
+    """From 12 old shards by checksum, written as files, to 16 of equal bytes: what comes back is read from the new layout."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = F.pmod(F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(12))
-    shards, _ = resharding.rewrite(docs, old, 16)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return shards.select("doc_id", F.col("rs_size").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("rs_shard").alias("shard"), F.col("rs_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("rs_old").alias("old_shard"))
+    path = resharding.write_layout(docs, F.pmod(crc, F.lit(12)), scratch_path(spark, "shards"), unit_bytes=UNIT_BYTES)
+    resharding.reshard(spark, path, 16)
+    shards = resharding.read_layout(spark, path)
+    return shards.select("doc_id", F.col("rs_size").alias("size"), F.col("rs_crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("rs_shard").alias("shard"), F.col("rs_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
