@@ -187,7 +187,8 @@ def xml_pieces(facts: DataFrame, contexts: DataFrame, units: DataFrame) -> tuple
     nil = F.when(F.coalesce("is_nil", F.lit(False)), F.lit(' xsi:nil="true"')).otherwise(F.lit(""))
     opening = F.concat(F.lit("<f:"), "concept", attr("id", F.col("fact_id")), attr("contextRef", F.col("context_ref")), attr("unitRef", F.col("unit_ref")), attr("decimals", F.col("decimals")), attr("precision", F.col("precision")), nil, F.lit(' xmlns:f="'), F.coalesce("ns", F.lit("urn:facts")), F.lit('">'))
     closing = F.concat(F.lit("</f:"), "concept", F.lit(">"))
-    fx = facts.select("doc_id", "fact_id", "parent_id", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), opening.alias("opening"), closing.alias("closing"), F.concat(opening, esc(F.col("value")), closing).alias("x"), F.lit(2).alias("o"), F.format_string("%010d", F.coalesce("ordinal", F.lit(0))).alias("k"))
+    above = F.col("parent_id") if "parent_id" in facts.columns else F.lit(None).cast("string").alias("parent_id")
+    fx = facts.select("doc_id", "fact_id", above, F.coalesce("ordinal", F.lit(0)).alias("ordinal"), opening.alias("opening"), closing.alias("closing"), F.concat(opening, esc(F.col("value")), closing).alias("x"), F.lit(2).alias("o"), F.format_string("%010d", F.coalesce("ordinal", F.lit(0))).alias("k"))
     return cx, ux, fx
 
 
