@@ -12,6 +12,7 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows in one Arrow batch; texts can be long, so batches stay small.
 ARROW_ROWS = 1000
@@ -79,6 +80,19 @@ def tidying(f):
     return run
 
 
+def map_in_arrow(df: DataFrame, f, schema: StructType) -> DataFrame:
+    """``df.mapInArrow``, for columns of any names: Spark's own takes names with dots or backticks apart."""
+    names, made = df.columns, [f"c{i}" for i in range(len(schema.fields))]
+    plain = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns(names))])
+
+    def run(batches):
+        for b in f(b.rename_columns(names) for b in batches):
+            yield b.rename_columns(made)
+
+    fields = [StructField(n, x.dataType, x.nullable) for n, x in zip(made, schema.fields)]
+    return plain.mapInArrow(run, StructType(fields)).toDF(*schema.names)
+
+
 def series_udf(f, returns: str):
     """A pandas UDF of one column, by batches, that tidies up when the task is done."""
 

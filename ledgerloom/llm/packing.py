@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import columns, set_aside, small_batches, tidying
+from .common import columns, map_in_arrow, set_aside, small_batches, tidying
 
 WINDOW = 4096
 #: Sizes of sequences that tails are routed to; shorter ones come only from the end of a group.
@@ -351,9 +351,9 @@ def pack_documents(
     first = StructType([*fields, *long("pk_start", "pk_length", "pk_tokens", "pk_bucket", "pk_row"), StructField("pk_ids", BinaryType())])
     last = StructType([*fields, *long("pk_start", "pk_length", "pk_tokens"), StructField("pk_tier", IntegerType()), *long("pk_sequence", "pk_offset", "pk_step"), StructField("pk_ids", BinaryType())])
     wide = max(tokenizer(path).get_vocab_size(), end_mark + 1) > 65536
-    pieces = docs.mapInArrow(tidying(_encoded(path, text_col, kept, _arrow(first), keys, window, end_mark)), first)
+    pieces = map_in_arrow(docs, tidying(_encoded(path, text_col, kept, _arrow(first), keys, window, end_mark)), first)
     dealt = pieces.repartition(buckets, "pk_bucket").sortWithinPartitions("pk_bucket", "pk_row", "pk_start")
-    return put_back(dealt.mapInArrow(tidying(_packed(kept, _arrow(last), window, tuple(tiers), step, group_ids, wide)), last))
+    return put_back(map_in_arrow(dealt, tidying(_packed(kept, _arrow(last), window, tuple(tiers), step, group_ids, wide)), last))
 
 
 def _arrow(schema: StructType) -> pa.Schema:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import columns, set_aside, small_batches, tidying
+from .common import columns, map_in_arrow, set_aside, small_batches, tidying
 
 LEAST, TIMES = 6, 4
 #: Words compared at once when a survivor is extended, and of short texts put in one array.
@@ -218,4 +218,4 @@ def collapsed(docs: DataFrame, text_col: str = "text", least: int = LEAST, times
                 made = [*own.columns, pa.array([len(a) for a in arrays], pa.int64()), found, joined]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(made, schema.types)], schema=schema)
 
-    return put_back(fed.mapInArrow(tidying(run), fields))
+    return put_back(map_in_arrow(fed, tidying(run), fields))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, series_udf, set_aside, small_batches, stored, tidying
+from .common import columns, cut, map_in_arrow, series_udf, set_aside, small_batches, stored, tidying
 
 LENGTH = 400
 BLOCK = 8000
@@ -639,4 +639,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
 
     as_text = found.withColumn(text_col, F.col(text_col).cast("string"))
     schema = as_text.select(*columns(kept)).schema
-    return put_back(as_text.select(*columns(kept), *spans_of).mapInArrow(tidying(run), schema)).select(*columns(names))
+    return put_back(map_in_arrow(as_text.select(*columns(kept), *spans_of), tidying(run), schema)).select(*columns(names))

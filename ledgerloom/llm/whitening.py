@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import columns, scratch_root, set_aside, small_batches, stored, tidying
+from .common import columns, map_in_arrow, scratch_root, set_aside, small_batches, stored, tidying
 
 SCALE, OFFSET = 64, 1_000_000
 COMPONENTS = 16
@@ -226,7 +226,7 @@ def whitened(vectors: DataFrame, vector: str = "embedding", most: int = COMPONEN
             made = [*b.select(kept).columns, pa.array([int(d) for d in model.deviation(x)], pa.int64()), values]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(made, arrow.types)], schema=arrow)
 
-    out = ready.mapInArrow(tidying(run), made_of)
+    out = map_in_arrow(ready, tidying(run), made_of)
     value = F.col("wh_value")
     return put_back(
         out.withColumn("wh_value", F.explode("wh_values")).select(

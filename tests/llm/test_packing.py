@@ -310,3 +310,11 @@ def test_layout_of_files(spark, tmp_path):
     assert content(resharding.read_layout(spark, at, 0)) == want and resharding._complete(spark, at) == [0, 1, 2]
     moved = resharding.read_layout(spark, at).where("length(text) > 100").groupBy("rs_shard").agg(F.max("rs_slot").alias("m")).join(spark.range(3).withColumnRenamed("id", "rs_shard"), "rs_shard")
     assert moved.count() == 3
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots, blanks and backticks come through, with their values."""
+    name = "a`b.c d"
+    docs = spark.createDataFrame([(i, f"some words {i} " * 3, [float(i), float(i * i)], i) for i in range(5)], ["doc_id", "text", "embedding", name])
+    for out in (packing.pack_documents(docs, queries.vocabulary_path()), periodic.collapsed(docs), whitening.whitened(docs)):
+        assert name in out.columns and {tuple(r) for r in out.select("doc_id", F.col("`a``b.c d`")).collect()} == {(i, i) for i in range(5)}
