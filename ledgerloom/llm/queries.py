@@ -97,13 +97,13 @@ PASSAGE = 51
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the contract's columns, passage_words: the words in passages of 51 words or more that stand anywhere else too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = suffixdedup.with_spans(suffixdedup.with_passages(docs, PASSAGE))
+    found = suffixdedup.with_kept_sha256(suffixdedup.with_spans(suffixdedup.with_passages(docs, PASSAGE)))
     return found.select(
         "doc_id",
         F.col("sd_bytes").alias("n_bytes"),
         suffixdedup.span_total("sd_spans").alias("n_removed"),
         F.size("sd_spans").cast("long").alias("n_spans"),
-        suffixdedup.kept_sha256().alias("kept_sha256"),
+        "kept_sha256",
         suffixdedup.span_total("sd_passages").alias("passage_words"),
     )
 

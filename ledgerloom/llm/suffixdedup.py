@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import columns, cut, map_in_arrow, series_udf, set_aside, small_batches, stored, tidying
 
@@ -593,14 +594,17 @@ def kept_bytes(text: str | None, spans) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def kept_sha256(text_col: str = "text") -> Column:
-    """Digest of the bytes that stay, for a table made by ``with_spans``."""
+def with_kept_sha256(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """A table made by ``with_spans`` with the digest of the bytes that stay, kept_sha256, in place of the text."""
+    kept = [c for c in found.columns if c != text_col]
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(kept_bytes(t, s)).hexdigest() for t, s in zip(texts, spans)])
+    def run(batches):
+        for b in batches:
+            digests = [hashlib.sha256(kept_bytes(t.as_py(), s.as_py())).hexdigest() for t, s in zip(b.column(text_col), b.column("sd_spans"))]
+            yield pa.RecordBatch.from_arrays([*b.select(kept).columns, pa.array(digests, pa.string())], [*kept, "kept_sha256"])
 
-    return run(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col("sd_spans"))
+    schema = StructType([*found.select(*columns(kept)).schema.fields, StructField("kept_sha256", StringType())])
+    return map_in_arrow(found, tidying(run), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", id_col: str = "doc_id", words: int | None = None) -> DataFrame:

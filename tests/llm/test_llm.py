@@ -650,7 +650,7 @@ def test_repeats(spark, monkeypatch, seed, flush, block):
     texts = passages(random.Random(seed))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     found = suffixdedup.with_spans(df, 40, block=block)
-    got = {r["doc_id"]: (r["sd_bytes"], sum(s["stop"] - s["start"] for s in r["sd_spans"]), len(r["sd_spans"]), r["k"]) for r in found.withColumn("k", suffixdedup.kept_sha256()).collect()}
+    got = {r["doc_id"]: (r["sd_bytes"], sum(s["stop"] - s["start"] for s in r["sd_spans"]), len(r["sd_spans"]), r["kept_sha256"]) for r in suffixdedup.with_kept_sha256(found).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
 
 
