@@ -2,9 +2,9 @@
 
 ``occurrences`` names each place of a concept in its role's trees: where every concept has one parent these are
 the concepts, without any rounds; where some have several, their trees are unfolded level by level. ``labelled`` walks
-around all trees at once: entering and leaving a node are elements of a list, whose ranks (by pointer doubling, in a number of
-rounds that grows with the logarithm of a tree's size, not with its depth) give each node's place in document order, the
-last place below it, and its depth. Saved trees are sorted by place, so ranges skip row groups.
+around all trees at once: entering and leaving a node that has others below it are elements of a list, whose ranks (by pointer
+doubling, in a number of rounds that grows with the logarithm of such nodes, not with the depth) give each node's place in document
+order, the last place below it, and its depth; leaves are counted by windows. Saved trees are sorted by place, so ranges skip row groups.
 
 Cycles: a node that is met again on its own path ends the path; concepts only reached from a cycle have no root and stand in
 no tree. Empty networks give empty tables. Concepts may stand at many places; roots are sorted by name.
@@ -48,24 +48,43 @@ def occurrences(arcs: DataFrame, arcrole: str | None = None, role: str | None =
 
 
 def labelled(places: DataFrame) -> DataFrame:
-    """``COLUMNS`` of places: first is a node's place in its tree (from 0), last that of the last one below it."""
+    """``COLUMNS`` of places: first is a node's place in its tree (from 0), last that of the last one below it.
+
+    Only nodes with something below them, and roots, enter the list that is ranked: entering one counts the leaves up to its first
+    such child, leaving one those up to its next such sibling. A leaf is counted on from the sibling or parent before it."""
     rounds = Rounds()
     places = rounds.keep(places)
     key = lambda sign, node: F.concat(F.lit(sign), "role", F.lit(MARK), node)
-    later = F.lead("node").over(Window.partitionBy("role", "parent_node").orderBy("n", "node"))
-    sibling = F.when(F.col("parent_node").isNotNull(), later)
-    eldest = places.where("parent_node is not null").groupBy("role", F.col("parent_node").alias("node")).agg(F.min_by("node", F.struct("n", "node")).alias("child"))
-    own = places.withColumn("sibling", sibling).join(eldest, ["role", "node"], "left")
-    enter = F.struct(key("+", F.col("node")).alias("id"), F.coalesce(key("+", F.col("child")), key("-", F.col("node"))).alias("next"), F.lit(1).cast("long").alias("places"), F.lit(1).cast("long").alias("up"))
-    leave = F.struct(key("-", F.col("node")).alias("id"), F.coalesce(key("+", F.col("sibling")), key("-", F.col("parent_node"))).alias("next"), F.lit(0).cast("long").alias("places"), F.lit(-1).cast("long").alias("up"))
-    ranks = list_ranks(own.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*"), ["places", "up"], rounds).where("not cyclic")
+    parents = places.where("parent_node is not null").groupBy("role", F.col("parent_node").alias("node")).agg(F.lit(True).alias("_inner"))
+    own = places.join(parents, ["role", "node"], "left").withColumn("_inner", F.coalesce("_inner", F.col("parent_node").isNull()))
+    siblings = Window.partitionBy("role", "parent_node").orderBy("n", "node")
+    before = siblings.rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumns({"_leaves": F.coalesce(F.count_if(~F.col("_inner")).over(before), F.lit(0)), "_near": F.last(F.when(F.col("_inner"), F.col("node")), True).over(before)})
+    own = rounds.keep(own.withColumn("_passed", F.coalesce(F.last(F.when(F.col("_inner"), F.col("_leaves")), True).over(before), F.lit(0))))
+
+    inner = own.where("_inner")
+    of_parent = own.where("parent_node is not null").groupBy("role", F.col("parent_node").alias("node")).agg(
+        F.min_by("node", F.when(F.col("_inner"), F.struct("n", "node"))).alias("child"), F.min(F.when(F.col("_inner"), F.col("_leaves"))).alias("_first"), F.count_if(~F.col("_inner")).alias("_all"))
+    turn = F.when(F.col("parent_node").isNotNull(), F.lead(F.struct("node", "_leaves")).over(siblings))
+    inner = inner.withColumn("_turn", turn).join(of_parent.select("role", "node", "child", "_first", F.col("_all").alias("_own")), ["role", "node"], "left")
+    inner = inner.join(of_parent.select("role", F.col("node").alias("parent_node"), "_all"), ["role", "parent_node"], "left")
+    into = 1 + F.coalesce("_first", "_own", F.lit(0))
+    past = F.coalesce(F.col("_turn")["_leaves"], F.col("_all"), F.col("_leaves")) - F.col("_leaves")
+    enter = F.struct(key("+", F.col("node")).alias("id"), F.coalesce(key("+", F.col("child")), key("-", F.col("node"))).alias("next"), into.cast("long").alias("places"), F.lit(1).cast("long").alias("up"))
+    leave = F.struct(key("-", F.col("node")).alias("id"), F.coalesce(key("+", F.col("_turn")["node"]), key("-", F.col("parent_node"))).alias("next"), past.cast("long").alias("places"), F.lit(-1).cast("long").alias("up"))
+    ranks = list_ranks(inner.select(F.explode(F.array(enter, leave)).alias("e")).select("e.*"), ["places", "up"], rounds).where("not cyclic")
     entering = ranks.where("id like '+%'").select(F.substring("id", 2, 1 << 30).alias("_id"), F.substring("last", 2, 1 << 30).alias("_root"), F.col("places").alias("_here"), F.col("up").alias("_up"))
     leaving = ranks.where("id like '-%'").select(F.substring("id", 2, 1 << 30).alias("_id"), F.col("places").alias("_after"))
     both = entering.join(leaving, "_id")
     total = both.where("_id = _root").select("_root", F.col("_here").alias("_total"))
     both = both.join(total, "_root").select("_id", F.substring_index("_root", MARK, -1).alias("root"), (F.col("_total") - F.col("_here")).alias("first"), (F.col("_total") - F.col("_after") - 1).alias("last"), (-F.col("_up")).cast("int").alias("depth"))
-    out = places.withColumn("_id", F.concat("role", F.lit(MARK), "node")).join(both, "_id")
-    return out.select(*COLUMNS)
+    both = rounds.keep(both)
+    out = own.where("_inner").withColumn("_id", F.concat("role", F.lit(MARK), "node")).join(both, "_id").select(*COLUMNS)
+
+    leaf = own.where("not _inner").withColumn("_id", F.concat("role", F.lit(MARK), F.coalesce("_near", "parent_node"))).join(both.withColumnsRenamed({"first": "_f", "last": "_l", "depth": "_d"}), "_id")
+    here = F.when(F.col("_near").isNull(), F.col("_f")).otherwise(F.col("_l")) + 1 + F.col("_leaves") - F.col("_passed")
+    leaf = leaf.withColumns({"first": here, "last": here, "depth": F.when(F.col("_near").isNull(), F.col("_d") + 1).otherwise(F.col("_d"))})
+    return out.unionByName(leaf.select(*COLUMNS))
 
 
 def tree(arcs: DataFrame, arcrole: str | None = None, role: str | None = None) -> DataFrame:
@@ -103,7 +122,9 @@ def pruned(trees: DataFrame, kept: DataFrame) -> DataFrame:
     so that intervals fit what is left."""
     at = trees.join(kept.select("concept").distinct(), "concept", "left_semi").select("role", "root", F.col("first").alias("_at"))
     points = at.distinct()
-    stay = intervals.hold(points, trees, "_at", "first", "last", ["role", "root"]).select("role", "root", "node").distinct()
+    above = trees.where("last > first").select("role", "root", "node", "first", "last")
+    stay = intervals.hold(points, above, "_at", "first", "last", ["role", "root"]).select("role", "root", "node")
+    stay = stay.unionByName(trees.join(kept.select("concept").distinct(), "concept", "left_semi").select("role", "root", "node")).distinct()
     left = trees.join(stay, ["role", "root", "node"], "left_semi")
     places = left.select("role", "node", "parent_node", "concept", "parent", F.col("first").alias("n"), "ord", "preferred_label")
     return labelled(places)

@@ -165,7 +165,7 @@ def undirected_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | N
     while n:
         ends = own.select(F.col("parent").alias("c")).unionByName(own.select(F.col("child").alias("c"))).groupBy("c").count()
         single = ends.where("count = 1").select("c")
-        own = rounds.keep(own.join(single.withColumnRenamed("c", "parent"), "parent", "left_anti").join(single.withColumnRenamed("c", "child"), "child", "left_anti").select("parent", "child"), instead_of=own)
+        own = rounds.keep(own.join(single.withColumnRenamed("c", "parent"), "parent", "left_anti").join(single.withColumnRenamed("c", "child"), "child", "left_anti").select("parent", "child"))
         m = own.count()
         if m == n:
             break

@@ -7,33 +7,14 @@ from pyspark.sql import functions as F
 
 
 class Rounds:
-    """Keeps an iteration's tables: each is computed once, in the checkpoint folder where there is one (which also keeps plans
-    short), else in memory; a table that the next one has been made of is let go."""
+    """Keeps an iteration's tables: each is computed once, in the checkpoint folder where there is one, else with the executors. Both
+    cut the plan: a table that is named three times by the next one would otherwise stand in the plan three times as often each round.
+    Without a folder a lost executor ends the job; what is no longer named is let go by Spark's cleaner."""
 
-    def __init__(self) -> None:
-        self.held: list[DataFrame] = []
+    def keep(self, df: DataFrame) -> DataFrame:
+        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.localCheckpoint()
 
-    def keep(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
-        if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-            return df.checkpoint()
-        out = df.persist()
-        out.count()
-        self.held.append(out)
-        if instead_of is not None:
-            self.release(instead_of)
-        return out
-
-    def last(self, df: DataFrame) -> DataFrame:
-        """The result, computed once more from what is kept and kept itself; all other tables are let go."""
-        out = self.keep(df)
-        self.release(*[h for h in self.held if h is not out])
-        return out
-
-    def release(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if any(t is h for h in self.held):
-                t.unpersist()
-                self.held = [h for h in self.held if h is not t]
+    last = keep
 
 
 def list_ranks(links: DataFrame, weights: list[str], rounds: Rounds | None = None) -> DataFrame:
@@ -57,7 +38,7 @@ def list_ranks(links: DataFrame, weights: list[str], rounds: Rounds | None = Non
         going = now.where("next is not null").join(to, F.col("next") == F.col("_id"))
         sums: list[Column] = [(F.col(w) + F.col(f"_{w}")).alias(w) for w in weights]
         moved = going.select("id", F.col("_next").alias("next"), *sums, F.col("_last").alias("last"))
-        now = rounds.keep(now.where("next is null").unionByName(moved), instead_of=now)
+        now = rounds.keep(now.where("next is null").unionByName(moved))
         left = now.where("next is not null").count()
     return now.select("id", F.coalesce("next", "last").alias("last"), F.col("next").isNotNull().alias("cyclic"), *weights)
 
@@ -77,8 +58,8 @@ def followers(links: DataFrame, starts: DataFrame, keys: list[str], rounds: Roun
     while far < most + 1 and not jump.isEmpty():
         # Who follows a start at some place has the element ``far`` on at the place ``far`` more.
         more = found.join(jump, [*keys, "id"]).select(*keys, "start", (F.col("place") + far).alias("place"), F.col("next").alias("id"))
-        found = rounds.keep(found.unionByName(more).groupBy(*keys, "start", "id").agg(F.min("place").alias("place")), instead_of=found)
+        found = rounds.keep(found.unionByName(more).groupBy(*keys, "start", "id").agg(F.min("place").alias("place")))
         to = jump.select(*keys, F.col("id").alias("next"), F.col("next").alias("_next"))
-        jump = rounds.keep(jump.join(to, [*keys, "next"]).select(*keys, "id", F.col("_next").alias("next")), instead_of=jump)
+        jump = rounds.keep(jump.join(to, [*keys, "next"]).select(*keys, "id", F.col("_next").alias("next")))
         far *= 2
     return found.select(*keys, "start", "place", "id")

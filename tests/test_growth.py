@@ -1,0 +1,74 @@
+"""Work that must not outgrow its input, and results on shapes that only large tables have."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_structures import arcs
+
+from ledgerloom.operators import hierarchies
+from ledgerloom.operators.rounds import Rounds
+
+
+def size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+# --- iterations ---------------------------------------------------------------------------------------------------
+
+
+def test_rounds_keep_plans_short(spark):
+    rounds = Rounds()
+    now = rounds.keep(spark.range(4).withColumn("x", F.col("id")))
+    first = size(now)
+    for _ in range(5):
+        other = now.select("id", F.col("x").alias("y"))
+        now = rounds.keep(now.join(other, "id").select("id", (F.col("x") + F.col("y")).alias("x")))
+    assert size(now) <= 2 * first and sorted(map(tuple, now.collect())) == [(i, 32 * i) for i in range(4)]
+
+
+# --- hierarchies --------------------------------------------------------------------------------------------------
+
+
+def test_leaves_are_not_ranked(spark, monkeypatch):
+    ranked, own = [], hierarchies.list_ranks
+
+    def seen(links, *rest):
+        ranked.append(links.count())
+        return own(links, *rest)
+
+    monkeypatch.setattr(hierarchies, "list_ranks", seen)
+    trees = hierarchies.tree(arcs(spark, [("t", "top", f"c{i:03}", i) for i in range(200)]))
+    assert ranked == [2] and [(r.first, r.last, r.depth) for r in trees.orderBy("first").collect()] == [(0, 200, 0)] + [(i, i, 1) for i in range(1, 201)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tree_of_any_shape(spark, seed):
+    rng = random.Random(seed)
+    rows = [("t", f"n{rng.randrange(max(0, i - 12), i)}", f"n{i}", rng.randrange(3)) for i in range(1, 80)]
+    children = {}
+    for _, a, b, n in rows:
+        children.setdefault(a, []).append((n, b))
+    want = []
+
+    def visit(node, depth):
+        at = len(want)
+        want.append(None)
+        for _, c in sorted(children.get(node, [])):
+            visit(c, depth + 1)
+        want[at] = (node, at, len(want) - 1, depth)
+
+    visit("n0", 0)
+    trees = hierarchies.tree(arcs(spark, rows))
+    assert [(r.concept, r.first, r.last, r.depth) for r in trees.orderBy("first").collect()] == want
+    kept = {f"n{rng.randrange(80)}" for _ in range(5)} | {"n0"}
+    left = hierarchies.pruned(trees, spark.createDataFrame([(k,) for k in kept], "concept string"))
+    parents = {b: a for _, a, b, _ in rows}
+    stay = set()
+    for k in kept:
+        while k:
+            stay.add(k)
+            k = parents.get(k)
+    assert {r.concept for r in left.collect()} == stay
+    alone = hierarchies.pruned(trees, spark.createDataFrame([("n0",)], "concept string")).collect()
+    assert [(r.concept, r.first, r.last, r.depth) for r in alone] == [("n0", 0, 0, 0)]
