@@ -131,26 +131,54 @@ def concrete_parents(arcs: DataFrame, concepts: DataFrame, role: str | None = No
 
 
 def directed_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | None = None) -> DataFrame:
-    """Concepts on a directed cycle: prune concepts without parents or without children until none is left to prune.
+    """Concepts on a directed cycle.
 
-    What stays lies on cycles or between them; those that reach themselves are reported.
-    """
-    own = edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct().persist()
+    Concepts without parents or without children are pruned until none is left to prune. Of what stays each concept learns the least
+    name that reaches it; what reaches that name back among those with the same one lies on cycles with it, and is taken out. All
+    arcs between different least names go too, as no cycle has them. A concept stands in each table once, so tables are no larger than
+    the network; rounds grow with the longest way, and with how many cycles stand behind each other."""
+    rounds = Rounds()
+    own = edges(arcs, role, arcrole).select(F.col("from").alias("parent"), F.col("to").alias("child")).distinct()
+    own = rounds.keep(own)
+    out = own.where("parent = child").select(F.col("parent").alias("concept"))
+    own = rounds.keep(own.where("parent <> child"))
+    while True:
+        own = _without_ends(own, rounds)
+        if own.isEmpty():
+            return rounds.last(out.distinct())
+        marked = _least_above(own, rounds)
+        mark = lambda side: marked.select(F.col("node").alias(side), F.col("least").alias(f"_{side}"))  # noqa: E731, B023
+        own = rounds.keep(own.join(mark("parent"), "parent").join(mark("child"), "child").where("_parent = _child").select("parent", "child"))
+        starts = marked.where("node = least").select(F.col("node").alias("source"))
+        back = reach(own.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
+        back = rounds.keep(back.select("source", "node"))
+        out = out.unionByName(back.select(F.col("node").alias("concept"))).unionByName(back.select(F.col("source").alias("concept")))
+        done = starts.select(F.col("source").alias("node")).unionByName(back.select("node")).distinct()
+        own = rounds.keep(own.join(done.withColumnRenamed("node", "parent"), "parent", "left_anti").join(done.withColumnRenamed("node", "child"), "child", "left_anti").select("parent", "child"))
+
+
+def _without_ends(own: DataFrame, rounds: Rounds) -> DataFrame:
+    """Pairs (parent, child) whose parent has a parent and whose child has a child, to the end."""
     n = own.count()
     while n:
         kept = own.join(own.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        kept = kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").persist()
-        m = kept.count()
-        own.unpersist()
-        own = kept
+        own = rounds.keep(kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+        m = own.count()
         if m == n:
             break
         n = m
-    starts = own.select(F.col("parent").alias("source")).distinct()
-    hit = reach(own.select("parent", "child"), starts)
-    last = hit.join(own.select(F.col("parent").alias("node"), F.col("child").alias("back")), "node").where("back = source")
-    loops = own.where("parent = child").select(F.col("parent").alias("concept"))
-    return last.select(F.col("source").alias("concept")).unionByName(loops).distinct()
+    return own
+
+
+def _least_above(own: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, least): the least name of those that reach a node, its own included; only nodes whose least name fell tell others."""
+    nodes = own.select(F.col("parent").alias("node")).unionByName(own.select(F.col("child").alias("node"))).distinct()
+    marked = rounds.keep(nodes.select("node", F.col("node").alias("least"), F.lit(True).alias("_new")))
+    while not marked.where("_new").isEmpty():
+        told = marked.where("_new").join(own, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.min("least").alias("_told"))
+        fell = F.coalesce(F.col("_told") < F.col("least"), F.lit(False))
+        marked = rounds.keep(marked.join(told, "node", "left").select("node", F.least("least", "_told").alias("least"), fell.alias("_new")))
+    return marked.select("node", "least")
 
 
 def undirected_cycles(arcs: DataFrame, role: str | None = None, arcrole: str | None = None) -> DataFrame:

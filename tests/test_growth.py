@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_structures import arcs
 
-from ledgerloom.operators import hierarchies
+from ledgerloom.operators import hierarchies, networks
 from ledgerloom.operators.rounds import Rounds
 
 
@@ -72,3 +72,43 @@ def test_tree_of_any_shape(spark, seed):
     assert {r.concept for r in left.collect()} == stay
     alone = hierarchies.pruned(trees, spark.createDataFrame([("n0",)], "concept string")).collect()
     assert [(r.concept, r.first, r.last, r.depth) for r in alone] == [("n0", 0, 0, 0)]
+
+
+# --- cycles -------------------------------------------------------------------------------------------------------
+
+
+def test_cycles_keep_tables_small(spark, monkeypatch):
+    most, keep = [], Rounds.keep
+
+    def seen(self, df, *rest):
+        out = keep(self, df, *rest)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(Rounds, "keep", seen)
+    n = 150
+    rows = [("t", "top", f"c{i}") for i in range(n)] + [("t", f"c{i}", "top") for i in range(n)]
+    assert networks.directed_cycles(arcs(spark, rows)).count() == n + 1
+    assert max(most) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_of_any_shape(spark, seed):
+    rng = random.Random(seed)
+    rows = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(36)} | {("loop", "loop"), ("x", "y"), ("y", "x"), ("y", "u"), ("u", "v"), ("v", "u")}
+    to = {}
+    for a, b in rows:
+        to.setdefault(a, set()).add(b)
+
+    def reached(a):
+        met, left = set(), [a]
+        while left:
+            for b in to.get(left.pop(), ()):
+                if b not in met:
+                    met.add(b)
+                    left.append(b)
+        return met
+
+    want = {a for a in to if a in reached(a)}
+    got = networks.directed_cycles(arcs(spark, [("t", a, b) for a, b in sorted(rows)])).collect()
+    assert sorted(r.concept for r in got) == sorted(want)
