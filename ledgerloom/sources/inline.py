@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms
-from ..operators.rounds import followers, list_ranks
+from ..operators.rounds import Rounds, followers, list_ranks
+from .instance import spread
 
 ELEMENTS = ("nonfraction", "nonnumeric", "fraction", "numerator", "denominator", "tuple", "continuation", "footnote", "exclude", "header", "hidden", "resources", "references", "relationship")
 RAW = "doc_id string, tag string, id string, name string, text string, attrs map<string,string>, parent string, ordinal int"
+ARROW = pa.schema([(n, pa.string()) for n in ("doc_id", "tag", "id", "name", "text")] + [("attrs", pa.map_(pa.string(), pa.string())), ("parent", pa.string()), ("ordinal", pa.int32())])
 
 
 class _Inline(HTMLParser):
@@ -30,7 +32,7 @@ class _Inline(HTMLParser):
         local = tag.rpartition(":")[2]
         if tag.startswith("ix:") and local in ELEMENTS:
             values = {k: v or "" for k, v in attrs}
-            row = {"doc_id": self.doc, "tag": local, "id": values.get("id") or f"i.{len(self.rows)}", "name": values.get("name"), "text": "", "attrs": values, "parent": self.open[-1]["id"] if self.open else None, "ordinal": len(self.rows)}
+            row = {"doc_id": self.doc, "tag": local, "id": values.get("id") or f"i.{len(self.rows)}", "name": values.get("name"), "text": "", "attrs": list(values.items()), "parent": self.open[-1]["id"] if self.open else None, "ordinal": len(self.rows)}
             self.rows.append(row)
             self.open.append(row)
 
@@ -57,14 +59,17 @@ def elements(documents: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 p = _Inline(doc)
                 p.feed(text or "")
                 p.close()
                 rows += p.rows
-            yield pd.DataFrame(rows, columns=["doc_id", "tag", "id", "name", "text", "attrs", "parent", "ordinal"]).astype(object).where(lambda d: d.notna(), None)
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    return documents.select("doc_id", "text").mapInPandas(run, RAW)
+    return spread(documents).mapInArrow(run, RAW)
 
 
 def _attr(name: str):
@@ -89,6 +94,7 @@ def with_continuations(rows: DataFrame) -> DataFrame:
 
 def facts(rows: DataFrame, registry: dict | str = transforms.TR4, formats: list[str] | None = None) -> DataFrame:
     """Facts of all targets: formatted, scaled and signed values; ``bad_format`` where a text doesn't fit its format."""
+    rows = Rounds().keep(rows)  # read many times: documents are parsed once
     whole = with_continuations(rows).where(F.col("tag").isin("nonfraction", "nonnumeric", "fraction", "tuple"))
     kinds = rows.select("doc_id", F.col("id").alias("parent"), F.col("tag").alias("_ptag"))
     name = F.regexp_extract(_attr("format"), r"([^:]*)$", 1)

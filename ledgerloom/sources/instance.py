@@ -127,6 +127,12 @@ def _parse(batches):
         yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents dealt out by their ids over as many tasks as shuffles have: a table of few files or row groups would be parsed by as
+    few tasks, and short texts would be brought together again."""
+    return documents.select("doc_id", "text").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """Raw rows of documents (doc_id, text)."""
     return documents.select("doc_id", "text").mapInPandas(_parse, RAW)

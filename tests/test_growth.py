@@ -1,13 +1,18 @@
 """Work that must not outgrow its input, and results on shapes that only large tables have."""
 
+import datetime
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from test_structures import arcs
 
+from ledgerloom import catalog
+from ledgerloom.functions import equality, transforms
 from ledgerloom.operators import hierarchies, networks
 from ledgerloom.operators.rounds import Rounds
+from ledgerloom.sources import inline
 
 
 def size(df):
@@ -112,3 +117,56 @@ def test_cycles_of_any_shape(spark, seed):
     want = {a for a in to if a in reached(a)}
     got = networks.directed_cycles(arcs(spark, [("t", a, b) for a, b in sorted(rows)])).collect()
     assert sorted(r.concept for r in got) == sorted(want)
+
+
+# --- documents ----------------------------------------------------------------------------------------------------
+
+
+def test_inline_documents_are_spread_and_parsed_once(spark):
+    html = '<p><ix:nonFraction id="v" name="e:n" contextRef="c" unitRef="u">7</ix:nonFraction></p>'
+    docs = spark.createDataFrame([(str(i), html) for i in range(40)], "doc_id string, text string").coalesce(1)
+    rows = inline.elements(docs)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = inline.facts(rows)
+    assert "MapIn" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.value) for r in got.select("doc_id", "value").collect()) == sorted((str(i), "7.0") for i in range(40))
+
+
+# --- functions ----------------------------------------------------------------------------------------------------
+
+
+def test_pairs_of_equal_prices(spark, tmp_path):
+    """Orders 36 apart with one price: the facts of the query still differ, as its SQL says."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    day = datetime.datetime(1995, 3, 1)
+    rows = [(k, 3, "F", 1234.5, day, "1-URGENT") for k in range(1, 120)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["registry_pairs"])
+    cols = [c[0] for c in want.description]
+    assert sorted(map(tuple, catalog.queries()["registry_pairs"](spark, str(tmp_path)).select(*cols).collect())) == sorted(want.fetchall())
+
+
+def test_numbers_are_compared_without_patterns_first(spark):
+    texts = ["0", "-0", "00.50", "0.5", ".5", "5.", "+5", "5", " 5 ", "1e2", "100", "100.0", "0.1", "0.10000000000000000001", "0.1000000000000000000", "123456789012345678", "123456789012345679", "-123456789012345678", "123456789012345.6", "1234567890123456", "0" * 20 + "7", "7", "1" + "0" * 400, "2" + "0" * 400]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = df.withColumn("same", equality.x_equal(F.col("a"), F.col("b")))
+    for r in got.collect():
+        assert r.same == (Decimal(r.a.strip()) == Decimal(r.b.strip())), r
+    odd = [("INF", "inf", True), ("INF", "Infinity", False), ("INF", "1", False), ("NaN", "NaN", True), ("true", "1", True), ("false", "true", False), ("x", "x", True), ("", "", True), (None, None, True), (None, "1", False)]
+    rows = spark.createDataFrame(odd, "a string, b string, want boolean").withColumn("same", equality.x_equal(F.col("a"), F.col("b"))).collect()
+    assert [r.same for r in rows] == [r.want for r in rows]
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_columns_of_a_key_are_made_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"{i % 5}/2/1999") for i in range(200)], "id long, day string")
+    got = transforms.once_each(rows, "day", {"done": transforms.transform(F.col("day"), "date-day-month-year")})
+    assert sorted(map(tuple, got.select("id", "done").collect())) == [(i, None if i % 5 == 0 else f"1999-02-0{i % 5}") for i in range(200)]
+
+
+@pytest.mark.parametrize("name", ["transform_languages", "transforms_fourth"])
+def test_dates_are_read_once_each(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" in plan
