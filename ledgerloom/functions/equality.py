@@ -21,9 +21,10 @@ TEXTUAL = ("stringItemType", "normalizedStringItemType", "tokenItemType", "langu
 
 def _exact(c: Column) -> Column:
     """A number's digits without leading and trailing zeros, of any length; NULL for other texts."""
-    t = F.trim(c)
-    digits = F.regexp_replace(t, r"^[+-]", "")
-    whole, part = F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(1)), "^0+", ""), F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(2)), "0+$", "")
+    t, zero = F.trim(c), F.lit("0")
+    digits = F.ltrim(t, F.lit("+-"))
+    whole = F.ltrim(F.substring_index(digits, ".", 1), zero)
+    part = F.when(digits.contains("."), F.rtrim(F.substring_index(digits, ".", -1), zero)).otherwise(F.lit(""))
     sign = F.when(t.startswith("-") & (F.length(F.concat(whole, part)) > 0), F.lit("-")).otherwise(F.lit(""))
     return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.concat(sign, whole, F.lit("."), part))
 
@@ -31,15 +32,19 @@ def _exact(c: Column) -> Column:
 def x_equal(a: Column, b: Column, a_type: Column | None = None, b_type: Column | None = None) -> Column:
     """Typed values: numbers by their digits, to any length; booleans as booleans, else strings; missing equals missing only.
 
-    Where declared types are given and one of them is textual, both are compared as written.
+    Where declared types are given and one of them is textual, both are compared as written. Most numbers are settled without their
+    digits: those of different doubles differ, and up to 15 characters are told apart by their doubles.
     """
     na, nb, ea, eb = a.try_cast("double"), b.try_cast("double"), _exact(a), _exact(b)
     flag = lambda c: F.when(c.isin("true", "1"), F.lit(True)).when(c.isin("false", "0"), F.lit(False))
     inf = lambda c: F.upper(c).isin("INF", "-INF")
     textual = lambda t: F.coalesce(t.isin(*TEXTUAL), F.lit(False)) if t is not None else F.lit(False)
+    short = (F.length(a) <= 15) & (F.length(b) <= 15)
+    digits = F.when(na != nb, F.lit(False)).when(short, F.lit(True)).otherwise(F.coalesce(ea == eb, F.lit(True)))
     return (
         F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull())
         .when(textual(a_type) | textual(b_type), a == b)
+        .when((F.abs(na) < float("inf")) & (F.abs(nb) < float("inf")), digits)
         .when(inf(a) | inf(b), F.upper(a) == F.upper(b))
         .when(ea.isNotNull() & eb.isNotNull(), ea == eb)
         .when(na.isNotNull() & nb.isNotNull(), na == nb)
