@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Beginnings of month names by language, January to December, alternatives divided by a bar.
@@ -419,6 +419,12 @@ def transform_by_column(col: Column, name: Column, registry: dict | str = TR4, n
     return out
 
 
+def once_each(rows: DataFrame, key: str, made: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns made of one key column, which are worked out once for each of its values, null included."""
+    each = rows.select(key).distinct().select(F.col(key).alias("_key"), *[c.alias(n) for n, c in made.items()])
+    return rows.join(each, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def errors(col: Column, name: str, registry: dict | str = TR4) -> Column:
     return col.isNotNull() & transform(col, name, registry).isNull()
 

@@ -392,11 +392,11 @@ _WRITTEN = {
 def transform_languages(spark: SparkSession, d: str) -> DataFrame:
     """Dates and months written with the month names of every language, and read back; a Czech name with letters after it isn't one."""
     o = table(spark, d, "orders")
-    out = [F.col("o_orderkey").alias("order_key")]
+    made = {}
     day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
     for n, names in _WRITTEN.items():
         month = F.element_at(F.array(*map(F.lit, names.split())), F.month("o_orderdate"))
-        out.append(transforms.transform(F.concat(day, F.lit(". "), month, F.lit(" "), year), f"date-day-monthname-year-{n}").alias(f"{n}_"))
-        out.append(transforms.transform(F.concat(month, F.lit(" "), year), f"date-monthname-year-{n}").alias(f"{n}_month"))
-    bad = transforms.transform(F.concat(day, F.lit(" ledxyz "), year), "date-day-monthname-year-cs")
-    return o.select(*out, bad.alias("no_czech"))
+        made[f"{n}_"] = transforms.transform(F.concat(day, F.lit(". "), month, F.lit(" "), year), f"date-day-monthname-year-{n}")
+        made[f"{n}_month"] = transforms.transform(F.concat(month, F.lit(" "), year), f"date-monthname-year-{n}")
+    made["no_czech"] = transforms.transform(F.concat(day, F.lit(" ledxyz "), year), "date-day-monthname-year-cs")
+    return transforms.once_each(o.select("o_orderkey", "o_orderdate"), "o_orderdate", made).select(F.col("o_orderkey").alias("order_key"), *made)
