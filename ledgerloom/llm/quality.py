@@ -20,16 +20,16 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, free_name, join_small, series_udf, small_batches, stored, text_or_empty, tidying, unit_hash
+from .common import free_name, join_small, series_udf, small_batches, stored, text_or_empty, tidying, unit_hash
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\s]+")
 BUCKETS = 1 << 16
 PASSAGE = 100
-#: At most so many labelled rows place the default cutoff.
-CURVE_ROWS = 20_000
+#: Pieces of about equal size along which labelled rows are summed for the default cutoff.
+PIECES = 200
 BINS = 4096
 SEED = 2
 #: Buckets whose counts are dealt out and summed together.
@@ -82,8 +82,8 @@ class ImportanceResampler:
         self.ratios, self.cutoff = ratios, cutoff
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, train_on: Column | None = None, curve_rows: int = CURVE_ROWS) -> "ImportanceResampler":
-        """Counts cover all of ``docs``; the cutoff is fitted on at most ``curve_rows`` labelled rows."""
+    def fit(cls, docs: DataFrame, labels: DataFrame, train_on: Column | None = None) -> "ImportanceResampler":
+        """Counts cover all of ``docs``; the cutoff is fitted on all labelled rows."""
         spark = docs.sparkSession
         small_batches(spark)
         labelled = labels.select("doc_id", F.col("quality").cast("int").alias("good")).where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
@@ -98,9 +98,8 @@ class ImportanceResampler:
             return cls(np.zeros(BUCKETS), -np.inf)
         share = (n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * BUCKETS)
         model = cls(np.clip(np.log(share[1]) - np.log(share[0]), -8, 8), -np.inf)
-        sample = marked.where(F.col("good").isNotNull() & bounded_sample(labelled, "doc_id", curve_rows))
-        seen = sample.select("good", model.mean_ratio(sample).alias("m")).toPandas()
-        model.cutoff = best_cutoff(seen["m"].to_numpy(), seen["good"].to_numpy())
+        seen = marked.where("good is not null")
+        model.cutoff = least_cost(seen.select("good", model.mean_ratio(seen).alias("m")))
         return model
 
     def mean_ratio(self, docs: DataFrame, text_col: str = "text") -> Column:
@@ -135,8 +134,32 @@ class ImportanceResampler:
         return keyed.withColumn(keep, F.col(key) >= F.lit(self.least_key(stored(keyed.select(ratio, key), "keys"), ratio, key, k)))
 
 
+def least_cost(seen: DataFrame) -> float:
+    """The cutoff of (m, good) with fewest errors on either class's share, placed midway in the gap it falls into; losing a good
+    row weighs four times as much as keeping a poor one.
+
+    All rows count: whole numbers summed by value, then along pieces of about equal size, whose totals alone reach the driver."""
+    each = stored(seen.groupBy("m").agg(F.count_if(F.col("good") > 0).alias("g"), F.count_if(F.col("good") <= 0).alias("p")), "cutoff")
+    good, poor = each.agg(F.sum("g"), F.sum("p")).first()
+    if not good or not poor:
+        return -np.inf
+    edges = sorted(set(each.approxQuantile("m", [i / PIECES for i in range(1, PIECES)], 0.001)))
+    each = each.withColumn("piece", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("m"))))
+    carried, g, p = [], 0, 0
+    for r in sorted(each.groupBy("piece").agg(F.sum("g").alias("g"), F.sum("p").alias("p")).collect()):
+        carried.append((r["piece"], g, p))
+        g, p = g + r["g"], p + r["p"]
+    each = each.join(F.broadcast(each.sparkSession.createDataFrame(carried, "piece int, g0 long, p0 long")), "piece")
+    before = Window.partitionBy("piece").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: (F.col(f"{c}0") + F.coalesce(F.sum(c).over(before), F.lit(0))).cast("decimal(19,0)")
+    cost = below("g") * F.lit(4 * poor).cast("decimal(19,0)") - below("p") * F.lit(good).cast("decimal(19,0)")
+    first = each.select("m", cost.alias("cost")).agg(F.min_by("m", F.struct("cost", "m"))).first()[0]
+    last = each.where(F.col("m") < F.lit(first)).agg(F.max("m")).first()[0]
+    return -np.inf if last is None else (last + first) / 2
+
+
 def best_cutoff(m: np.ndarray, good: np.ndarray) -> float:
-    """The cutoff of fewest errors on either class's share, placed midway in the gap it falls into; losing a good
+    """The same of arrays: the cutoff of fewest errors on either class's share, placed midway in the gap it falls into; losing a good
     row weighs four times as much as keeping a poor one."""
     if len(m) == 0 or good.min() == good.max():
         return -np.inf

@@ -170,3 +170,28 @@ def test_columns_of_a_key_are_made_once(spark):
 def test_dates_are_read_once_each(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Aggregate" in plan
+
+
+# --- cutoffs ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cutoff_of_all_rows(spark, seed):
+    from ledgerloom.llm import quality
+
+    rng = random.Random(seed)
+    rows = [(good, round(rng.gauss(good, 0.7), 2)) for good in (rng.randrange(2) for _ in range(25_000))]
+    good, poor = sum(g for g, _ in rows), sum(1 - g for g, _ in rows)
+    by = {}
+    for g, m in rows:
+        by.setdefault(m, [0, 0])[1 - g] += 1
+    best, lost, left, values = None, 0, 0, sorted(by)
+    for i, m in enumerate(values):
+        cost = 4 * lost * poor - left * good
+        if best is None or cost < best[0]:
+            best = (cost, i)
+        lost, left = lost + by[m][0], left + by[m][1]
+    i = best[1]
+    df = spark.createDataFrame(rows, "good int, m double")
+    assert i and quality.least_cost(df) == (values[i - 1] + values[i]) / 2
+    assert quality.least_cost(df.where("good = 1")) == -float("inf") == quality.least_cost(df.limit(0))
