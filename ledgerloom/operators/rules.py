@@ -8,6 +8,7 @@ Expressions are Spark SQL over columns named ``variable``; other columns of a fa
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -301,7 +302,7 @@ def evaluate(rule: VariableSet, wide: DataFrame, parameters: dict[str, str] | No
         bound = bound.where(~all_missing)
     for p in rule.preconditions:
         bound = bound.where(F.coalesce(F.expr(compile_expression(p, rule, known)).cast("boolean"), F.lit(False)))
-    return bound
+    return bound.drop(*[c for c in bound.columns if c.startswith(("packed_hash_", "packed_keys_"))])
 
 
 def _number(exact: bool) -> Column:
@@ -339,25 +340,38 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
     explicit = [f for f in v.filters if f.match]
     pairs: list[tuple[Column, Column]] = [] if v.instance is not None else [(F.col("doc_id"), F.col(f"{v.name}__doc"))]
     relative = next((f.match[0] for f in explicit if f.match[1] == "uncovered"), None)
+    same: list[tuple[str, Column, Column]] = []  # what must be alike, null-safely: a name, the bound side, the candidate's
     if rule.implicit_filtering or relative:
         for a in own:
             first = relative or uncovered.get(a)
             if first and f"{first}__key_{a}" in bound.columns:
                 mine, theirs = f"{v.name}__key_{a}", f"{first}__key_{a}"
                 if a in rule.equalities:
-                    on = on & _own_equality(rule.equalities[a], theirs, mine)
+                    made = _own_keys(rule.equalities[a], theirs, mine)
+                    if made is None:
+                        on = on & _own_equality(rule.equalities[a], theirs, mine)
+                    else:
+                        same.append((f"{theirs} by {rule.equalities[a]}", *made))
                 else:
-                    on = on & F.col(mine).eqNullSafe(F.col(theirs))
+                    same.append((theirs, F.col(theirs), F.col(mine)))
                     pairs.append((F.col(theirs), F.col(mine)))
     for f in explicit:
         other, cols = f.match
         for own_col, other_col in [] if cols == "uncovered" else cols:
-            same = _match_column(v.name, own_col).eqNullSafe(_match_column(other, other_col))
-            on = on & (~same if f.complement else same)
+            ours, others = _match_column(v.name, own_col), _match_column(other, other_col)
+            if f.complement:
+                on = on & ~ours.eqNullSafe(others)
+            else:
+                same.append((f"{other}__{other_col}", others, ours))
+    bands = [f.band for f in v.filters if f.band]
+    if bands:
+        for _, theirs, mine in same:
+            on = on & mine.eqNullSafe(theirs)
+    elif same:
+        bound, right, on = _packed(bound, right, same, v, on)
     for i, f in enumerate([*rule.group_filters, *v.filters]):
         if f.parts and _joins(f):
             on = on & f.truth(_joined_leaf(f, i, v))
-    bands = [f.band for f in v.filters if f.band]
     if bands:
         if v.fallback is not None or v.bind_as_sequence or any(f.complement for f in v.filters if f.band):
             raise ValueError("a filter on another variable's period takes no fallback, sequence or complement")
@@ -366,7 +380,31 @@ def _join(bound: DataFrame, df: DataFrame, v: FactVariable, uncovered: dict[str,
             out = out.where(_lies_within(v.name, other))
     else:
         out = bound.join(right, on, "left" if v.fallback is not None else "inner")
-    return out.drop(*([f"{v.name}__doc"] if v.instance is None else []), *[c for c in out.columns if c.startswith(f"{v.name}__leaf_")])
+    return out.drop(*([f"{v.name}__doc"] if v.instance is None else []), *[c for c in out.columns if c.startswith((f"{v.name}__leaf_", f"{v.name}__packed_"))])
+
+
+def _packed(bound: DataFrame, right: DataFrame, same: list[tuple[str, Column, Column]], v: FactVariable, on: Column) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their keys as one column each and its hash, and the join's condition.
+
+    Keys that are columns are worked out once a row, where a sort would work out expressions at each comparison; as the hash comes
+    first, sorts hardly ever compare the keys. The bound side's columns stay for later variables with the same keys, whose joins
+    then find it dealt out already."""
+    alone = v.instance is not None  # its documents aren't those bound
+    name = hashlib.md5("\x1f".join([str(alone), *[n for n, _, _ in same]]).encode()).hexdigest()[:16]
+    hashes, keys = f"packed_hash_{name}", f"packed_keys_{name}"
+    fields = lambda side: F.struct(*[x[side].alias(f"k{i}") for i, x in enumerate(same)])
+    if keys not in bound.columns:
+        bound = bound.withColumn(keys, fields(1))
+        bound = bound.withColumn(hashes, F.xxhash64(*([] if alone else ["doc_id"]), *_hashable(bound, keys)))
+    mine, own = f"{v.name}__packed_hash", f"{v.name}__packed_keys"
+    right = right.withColumn(own, fields(2))
+    right = right.withColumn(mine, F.xxhash64(*([] if alone else [f"{v.name}__doc"]), *_hashable(right, own)))
+    return bound, right, (F.col(hashes) == F.col(mine)) & on & (F.col(keys) == F.col(own))
+
+
+def _hashable(df: DataFrame, keys: str) -> list[Column]:
+    """The keys whose equal values have equal hashes: texts compared by a collation may not."""
+    return [F.col(keys)[x.name] for x in df.schema[keys].dataType.fields if "collate" not in x.dataType.simpleString()]
 
 
 def _lies_within(name: str, other: str) -> Column:
@@ -411,21 +449,24 @@ def _placed(expression: str) -> list[tuple[str, bool, int]]:
 
 
 def _own_equality(test: str, a: str, b: str) -> Column:
-    """A test that a rule gives for two members of a dimension; both may be missing, one may not.
-
-    A test that compares the same expression of both members is an equality of keys, so the join stays an equi-join; members
-    for which it is null equal none."""
+    """A test that a rule gives for two members of a dimension; both may be missing, one may not."""
     both_missing, any_missing = F.col(a).isNull() & F.col(b).isNull(), F.col(a).isNull() | F.col(b).isNull()
+    return F.when(any_missing, both_missing).otherwise(F.coalesce(F.expr(_of_members(test, f"`{a}`", f"`{b}`")), F.lit(False)))
+
+
+def _own_keys(test: str, a: str, b: str) -> tuple[Column, Column] | None:
+    """A test that compares the same expression of both members as an equality of keys, so the join stays an equi-join; members
+    for which it is null equal none. None for other tests."""
     form = _normal_form(test)
     if form is None:
-        return F.when(any_missing, both_missing).otherwise(F.coalesce(F.expr(_of_members(test, f"`{a}`", f"`{b}`")), F.lit(False)))
+        return None
 
     def key(own: str, side: str) -> Column:
         made = F.expr(_of_members(form, f"`{own}`", f"`{own}`"))
         state = F.when(F.col(own).isNull(), F.lit("missing")).when(made.isNull(), F.lit(side)).otherwise(F.lit("known"))
         return F.struct(state.alias("state"), made.alias("value"))
 
-    return key(a, "unknown on the left").eqNullSafe(key(b, "unknown on the right"))
+    return key(a, "unknown on the left"), key(b, "unknown on the right")
 
 
 def _joined_leaf(f: Filter, number: int, v: FactVariable):

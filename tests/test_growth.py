@@ -195,3 +195,25 @@ def test_cutoff_of_all_rows(spark, seed):
     df = spark.createDataFrame(rows, "good int, m double")
     assert i and quality.least_cost(df) == (values[i - 1] + values[i]) / 2
     assert quality.least_cost(df.where("good = 1")) == -float("inf") == quality.least_cost(df.limit(0))
+
+
+# --- rules --------------------------------------------------------------------------------------------------------
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_equality_is_not_sorted_by_expressions(spark):
+    from ledgerloom.operators import filters, rules
+
+    own = "regexp_replace(a, '^(a|b)-', '') = regexp_replace(b, '^(a|b)-', '')"
+    rule = rules.VariableSet([rules.FactVariable(n, [filters.concept_name(n)]) for n in ("x", "y")], equalities={"d": own})
+    day = F.lit("2000-01-01").cast("date")
+    rows = spark.createDataFrame([("x", "a-1", 1), ("y", "b-1", 2), ("y", "b-2", 3), ("x", None, 4), ("y", None, 5)], "c string, d string, n int")
+    from ledgerloom.plans.reporting import as_facts
+
+    got = rules.evaluate(rule, as_facts(rows, F.col("c"), F.col("n"), F.lit("e"), day, {"d": F.col("d")}, F.lit("pure"), F.col("n")))
+    lines = [x for x in plan(got.hint("merge")).splitlines() if "Sort [" in x or "Join [" in x or "hashpartitioning(" in x]
+    assert lines and not any("regexp_replace" in x for x in lines)
+    assert sorted((r.x, r.y) for r in got.collect()) == [(1.0, 2.0), (4.0, 5.0)] and not [c for c in got.columns if "packed" in c]
