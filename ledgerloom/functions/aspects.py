@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sorted_entries(col: Column) -> Column:
     """A map as JSON of its sorted entries: comparable, groupable and null-safe."""
-    return F.to_json(F.array_sort(F.map_entries(F.coalesce(col, F.create_map().cast("map<string,string>")))))
+    return F.when(F.coalesce(F.size(col), F.lit(0)) <= 0, F.lit("[]")).otherwise(F.to_json(F.sort_array(F.map_entries(col))))
 
 
 def dims_key(dims: Column, typed: Column, covered: list[str] = ()) -> Column:

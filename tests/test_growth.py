@@ -217,3 +217,28 @@ def test_own_equality_is_not_sorted_by_expressions(spark):
     lines = [x for x in plan(got.hint("merge")).splitlines() if "Sort [" in x or "Join [" in x or "hashpartitioning(" in x]
     assert lines and not any("regexp_replace" in x for x in lines)
     assert sorted((r.x, r.y) for r in got.collect()) == [(1.0, 2.0), (4.0, 5.0)] and not [c for c in got.columns if "packed" in c]
+
+
+def test_later_variables_find_rows_dealt_out(spark):
+    from ledgerloom.operators import filters, rules
+    from ledgerloom.plans.reporting import as_facts
+
+    rule = rules.VariableSet([rules.FactVariable(n, [filters.concept_name(n)]) for n in "xyz"])
+    rows = spark.createDataFrame([(c, k) for c in "xyz" for k in range(3)], "c string, k int")
+    f = as_facts(rows, F.col("c"), F.col("k"), F.lit("e"), F.lit("2000-01-01").cast("date"), {"k": F.col("k")}, F.lit("pure"), F.concat("c", F.col("k").cast("string")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rules.evaluate(rule, f)
+        assert plan(got).count("Exchange hashpartitioning(") == 3 and sorted((r.x, r.y, r.z) for r in got.collect()) == [(float(k),) * 3 for k in range(3)]
+        assert all("packed_hash" in x for x in plan(got).splitlines() if "Sort [" in x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_sorted_entries_as_before(spark):
+    from ledgerloom.functions.aspects import sorted_entries
+
+    maps = spark.createDataFrame([({"b": "1", "a": None},), ({},), (None,)], "m map<string,string>")
+    old = F.to_json(F.array_sort(F.map_entries(F.coalesce("m", F.create_map().cast("map<string,string>")))))
+    assert all(r[0] == r[1] for r in maps.select(sorted_entries(F.col("m")), old).collect())
