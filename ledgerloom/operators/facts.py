@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..model import DEFAULT_UNITS, STANDARD_LABEL
 
 
+#: Sorts of whole facts, for each partition of a shuffle.
+SORTS = 8
+
+
 class Facts:
     """A chain of predicates over a facts table."""
 
@@ -77,9 +81,16 @@ def concept_labels(labels: DataFrame, lang: str, role: str = STANDARD_LABEL) ->
 
 
 def duplicates(wide: DataFrame) -> DataFrame:
-    """Facts that share concept, tuple, context and unit with another; the value does not matter."""
-    w = Window.partitionBy("doc_id", "concept", "parent_id", "entity_key", "period_key", "dims_key", "non_dim", "scenario", "unit_key")
-    return wide.withColumn("n_duplicates", F.count(F.lit(1)).over(w)).where("n_duplicates > 1 and context_ref is not null")
+    """Facts that share concept, tuple, context and unit with another; the value does not matter.
+
+    They are dealt out and sorted by a hash of these first, so that the keys themselves are hardly ever compared, and over a fixed
+    number of tasks: such repetitive rows are many times larger in a sort than compressed in a shuffle, by whose size Spark would
+    bring them together."""
+    keys = ["doc_id", "concept", "parent_id", "entity_key", "period_key", "dims_key", "non_dim", "scenario", "unit_key"]
+    parts = SORTS * int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = wide.withColumn("_mark", F.xxhash64(*keys)).repartition(parts, "_mark")
+    w = Window.partitionBy("_mark", *keys)
+    return dealt.withColumn("n_duplicates", F.count(F.lit(1)).over(w)).where("n_duplicates > 1 and context_ref is not null").drop("_mark")
 
 
 def with_default_units(facts: DataFrame) -> DataFrame:

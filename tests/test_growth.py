@@ -242,3 +242,14 @@ def test_sorted_entries_as_before(spark):
     maps = spark.createDataFrame([({"b": "1", "a": None},), ({},), (None,)], "m map<string,string>")
     old = F.to_json(F.array_sort(F.map_entries(F.coalesce("m", F.create_map().cast("map<string,string>")))))
     assert all(r[0] == r[1] for r in maps.select(sorted_entries(F.col("m")), old).collect())
+
+
+def test_duplicates_are_sorted_in_many_tasks(spark):
+    from ledgerloom.operators import facts
+
+    keys = ["doc_id", "concept", "parent_id", "entity_key", "period_key", "dims_key", "non_dim", "scenario", "unit_key"]
+    rows = spark.createDataFrame([("d", "c", None, "e", "p", k, None, None, "u", ref) for k, ref in [("1", "a"), ("1", "b"), ("2", "c"), (None, "d"), (None, None)]], ", ".join(f"{k} string" for k in [*keys, "context_ref"]))
+    got = facts.duplicates(rows)
+    parts = facts.SORTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {parts}), REPARTITION_BY_NUM" in plan(got)
+    assert sorted((r.context_ref, r.n_duplicates) for r in got.collect()) == [("a", 2), ("b", 2), ("d", 2)] and got.columns == [*rows.columns, "n_duplicates"]
