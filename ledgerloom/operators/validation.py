@@ -147,8 +147,9 @@ def hypercubes(wide: DataFrame, cubes: DataFrame, cube_dims: DataFrame, dim_memb
     """
     empty = F.create_map().cast("map<string,string>")
     own = wide.where("context_ref is not null").select("doc_id", "fact_id", "concept", F.coalesce("dims", empty).alias("dims"), F.coalesce("typed_dims", empty).alias("typed"))
-    use = own.join(cubes.select(F.col("primary_item").alias("concept"), "hypercube", "role", "closed"), "concept")
-    need = use.join(cube_dims, ["hypercube", "role"], "left")
+    # Cubes and their dimensions are a taxonomy's; facts of one concept would all be dealt to one task by a shuffle.
+    shape = cubes.select(F.col("primary_item").alias("concept"), "hypercube", "role", "closed").join(cube_dims, ["hypercube", "role"], "left")
+    need = own.join(F.broadcast(shape), "concept")
     member = F.when(F.col("kind") == "typed", F.try_element_at("typed", F.col("dimension"))).otherwise(F.try_element_at("dims", F.col("dimension")))
     need = need.withColumn("member", member)
     usable = dim_members.where("usable").select("dimension", "role", "member", F.lit(True).alias("_ok")).distinct()
@@ -156,7 +157,9 @@ def hypercubes(wide: DataFrame, cubes: DataFrame, cube_dims: DataFrame, dim_memb
     default_written = (F.col("kind") == "explicit") & (F.col("member") == F.col("default_member"))
     fits = F.when(F.col("dimension").isNull(), True).when(F.col("member").isNull(), F.col("default_member").isNotNull()).when(F.col("kind") == "typed", True).otherwise(F.coalesce("_ok", F.lit(False)) & ~F.coalesce(default_written, F.lit(False)))
     size = F.size("dims") + F.size("typed")
-    by_cube = j.groupBy("doc_id", "fact_id", "role", "hypercube").agg(F.bool_and(fits).alias("ok"), F.first("closed").alias("closed"), F.max(size).alias("size"), F.count_if(F.col("member").isNotNull()).alias("used"))
+    told = j.select("doc_id", "fact_id", "role", "hypercube", fits.alias("fits"), "closed", size.alias("size"), F.col("member").isNotNull().alias("used"))
+    # Dealt out by facts, what follows needs no other shuffle.
+    by_cube = told.repartition("doc_id", "fact_id").groupBy("doc_id", "fact_id", "role", "hypercube").agg(F.bool_and("fits").alias("ok"), F.first("closed").alias("closed"), F.max("size").alias("size"), F.count_if("used").alias("used"))
     by_role = by_cube.groupBy("doc_id", "fact_id", "role").agg(F.bool_and(F.col("ok") & (~F.col("closed") | (F.col("size") == F.col("used")))).alias("ok"))
     by_fact = by_role.groupBy("doc_id", "fact_id").agg(F.bool_or("ok").alias("ok"))
     return _violations(by_fact, ~F.col("ok"), "hypercube", "3.1.1", F.col("fact_id"), "the fact fits no hypercube of its concept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +192,8 @@ def derived_checked(spark: SparkSession, d: str) -> DataFrame:
     text = lambda *rows: spark.createDataFrame(list(rows), "hypercube string, role string, dimension string, kind string, default_member string")
     cubes = spark.createDataFrame([("cube", "r", "net", True, "segment")], "hypercube string, role string, primary_item string, closed boolean, context_element string")
     members = o.where("o_orderstatus <> 'F'").select(F.lit("status").alias("dimension"), F.lit("r").alias("role"), F.lit("a").alias("arcrole"), F.lit("p").alias("parent"), F.col("o_orderstatus").alias("member"), F.lit(True).alias("usable")).distinct()
-    typed = made.withColumns({"typed_dims": F.map_filter("dims", lambda x, _: x == "order"), "dims": F.map_filter("dims", lambda x, _: x != "order")})
+    # What the check and the join after it both read is worked out once.
+    typed = made.select("doc_id", "concept", "context_ref", F.map_filter("dims", lambda x, _: x == "order").alias("typed_dims"), F.map_filter("dims", lambda x, _: x != "order").alias("dims"), "decimals").persist(StorageLevel.DISK_ONLY)
     bad = formula.violations(typed, cubes, text(("cube", "r", "status", "explicit", None), ("cube", "r", "order", "typed", None)), members).select("object_id")
     left = typed.withColumn("object_id", F.concat_ws("#", "concept", "context_ref")).join(bad.distinct(), "object_id", "left_anti")
     return left.select(F.col("typed_dims")["order"].cast("long").alias("order_key"), "decimals")

@@ -253,3 +253,15 @@ def test_duplicates_are_sorted_in_many_tasks(spark):
     parts = facts.SORTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f", {parts}), REPARTITION_BY_NUM" in plan(got)
     assert sorted((r.context_ref, r.n_duplicates) for r in got.collect()) == [("a", 2), ("b", 2), ("d", 2)] and got.columns == [*rows.columns, "n_duplicates"]
+
+
+def test_facts_are_dealt_out_once_for_hypercubes(spark):
+    from ledgerloom.operators import validation
+
+    f = spark.createDataFrame([("d", f"f{i}", "net", "c", {"status": m}) for i, m in enumerate(("O", "F", "P"))], "doc_id string, fact_id string, concept string, context_ref string, dims map<string,string>").withColumn("typed_dims", F.create_map().cast("map<string,string>"))
+    cubes = spark.createDataFrame([("cube", "r", "net", True)], "hypercube string, role string, primary_item string, closed boolean")
+    dims = spark.createDataFrame([("cube", "r", "status", "explicit", None)], "hypercube string, role string, dimension string, kind string, default_member string")
+    members = spark.createDataFrame([("status", "r", m, True) for m in "OP"], "dimension string, role string, member string, usable boolean")
+    got = validation.hypercubes(f, cubes, dims, members)
+    assert plan(got).count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(concept" not in plan(got)
+    assert [r.object_id for r in got.collect()] == ["f1"]
