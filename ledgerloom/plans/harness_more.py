@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,7 +288,8 @@ def instance_documents(spark: SparkSession, d: str) -> DataFrame:
     facts = o.select(doc, F.concat(F.lit("f"), "o_orderkey").alias("fact_id"), F.lit("total").alias("concept"), F.lit("urn:e").alias("ns"), F.col("o_totalprice").cast("string").alias("value"), ref.alias("context_ref"), F.lit("u").alias("unit_ref"), F.lit("2").alias("decimals"), none.cast("string").alias("precision"), F.lit(False).alias("is_nil"), F.lit(0).alias("ordinal"))
     ctx = o.select(doc, ref.alias("context_id"), F.lit("urn:s").alias("scheme"), F.col("o_custkey").cast("string").alias("entity"), F.lit("instant").alias("period_type"), none.cast("timestamp_ntz").alias("start"), end, F.create_map(F.lit("e:status"), "o_orderstatus").alias("dims"))
     units = o.select(doc, F.lit("u").alias("unit_id"), F.array(F.lit(USD)).alias("numerator"), F.array().cast("array<string>").alias("denominator")).distinct()
-    t = instance.tables(instance.parse(instance.to_xml(facts, ctx, units, "e.xsd")))
+    raw = instance.parse(instance.to_xml(facts, ctx, units, "e.xsd")).persist(StorageLevel.DISK_ONLY)  # facts and contexts both read it
+    t = instance.tables(raw)
     j = t["facts"].join(t["contexts"].withColumnRenamed("context_id", "context_ref"), ["doc_id", "context_ref"])
     return j.groupBy(F.col("doc_id").cast("long").alias("customer")).agg(F.count(F.lit(1)).alias("facts"), F.round(F.sum(F.col("num").cast("double")), 2).alias("total"), F.min("end").alias("first"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,16 @@ RAW = (
     "dims map<string,string>, typed_dims map<string,string>, non_dim string, scenario string, scenario_dims map<string,string>, numerator array<string>, denominator array<string>, "
     "href string, role string, lang string, target string"
 )
-COLUMNS = [c.split()[0] for c in RAW.split(", ")]
+_TYPES = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
+
+
+def arrow_schema(columns: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in columns.split(", ")])
+
+
+ARROW = arrow_schema(RAW)
+#: Rows of an Arrow batch that parsers give back.
+ROWS = 5_000
 
 
 def _split(tag: str) -> tuple[str, str]:
@@ -116,26 +125,49 @@ def rows_of(doc: str, text: str) -> list[dict]:
     return rows
 
 
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as an Arrow batch; columns that they don't have are null."""
+    held: dict[str, list] = {}
+    for i, row in enumerate(rows):
+        for name, value in row.items():
+            if value is not None:
+                if name not in held:
+                    held[name] = [None] * len(rows)
+                held[name][i] = value
+
+    def array(f):
+        if f.name not in held:
+            return pa.nulls(len(rows), f.type)
+        values = held[f.name]
+        return pa.array([list(v.items()) if v is not None else None for v in values] if pa.types.is_map(f.type) else values, f.type)
+
+    return pa.RecordBatch.from_arrays([array(f) for f in schema], schema=schema)
+
+
 def _parse(batches):
     for b in batches:
-        out = []
+        out: list[dict] = []
         for doc, text in zip(b["doc_id"], b["text"]):
             try:
-                out += rows_of(doc, text)
+                out += rows_of(doc.as_py(), text.as_py() or "")
             except ET.ParseError as e:
-                out.append({"doc_id": doc, "kind": "error", "value": str(e)})
-        yield pd.DataFrame(out, columns=COLUMNS).astype(object).where(lambda d: d.notna(), None)
+                out.append({"doc_id": doc.as_py(), "kind": "error", "value": str(e)})
+            while len(out) >= ROWS:
+                yield batch_of(out[:ROWS], ARROW)
+                del out[:ROWS]
+        if out:
+            yield batch_of(out, ARROW)
 
 
-def spread(documents: DataFrame) -> DataFrame:
+def spread(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents dealt out by their ids over as many tasks as shuffles have: a table of few files or row groups would be parsed by as
     few tasks, and short texts would be brought together again."""
-    return documents.select("doc_id", "text").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return documents.select(key, "text").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def parse(documents: DataFrame) -> DataFrame:
     """Raw rows of documents (doc_id, text)."""
-    return documents.select("doc_id", "text").mapInPandas(_parse, RAW)
+    return documents.select("doc_id", "text").mapInArrow(_parse, RAW)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -265,3 +265,18 @@ def test_facts_are_dealt_out_once_for_hypercubes(spark):
     got = validation.hypercubes(f, cubes, dims, members)
     assert plan(got).count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(concept" not in plan(got)
     assert [r.object_id for r in got.collect()] == ["f1"]
+
+
+# --- documents ----------------------------------------------------------------------------------------------------
+
+
+def test_instances_come_back_in_bounded_batches():
+    import pyarrow as pa
+
+    from ledgerloom.sources import instance
+
+    text = instance.xml_head("e.xsd") + "".join(f'<f:x xmlns:f="urn:f" id="f{i}" contextRef="c">{i}</f:x>' for i in range(instance.ROWS + 7)) + "</xbrl>"
+    got = list(instance._parse([pa.RecordBatch.from_pydict({"doc_id": ["one", "two", "none"], "text": [text, "<x", None]})]))
+    assert max(b.num_rows for b in got) <= instance.ROWS
+    kinds = [k for b in got for k in b["kind"].to_pylist()]
+    assert kinds.count("fact") == instance.ROWS + 7 and kinds.count("schema_ref") == 1 and kinds.count("error") == 2
