@@ -13,6 +13,7 @@ as missing; cycles of references end. Empty tables give empty results.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from itertools import islice
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..model import LINK, XBRLI, XLINK
 from ..operators.networks import reach
+from .instance import ROWS, arrow_schema, batch_of, spread
 
 XS = "{http://www.w3.org/2001/XMLSchema}"
 X = f"{{{XLINK}}}"
@@ -29,7 +31,8 @@ PARTS = (
     "target string, role string, arcrole string, from_uri string, from_id string, to_uri string, to_id string, ord double, weight double, priority int, use string, preferred_label string, "
     "link_name string, arc_name string, attrs map<string,string>, lang string, text string"
 )
-NAMES = [c.split()[0] for c in PARTS.split(", ")]
+#: Letters that are given to the XML reader at once.
+CHUNK = 1 << 16
 #: Elements whose address leads to another document of the taxonomy.
 REFERENCES = {f"{XS}import": "schemaLocation", f"{XS}include": "schemaLocation", f"{{{LINK}}}schemaRef": f"{X}href", f"{{{LINK}}}linkbaseRef": f"{X}href", f"{{{LINK}}}roleRef": f"{X}href", f"{{{LINK}}}arcroleRef": f"{X}href", f"{{{LINK}}}loc": f"{X}href"}
 
@@ -38,57 +41,103 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _concepts(uri: str, root) -> list[dict]:
-    out = []
-    for e in root.findall(f"{XS}element"):
-        attrs = {_local(k): v for k, v in e.attrib.items() if k.startswith("{")}
-        out.append({"uri": uri, "part": "concept", "name": e.get("name"), "ns": root.get("targetNamespace"), "id": e.get("id"), "item_type": _local((e.get("type") or "").rpartition(":")[2]), "subst_group": e.get("substitutionGroup"), "period_type": e.get(f"{{{XBRLI}}}periodType"), "balance": e.get(f"{{{XBRLI}}}balance"), "abstract": e.get("abstract") == "true", "nillable": e.get("nillable") == "true", "attrs": attrs})
-    return out
-
-
-def _links(uri: str, root) -> list[dict]:
-    out = []
-    for link in root.iter():
-        if not isinstance(link.tag, str) or link.get(f"{X}type") != "extended":
-            continue
-        where, texts = {}, {}
-        for n in link:
-            if n.get(f"{X}type") == "locator":
-                where.setdefault(n.get(f"{X}label"), []).append(urldefrag(urljoin(uri, n.get(f"{X}href", ""))))
-            elif n.get(f"{X}type") == "resource":
-                texts.setdefault(n.get(f"{X}label"), []).append(n)
-        for a in link:
-            if a.get(f"{X}type") != "arc":
+def _elements(text: str):
+    """(element, parents, its end) as a document is read; children of the root and of extended links are let go once they have ended,
+    so that no tree of the whole document stands."""
+    reader, parents = ET.XMLPullParser(("start", "end")), []
+    for at in range(0, len(text) + 1, CHUNK):
+        reader.feed(text[at : at + CHUNK])
+        if at + CHUNK > len(text):
+            reader.close()
+        for event, e in reader.read_events():
+            if event == "start":
+                yield e, parents, False
+                parents.append(e)
+            else:
+                parents.pop()
+                yield e, parents, True
+                if parents and (len(parents) == 1 or parents[-1].get(f"{X}type") == "extended"):
+                    del parents[-1][:]
+
+
+def _concept(uri: str, root, e) -> dict:
+    attrs = {_local(k): v for k, v in e.attrib.items() if k.startswith("{")}
+    return {"uri": uri, "part": "concept", "name": e.get("name"), "ns": root.get("targetNamespace"), "id": e.get("id"), "item_type": _local((e.get("type") or "").rpartition(":")[2]), "subst_group": e.get("substitutionGroup"), "period_type": e.get(f"{{{XBRLI}}}periodType"), "balance": e.get(f"{{{XBRLI}}}balance"), "abstract": e.get("abstract") == "true", "nillable": e.get("nillable") == "true", "attrs": attrs}
+
+
+def _arc(uri: str, link, a, where: dict, texts: dict):
+    own = {"uri": uri, "role": link.get(f"{X}role"), "arcrole": a.get(f"{X}arcrole"), "ord": float(a.get("order") or 1), "weight": float(a.get("weight")) if a.get("weight") else None, "priority": int(a.get("priority") or 0), "use": a.get("use") or "optional", "link_name": _local(link.tag), "arc_name": _local(a.tag)}
+    for f_uri, f_id in where.get(a.get(f"{X}from"), []):
+        for t_uri, t_id in where.get(a.get(f"{X}to"), []):
+            yield own | {"part": "arc", "from_uri": f_uri, "from_id": f_id, "to_uri": t_uri, "to_id": t_id, "preferred_label": a.get("preferredLabel"), "attrs": {_local(k): v for k, v in a.attrib.items()}}
+        for role, lang, text in texts.get(a.get(f"{X}to"), []):
+            yield own | {"part": "label", "from_uri": f_uri, "from_id": f_id, "arcrole": role, "lang": lang, "text": text}
+
+
+def each_row(uri: str, text: str):
+    """Concepts, arcs, labels, references and errors of one document, one by one.
+
+    It is read twice: first what it refers to, with the locators and resources of its links, as arcs may stand before these; then
+    concepts and arcs."""
+    targets, links, urls = set(), [], {}
+    inside = lambda parents: bool(parents) and parents[-1].get(f"{X}type") == "extended"
+    try:
+        open_links: list[tuple[dict, dict]] = []
+        for e, parents, ended in _elements(text):
+            kind = e.get(f"{X}type")
+            if ended:
+                if inside(parents) and kind == "resource":
+                    open_links[-1][1].setdefault(e.get(f"{X}label"), []).append((e.get(f"{X}role"), e.get("{http://www.w3.org/XML/1998/namespace}lang"), "".join(e.itertext())))
+                if kind == "extended":
+                    open_links.pop()
                 continue
-            own = {"uri": uri, "role": link.get(f"{X}role"), "arcrole": a.get(f"{X}arcrole"), "ord": float(a.get("order") or 1), "weight": float(a.get("weight")) if a.get("weight") else None, "priority": int(a.get("priority") or 0), "use": a.get("use") or "optional", "link_name": _local(link.tag), "arc_name": _local(a.tag)}
-            for f in where.get(a.get(f"{X}from"), []):
-                for t in where.get(a.get(f"{X}to"), []):
-                    out.append(own | {"part": "arc", "from_uri": f.url, "from_id": f.fragment, "to_uri": t.url, "to_id": t.fragment, "preferred_label": a.get("preferredLabel"), "attrs": {_local(k): v for k, v in a.attrib.items()}})
-                for n in texts.get(a.get(f"{X}to"), []):
-                    out.append(own | {"part": "label", "from_uri": f.url, "from_id": f.fragment, "arcrole": n.get(f"{X}role"), "lang": n.get("{http://www.w3.org/XML/1998/namespace}lang"), "text": "".join(n.itertext())})
-    return out
+            if e.tag in REFERENCES and e.get(REFERENCES[e.tag]):
+                targets.add(urldefrag(urljoin(uri, e.get(REFERENCES[e.tag]))).url)
+            if inside(parents) and kind == "locator":
+                to = urldefrag(urljoin(uri, e.get(f"{X}href", "")))
+                open_links[-1][0].setdefault(e.get(f"{X}label"), []).append((urls.setdefault(to.url, to.url), to.fragment))
+            if kind == "extended":
+                links.append(({}, {}))
+                open_links.append(links[-1])
+    except ET.ParseError as e:
+        yield {"uri": uri, "part": "error", "text": str(e)}
+        return
+    for t in sorted(targets - {uri}):
+        yield {"uri": uri, "part": "reference", "target": t}
+    n, own_links = 0, []
+    for e, parents, ended in _elements(text):
+        kind = e.get(f"{X}type")
+        if ended:
+            if kind == "extended":
+                own_links.pop()
+            continue
+        if len(parents) == 1 and e.tag == f"{XS}element" and parents[0].tag == f"{XS}schema":
+            yield _concept(uri, parents[0], e)
+        if inside(parents) and kind == "arc":
+            yield from _arc(uri, parents[-1], e, *own_links[-1])
+        if kind == "extended":
+            own_links.append(links[n])
+            n += 1
 
 
 def rows_of(uri: str, text: str) -> list[dict]:
-    """Concepts, arcs, labels, references and errors of one document."""
-    try:
-        root = ET.fromstring(text)
-    except ET.ParseError as e:
-        return [{"uri": uri, "part": "error", "text": str(e)}]
-    targets = {urldefrag(urljoin(uri, e.get(REFERENCES[e.tag]))).url for e in root.iter() if isinstance(e.tag, str) and e.tag in REFERENCES and e.get(REFERENCES[e.tag])}
-    refs = [{"uri": uri, "part": "reference", "target": t} for t in sorted(targets - {uri})]
-    return [*refs, *(_concepts(uri, root) if root.tag == f"{XS}schema" else []), *_links(uri, root)]
+    """All rows of one document."""
+    return list(each_row(uri, text))
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """All parts of documents (uri, text), by the kind in ``part``; a null text counts as an error."""
+    """All parts of documents (uri, text), by the kind in ``part``; a null text counts as an error. Documents of any length are read
+    in pieces and given back as batches of ``ROWS`` rows; of a whole document a task holds its text, and its locators and resources."""
+    schema = arrow_schema(PARTS)
 
     def run(batches):
         for b in batches:
-            rows = [r for uri, text in zip(b["uri"], b["text"]) for r in rows_of(uri, text or "")]
-            yield pd.DataFrame(rows, columns=NAMES).astype(object).where(lambda d: d.notna(), None)
+            for uri, text in zip(b["uri"], b["text"]):
+                rows = each_row(uri.as_py(), text.as_py() or "")
+                while some := list(islice(rows, ROWS)):
+                    yield batch_of(some, schema)
 
-    return documents.select("uri", "text").mapInPandas(run, PARTS)
+    return spread(documents, "uri").mapInArrow(run, PARTS)
 
 
 def reached(parts: DataFrame, entries: DataFrame) -> DataFrame:

@@ -280,3 +280,23 @@ def test_instances_come_back_in_bounded_batches():
     assert max(b.num_rows for b in got) <= instance.ROWS
     kinds = [k for b in got for k in b["kind"].to_pylist()]
     assert kinds.count("fact") == instance.ROWS + 7 and kinds.count("schema_ref") == 1 and kinds.count("error") == 2
+
+
+def test_taxonomies_are_read_in_pieces():
+    import tracemalloc
+
+    from ledgerloom.sources import discovery
+
+    x = 'xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink"'
+    arc = lambda i: f'<link:presentationArc xlink:type="arc" xlink:arcrole="pc" xlink:from="top" xlink:to="c{i}" order="{i + 1}"/>'
+    loc = lambda i: f'<link:loc xlink:type="locator" xlink:href="b.xsd#c{i}" xlink:label="c{i}"/>'
+    n = 20_000  # arcs stand before their locators
+    text = f'<link:linkbase {x}><link:presentationLink xlink:type="extended" xlink:role="r">' + "".join(map(arc, range(n))) + "".join(map(loc, range(n))) + '<link:loc xlink:type="locator" xlink:href="b.xsd#top" xlink:label="top"/></link:presentationLink></link:linkbase>'
+    tracemalloc.start()
+    found = 0
+    for row in discovery.each_row("http://t/a.xml", text):
+        found += row["part"] == "arc" and (row["to_uri"], row["to_id"]) == ("http://t/b.xsd", f"c{int(row['ord']) - 1}")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n and peak < 6 * len(text), peak / len(text)
+    assert [r["part"] for r in discovery.rows_of("http://t/a.xml", text[:-5])] == ["error"]
