@@ -26,7 +26,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.Toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", toxicity.held_out().alias("held_out"), model.score(docs).alias("score"))
+    scored = model.scores(docs).select("doc_id", toxicity.held_out().alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

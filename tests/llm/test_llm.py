@@ -83,6 +83,22 @@ def test_toxicity_against_plain_counts(spark):
         assert np.allclose(model.evidence(*toxicity.tokens(text)), evidence(text), atol=1e-9)
 
 
+def test_toxicity_rare_expressions(spark):
+    """However few expressions are broadcast, each counts: scores are those of the model that is broadcast whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(odd_docs(spark).select("doc_id", "text"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    whole = toxicity.Toxicity.fit(docs, labels)
+    assert whole.rest is None
+    want = sorted(tuple(r) for r in docs.select(F.coalesce("doc_id", F.lit(-9)), whole.score(docs)).collect())
+    for hot in (0, 300):
+        part = toxicity.Toxicity.fit(docs, labels, hot=hot)
+        assert part.rest.count() + sum(len(t.key) for t in part.model.tables.values()) == sum(len(t.key) for t in whole.model.tables.values())
+        assert np.allclose(part.curve, whole.curve, atol=1e-6)
+        got = sorted(tuple(r) for r in part.scores(docs).select(F.coalesce("doc_id", F.lit(-9)), "score").collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+
+
 def test_toxicity_odd(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (7, 1, 1), (None, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
