@@ -50,6 +50,8 @@ SENT = 32 << 20
 UNIT = 8
 #: Entries that a task merges before it deals them out, and bytes of text that it hashes at a time.
 FLUSH, CHUNK = 200_000, 1 << 18
+#: Rows of what is found out that a task brings together by text.
+HELD = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = {"n": 0}
@@ -151,9 +153,9 @@ def _symbols(text: str, unit: int) -> bytes:
     return raw if unit == 1 else coded_words(raw)
 
 
-def surroundings(n: int, place: int, length: int, width: int) -> tuple[int, int]:
+def surroundings(n: int, place: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The stretch of text that holds every window a sample place can stand for."""
-    return max(0, place - (length - width)), min(n, place + length)
+    return np.maximum(0, place - (length - width)), np.minimum(n, place + length)
 
 
 # --- entries dealt out by name -----------------------------------------------------------------------------------
@@ -233,9 +235,15 @@ def _dealt(make, parts: int, flush: int = FLUSH):
     return run
 
 
-def _buckets(width: int, use):
+def _buckets(width: int, use, together=None):
     """Over packed entries sorted by bucket: ``use`` of the decided and of the open entries of each bucket, with what is
-    known of the open ones: how many entries there are of their name, two if there is a witness."""
+    known of the open ones: how many entries there are of their name, two if there is a witness. ``together`` is applied to
+    some ``HELD`` rows at a time."""
+    most = 20_000 if together is None else HELD
+
+    def frame(out: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat(out, ignore_index=True)
+        return every if together is None else together(every)
 
     def bucket(blobs: list[bytes]):
         e = _Entries.join([_Entries.unpacked(b, width) for b in blobs])
@@ -253,23 +261,23 @@ def _buckets(width: int, use):
                 if part != last and blobs:
                     out.append(bucket(blobs))
                     rows, blobs = rows + len(out[-1]), []
-                    if rows > 20_000:
-                        yield pd.concat(out, ignore_index=True)
+                    if rows > most:
+                        yield frame(out)
                         out, rows = [], 0
                 last = part
                 blobs.append(bytes(blob))
         if blobs:
             out.append(bucket(blobs))
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield frame(out)
 
     return run
 
 
-def _by_name(texts: DataFrame, make, width: int, use, shape: str) -> DataFrame:
+def _by_name(texts: DataFrame, make, width: int, use, shape: str, together=None) -> DataFrame:
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.mapInPandas(tidying(_dealt(make, max(1024, 16 * parts))), "part long, blob binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(tidying(_buckets(width, use)), shape)
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(tidying(_buckets(width, use, together)), shape)
 
 
 def _table(e: _Entries, **more) -> pd.DataFrame:
@@ -304,8 +312,18 @@ def _names(length: int, unit: int):
 
 
 def _repeated_names(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    """A row for each text of the bucket: its places with a repeated name, packed (``_places`` reads them)."""
     e = _Entries.join([done, rest.take((seen > 1) & (rest.flag & 3 == OPEN))])
-    return _table(e, anchor=e.names[:, 0].astype(np.int64))
+    e = e.take(np.lexsort(e.text.T))
+    first = np.nonzero(np.concatenate([[True], (e.text[1:] != e.text[:-1]).any(axis=1)]))[0] if len(e) else np.zeros(0, np.int64)
+    at = [e.names[a:b, 0].tobytes() + e.place[a:b].astype(np.uint32).tobytes() for a, b in zip(first, np.append(first[1:], len(e)))]
+    return _table(e.take(first), at=at).drop(columns="place")
+
+
+def _places(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """Names and places out of what ``_repeated_names`` packs."""
+    parts = [(np.frombuffer(b, np.uint64, len(b) // 12), np.frombuffer(b, np.uint32, offset=len(b) // 12 * 8)) for b in blobs]
+    return np.concatenate([n for n, _ in parts]), np.concatenate([p for _, p in parts]).astype(np.int64)
 
 
 def _around(length: int, width: int, unit: int):
@@ -313,11 +331,10 @@ def _around(length: int, width: int, unit: int):
 
     def make(b: pd.DataFrame):
         for key, text, at in zip(b[KEY].to_numpy(np.int64), b["text"], b["at"]):
-            raw, out = _symbols(text, unit), []
-            for x in at:
-                i, j = surroundings(len(raw), x["place"], length, width)
-                out.append((x["anchor"] & 0xFFFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(raw[i:j], seed=x["place"] - i + 1)))
-            yield _Entries(np.array(out, np.uint64), np.tile(key, (len(at), 1)), np.array([x["place"] for x in at], np.int64), np.zeros(len(at), np.uint8))
+            raw, (anchor, place) = memoryview(_symbols(text, unit)), _places(at)
+            start, stop = surroundings(len(raw), place, length, width)
+            digest = [xxhash.xxh3_64_intdigest(raw[i:j], d) for i, j, d in zip(start.tolist(), stop.tolist(), (place - start + 1).tolist())]
+            yield _Entries(np.column_stack([anchor, np.array(digest, np.uint64)]), np.tile(key, (len(place), 1)), place, np.zeros(len(place), np.uint8))
 
     return make
 
@@ -326,10 +343,28 @@ def _around(length: int, width: int, unit: int):
 SETTLED, SINGLE, MATE = 0, 1, 2
 
 
-def _settled(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
-    opened, twice = rest.flag & 3 == OPEN, seen > 1
-    parts = [(done, SETTLED), (rest.take(opened & twice), SETTLED), (rest.take(opened & ~twice), SINGLE), (rest.take(first[twice[first]]), MATE)]
-    return pd.concat([_table(e, anchor=e.names[:, 0].astype(np.int64), kind=np.int32(kind)) for e, kind in parts], ignore_index=True)
+def _settled(length: int, width: int):
+    """Places whose surroundings are repeated are given as stretches of text; stops may lie beyond a text's end."""
+
+    def use(done: _Entries, rest: _Entries, first: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+        opened, twice = rest.flag & 3 == OPEN, seen > 1
+        e = _Entries.join([done, rest.take(opened & twice)])
+        parts = [_table(e, anchor=np.int64(0), stop=e.place + length, kind=np.int32(SETTLED)).assign(place=np.maximum(0, e.place - (length - width)))]
+        for e, kind in ((rest.take(opened & ~twice), SINGLE), (rest.take(first[twice[first]]), MATE)):
+            parts.append(_table(e, anchor=e.names[:, 0].astype(np.int64), stop=np.int64(0), kind=np.int32(kind)))
+        return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+
+    return use
+
+
+def _met(df: pd.DataFrame) -> pd.DataFrame:
+    """Settled stretches of a text that meet as one; they are of one length but for those from a text's start."""
+    runs = df[df["kind"] == SETTLED]
+    runs = runs.iloc[np.lexsort([runs[c].to_numpy() for c in ("stop", *KEY)])]
+    key, start, stop = runs[KEY].to_numpy(), runs["place"].to_numpy(), runs["stop"].to_numpy()
+    first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1) | (start[1:] > stop[:-1])]))[0] if len(runs) else np.zeros(0, np.int64)
+    runs = runs.iloc[first].assign(stop=stop[np.append(first[1:], len(stop)) - 1] if len(first) else stop)
+    return pd.concat([runs, df[df["kind"] != SETTLED]], ignore_index=True)
 
 
 def _windows(length: int, width: int, unit: int):
@@ -371,7 +406,7 @@ def _contexts(length: int, width: int, unit: int, rows: int = 4000):
             for text, wanted, *key in b[["text", "wanted", *KEY]].itertuples(index=False):
                 raw = _symbols(text, unit)
                 for w in wanted:
-                    i, j = surroundings(len(raw), w["place"], length, width)
+                    i, j = max(0, w["place"] - (length - width)), w["place"] + length
                     out.append((w["anchor"], w["single"], w["place"] - i, raw[i:j], *key, w["place"]))
                     if len(out) >= rows:
                         yield frame()
@@ -502,12 +537,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
     symbols = F.octet_length("text") if unit == 1 else F.regexp_count("text", F.lit(WORD)) * unit
     symbols = F.when(F.col("n") > 1, symbols)  # for copies only: a test of the text alone would be made before the join, on all texts
     whole = marked.where(F.col("n").isNotNull() & F.col("own_id").eqNullSafe(F.col("first_id"))).select(*KEY, F.lit(0).cast("long").alias("start"), symbols.cast("long").alias("stop")).where(F.col("stop") >= length)
-    names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, place long, anchor long"), "names")
-    at = names.groupBy(*KEY).agg(F.collect_list(F.struct("place", "anchor")).alias("at"))
-    kinds = stored(_by_name(_of_texts(once, at), _around(length, width, unit), 2, _settled, f"{KINDS}, place long, anchor long, kind int"), "kinds")
-    # Places with equal surroundings: all their windows are repeated. Stops may lie beyond a text's end.
-    start, stop = F.greatest(F.lit(0), F.col("place") - (length - width)), F.col("place") + length
-    equal = kinds.where(F.col("kind") == SETTLED).select(*KEY, start.alias("start"), stop.alias("stop"))
+    names = stored(_by_name(once, _names(length, unit), 1, _repeated_names, f"{KINDS}, at binary"), "names")
+    at = names.groupBy(*KEY).agg(F.collect_list("at").alias("at"))
+    kinds = stored(_by_name(_of_texts(once, at), _around(length, width, unit), 2, _settled(length, width), f"{KINDS}, place long, anchor long, stop long, kind int", _met), "kinds")
+    # Places with equal surroundings: all their windows are repeated.
+    equal = kinds.where(F.col("kind") == SETTLED).select(*KEY, F.col("place").alias("start"), "stop")
     # Others share the sample's first bytes with different surroundings: sort their suffixes.
     members = kinds.where(F.col("kind") != SETTLED).withColumn("single", F.col("kind") == SINGLE)
     sizes = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("single").alias("singles")).where("kinds > 1 and singles").select("anchor", (F.col("kinds") > block).alias("block"))

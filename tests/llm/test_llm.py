@@ -670,6 +670,22 @@ def test_repeats(spark, monkeypatch, seed, flush, block):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
 
 
+def test_repeats_are_kept_as_stretches(spark, monkeypatch):
+    """Repeated places are stored packed by text and as stretches that meet, not as a row each."""
+    rng, kept, stored = random.Random(6), {}, suffixdedup.stored
+    monkeypatch.setattr(suffixdedup, "stored", lambda df, name, *more: kept.setdefault(name, stored(df, name, *more)))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    shared = " ".join(word() for _ in range(1500))
+    texts = [f"{word()} {word()} {shared} {word()}" for _ in range(4)] + [shared[:3000] + " ".join(word() for _ in range(90))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = suffixdedup.with_kept_sha256(suffixdedup.with_spans(df)).orderBy("doc_id").collect()
+    got = [(r["sd_bytes"], sum(s["stop"] - s["start"] for s in r["sd_spans"]), len(r["sd_spans"]), r["kept_sha256"]) for r in rows]
+    assert got == brute_repeats(texts, 400)
+    places = sum(len(suffixdedup.sample_places(len(t), 400)) for t in texts)
+    settled = kept["kinds"].where(F.col("kind") == suffixdedup.SETTLED)
+    assert 0 < settled.count() < places / 5 and kept["names"].agg(F.sum(F.octet_length("at")) / 12).first()[0] <= places
+
+
 def test_repeats_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
     want = brute_repeats([r["text"] for r in docs], 400)
